@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import langid, quality
+from tesserae.llm import langid, linededup, quality, simhash
 from tesserae.llm.common import crc_mod
 from tesserae.sources import table
 
@@ -24,5 +24,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.CUT).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op4_quality)}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier document has."""
+    docs = linededup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SimHash fingerprint of every document and the smallest document it is linked with."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op4_quality, op5_line_dedup, op7_simhash)}
 ORACLE_SQL: dict[str, str] = {}
