@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import langid, linededup, quality, simhash
+from tesserae.llm import langid, linededup, packing, quality, simhash
 from tesserae.llm.common import crc_mod
 from tesserae.sources import table
 
@@ -30,11 +30,24 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def word_tokenizer_path() -> str:
+    """The vocabulary file that the packing queries use, where the package that holds it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 tokens."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), word_tokenizer_path())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SimHash fingerprint of every document and the smallest document it is linked with."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op4_quality, op5_line_dedup, op7_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language, op4_quality, op5_line_dedup, op6_packing, op7_simhash)}
 ORACLE_SQL: dict[str, str] = {}
