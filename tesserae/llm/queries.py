@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import langid, linededup, packing, quality, simhash
+from tesserae.llm import langid, linededup, packing, quality, sharding, simhash
 from tesserae.llm.common import crc_mod
 from tesserae.sources import table
 
@@ -49,5 +49,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op4_quality, op5_line_dedup, op6_packing, op7_simhash)}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of equal row counts, in the Hilbert order of source, language and size."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + sharding.OVERHEAD
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", size.alias("size"), crc.alias("text_crc32"))
+    out = sharding.shard(docs, 40, ["source", "lang", "size"], ["doc_id", "text_crc32"], "size", "rows")
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op4_quality, op5_line_dedup, op6_packing, op7_simhash, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
