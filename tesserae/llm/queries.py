@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import langid, linededup, packing, quality, sharding, simhash
+from tesserae.llm import langid, linededup, packing, quality, sharding, simhash, syncmers
 from tesserae.llm.common import crc_mod
 from tesserae.sources import table
 
@@ -49,6 +49,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The syncmer fingerprint of every document and of its edited text."""
+    return syncmers.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of equal row counts, in the Hilbert order of source, language and size."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + sharding.OVERHEAD
@@ -58,5 +63,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op4_quality, op5_line_dedup, op6_packing, op7_simhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language, op4_quality, op5_line_dedup, op6_packing, op7_simhash, op9_fingerprint, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
