@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import langid, linededup, packing, quality, sharding, simhash, syncmers, vectorjoin
+from tesserae.llm import katz, langid, linededup, packing, quality, sharding, simhash, syncmers, vectorjoin
 from tesserae.llm.common import crc_mod
 from tesserae.sources import table
 
@@ -16,6 +16,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_family")
 
 
+def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz scores of every document; a tenth of the ids is held out of the counts."""
+    return katz.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) == 0)
+
+
 def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links of every embedding at a cosine of 0.9 or more, and its component."""
     found = vectorjoin.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
@@ -69,5 +74,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op3_vectors, op4_quality, op5_line_dedup, op6_packing, op7_simhash, op9_fingerprint, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_perplexity, op3_vectors, op4_quality, op5_line_dedup, op6_packing, op7_simhash, op9_fingerprint, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}

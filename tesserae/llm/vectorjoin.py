@@ -208,8 +208,10 @@ def join(classes: DataFrame, cosine: float, cell: int = CELL, block: int = BLOCK
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "n"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             keys = np.stack([batch[c].to_numpy() for c in ("dim", "cell", "block", "guest")], axis=1)
-            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else []
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
             for s, e in zip(starts, [*starts[1:], len(keys)], strict=True):
                 now, guest = tuple(keys[s, :3].tolist()), keys[s, 3]
                 if now != key:
