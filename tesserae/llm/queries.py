@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import katz, langid, linededup, packing, quality, sharding, simhash, syncmers, vectorjoin
+from tesserae.llm import katz, langid, linededup, mergedropout, packing, quality, sharding, simhash, syncmers, vectorjoin
 from tesserae.llm.common import crc_mod
 from tesserae.sources import table
 
@@ -60,6 +60,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with merge-dropout, and the digest of its text decoded again."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = mergedropout.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    decoded = mergedropout.decode(encoded, path)
+    return decoded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The syncmer fingerprint of every document and of its edited text."""
     return syncmers.compare_edits(table(spark, sf_dir, "documents"))
@@ -74,5 +84,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_perplexity, op3_vectors, op4_quality, op5_line_dedup, op6_packing, op7_simhash, op9_fingerprint, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_perplexity, op3_vectors, op4_quality, op5_line_dedup, op6_packing, op7_simhash, op8_merge_dropout, op9_fingerprint, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
