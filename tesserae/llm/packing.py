@@ -42,6 +42,12 @@ _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼
 _PLAIN = re.compile(r"[^\x1c-\x1fİ̀-\U0010ffff]*")
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: itself where it prints, else the next one from U+0100 on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(prints)))}
+
+
 class WordTokenizer:
     """The tokenizer of a vocabulary file whose words are encoded one by one, with a bounded cache of words."""
 
@@ -51,7 +57,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        tokenizer = self.tokenizer
+        model, letters = self.tokenizer.model, byte_letters()
 
         class Cache(dict):
             old: dict = {}
@@ -62,7 +68,8 @@ class WordTokenizer:
                     self.clear()
                 found = self.old.get(word)
                 if found is None:
-                    found = np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+                    shown = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+                    found = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(shown)])
                 self[word] = found
                 return found
 
