@@ -1 +1,5 @@
-"""Streaming of the engine."""
+"""Streaming forms of the stateful operators."""
+
+from tesserae.streaming.streams import admitted_stream, drain, first_of_day
+
+__all__ = ["admitted_stream", "drain", "first_of_day"]
