@@ -178,18 +178,18 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id"
     added = ("n_lines", "n_dropped")
     fields = [f for f in docs.schema.fields if f.name not in added]
     docs = docs.select(*[F.col(f"`{f.name}`") for f in fields])
-    marks = keep_bitmaps(docs, text, key, min_chars, block_lines).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first(F.struct("n_lines", "n_dropped", "bitmap")).alias("_mark"))
-    keyed = docs.withColumn("_id", F.col(key).cast("long")).withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = keyed.join(marks, ["_id", "_hash"], "left").select(*[F.col(f"`{f.name}`") for f in fields], F.col("_mark.n_dropped").alias("_n"), F.col("_mark.bitmap").alias("_bitmap"))
+    marks = keep_bitmaps(docs, text, key, min_chars, block_lines).groupBy(F.col("doc_id").alias("__t_id"), F.col("text_hash").alias("__t_hash")).agg(F.first(F.struct("n_lines", "n_dropped", "bitmap")).alias("__t_mark"))
+    keyed = docs.withColumn("__t_id", F.col(key).cast("long")).withColumn("__t_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = keyed.join(marks, ["__t_id", "__t_hash"], "left").select(*[F.col(f"`{f.name}`") for f in fields], F.col("__t_mark.n_dropped").alias("__t_n"), F.col("__t_mark.bitmap").alias("__t_bitmap"))
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text)
         for batch in batches:
             texts = [t.as_py() for t in batch[at]]
-            kept = [t if b is None else kept_lines(t, b) for t, b in zip(texts, batch["_bitmap"].to_pylist(), strict=True)]
+            kept = [t if b is None else kept_lines(t, b) for t, b in zip(texts, batch["__t_bitmap"].to_pylist(), strict=True)]
             columns = [pa.array(kept, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            counts = [pa.array([(t or "").count("\n") + 1 for t in texts], pa.int64()), pa.array([n or 0 for n in batch["_n"].to_pylist()], pa.int64())]
+            counts = [pa.array([(t or "").count("\n") + 1 for t in texts], pa.int64()), pa.array([n or 0 for n in batch["__t_n"].to_pylist()], pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*names, *added])
 
     return joined.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, T.LongType()) for n in added)]))

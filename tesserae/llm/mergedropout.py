@@ -141,14 +141,14 @@ def encode(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int
     ship(docs.sparkSession)
     fields = [f for f in docs.schema.fields if f.name not in ("ids", "n_tokens")]
     names = [f.name for f in fields]
-    docs = docs.select(*[F.col(f"`{n}`") for n in names], F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("_key"))
+    docs = docs.select(*[F.col(f"`{n}`") for n in names], F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("__t_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = DropoutEncoder(model_path, dropout, seed, variants)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                ids = [None if t.as_py() is None else encoder.encode(t.as_py(), k) for t, k in zip(part[text], part["_key"].to_pylist(), strict=True)]
+                ids = [None if t.as_py() is None else encoder.encode(t.as_py(), k) for t, k in zip(part[text], part["__t_key"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(ids, pa.binary()), pa.array([None if i is None else len(i) // 4 for i in ids], pa.int64())], names=[*names, "ids", "n_tokens"])
 
     return docs.mapInArrow(run, T.StructType([*fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]))

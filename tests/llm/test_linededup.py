@@ -32,9 +32,9 @@ def test_query_equals_brute_force(spark):
 def test_defined_cases(spark):
     shared, other = "a line that is shared", "x" * 50_000
     rows = [(3, f"{shared}\nown line of three"), (1, f"  {shared.upper()}\t\nshort\n\n"), (2, None), (4, ""), (5, other + "\n" + shared), (5, other + "\n" + shared), (None, shared), (6, "short\nshort"), (7, "\n" * 300 + other)]
-    df = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOC).selectExpr("*", "'x' as n_lines", "1 as block", "2 as _x")
+    df = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOC).selectExpr("*", "'x' as n_lines", "1 as block", "2 as _id")
     got = linededup.drop_repeated_lines(df, min_chars=10)
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "block", "_x", "n_lines", "n_dropped"]
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "block", "_id", "n_lines", "n_dropped"]
     have = sorted([(r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got.collect()], key=str)
     assert have == brute(rows)
     assert linededup.drop_repeated_lines(df.limit(0)).count() == 0
