@@ -85,4 +85,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_perplexity, op3_vectors, op4_quality, op5_line_dedup, op6_packing, op7_simhash, op8_merge_dropout, op9_fingerprint, op10_sharding)}
-ORACLE_SQL: dict[str, str] = {}
+#: The others learn, hash or tokenise in ways that SQL has no form for; tests hold them against plain Python.
+ORACLE_SQL: dict[str, str] = {
+    "op3_vectors": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND isfinite(list_cosine_similarity(a.e, b.e)) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r (node, reach) AS (SELECT vec_id, vec_id FROM v UNION SELECT node, p.b FROM r JOIN p ON p.a = reach),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n_links FROM p GROUP BY 1)
+SELECT node AS vec_id, coalesce(n_links, 0) AS n_links, component_id, node = component_id AS kept FROM c LEFT JOIN n ON node = a""",
+    "op5_line_dedup": """WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM s),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+h AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
+f AS (SELECT k.*, h.first IS NULL OR h.first = doc_id AS kept FROM k LEFT JOIN h ON k.key = h.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT kept) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE kept), '')) AS kept_sha256 FROM f GROUP BY 1""",
+}
