@@ -110,7 +110,14 @@ def interval_waits(spark, sf_dir):
     return limits.waits(_events(spark, sf_dir), "user_id", "seconds", "event_id", 7200).select("event_id", "user_id", "wait")
 
 
-@query()
+_FULL = "x[1].page AND len(list_filter(a, lambda y: y.page AND NOT y.r)) >= 20"
+
+
+@query(f"""WITH e AS (SELECT user_id::VARCHAR AS host, event_id, floor(epoch(ts))::BIGINT AS s, event_type <> 'view' AS page FROM events),
+f AS (SELECT host, list_reduce([[{{'id': -1::BIGINT, 's': NULL::BIGINT, 'page': false, 'r': false}}]] || list([{{'id': event_id, 's': s, 'page': page, 'r': false}}] ORDER BY s, event_id), lambda a, x: a || [{{'id': x[1].id,
+  's': CASE WHEN {_FULL} THEN NULL ELSE greatest(x[1].s, coalesce(list_max(list_transform(a, lambda y: y.s)) + 3600, x[1].s)) END, 'page': x[1].page, 'r': {_FULL}}}]) AS folded FROM e GROUP BY 1),
+u AS (SELECT host, unnest(folded[2:]) AS x FROM f)
+SELECT host, x.id AS event_id, x.s AS starts, x.r AS refused FROM u""")
 def domain_schedule(spark, sf_dir):
     """When a polite fetcher starts each request of a host, and which it refuses."""
     rows = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("host"), "seconds", "event_id", (F.col("event_type") != "view").alias("page"))
