@@ -1,8 +1,6 @@
 """Rolling windows and rate limits. A decision that depends on earlier decisions is an ordered fold over
 its key's rows; plain counts are range windows."""
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,9 +69,3 @@ def schedule(requests: DataFrame, host: str, seconds: str, tie: str, interval: i
 
     return requests.groupBy(host).applyInPandas(fold, columns)
 
-
-def chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Rows of one partition in frames of at most `size`."""
-    for b in batches:
-        for at in range(0, len(b), size):
-            yield b.iloc[at : at + size]
