@@ -32,9 +32,34 @@ from tesserae.session import ship
 SPACE = "▁"
 VARIANTS = 4
 DROPOUT = 0.1
-CACHE = 60_000
+CACHE = 100_000
+SHORT = 24  # code points up to which a stretch's agenda is a plain list
+_NEVER = float("inf")
 _STRETCH = re.compile(r"\n| *[^ \n]+| +")
-_MASK = (1 << 64) - 1
+
+
+def place_hash(left: int, stop: int) -> int:
+    """32 bits for a candidate's place in its stretch."""
+    return xxhash.xxh32_intdigest(left.to_bytes(4, "little") + stop.to_bytes(4, "little"), 9)
+
+
+class StretchCache(dict):
+    """Encoded stretches of one variant, in two generations of at most CACHE each. A missing one is encoded."""
+
+    def __init__(self, encoder: "DropoutEncoder", variant: int):
+        super().__init__()
+        self.encoder, self.variant, self.older = encoder, variant, {}
+
+    def __missing__(self, stretch: str) -> bytes:
+        found = self.older.get(stretch)
+        if found is None:
+            found = self.encoder.merge(stretch, self.variant)
+        if len(stretch) <= 64:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[stretch] = found
+        return found
 
 
 class DropoutEncoder:
@@ -44,7 +69,7 @@ class DropoutEncoder:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.dropped = int(dropout * (1 << 32))
+        self.dropped = int(dropout * (1 << 24))
         self.seed, self.variants = seed, variants if dropout else 1
         self.scores: dict[str, tuple[float, int]] = {}
         self.bytes = [0] * 256
@@ -59,16 +84,60 @@ class DropoutEncoder:
             else:
                 self.scores[piece] = (-model.get_score(i), i)
                 self.out.append(piece.replace(SPACE, " ").encode())
-        self.caches: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def merge(self, stretch: str, variant: int) -> list[int]:
-        """Ids of a stretch, its spaces plain, by agenda processing."""
+        self.raw = [i.to_bytes(4, "little") for i in range(len(self.out))]
+        self.coded = {piece: self.raw[i] for piece, (_, i) in self.scores.items()}
+        self.places = [[place_hash(left, stop) for stop in range(SHORT + 1)] for left in range(SHORT + 1)]
+        self.costs = {piece: cost for piece, (cost, _) in self.scores.items()}
+        self.caches = [StretchCache(self, v) for v in range(self.variants)]
+
+    def merge(self, stretch: str, variant: int) -> bytes:
+        """Little-endian 32-bit ids of a stretch, its spaces plain, by agenda processing."""
+        if len(stretch) <= SHORT and SPACE not in stretch:
+            return self.merge_short(stretch, variant)
+        return self.merge_long(stretch, variant)
+
+    def key_of(self, stretch: str, variant: int) -> int:
+        """The keyed hash of a stretch, 32 bits, odd. A candidate's draw multiplies it with the hash of its place."""
+        return (xxhash.xxh32_intdigest(stretch.encode("utf-8", "surrogatepass"), self.seed * 1000 + variant) | 1) if self.dropped else 1
+
+    def merge_short(self, stretch: str, variant: int) -> bytes:
+        """The same by a list of the open candidates' costs, which for short stretches is quicker than a heap.
+
+        The least cost is the next candidate, the leftmost of equals; a skipped one stays out until one of its
+        two parts changes.
+        """
+        parts, get, dropped, places = list(stretch.replace(" ", SPACE)), self.costs.get, self.dropped, self.places
+        starts = list(range(len(parts) + 1))
+        key = self.key_of(stretch, variant)
+        costs = [get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]  # noqa: B905
+        while costs:
+            least = min(costs)
+            if least == _NEVER:
+                break
+            i = costs.index(least)
+            if dropped and (key * places[starts[i]][starts[i + 2]] >> 24 & 0xFFFFFF) < dropped:
+                costs[i] = _NEVER
+                continue
+            parts[i] = both = parts[i] + parts[i + 1]
+            del parts[i + 1], starts[i + 1], costs[i]
+            if i:
+                costs[i - 1] = get(parts[i - 1] + both, _NEVER)
+            if i < len(costs):
+                costs[i] = get(both + parts[i + 1], _NEVER)
+        coded = self.coded
+        try:
+            return b"".join([coded[p] for p in parts])
+        except KeyError:
+            return b"".join([coded[p] if p in coded else b"".join([self.raw[self.bytes[b]] for b in p.encode("utf-8", "surrogatepass")]) for p in parts])
+
+    def merge_long(self, stretch: str, variant: int) -> bytes:
+        """The same by a heap."""
         # a literal U+2581 must not become a space again: it stays a symbol that has no piece
         symbols: list[str | None] = [SPACE if c == " " else "\0" if c == SPACE else c for c in stretch]
         n = len(symbols)
         scores, dropped = self.scores, self.dropped
         before, after, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
-        base = xxhash.xxh64_intdigest(stretch.encode("utf-8", "surrogatepass"), self.seed * 1000 + variant) if dropped else 0
+        key = self.key_of(stretch, variant)
         agenda: list[tuple[float, int, int, str]] = []
 
         def offer(left: int) -> None:
@@ -87,10 +156,8 @@ class DropoutEncoder:
             right = after[left]
             if right >= n or end[right] != stop or len(symbols[left]) + len(symbols[right]) != len(both):
                 continue  # one of the two has merged with another since
-            if dropped:
-                mixed = (base ^ (left * 0x9E3779B97F4A7C15 + stop * 0xC2B2AE3D27D4EB4F)) & _MASK
-                if (((mixed ^ (mixed >> 32)) * 0xD6E8FEB86659FD93 & _MASK) >> 32) < dropped:
-                    continue
+            if dropped and (key * place_hash(left, stop) >> 24 & 0xFFFFFF) < dropped:
+                continue
             symbols[left], symbols[right] = both, None
             end[left] = stop
             after[left] = after[right]
@@ -108,26 +175,17 @@ class DropoutEncoder:
             else:
                 ids += [self.bytes[b] for b in (SPACE if s == "\0" and stretch[at] == SPACE else s).encode("utf-8", "surrogatepass")]
             at = after[at]
-        return ids
+        return b"".join([self.raw[i] for i in ids])
 
     def encode(self, text: str, key: int) -> bytes:
         """Little-endian 32-bit ids of the whole text."""
         if not text:
             return b""
-        caches, variants = self.caches, self.variants
-        turn = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), self.seed) % variants
-        out = []
-        for stretch in _STRETCH.findall(" " + text):
-            cache = caches[turn]
-            found = cache.get(stretch)
-            if found is None:
-                found = np.array(self.merge(stretch, turn), "<i4").tobytes()
-                if len(stretch) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[stretch] = found
-            out.append(found)
-            turn = turn + 1 if turn + 1 < variants else 0
+        turn = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), self.seed) % self.variants
+        stretches = _STRETCH.findall(" " + text)
+        out = [b""] * len(stretches)
+        for i in range(self.variants):
+            out[i :: self.variants] = map(self.caches[(turn + i) % self.variants].__getitem__, stretches[i :: self.variants])
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -136,6 +194,18 @@ class DropoutEncoder:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+_ENCODERS: dict[tuple, DropoutEncoder] = {}
+
+
+def encoder_of(path: str, dropout: float, seed: int, variants: int) -> DropoutEncoder:
+    """The worker process's encoder, kept with its cache from task to task; one at a time."""
+    key = (path, dropout, seed, variants)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = DropoutEncoder(*key)
+    return _ENCODERS[key]
+
+
 def encode(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int = 1, variants: int = VARIANTS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with `ids` (little-endian 32-bit) and n_tokens (long) added."""
     ship(docs.sparkSession)
@@ -144,7 +214,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int
     docs = docs.select(*[F.col(f"`{n}`") for n in names], F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("__t_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = DropoutEncoder(model_path, dropout, seed, variants)
+        encoder = encoder_of(model_path, dropout, seed, variants)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)

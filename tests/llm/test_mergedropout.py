@@ -40,13 +40,21 @@ def test_dropout_is_lossless_varied_and_repeatable(library):
     assert longer > 0 and differ > 150
 
 
+def test_list_and_heap_agree():
+    encoder = mergedropout.DropoutEncoder(PATH, 0.3, 5)
+    for t in [*documents().text.tolist()[:40], *ODD]:
+        for stretch in mergedropout._STRETCH.findall(" " + t):
+            if "▁" not in stretch and len(stretch) < 200:
+                assert encoder.merge_short(stretch, 2) == encoder.merge_long(stretch, 2)
+
+
 def test_rate_and_total_dropout():
     encoder = mergedropout.DropoutEncoder(PATH, 1.0)
     assert [encoder.out[i] for i in ids(encoder.encode("abc d", 1))] == [b" ", b"a", b"b", b"c", b" ", b"d"]
     words = [f"reader{i}" for i in range(4000)]
     half = mergedropout.DropoutEncoder(PATH, 0.5, variants=1)
-    first = sum(len(half.merge("ab", v)) == 2 for v in range(4000))
-    assert 1800 < first < 2200 and len({tuple(half.merge(" " + w, 0)[:3]) for w in words}) > 5
+    first = sum(len(half.merge("ab", v)) == 8 for v in range(4000))
+    assert 1800 < first < 2200 and len({half.merge(" " + w, 0)[:12] for w in words}) > 5
 
 
 def test_query(spark):
