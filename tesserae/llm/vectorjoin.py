@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import unit_hash
-from tesserae.llm.components import components
+from tesserae.llm.components import Forest, components
 from tesserae.session import materialise, ship
 
 CELL = 4096
@@ -144,31 +144,21 @@ class BlockJoin:
         self._connect(self.label[mine], other, ids)
 
     def _connect(self, label: np.ndarray, other: np.ndarray, ids: np.ndarray) -> None:
+        """Adds an edge from each other vector to one group of the members it links with, and an edge for each
+        two groups that it joins: fewer edges than members and others together."""
+        if not len(other):
+            return
         pairs = np.unique(np.stack([other, label], axis=1), axis=0)
-        merged = {}
-        last, first = -1, -1
-        for o, m in pairs.tolist():
-            if o != last:  # the other vector's first link: one edge; further groups of members hang together through it
-                last, first = o, m
-                self.edges.append((int(self.ids[m]), int(ids[o])))
-            else:
-                self.edges.append((int(self.ids[m]), int(ids[o])))
-                merged[m] = first
-        if merged:
-            up = np.arange(len(self.ids))
-
-            def root(i: int) -> int:
-                while up[i] != i:
-                    up[i] = up[up[i]]
-                    i = up[i]
-                return i
-
-            for a, b in merged.items():
-                a, b = root(a), root(b)
-                up[max(a, b)] = min(a, b)
-            for i in range(len(up)):
-                up[i] = up[up[i]]
-            self.label = up[self.label]
+        first = np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])
+        self.edges += zip(self.ids[pairs[first, 1]].tolist(), ids[pairs[first, 0]].tolist(), strict=True)
+        again = np.flatnonzero(~first)
+        if len(again):
+            forest = Forest(len(self.ids))
+            forest.link(pairs[again - 1, 1], pairs[again, 1])
+            root = forest.flatten()
+            joined = np.flatnonzero(root != np.arange(len(root)))
+            self.edges += zip(self.ids[joined].tolist(), self.ids[root[joined]].tolist(), strict=True)
+            self.label = root[self.label]
 
     def rows(self) -> Iterator[tuple[int, int | None, int]]:
         yield from ((i, None, n) for i, n in zip(self.ids.tolist(), self.counts.tolist(), strict=True))

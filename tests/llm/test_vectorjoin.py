@@ -37,6 +37,18 @@ def test_cells_and_blocks_lose_nothing(spark, cell, block):
     assert got == {i: (links.get(i, 0), component[i]) for i, _ in rows}
 
 
+def test_a_block_keeps_a_forest():
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(3, 8)), 300, axis=0) + rng.normal(size=(900, 8)) * 0.01
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.arange(900)
+    block = vectorjoin.BlockJoin(ids, np.ones(900, np.int64), x, 0.9)
+    for at in range(0, 900, 200):
+        block.meet(ids[at : at + 200], np.ones(len(ids[at : at + 200]), np.int64), x[at : at + 200])
+    assert len(block.edges) < 1900 and set(block.counts.tolist()) == {299}
+    assert set(closure(range(900), block.edges).values()) == {0, 300, 600}
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     rows = [(None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0]), (9, [1.0, 0.1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
