@@ -32,7 +32,7 @@ from tesserae.session import ship
 SPACE = "▁"
 VARIANTS = 4
 DROPOUT = 0.1
-CACHE = 100_000
+CACHE = 50_000
 SHORT = 24  # code points up to which a stretch's agenda is a plain list
 _NEVER = float("inf")
 _STRETCH = re.compile(r"\n| *[^ \n]+| +")
@@ -56,7 +56,8 @@ class StretchCache(dict):
             found = self.encoder.merge(stretch, self.variant)
         if len(stretch) <= 64:
             if len(self) >= CACHE:
-                self.older = dict(self)
+                self.older.clear()  # before the copy, so that no third generation is held meanwhile
+                self.older.update(self)
                 self.clear()
             self[stretch] = found
         return found
