@@ -1,0 +1,127 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles.
+
+Texts with equal sets of shingles are one class, null and blank ones that of the empty set. Minima under 96
+keyed permutations, four to a band, name 24 buckets for each class: two sets of similarity 0.8 share none with
+a chance of 3 in a million, more alike ones with less. Buckets of the same members count once. The members'
+shingles meet in a task for each bucket, where only what is alike enough is linked, as a spanning forest.
+
+Defined cases: rows without a document id have no component; repeated rows share everything; an empty table
+gives an empty result; other columns are ignored.
+"""
+
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tesserae.llm.components import components
+from tesserae.llm.simhash import _ASCII_LOWER
+from tesserae.session import forget, materialise, ship
+
+SHINGLE = 5
+LEAST = 0.8
+BANDS, ROWS = 24, 4
+_KEYS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(data: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes (XXH64, seed 42) of UTF-8 text, ascending; fewer words than a shingle are one."""
+    words = (data or b"").translate(_ASCII_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size + 1) - 1
+    k = min(shingle, len(words))
+    hashed = xxhash.xxh64_intdigest
+    return np.unique(np.array([hashed(joined[a:b], 42) for a, b in zip((ends - size)[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """The buckets of a set of shingles."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        least = np.full(len(_KEYS), np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(found), 1024):
+            least = np.minimum(least, (_KEYS[:, None] * found[at : at + 1024]).min(1))
+        out = np.arange(BANDS, dtype=np.uint64)
+        for column in least.reshape(BANDS, ROWS).T:
+            out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two ascending sets have a Jaccard similarity of `least` or more."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < least * len(b) - 1e-9:
+        return False
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return common >= least * (len(a) + len(b) - common) - 1e-9
+
+
+def _set_hash(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), 7) - (1 << 63)
+
+
+def signed(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, code, buckets) of docs: doc_id, text; code tells sets of shingles apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), shingle) for t in batch["text"].cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(map(_set_hash, sets), pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "code", "buckets"])
+
+    return docs.mapInArrow(run, "doc_id long, code long, buckets array<long>")
+
+
+def links(docs: DataFrame, members: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(a, b): a spanning forest of each bucket's members that are alike. members: bucket, code, id."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [shingles(t.as_py(), shingle) for t in batch["text"].slice(at, 256).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(map(_set_hash, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["code", "data"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b[n].to_pylist() for n in ("bucket", "id", "data")), strict=True))
+        for _, held in groupby(rows, lambda r: r[0]):
+            groups: list[list[tuple[int, np.ndarray]]] = []
+            pairs = []
+            for _, id_, data in held:
+                own = np.frombuffer(data, np.uint64)
+                near = [g for g in groups if any(alike(own, s, least) for _, s in g)]
+                pairs += [(id_, g[0][0]) for g in near]
+                groups = [g for g in groups if not any(g is n for n in near)]
+                groups.append([m for g in near for m in g] + [(id_, own)])
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    asked = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = docs.join(asked.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(read, "code long, data binary")
+    met = members.join(sets.hint("merge"), "code").select("bucket", "id", "data")
+    return met.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(join, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """(doc_id, component_id) for every row; component_id: the smallest doc_id that links reach."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    prints = materialise(signed(rows, shingle), "prints")
+    classes = materialise(prints.where("doc_id IS NOT NULL").groupBy("code").agg(F.min("doc_id").alias("id"), F.first("buckets").alias("buckets")), "classes")
+    dealt = classes.select("code", "id", F.explode("buckets").alias("bucket"))
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("code")).alias("x"), F.min("code").alias("c")).where("n > 1")
+    chosen = materialise(shared.groupBy("n", "x", "c").agg(F.min("bucket").alias("bucket")).select("bucket"), "chosen")
+    members = materialise(dealt.join(chosen.hint("merge"), "bucket").select("bucket", "code", "id"), "members")
+    reached = components(links(rows, members, shingle, least))
+    named = materialise(classes.join(reached, classes["id"] == reached["node"], "left").select("code", F.coalesce("component", "id").alias("component_id")), "named")
+    for done in (chosen, members, classes):
+        forget(done)
+    return prints.join(named, "code", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
