@@ -3,9 +3,9 @@
 A k-mer of code points is an anchor if the least of its inner s-mers, by hash, is its first or last one.
 That depends on the k-mer alone, so equal stretches have equal anchors wherever they stand.
 
-`anchors` gives all (position, hash) pairs of a text. A fingerprint keeps the `sketch` smallest hashes of
-(anchor, occurrence) with their places, a uniform sample of the whole text's anchors.
-`likeness` estimates the share of common anchors among all of two texts; common ones count only as far
+`anchors` gives all (position, hash) pairs of a text. A fingerprint has the hashes of all (anchor, occurrence)
+with their places, so it grows with the text.
+`likeness` is the share of common anchors among all of two texts; common ones count only as far
 as they follow in the same order in both, so stray matches of unrelated texts drop out.
 
 `with_successors` pairs each document with the next in descending order of id without a global sort in
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import code_points
 from tesserae.session import ship
 
-K, S, SKETCH = 8, 3, 64
+K, S = 8, 3
 CHUNK = 1 << 18
 NULL_ID = -(1 << 63)
 _ENTRY = np.dtype([("hash", "<u4"), ("at", "<u4")])
@@ -71,8 +71,8 @@ def anchors(text: str | None, k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
     return np.concatenate(places), np.concatenate(hashes)
 
 
-def fingerprint(text: str | None, k: int = K, s: int = S, sketch: int = SKETCH) -> np.ndarray:
-    """The smallest hashes of the anchors, ascending, with their positions.
+def fingerprint(text: str | None, k: int = K, s: int = S) -> np.ndarray:
+    """The hashes of all anchors, ascending, with their positions.
 
     The n-th occurrence of an anchor is an element of its own, so repeated passages weigh by their length.
     """
@@ -83,33 +83,40 @@ def fingerprint(text: str | None, k: int = K, s: int = S, sketch: int = SKETCH)
     nth = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
     with np.errstate(over="ignore"):
         distinct, first = np.unique(_mix(hashes + nth.astype(np.uint32) * np.uint32(0x9E3779B1)), return_index=True)
-    out = np.zeros(min(sketch, len(distinct)), _ENTRY)
-    out["hash"], out["at"] = distinct[:sketch], places[first[:sketch]]
+    out = np.zeros(len(distinct), _ENTRY)
+    out["hash"], out["at"] = distinct, places[first]
     return out
 
 
 def written(print_: np.ndarray) -> str:
-    return base64.b64encode(print_.tobytes()).decode()
+    """Base64 of the number of entries and their bytes, compressed, each byte of an entry in a plane of its own."""
+    planes = np.ascontiguousarray(print_.view(np.uint8).reshape(-1, _ENTRY.itemsize).T).tobytes()
+    return base64.b64encode(len(print_).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)).decode() if len(print_) else ""
 
 
 def read(string: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(string), _ENTRY)
+    """The fingerprint behind `written`."""
+    if not string:
+        return np.zeros(0, _ENTRY)
+    data = base64.b64decode(string)
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], decompressed_size=n * _ENTRY.itemsize, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(_ENTRY.itemsize, n).T).view(_ENTRY).ravel()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, sketch: int = SKETCH) -> float:
-    """0 to 1: common anchors in a common order, of the smallest hashes of both fingerprints."""
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """0 to 1: common anchors in a common order, of all anchors of both fingerprints."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a["hash"], b["hash"])[:sketch]
     _, x, y = np.intersect1d(a["hash"], b["hash"], assume_unique=True, return_indices=True)
-    within = a["hash"][x] <= union[-1]
-    x, y = x[within], y[within]
     order = np.lexsort((b["at"][y], a["at"][x]))
     tails: list[int] = []
     for v in b["at"][y][order].tolist():
-        i = bisect_left(tails, v)
-        tails[i : i + 1] = [v]
-    return len(tails) / len(union)
+        if not tails or v > tails[-1]:
+            tails.append(v)
+        else:
+            tails[bisect_left(tails, v)] = v
+    return len(tails) / (len(a) + len(b) - len(x))
 
 
 def edited(text: str, following: str) -> str:
@@ -157,7 +164,7 @@ def with_successors(docs: DataFrame, text: str = "text", key: str = "doc_id", bu
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "ghost", F.col("id").desc(), "text_hash")
 
 
-def compare_edits(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K, s: int = S, sketch: int = SKETCH, buckets: int | None = None) -> DataFrame:
+def compare_edits(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K, s: int = S, buckets: int | None = None) -> DataFrame:
     """The fingerprints of each text and of its edited text, and the likeness to that and to the next text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,17 +176,17 @@ def compare_edits(docs: DataFrame, text: str = "text", key: str = "doc_id", k: i
                 if ghost and (held is None or held[0] != b or held[1]):
                     continue  # a bucket needs one ghost
                 t = pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True).decode() if size else ""
-                mine = fingerprint(t, k, s, sketch)
+                mine = fingerprint(t, k, s)
                 if held is not None and held[0] == b and not held[1]:
                     _, _, before, old, print_ = held
                     new = edited(old, t)
-                    changed = fingerprint(new, k, s, sketch)
-                    yield (None if before == NULL_ID else before, len(old), hashlib.sha256(new.encode()).hexdigest(), written(print_), written(changed), likeness(print_, changed, sketch), likeness(print_, mine, sketch))
+                    changed = fingerprint(new, k, s)
+                    yield (None if before == NULL_ID else before, len(old), hashlib.sha256(new.encode()).hexdigest(), written(print_), written(changed), likeness(print_, changed), likeness(print_, mine))
                 held = (b, ghost, id_, t, mine)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                found = list(rows(batch.slice(at, 512)))
+            for at in range(0, batch.num_rows, 128):
+                found = list(rows(batch.slice(at, 128)))
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 7, types, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 

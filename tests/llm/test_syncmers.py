@@ -79,3 +79,12 @@ def test_query(spark):
     long = [r for r in got if r.n_chars > 300]
     print(np.quantile([r.near_edited for r in long], [0, 0.1, 0.5, 0.9]), np.quantile([r.near_next for r in long], [0.5, 0.9, 0.99, 1]))
     assert np.mean([r.near_edited > 0.3 for r in long]) > 0.97 and np.mean([r.near_next < 0.1 for r in long]) > 0.9
+
+
+def test_long_texts_are_compared_whole():
+    rng = np.random.default_rng(4)
+    one, two = ("".join(map(chr, rng.integers(97, 123, 100_000))) for _ in range(2))
+    shared = one[:50_000] + two[50_000:50_400] + one[50_400:]
+    a, b, c = (syncmers.fingerprint(t) for t in (one, two, shared))
+    assert len(a) > 20_000 and (syncmers.read(syncmers.written(a)) == a).all()
+    assert 0.98 < syncmers.likeness(a, c) < 1 and 0.001 < syncmers.likeness(b, c) < 0.02
