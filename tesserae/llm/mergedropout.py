@@ -2,14 +2,14 @@
 
 A text is symbols of single characters. An agenda holds every pair of neighbours whose concatenation is a
 piece, the best score first and the leftmost of equals. Each candidate taken from it is skipped with
-probability `dropout`, decided by a keyed hash of the seed, the stretch of text and the candidate's place;
-otherwise the pair merges and its new neighbours become candidates. With dropout 0 the result is the
+probability `dropout`, decided by a hash of the seed, the document's key, the stretch's place in the document
+and the candidate's turn; otherwise the pair merges and its new neighbours become candidates. With dropout 0 the result is the
 library's own. Characters without a piece become byte pieces, and so does U+2581, which the
 vocabulary uses for spaces, so every text decodes to itself.
 
 No piece spans from other characters into a space or over a line break, so stretches between those are
-encoded on their own and kept in a bounded cache. `variants` keyed hashes take turns over a document,
-from a place that its key decides: occurrences vary, and a rerun of a lost task gives the same ids.
+encoded on their own. Bounded caches keep what does not depend on the draws: the ids of a stretch for the turns
+that are skipped. Every occurrence has draws of its own, and a rerun of a lost task gives the same ids.
 
 Defined cases: a null text gives null ids and decodes to null; an empty one has no ids; rows without a key
 are keyed by their text; repeated rows are segmented alike; texts of any length are encoded whole; an
@@ -30,48 +30,60 @@ from pyspark.sql import types as T
 from tesserae.session import ship
 
 SPACE = "▁"
-VARIANTS = 4
 DROPOUT = 0.1
-CACHE = 50_000
+CACHE = 25_000
+CACHED = 64  # code points up to which a stretch is cached
 SHORT = 24  # code points up to which a stretch's agenda is a plain list
 _NEVER = float("inf")
 _STRETCH = re.compile(r"\n| *[^ \n]+| +")
 
 
-def place_hash(left: int, stop: int) -> int:
-    """32 bits for a candidate's place in its stretch."""
-    return xxhash.xxh32_intdigest(left.to_bytes(4, "little") + stop.to_bytes(4, "little"), 9)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
 class StretchCache(dict):
-    """Encoded stretches of one variant, in two generations of at most CACHE each. A missing one is encoded."""
+    """The ids and the number of turns by (stretch, turns skipped), in two generations of at most CACHE each.
+
+    A stretch alone is one without skipped turns. A missing one is encoded; with dropout, one that is too
+    long to be cached has turns without end and no ids.
+    """
 
-    def __init__(self, encoder: "DropoutEncoder", variant: int):
+    def __init__(self, encoder: "DropoutEncoder"):
         super().__init__()
-        self.encoder, self.variant, self.older = encoder, variant, {}
+        self.encoder, self.older = encoder, {}
 
-    def __missing__(self, stretch: str) -> bytes:
-        found = self.older.get(stretch)
+    def __missing__(self, key: "str | tuple[str, tuple[int, ...]]") -> tuple[bytes, int]:
+        stretch, skips = key if isinstance(key, tuple) else (key, ())
+        if len(stretch) > CACHED:
+            return (b"", 1 << 60) if self.encoder.dropout else self.encoder.traced(stretch, 0, skips)
+        found = self.older.get(key)
         if found is None:
-            found = self.encoder.merge(stretch, self.variant)
-        if len(stretch) <= 64:
-            if len(self) >= CACHE:
-                self.older.clear()  # before the copy, so that no third generation is held meanwhile
-                self.older.update(self)
-                self.clear()
-            self[stretch] = found
+            found = self.encoder.traced(stretch, 0, skips)
+        if len(self) >= CACHE:
+            self.older.clear()  # before the copy, so that no third generation is held meanwhile
+            self.older.update(self)
+            self.clear()
+        self[key] = found
         return found
 
 
 class DropoutEncoder:
     """The pieces of one model file under one seed."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = 1, variants: int = VARIANTS):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = 1, variants: int | None = None):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.dropped = int(dropout * (1 << 24))
-        self.seed, self.variants = seed, variants if dropout else 1
+        self.dropout, self.seed, self.variants = dropout, seed, variants
+        with np.errstate(divide="ignore"):
+            self.rate = np.log1p(-np.float64(dropout))
         self.scores: dict[str, tuple[float, int]] = {}
         self.bytes = [0] * 256
         self.out: list[bytes] = []
@@ -87,58 +99,74 @@ class DropoutEncoder:
                 self.out.append(piece.replace(SPACE, " ").encode())
         self.raw = [i.to_bytes(4, "little") for i in range(len(self.out))]
         self.coded = {piece: self.raw[i] for piece, (_, i) in self.scores.items()}
-        self.places = [[place_hash(left, stop) for stop in range(SHORT + 1)] for left in range(SHORT + 1)]
         self.costs = {piece: cost for piece, (cost, _) in self.scores.items()}
-        self.caches = [StretchCache(self, v) for v in range(self.variants)]
-
-    def merge(self, stretch: str, variant: int) -> bytes:
-        """Little-endian 32-bit ids of a stretch, its spaces plain, by agenda processing."""
+        self.whole, self.skipping = StretchCache(self), StretchCache(self)
+
+    def gaps(self, numbers: np.ndarray, nth: int | np.ndarray) -> np.ndarray:
+        """How many turns pass before the nth skip after the one before it, of the occurrences of these numbers."""
+        with np.errstate(over="ignore"):
+            draws = _mix(numbers + (np.asarray(nth, np.uint64) + np.uint64(1)) * _STEP)
+        return np.minimum(np.log1p((draws >> np.uint64(11)) * -(2.0**-53)) / self.rate, 1 << 40).astype(np.int64)
+
+    def skips(self, stretch: str, number: int) -> list[int]:
+        """The turns that one occurrence skips, by its number and the stretch. A merge opens two candidates at most, so there are under three a character."""
+        if not self.dropout:
+            return []
+        own = number ^ xxhash.xxh64_intdigest(stretch.encode("utf-8", "surrogatepass"), self.seed)
+        gaps = self.gaps(np.array([own], np.uint64), np.arange(3 * len(stretch)))
+        return (np.cumsum(gaps + 1) - 1).tolist()
+
+    def merge(self, stretch: str, number: int) -> bytes:
+        """Little-endian 32-bit ids of a stretch, its spaces plain, by agenda processing with the draws of a number."""
+        return self.traced(stretch, number)[0]
+
+    def traced(self, stretch: str, number: int, skips: "tuple[int, ...] | None" = None) -> tuple[bytes, int]:
+        """The ids and the number of turns, with the number's skips or the given ones."""
         if len(stretch) <= SHORT and SPACE not in stretch:
-            return self.merge_short(stretch, variant)
-        return self.merge_long(stretch, variant)
-
-    def key_of(self, stretch: str, variant: int) -> int:
-        """The keyed hash of a stretch, 32 bits, odd. A candidate's draw multiplies it with the hash of its place."""
-        return (xxhash.xxh32_intdigest(stretch.encode("utf-8", "surrogatepass"), self.seed * 1000 + variant) | 1) if self.dropped else 1
+            return self.merge_short(stretch, number, skips)
+        return self.merge_long(stretch, number, skips)
 
-    def merge_short(self, stretch: str, variant: int) -> bytes:
+    def merge_short(self, stretch: str, number: int, skips: "tuple[int, ...] | None" = None) -> tuple[bytes, int]:
         """The same by a list of the open candidates' costs, which for short stretches is quicker than a heap.
 
         The least cost is the next candidate, the leftmost of equals; a skipped one stays out until one of its
         two parts changes.
         """
-        parts, get, dropped, places = list(stretch.replace(" ", SPACE)), self.costs.get, self.dropped, self.places
-        starts = list(range(len(parts) + 1))
-        key = self.key_of(stretch, variant)
+        parts, get, turn = list(stretch.replace(" ", SPACE)), self.costs.get, -1
+        due = iter(self.skips(stretch, number) if skips is None else skips)
+        skip = next(due, None)
         costs = [get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]  # noqa: B905
         while costs:
             least = min(costs)
             if least == _NEVER:
                 break
             i = costs.index(least)
-            if dropped and (key * places[starts[i]][starts[i + 2]] >> 24 & 0xFFFFFF) < dropped:
+            turn += 1
+            if turn == skip:
+                skip = next(due, None)
                 costs[i] = _NEVER
                 continue
             parts[i] = both = parts[i] + parts[i + 1]
-            del parts[i + 1], starts[i + 1], costs[i]
+            del parts[i + 1], costs[i]
             if i:
                 costs[i - 1] = get(parts[i - 1] + both, _NEVER)
             if i < len(costs):
                 costs[i] = get(both + parts[i + 1], _NEVER)
         coded = self.coded
         try:
-            return b"".join([coded[p] for p in parts])
+            return b"".join([coded[p] for p in parts]), turn + 1
         except KeyError:
-            return b"".join([coded[p] if p in coded else b"".join([self.raw[self.bytes[b]] for b in p.encode("utf-8", "surrogatepass")]) for p in parts])
+            return b"".join([coded[p] if p in coded else b"".join([self.raw[self.bytes[b]] for b in p.encode("utf-8", "surrogatepass")]) for p in parts]), turn + 1
 
-    def merge_long(self, stretch: str, variant: int) -> bytes:
+    def merge_long(self, stretch: str, number: int, skips: "tuple[int, ...] | None" = None) -> tuple[bytes, int]:
         """The same by a heap."""
         # a literal U+2581 must not become a space again: it stays a symbol that has no piece
         symbols: list[str | None] = [SPACE if c == " " else "\0" if c == SPACE else c for c in stretch]
         n = len(symbols)
-        scores, dropped = self.scores, self.dropped
+        scores, turn = self.scores, -1
         before, after, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
-        key = self.key_of(stretch, variant)
+        due = iter(self.skips(stretch, number) if skips is None else skips)
+        skip = next(due, None)
         agenda: list[tuple[float, int, int, str]] = []
 
         def offer(left: int) -> None:
@@ -157,7 +185,9 @@ class DropoutEncoder:
             right = after[left]
             if right >= n or end[right] != stop or len(symbols[left]) + len(symbols[right]) != len(both):
                 continue  # one of the two has merged with another since
-            if dropped and (key * place_hash(left, stop) >> 24 & 0xFFFFFF) < dropped:
+            turn += 1
+            if turn == skip:
+                skip = next(due, None)
                 continue
             symbols[left], symbols[right] = both, None
             end[left] = stop
@@ -176,17 +206,40 @@ class DropoutEncoder:
             else:
                 ids += [self.bytes[b] for b in (SPACE if s == "\0" and stretch[at] == SPACE else s).encode("utf-8", "surrogatepass")]
             at = after[at]
-        return b"".join([self.raw[i] for i in ids])
+        return b"".join([self.raw[i] for i in ids]), turn + 1
 
     def encode(self, text: str, key: int) -> bytes:
         """Little-endian 32-bit ids of the whole text."""
         if not text:
             return b""
-        turn = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), self.seed) % self.variants
         stretches = _STRETCH.findall(" " + text)
-        out = [b""] * len(stretches)
-        for i in range(self.variants):
-            out[i :: self.variants] = map(self.caches[(turn + i) % self.variants].__getitem__, stretches[i :: self.variants])
+        found = list(map(self.whole.__getitem__, stretches))
+        out = [f[0] for f in found]
+        if not self.dropout:
+            return b"".join(out)
+        base = np.uint64(xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), self.seed))
+        with np.errstate(over="ignore"):
+            numbers = _mix(base + np.arange(len(out), dtype=np.uint64) * _STEP)
+        if self.variants:
+            numbers = _mix(np.uint64(self.seed) + numbers % np.uint64(self.variants))
+        # round by round, those with one more skip within their turns
+        skip, turns, nth = self.gaps(numbers, 0), np.array([f[1] for f in found], np.int64), 0
+        open_ = np.flatnonzero(skip < turns)
+        for i in open_[turns[open_] == 1 << 60].tolist():
+            out[i] = self.merge(stretches[i], int(numbers[i]))
+        open_ = open_[turns[open_] < 1 << 60]
+        skip, skipped = skip[open_], [()] * len(open_)
+        while len(open_):
+            skipped = [(*s, t) for s, t in zip(skipped, skip.tolist(), strict=True)]
+            turns = []
+            for i, s in zip(open_.tolist(), skipped, strict=True):
+                out[i], n = self.skipping[stretches[i], s]
+                turns.append(n)
+            nth += 1
+            skip = skip + 1 + self.gaps(numbers[open_], nth)
+            more = skip < np.array(turns, np.int64)
+            skipped = [s for s, m in zip(skipped, more.tolist(), strict=True) if m]
+            open_, skip = open_[more], skip[more]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -198,7 +251,7 @@ class DropoutEncoder:
 _ENCODERS: dict[tuple, DropoutEncoder] = {}
 
 
-def encoder_of(path: str, dropout: float, seed: int, variants: int) -> DropoutEncoder:
+def encoder_of(path: str, dropout: float, seed: int, variants: int | None) -> DropoutEncoder:
     """The worker process's encoder, kept with its cache from task to task; one at a time."""
     key = (path, dropout, seed, variants)
     if key not in _ENCODERS:
@@ -207,8 +260,8 @@ def encoder_of(path: str, dropout: float, seed: int, variants: int) -> DropoutEn
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int = 1, variants: int = VARIANTS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with `ids` (little-endian 32-bit) and n_tokens (long) added."""
+def encode(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int = 1, variants: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with `ids` (little-endian 32-bit) and n_tokens (long) added; variants, where given, bounds the draws' numbers."""
     ship(docs.sparkSession)
     fields = [f for f in docs.schema.fields if f.name not in ("ids", "n_tokens")]
     names = [f.name for f in fields]
@@ -217,8 +270,8 @@ def encode(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model_path, dropout, seed, variants)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 ids = [None if t.as_py() is None else encoder.encode(t.as_py(), k) for t, k in zip(part[text], part["__t_key"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(ids, pa.binary()), pa.array([None if i is None else len(i) // 4 for i in ids], pa.int64())], names=[*names, "ids", "n_tokens"])
 

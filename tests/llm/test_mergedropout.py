@@ -73,3 +73,17 @@ def test_defined_cases(spark):
     assert len(out) == len(rows) and all(r.decoded == r.text for r in out)
     assert len({bytes(r.ids) for r in out if r.doc_id == 3}) == 1
     assert mergedropout.encode(df.limit(0), PATH).count() == 0
+
+
+def test_every_occurrence_has_draws_of_its_own():
+    encoder = mergedropout.DropoutEncoder(PATH, 0.1)
+    plain = mergedropout.DropoutEncoder(PATH, 0)
+    ways = {encoder.encode("international", k) for k in range(3000)}
+    assert len(ways) > 20 and plain.encode("international", 0) in ways
+    assert len({encoder.encode("a text of some words for the copies", k) for k in range(300)}) > 50
+    turns = plain.traced(" international", 0)[1]
+    undropped = sum(encoder.encode("international", k) == plain.encode("international", 0) for k in range(3000)) / 3000
+    assert undropped > 0.9**turns - 0.03
+    for n in range(200):
+        skips = tuple(encoder.skips(" international", n))
+        assert encoder.traced(" international", n) == encoder.traced(" international", 0, skips)
