@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Bytes of a batch that goes to Python and back, where the session has no setting of its own: rows of long texts are cut by size, not by number.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_DEFAULT = 64 << 20
+
 
 def session(master: str = "local[8]", partitions: int = 8) -> SparkSession:
     """A local session as the tests and the benchmark use it."""
@@ -27,7 +32,9 @@ def session(master: str = "local[8]", partitions: int = 8) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Hands this package to the executors, once for each application."""
+    """Hands this package to the executors, once for each application, and bounds the batches that go to Python."""
+    if spark.conf.get(_BATCH_SETTING).rstrip("b") == str(_BATCH_DEFAULT):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
