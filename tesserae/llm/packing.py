@@ -15,9 +15,11 @@ rows and null document ids are packed as they stand; a text of any length is cut
 table gives an empty result; other columns are ignored.
 """
 
+import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.bpe import PairTable, merge_by_turns
 from tesserae.session import materialise, ship
 
 WINDOW = 2048
@@ -32,7 +35,8 @@ OPEN = 64
 SLACK = 8
 MERGE = 64
 END = 1
-CACHE = 200_000
+CHUNK = 1 << 20  # characters whose words are encoded at once
+LONG = 48  # bytes beyond which a word goes to the library
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, partition long"
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
 _TYPES = [pa.binary() if " binary" in x else pa.int64() for x in PIECES.split(", ")]
@@ -49,38 +53,106 @@ def byte_letters() -> dict[int, int]:
 
 
 class WordTokenizer:
-    """The tokenizer of a vocabulary file whose words are encoded one by one, with a bounded cache of words."""
+    """The tokenizer of a vocabulary file for many texts at once: their words go through one agenda in arrays.
+
+    Words of over LONG bytes go to the library's model one by one; texts with letters beyond U+0300, or with a special
+    token's literal text, go through the library whole. Nothing is kept from text to text.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        model, letters = self.tokenizer.model, byte_letters()
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.pairs = PairTable({(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))})
+        self.letters = byte_letters()
+        self.none = max(vocab.values()) + 1
+        self.inner, self.last = (np.array([vocab[chr(c) + tail] for _, c in sorted(self.letters.items())], np.int32) for tail in ("", end))
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and where each word's ids end; equal words go through the agenda once."""
+        number: dict[str, int] = {}
+        code = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+        ids, ends = self._distinct(list(number))
+        sizes = np.diff(ends, prepend=0)
+        size = sizes[code]
+        stops = np.cumsum(size)
+        return ids[np.arange(stops[-1] if len(stops) else 0) + np.repeat((ends - sizes)[code] - (stops - size), size)], stops
+
+    def _distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        data = f" {' '.join(words)} ".encode()
+        raw = np.frombuffer(data, np.uint8)
+        spaces = np.flatnonzero(raw == 32)
+        symbol = self.inner[raw]
+        symbol[spaces[1:] - 1] = self.last[raw[spaces[1:] - 1]]
+        symbol[spaces] = self.none
+        first, sizes = spaces[:-1] + 1, np.diff(spaces) - 1
+        short = sizes <= LONG
+        alive = merge_by_turns(self.pairs, symbol, first[short], sizes[short])
+        for at, n in zip(first[~short].tolist(), sizes[~short].tolist(), strict=True):
+            ids = [t.id for t in self.tokenizer.model.tokenize(data[at : at + n].decode("latin-1").translate(self.letters))]
+            alive[at : at + n] = np.arange(n) < len(ids)
+            symbol[at : at + len(ids)] = ids
+        alive[spaces] = False
+        return symbol[alive].astype("<u4"), np.cumsum(np.add.reduceat(alive, spaces[:-1], dtype=np.int64)) if len(words) else np.zeros(0, np.int64)
+
+    def _parts(self, texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+        """(text, words) for parts of texts, and at once (text, None) where the library has to encode it whole."""
+        for i, text in enumerate(texts):
+            lowered = text.lower() if text and _PLAIN.fullmatch(text) else None
+            if lowered is None or any(s in lowered for s in self.special):
+                yield i, None
+            elif len(lowered) <= CHUNK:
+                yield i, _SPLIT.findall(lowered)
+            else:
+                words = (m.group() for m in _SPLIT.finditer(lowered))
+                while part := list(islice(words, CHUNK // 8)):
+                    yield i, part
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[tuple[int, int]] = []  # (text, words so far)
+        words: list[str] = []
+
+        def flush() -> None:
+            ids, ends = self._words(words)
+            stops = np.append(0, ends)[[n for _, n in held]].tolist()
+            for (i, _), start, stop in zip(held, [0, *stops[:-1]], stops, strict=True):
+                out[i].append(ids[start:stop])
+            held.clear()
+            words.clear()
+
+        bulk = 0
+        for i, part in self._parts(texts):
+            if part is None:
+                out[i].append(np.array(self.tokenizer.encode(texts[i] or "", add_special_tokens=False).ids, "<u4"))
+                continue
+            words += part
+            held.append((i, len(words)))
+            bulk += sum(map(len, part))
+            if bulk >= CHUNK:
+                flush()
+                bulk = 0
+        if held:
+            flush()
+        return [parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, "<u4"), *parts]) for parts in out]
 
-        class Cache(dict):
-            old: dict = {}
 
-            def __missing__(self, word):
-                if len(self) >= CACHE:
-                    self.old = dict(self)
-                    self.clear()
-                found = self.old.get(word)
-                if found is None:
-                    shown = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
-                    found = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(shown)])
-                self[word] = found
-                return found
+_TOKENIZERS: dict[str, WordTokenizer] = {}
 
-        self.cache = Cache()
 
-    def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u4")
-        if _PLAIN.fullmatch(text):
-            return np.frombuffer(b"".join(map(self.cache.__getitem__, _SPLIT.findall(text.lower()))), "<u4")
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The worker process's tokenizer, kept with its cache from task to task; one at a time."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS.clear()
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 class Packer:
@@ -154,11 +226,12 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         me = TaskContext.get().partitionId()
-        tokenizer, packer, made, held, bulk = WordTokenizer(tokenizer_path), Packer(window, open_windows, slack), 0, [], 0
+        tokenizer, packer, made, held, bulk = tokenizer_of(tokenizer_path), Packer(window, open_windows, slack), 0, [], 0
         for batch in batches:
-            for doc, t in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.append(tokenizer.ids(t.as_py()), np.array([END], "<u4"))
-                for pieces in packer.add(doc.as_py(), 0, ids, len(ids)):
+            parts = (batch.slice(at, 256) for at in range(0, batch.num_rows, 256))
+            for doc, ids in ((d, i) for p in parts for d, i in zip(p["doc_id"].to_pylist(), tokenizer.ids(p["text"].to_pylist()), strict=True)):
+                ids = np.append(ids, np.array([END], "<u4"))
+                for pieces in packer.add(doc, 0, ids, len(ids)):
                     held += _rows(pieces, (me << 32) + made, None)
                     made, bulk = made + 1, bulk + window
                     if bulk >= 1 << 20:

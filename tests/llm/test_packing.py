@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tesserae.llm import packing, queries
-from tests.llm.util import SF, documents
+from tests.llm.util import DOC, SF, documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -33,13 +33,85 @@ def reassembled(rows, window):
     return by_doc, by_sequence
 
 
+ODD = ["", None, "It's 12½ O'REILLY'S naïve_café -- ²x", "İstanbul ΣΑΣ", "é combined", "a\x1cb\x85c\xa0d", "\U0001f600 ok", "ǅ ǆ ŉ ß ſ", "x" * 500 + " é" * 90 + "ß" * 60, " ", "\n"]
+SPECIAL = ["a <|endoftext|> b", "a<|endoftext|>", "<|ENDOFTEXT|> x", "é<|startoftext|>\u0301", "<|endoftext"]
+
+
+def as_library(tokenizer, texts):
+    return [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_words_encode_like_the_library(tokenizer):
     fast = packing.WordTokenizer(PATH)
-    texts = ["", None, "It's 12½ O'REILLY'S naïve_café -- ²x", "İstanbul ΣΑΣ", "é combined", "a\x1cb\x85c\xa0d", "<|endoftext|> <|startoftext|>", "\U0001f600 ok", "ǅ ǆ ŉ ß ſ"] + documents().text.tolist()
-    library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
-    for t in texts:
-        assert fast.ids(t).tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+    texts = [*ODD, *SPECIAL, *documents().text.tolist()]
+    assert [i.tolist() for i in fast.ids(texts)] == as_library(tokenizer, texts)
+    assert fast.ids(["a <|endoftext|> b"])[0].tolist() == [320, 49407, 321]
+    assert fast.ids([]) == [] and [len(i) for i in fast.ids([None, "", " "])] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 3000])
+def test_parts_of_any_size_give_the_same_ids(monkeypatch, tokenizer, chunk):
+    monkeypatch.setattr(packing, "CHUNK", max(chunk, 8))
+    texts = [*ODD, *documents().text.tolist()[:30]]
+    assert [i.tolist() for i in packing.tokenizer_of(PATH).ids(texts)] == as_library(tokenizer, texts)
+
+
+def plainly_packed(sizes, window, most, slack):
+    """The sequences as lists of (doc, start, length), by the rule in plain words; the last may be short."""
+    opened, out = [], []
+    for doc, size in enumerate(sizes):
+        start = 0
+        while size - start >= window:
+            out.append([(doc, start, window)])
+            start += window
+        while start < size:
+            rest = size - start
+            filled = [sum(p[2] for p in w) for w in opened]
+            fitting = [i for i, f in enumerate(filled) if f + rest <= window]
+            if fitting:
+                i = max(fitting, key=lambda k: (filled[k], -k))
+                take = rest
+            elif len(opened) < most:
+                opened.append([])
+                i, take = len(opened) - 1, rest
+            else:
+                i = max(range(len(opened)), key=lambda k: (filled[k], -k))
+                take = window - filled[i]
+                if take <= slack:
+                    out.append(opened.pop(i))
+                    continue
+            opened[i].append((doc, start, take))
+            start += take
+            if sum(p[2] for p in opened[i]) == window:
+                out.append(opened.pop(i))
+    rest = sorted(opened, key=lambda w: -sum(p[2] for p in w))
+    tokens = [(d, s + k) for w in rest for d, s, n in w for k in range(n)]
+    for at in range(0, len(tokens), window):
+        piece = []
+        for d, s in tokens[at : at + window]:
+            if piece and piece[-1][0] == d and piece[-1][1] + piece[-1][2] == s:
+                piece[-1] = (d, piece[-1][1], piece[-1][2] + 1)
+            else:
+                piece.append((d, s, 1))
+        out.append(piece)
+    return out
+
+
+def test_packer_against_a_plain_one():
+    rng = np.random.default_rng(3)
+    for most, slack in ((1, 0), (4, 3), (16, 8)):
+        sizes = [*rng.integers(1, 90, 300).tolist(), 64, 64, 32, 32, 700]
+        packer, got = packing.Packer(64, most, slack), []
+        for doc, size in enumerate(sizes):
+            got += packer.add(doc, 0, np.arange(size, dtype="<u4"), size)
+        got += packer.merge()
+        shown = [[(d, s, len(i)) for d, s, i, _ in pieces] for pieces in got]
+        assert all(i[0] == s for pieces in got for _, s, i, _ in pieces)
+        assert shown == plainly_packed(sizes, 64, most, slack)
+
+
+def test_one_tokenizer_for_each_worker():
+    assert packing.tokenizer_of(PATH) is packing.tokenizer_of(PATH)
 
 
 def test_query_packs_everything(spark, tokenizer):
@@ -74,3 +146,11 @@ def test_windows_and_leftovers(spark, tokenizer):
     short = [s for s in (sum(x[1] for x in v) for v in by_sequence.values()) if s < 62]
     assert len(short) <= 3 and tokens / (64 * len(by_sequence)) > 0.97
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_a_very_long_text_and_repeated_rows_through_the_query(spark, tmp_path):
+    rows = [(1, "word " * 300_000, "en", "a", 0), (2, None, None, None, None), (3, "again", "en", "a", 5), (3, "again", "en", "a", 5), (None, "no id", None, "b", 5)]
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_packing(spark, str(tmp_path)).toPandas()
+    assert got.length.sum() == 300_001 + 1 + 2 * 2 + 3 and got.groupby("sequence_id").length.sum().max() == 2048
+    assert sorted(got[got.doc_id == 1].sort_values("start").length.cumsum())[-1] == 300_001
