@@ -1,13 +1,16 @@
 """Line deduplication by range-partitioned hashes, returning keep bitmaps instead of text.
 
 1. `line_blocks` reads every text once and writes, for each block of documents, the 128-bit hashes of
-   its lines' keys. Blocks are rows of a table in the shared folder; the text is not moved.
-2. Each block sends one row for each distinct hash (its smallest and largest document there), so that a
-   line that most documents share costs a row for each block, not for each line.
-3. These rows are range-partitioned by hash and sorted by hash, document and block; one streaming pass
-   sees the first document of each hash and tells the blocks that hold it which document keeps it.
+   its lines' keys. Blocks are rows of a table in the shared folder.
+2. Each block sends one row for each distinct hash (its smallest document there with the line's position, and
+   its largest document), so that a line that most documents share costs a row for each block, not for each line.
+3. These rows are range-partitioned by hash and sorted by hash, document, position and block; one streaming
+   pass sees the first occurrence of each hash and tells the blocks that hold it which document keeps it.
 4. Blocks meet their decisions and return, for each document, a compressed bitmap of the lines to keep.
 
+Up to here (`keep_bitmaps`) no text is moved. `drop_repeated_lines` applies the bitmaps, and for that the texts are
+shuffled once, by document.
+
 A key is the line without ASCII white space at its ends and with A-Z lowered. Keys of at least
 `min_chars` code points that occur in two documents or more are kept in the smallest document only.
 
@@ -83,23 +86,23 @@ def _unpack(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def block_keys(blocks: DataFrame) -> DataFrame:
-    """(hi, lo, first_doc, last_doc, block): a row for each distinct key of each block."""
+    """(hi, lo, first_doc, first_line, last_doc, block): a row for each distinct key of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                block = {n: batch[n][row] for n in ("ids", "sizes", "hashes", "texts")}
-                ids, _, sizes, hashes = _unpack(block)
-                docs = np.repeat(ids, sizes)
+                ids, _, sizes, hashes = _unpack({n: batch[n][row] for n in ("ids", "sizes", "hashes", "texts")})
                 full = (hashes["hi"] != 0) | (hashes["lo"] != 0)
-                hi, lo, docs = hashes["hi"][full].astype(np.uint64), hashes["lo"][full].astype(np.uint64), docs[full]
-                order = np.lexsort((docs, lo, hi))
-                hi, lo, docs = hi[order], lo[order], docs[order]
+                hi, lo, docs = hashes["hi"][full].astype(np.uint64), hashes["lo"][full].astype(np.uint64), np.repeat(ids, sizes)[full]
+                lines = (np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[full]
+                order = np.lexsort((lines, docs, lo, hi))
+                hi, lo, docs, lines = hi[order], lo[order], docs[order], lines[order]
                 starts = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])) if len(hi) else np.zeros(0, np.int64)
                 ends = np.append(starts[1:], len(hi)) - 1 if len(starts) else starts
-                yield pa.RecordBatch.from_arrays([pa.array(hi[starts].view(np.int64)), pa.array(lo[starts].view(np.int64)), pa.array(docs[starts]), pa.array(docs[ends]), pa.array(np.full(len(starts), batch["block"][row].as_py(), np.int64))], names=["hi", "lo", "first_doc", "last_doc", "block"])
+                columns = (hi[starts].view(np.int64), lo[starts].view(np.int64), docs[starts], lines[starts], docs[ends], np.full(len(starts), batch["block"][row].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hi", "lo", "first_doc", "first_line", "last_doc", "block"])
 
-    return blocks.mapInArrow(run, "hi long, lo long, first_doc long, last_doc long, block long")
+    return blocks.mapInArrow(run, "hi long, lo long, first_doc long, first_line long, last_doc long, block long")
 
 
 def decisions(keys: DataFrame) -> DataFrame:
@@ -113,7 +116,7 @@ def decisions(keys: DataFrame) -> DataFrame:
         key, keeper, shared, waiting = None, 0, False, []  # waiting: blocks of the open key while it has one document
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
-            for hi, lo, first, last, block in zip(*(batch[i].to_pylist() for i in range(5)), strict=True):
+            for hi, lo, first, last, block in zip(*(batch[c].to_pylist() for c in ("hi", "lo", "first_doc", "last_doc", "block")), strict=True):
                 if (hi, lo) != key:
                     key, keeper, shared, waiting = (hi, lo), first, False, []
                 waiting.append(block)
@@ -124,7 +127,7 @@ def decisions(keys: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["block", "hi", "lo", "keeper"])
 
-    ordered = keys.repartitionByRange("hi", "lo").sortWithinPartitions("hi", "lo", "first_doc", "block")
+    ordered = keys.repartitionByRange("hi", "lo").sortWithinPartitions("hi", "lo", "first_doc", "first_line", "block")
     return ordered.mapInArrow(run, "block long, hi long, lo long, keeper long")
 
 
@@ -134,24 +137,22 @@ def keep_marks(blocks: DataFrame, decided: DataFrame) -> DataFrame:
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         gone = np.zeros(right.num_rows, _HASH)
         gone["hi"], gone["lo"] = right["hi"].to_numpy().view(np.uint64), right["lo"].to_numpy().view(np.uint64)
-        packed = gone.tobytes()
-        index = dict(zip((packed[i : i + 16] for i in range(0, len(packed), 16)), right["keeper"].to_pylist(), strict=True))
-        rows = []
+        gone, keeper = gone.view("S16"), right["keeper"].to_numpy()
+        order = np.argsort(gone)
+        gone, keeper = gone[order], keeper[order]
+        parts = []
         for k in range(left.num_rows):
             ids, texts, sizes, hashes = _unpack({c: left[c][k] for c in ("ids", "texts", "sizes", "hashes")})
             keep = np.ones(len(hashes), bool)
-            raw = hashes.tobytes() if index else b""
-            for i, doc in enumerate(np.repeat(ids, sizes).tolist() if index else ()):
-                first = index.get(raw[16 * i : 16 * i + 16])
-                keep[i] = first is None or first == doc
-            at = 0
-            for doc, text, size in zip(ids.tolist(), texts.tolist(), sizes.tolist(), strict=True):
-                own = keep[at : at + size]
-                at += size
-                dropped = int(size - own.sum())
-                rows.append((doc, text, size, dropped, zlib.compress(np.packbits(own).tobytes()) if dropped else None))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "text_hash", "n_lines", "n_dropped", "bitmap"])
+            if len(gone):
+                raw = hashes.view("S16")
+                at = np.minimum(np.searchsorted(gone, raw), len(gone) - 1)
+                keep = (gone[at] != raw) | (keeper[at] == np.repeat(ids, sizes))
+            first = np.cumsum(sizes) - sizes
+            dropped = sizes - np.add.reduceat(keep, first, dtype=np.int64)
+            bitmaps = [zlib.compress(np.packbits(keep[a : a + n]).tobytes()) if d else None for a, n, d in zip(first.tolist(), sizes.tolist(), dropped.tolist(), strict=True)]
+            parts.append(pa.table([pa.array(ids), pa.array(texts), pa.array(sizes), pa.array(dropped), pa.array(bitmaps, pa.binary())], names=["doc_id", "text_hash", "n_lines", "n_dropped", "bitmap"]))
+        return pa.concat_tables(parts) if parts else pa.table([pa.array([], t) for t in (*[pa.int64()] * 4, pa.binary())], names=["doc_id", "text_hash", "n_lines", "n_dropped", "bitmap"])
 
     return blocks.groupBy("block").cogroup(decided.groupBy("block")).applyInArrow(run, MARKS)
 
@@ -185,11 +186,13 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text)
-        for batch in batches:
-            texts = [t.as_py() for t in batch[at]]
-            kept = [t if b is None else kept_lines(t, b) for t, b in zip(texts, batch["__t_bitmap"].to_pylist(), strict=True)]
-            columns = [pa.array(kept, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            counts = [pa.array([(t or "").count("\n") + 1 for t in texts], pa.int64()), pa.array([n or 0 for n in batch["__t_n"].to_pylist()], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*names, *added])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                texts = batch[at].to_pylist()
+                kept = [t if b is None else kept_lines(t, b) for t, b in zip(texts, batch["__t_bitmap"].to_pylist(), strict=True)]
+                columns = [pa.array(kept, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+                counts = [pa.array([(t or "").count("\n") + 1 for t in texts], pa.int64()), pa.array([n or 0 for n in batch["__t_n"].to_pylist()], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*names, *added])
 
     return joined.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, T.LongType()) for n in added)]))
