@@ -8,16 +8,18 @@ the cell of q only if
     d(x, q) <= d(y, q) + eps <= reach(q) + eps      and      d(x, q) <= d(x, p) + 2 eps
 
 and, by the bisector of p and q, only if (d(x, q)^2 - d(x, p)^2) / (2 d(p, q)) <= eps. Where all three
-hold, x is replicated to that cell. Each cell then counts the links of its own members, apart from the
-others. A large cell is dealt in blocks of members, each of which meets all of the cell's vectors.
+hold, x is replicated to that cell. A large cell is dealt in blocks of members, and cells and blocks join
+independently of each other.
 
-Equal vectors are one class with a weight, so copies are not multiplied out. A block returns a count for
-each member and a spanning forest of its links, never the pairs.
+Two blocks meet once: of each two, a rule of their numbers tells which one is replicated to the other (both
+conditions hold on both sides of a link, so either will do), and the meeting counts links for both. Members and
+guests travel packed, those of a scan batch that go to the same block in one row. Equal vectors are one class with a
+weight, so copies are not multiplied out. A block returns counts and a spanning forest of its links, never the pairs.
 
 Defined cases: a vector that is null, of norm zero, or holds a null or non-finite component links with
 nothing (n_links 0, a component of its own), and so do rows without an id, whose component is null; vectors
-link only within one dimension; rows that share an id and a vector count as others of each other; an
-empty table gives an empty result; other columns are ignored.
+link only within one dimension; rows that share an id, with one vector or with several, are rows of their own and
+count as others of each other; an empty table gives an empty result; other columns are ignored.
 """
 
 from collections.abc import Iterator
@@ -32,10 +34,16 @@ from tesserae.llm.common import unit_hash
 from tesserae.llm.components import Forest, components
 from tesserae.session import materialise, ship
 
-CELL = 4096
-BLOCK = 2048
+CELL = 8192
+BLOCK = 8192
 MOST_PIVOTS = 4096
-_NEAR = 1e-5  # single precision decides outside this distance from the threshold, double precision within it
+STEP = 1024  # vectors that are compared at once with a block, or dealt at once
+SLACK = 1e-6  # a computed distance of a vector to itself is up to 4e-8 in 64 dimensions, as the square root of a rounding error
+
+
+def unsure(dim: int) -> float:
+    """Single precision decides outside this distance from the threshold, double precision within it."""
+    return (dim + 8) * 1.2e-7
 
 
 def _usable(value) -> np.ndarray | None:
@@ -60,11 +68,14 @@ def keyed(vectors: DataFrame, vector: str, key: str) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, class binary, raw binary")
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def _scaled(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _unit(raw: list[bytes]) -> np.ndarray:
+    return _scaled(np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1))
+
+
 class Cells:
     """Pivots of one dimension, the cells' reach and their numbers of blocks."""
 
@@ -80,9 +91,8 @@ class Cells:
     def targets(self, d: np.ndarray, home: np.ndarray) -> np.ndarray:
         """For each row and cell whether the row is needed there."""
         own = d[np.arange(len(d)), home][:, None]
-        slack = 1e-9
-        bisector = (d * d - own * own) <= 2 * self.apart[home] * self.eps + slack
-        return (self.blocks > 0) & (d <= self.reach + self.eps + slack) & (d <= own + 2 * self.eps + slack) & bisector
+        bisector = (d * d - own * own) <= 2 * self.apart[home] * self.eps + SLACK
+        return (self.blocks > 0) & (d <= self.reach + self.eps + SLACK) & (d <= own + 2 * self.eps + SLACK) & bisector
 
 
 def _cells_of(classes: DataFrame, cosine: float, cell: int, block: int, most_pivots: int) -> dict[int, Cells]:
@@ -120,28 +130,37 @@ def _by_dimension(raw: list[bytes]) -> dict[int, list[int]]:
 
 
 class BlockJoin:
-    """Counts the links of one block's members with the vectors that stream past, and keeps a forest of them."""
+    """Counts the links of one block's members with each other and with the guests that stream past, and keeps a forest of them."""
 
     def __init__(self, ids: np.ndarray, weights: np.ndarray, x: np.ndarray, cosine: float):
         self.ids, self.weights, self.x, self.cosine = ids, weights, x, cosine
         self.single = x.astype(np.float32)
+        self.near = unsure(x.shape[1])
         self.counts = weights - 1
         self.label = np.arange(len(ids))
         self.edges: list[tuple[int, int]] = []
-
-    def meet(self, ids: np.ndarray, weights: np.ndarray, x: np.ndarray) -> None:
-        near = self.single @ x.astype(np.float32).T
-        mine, other = np.nonzero(near >= np.float32(self.cosine - _NEAR))
-        if not len(mine):
-            return
-        unsure = near[mine, other] < np.float32(self.cosine + _NEAR)
-        sure = ~unsure
-        if unsure.any():
-            sure[unsure] = np.einsum("ij,ij->i", self.x[mine[unsure]], x[other[unsure]]) >= self.cosine
+        for at in range(0, len(ids), STEP):
+            self._links(ids[at : at + STEP], weights[at : at + STEP], x[at : at + STEP])
+
+    def meet(self, ids: np.ndarray, weights: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The guests that link with members, and their numbers of links here."""
+        mine, other = self._links(ids, weights, x)
+        found = np.bincount(other, self.weights[mine], len(ids)).astype(np.int64)
+        linked = np.flatnonzero(found)
+        return ids[linked], found[linked]
+
+    def _links(self, ids: np.ndarray, weights: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        dots = self.single @ x.astype(np.float32).T
+        mine, other = np.nonzero(dots >= np.float32(self.cosine - self.near))
+        open_ = dots[mine, other] < np.float32(self.cosine + self.near)
+        sure = ~open_
+        if open_.any():
+            sure[open_] = np.einsum("ij,ij->i", self.x[mine[open_]], x[other[open_]]) >= self.cosine
         keep = sure & (self.ids[mine] != ids[other])
         mine, other = mine[keep], other[keep]
         np.add.at(self.counts, mine, weights[other])
         self._connect(self.label[mine], other, ids)
+        return mine, other
 
     def _connect(self, label: np.ndarray, other: np.ndarray, ids: np.ndarray) -> None:
         """Adds an edge from each other vector to one group of the members it links with, and an edge for each
@@ -160,89 +179,91 @@ class BlockJoin:
             self.edges += zip(self.ids[joined].tolist(), self.ids[root[joined]].tolist(), strict=True)
             self.label = root[self.label]
 
-    def rows(self) -> Iterator[tuple[int, int | None, int]]:
-        yield from ((i, None, n) for i, n in zip(self.ids.tolist(), self.counts.tolist(), strict=True))
-        yield from ((a, b, 0) for a, b in self.edges)
+    def rows(self) -> list[tuple[int, int | None, int]]:
+        return [*((i, None, n) for i, n in zip(self.ids.tolist(), self.counts.tolist(), strict=True)), *((a, b, 0) for a, b in self.edges)]
+
+
+def _hosts(mine: np.ndarray, theirs: int) -> np.ndarray:
+    """Which of the blocks numbered `mine` send their members to the block `theirs`; of two blocks one does."""
+    return (mine < theirs) ^ ((mine ^ theirs) & 1 == 1) & (mine != theirs)
 
 
 def join(classes: DataFrame, cosine: float, cell: int = CELL, block: int = BLOCK, most_pivots: int = MOST_PIVOTS) -> DataFrame:
-    """(a, b, n). b null: class a has n links with vectors, its own copies included; else a and b are linked."""
+    """(a, b, n). b null: class a has n links found in one place, own copies once; else a and b are linked. classes: id, n, raw."""
     cells = _cells_of(classes, cosine, cell, block, most_pivots)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw_all = batch["raw"].to_pylist()
+            raw_all, ids, weights = batch["raw"].to_pylist(), batch["id"].to_numpy(), batch["n"].to_numpy()
             for dim, rows in _by_dimension(raw_all).items():
-                for at in range(0, len(rows), 1024):
-                    part = rows[at : at + 1024]
+                for at in range(0, len(rows), STEP):
+                    part = np.array(rows[at : at + STEP])
                     own = cells[dim]
                     d = own.distances(_unit([raw_all[i] for i in part]))
                     home = d.argmin(axis=1)
                     needed = own.targets(d, home)
+                    first = np.cumsum(own.blocks) - own.blocks  # blocks numbered through all cells
+                    mine = first[home] + np.array([xxhash.xxh64_intdigest(raw_all[i], 5) for i in part], np.uint64) % own.blocks[home].astype(np.uint64)
+                    mine = mine.astype(np.int64)
                     out = []
-                    for k, i in enumerate(part):
-                        id_, n, raw = batch["id"][i].as_py(), batch["n"][i].as_py(), raw_all[i]
-                        h = int(home[k])
-                        mine = xxhash.xxh64_intdigest(raw, 5) % int(own.blocks[h])
-                        for c in np.flatnonzero(needed[k]).tolist():
-                            for b in range(int(own.blocks[c])):
-                                out.append((dim, c, b, int(c != h or b != mine), id_, n, raw))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 6, pa.binary()), strict=True)], names=["dim", "cell", "block", "guest", "id", "n", "raw"])
+                    for c in np.flatnonzero(needed.any(axis=0)).tolist():
+                        for b in range(int(first[c]), int(first[c] + own.blocks[c])):
+                            for guest, chosen in ((0, mine == b), (1, needed[:, c] & _hosts(mine, b) & (mine != b))):
+                                picked = part[chosen]
+                                if len(picked):
+                                    out.append((dim, b, guest, ids[picked].tobytes(), weights[picked].tobytes(), b"".join([raw_all[i] for i in picked])))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 3, *[pa.binary()] * 3), strict=True)], names=["dim", "block", "guest", "ids", "weights", "raw"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, block_join = None, [], None
 
+        def out(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 3, names=["a", "b", "n"])
+
         def closed() -> Iterator[pa.RecordBatch]:
             if block_join is not None or members:
-                found = list((block_join or _block_of(members, cosine)).rows())
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "n"])
+                yield out((block_join or _block_of(members, cosine)).rows())
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch[c].to_numpy() for c in ("dim", "cell", "block", "guest")], axis=1)
-            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-            for s, e in zip(starts, [*starts[1:], len(keys)], strict=True):
-                now, guest = tuple(keys[s, :3].tolist()), keys[s, 3]
+            for i in range(batch.num_rows):
+                now, guest = (batch["dim"][i].as_py(), batch["block"][i].as_py()), batch["guest"][i].as_py()
+                row = (np.frombuffer(batch["ids"][i].as_py(), np.int64), np.frombuffer(batch["weights"][i].as_py(), np.int64), np.frombuffer(batch["raw"][i].as_py(), np.float64))
                 if now != key:
                     yield from closed()
                     key, members, block_join = now, [], None
                 if not guest:
-                    members.append(batch.slice(s, e - s))
+                    members.append(row)
                     continue
                 if block_join is None:
                     if not members:
                         continue  # a block without members needs no guests
-                    block_join = _block_of(members, cosine)
-                    members = []
-                for at in range(s, e, BLOCK):
-                    part = batch.slice(at, min(BLOCK, e - at))
-                    block_join.meet(part["id"].to_numpy(), part["n"].to_numpy(), _unit(part["raw"].to_pylist()))
+                    block_join, members = _block_of(members, cosine), []
+                linked, n = block_join.meet(row[0], row[1], _scaled(row[2].reshape(len(row[0]), -1)))
+                if len(linked):
+                    yield out([(a, None, k) for a, k in zip(linked.tolist(), n.tolist(), strict=True)])
         yield from closed()
 
-    dealt = classes.select("id", "n", "raw").mapInArrow(deal, "dim long, cell long, block long, guest long, id long, n long, raw binary")
-    return dealt.repartition("dim", "cell", "block").sortWithinPartitions("dim", "cell", "block", "guest").mapInArrow(run, "a long, b long, n long")
+    dealt = classes.select("id", "n", "raw").mapInArrow(deal, "dim long, block long, guest long, ids binary, weights binary, raw binary")
+    return dealt.repartition("dim", "block").sortWithinPartitions("dim", "block", "guest").mapInArrow(run, "a long, b long, n long")
 
 
-def _block_of(members: list[pa.RecordBatch], cosine: float) -> BlockJoin:
+def _block_of(members: list[tuple[np.ndarray, np.ndarray, np.ndarray]], cosine: float) -> BlockJoin:
     """The block's members, already compared with each other."""
-    table = pa.Table.from_batches(members)
-    ids, weights, x = table["id"].to_numpy(), table["n"].to_numpy().copy(), _unit(table["raw"].to_pylist())
-    out = BlockJoin(ids, weights, x, cosine)
-    for at in range(0, len(ids), BLOCK):
-        out.meet(ids[at : at + BLOCK], weights[at : at + BLOCK], x[at : at + BLOCK])
-    return out
+    ids, weights = (np.concatenate([m[i] for m in members]) for i in (0, 1))
+    return BlockJoin(ids, weights, _scaled(np.concatenate([m[2] for m in members]).reshape(len(ids), -1)), cosine)
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, vector: str = "embedding", key: str = "vec_id", cell: int = CELL, block: int = BLOCK, most_pivots: int = MOST_PIVOTS) -> DataFrame:
     """(vec_id, n_links, component_id) for every row."""
     ship(vectors.sparkSession)
     rows = materialise(keyed(vectors, vector, key), "vectors")
-    classes = materialise(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("raw").alias("raw")), "classes")
+    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("raw").alias("raw"))
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbers of their own: an id may have several vectors
     found = materialise(join(classes, cosine, cell, block, most_pivots), "found")
-    reached = components(found.where("b IS NOT NULL"))
-    counts = found.where("b IS NULL").select(F.col("a").alias("id"), F.col("n").alias("n_links"))
-    named = classes.select("class", "id").join(counts, "id").join(reached.withColumnRenamed("node", "id"), "id", "left")
-    named = materialise(named.select("class", "n_links", F.coalesce("component", "id").alias("component_id")), "named")
-    out = rows.select("vec_id", "class").join(named, "class", "left")
+    reached = components(found.where("b IS NOT NULL")).withColumnsRenamed({"node": "id", "component": "_c"})
+    counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+    named = classes.select("class", "vec_id", "id").join(counts, "id").join(reached, "id", "left").withColumn("_c", F.coalesce("_c", "id"))
+    named = materialise(named.select("class", "vec_id", "n_links", "_c"), "named")
+    least = named.groupBy("_c").agg(F.min("vec_id").alias("component_id"))
+    out = rows.select("vec_id", "class").join(named.drop("vec_id").join(least, "_c"), "class", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

@@ -43,10 +43,10 @@ def test_a_block_keeps_a_forest():
     x /= np.linalg.norm(x, axis=1)[:, None]
     ids = np.arange(900)
     block = vectorjoin.BlockJoin(ids, np.ones(900, np.int64), x, 0.9)
-    for at in range(0, 900, 200):
-        block.meet(ids[at : at + 200], np.ones(len(ids[at : at + 200]), np.int64), x[at : at + 200])
     assert len(block.edges) < 1900 and set(block.counts.tolist()) == {299}
     assert set(closure(range(900), block.edges).values()) == {0, 300, 600}
+    linked, n = block.meet(np.array([1000, 1001]), np.array([2, 1]), np.array([x[0], -x[0]]))
+    assert linked.tolist() == [1000] and n.tolist() == [300] and set(block.counts[:300].tolist()) == {301}
 
 
 def test_null_ids_repeated_rows_and_empty_table(spark):
@@ -57,6 +57,21 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     assert vectorjoin.near_vectors(df.limit(0)).count() == 0
 
 
+def test_one_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (7, [-1.0, 0.0]), (7, [-1.0, 0.001]), (7, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectorjoin.near_vectors(df, cell=2, block=2).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (7, 2, 7), (7, 2, 7), (7, 2, 7)]
+
+
+def test_of_two_blocks_one_hosts():
+    blocks = np.arange(40)
+    for b in range(40):
+        sends = vectorjoin._hosts(blocks, b)
+        back = np.array([vectorjoin._hosts(np.array([b]), int(o))[0] for o in blocks])
+        assert (sends != back)[blocks != b].all() and 10 < sends.sum() < 30
+
+
 def test_query(spark):
     rows = duckdb.sql(f"select vec_id, embedding from read_parquet('{SF}/embeddings.parquet')").fetchall()
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.op3_vectors(spark, SF).collect()}
