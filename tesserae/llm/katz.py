@@ -1,48 +1,66 @@
-"""Katz back-off bigram scores.
-
-P(w | v) is d(c) c(v w) / c(v) for bigrams seen in training and a(v) P(w) for others, where P(w) is
-d(c) c(w) / N for known words and the mass left over for the unknown one; d is the Good-Turing discount
-for counts up to K, and a(v) = (1 - sum of P(w | v)) / (1 - sum of P(w)), both sums over the words seen
-after v, so every context's probabilities add up to one. The context of a text's first word is the end
-token, which also closes every text.
-
-Layout. Texts become blocks of about a million tokens: 64-bit word hashes, a vocabulary for each block and
-codes. The n-gram tables are partitioned by key into buckets. A block sends each bucket its distinct
-keys with their training counts, all occurrences in the block pre-aggregated; the bucket adds up the blocks'
-counts, and its stored partition of the table holds the totals in the order in which each block asked,
-with a mark at the block that owns the key. Back-off weights follow in the same way: owners send each
-context's partial sums, and blocks with unseen bigrams get the weights. No table, and no context with
-many followers, is ever in one task or on the driver, which sees only counts of counts.
+"""Katz back-off scores.
+
+For n from the order down to 2, with x the n - 1 words before w and x' the last n - 2 of them,
+
+    P(w | x) = d(c(x w)) c(x w) / c(x)    where x w was seen in training,
+               a(x) P(w | x')             where only x was, with a(x) = (1 - sum of P(v | x)) / (1 - sum of P(v | x')),
+               P(w | x')                  where x was not seen,
+
+both sums over the words v seen after x, so that every context's probabilities add up to one. P(w) is
+d(c(w)) c(w) / N for known words and what is left over for the unknown one. d is the Good-Turing discount
+(r + 1) n(r + 1) / (r n(r)) for every count r, the counts of counts of each order n(r) smoothed by a log-linear fit; its
+slope is held under -1, so every count gives something up and every context has mass for unseen words. The
+contexts of a text's first words are filled up with start marks, whose count is that of the training texts; the end
+token closes every text.
+
+Layout. Texts become blocks of about a million tokens with a vocabulary of their own. The tables of words, pairs and
+longer n-grams are partitioned by a hash of the n-gram into a fixed number of buckets, a parameter of the cluster.
+Order by order, each block sends each bucket its distinct n-grams with their training counts in a packed row, all
+occurrences in the block pre-aggregated; the bucket adds up, stores its part of the table, and tells each block the
+totals in the order in which it asked, the numbers of the n-grams, and which block owns each. Numbers
+stand for words and contexts from then on: an n-gram is the number of its first n - 1 words and that of its last word,
+so nothing is told apart by hashes. What holds an n-gram or a context not seen in training is not asked for at the
+next order. Back-off weights follow in the same way: owners send each context's partial sums, and blocks with unseen
+events get them added up. No table, and no context with many followers, is ever in one task or on the driver, which
+sees only counts of counts. Rows exchanged are blocks times buckets.
+
+`keep` names a folder for the model: `grams` (order, bucket, keys, totals) and `contexts` (order, bucket, sums), as
+Parquet; `model` scores other texts with it, its rows taking part in the exchanges like those of a block.
 
 Defined cases: null and empty texts are the end token alone; rows without an id count as held in or out
 by the rule for the empty text; repeated rows count each time; without training tokens every
-probability is one; an empty table gives an empty result; other columns are ignored. Words are told apart
-by 64-bit hashes, pairs by a 64-bit mix of two.
+probability is one; an empty table gives an empty result; other columns are ignored.
 """
 
-import math
+import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.session import forget, materialise, ship
 
-K = 5
+ORDER = 3
+FIT = 6  # the counts of counts that the fit reads
+LEAST_SLOPE = -1.1
 BLOCK_TOKENS = 1_000_000
-BUCKET_KEYS = 500_000
+BUCKETS = 4  # buckets for each shuffle partition
 NULL_ID = -(1 << 63)
+MODEL = -1  # the block number of stored rows
+END = b" "  # no word holds a space
+START = 1 << 40  # the rank of a context that is start marks only
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-END = xxhash.xxh64_intdigest(b" ", 1)  # no word holds a space
 
-TOKENS = "block long, ids binary, held binary, sizes binary, vocab binary, codes binary"
-ASKED = "block long, bucket long, keys binary, counts binary"
-TOLD = "block long, bucket long, totals binary, tokens long, types long, " + ", ".join(f"n{r} long" for r in range(1, K + 2))
-PARTIAL = "block long, bucket long, a binary, b binary, c binary, d binary, e binary"
+TOKENS = "block long, ids binary, held binary, sizes binary, words binary, buckets binary, places binary, codes binary, docs long, tokens long"
+ASKED = "block long, bucket long, a binary, b binary, counts binary"
+TOLD = "block long, bucket long, totals binary, ranks binary, a binary, b binary, types long, " + ", ".join(f"n{r} long" for r in range(1, FIT + 1))
+PARTIAL = "block long, level long, bucket long, a binary, b binary, c binary, d binary"
+SUMS = "block long, level long, bucket long, a binary, b binary, c binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -69,99 +87,83 @@ def swell_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(swell(data, "u8"), dtype=np.uint64)
 
 
-def word_hashes(data: bytes | None) -> list[int]:
-    """A hash for each word, then the end token's."""
-    digest = xxhash.xxh64_intdigest
-    return [*[digest(w, 1) for w in (data or b"").translate(_ASCII_LOWER).split()], END]
+def words_of(data: bytes | None) -> list[bytes]:
+    """The words, then the end token."""
+    return [*(data or b"").translate(_ASCII_LOWER).split(), END]
 
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = first * np.uint64(0x9E3779B97F4A7C15) + (second ^ (second >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(32))
+def slope(counts_of_counts: list[int]) -> float:
+    """The b of n(r) = e^a r^b, by least squares over the counts that occur; -2 where fewer than two do."""
+    seen = [(r, n) for r, n in enumerate(counts_of_counts, 1) if n > 0]
+    if len(seen) < 2:
+        return -2.0
+    r, n = np.log(np.array(seen, np.float64)).T
+    return float(min(np.polyfit(r, n, 1)[0], LEAST_SLOPE))
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets ascend with keys, so sorted keys lie in order of buckets."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+def given_up(counts: np.ndarray, b: float) -> np.ndarray:
+    """(1 - d(c)) c with the discount d(c) = (1 + 1 / c)^(b + 1)."""
+    c = np.maximum(counts, 1).astype(np.float64)
+    return np.where(counts > 0, -c * np.expm1((b + 1) * np.log1p(1 / c)), 0.0)
 
 
-def discounts(counts_of_counts: list[int]) -> np.ndarray:
-    """d(0) to d(K + 1), the last for all larger counts: Katz's form of Good-Turing where the counts of
-    counts allow it (each d between 0 and 1), else absolute discounting."""
-    n = [0, *counts_of_counts]
-    d = np.ones(K + 2)
-    if all(x > 0 for x in n[1:]):
-        cut = (K + 1) * n[K + 1] / n[1]
-        turing = [((r + 1) * n[r + 1] / n[r] / r - cut) / (1 - cut) if cut < 1 else -1.0 for r in range(1, K + 1)]
-        if all(0 < x < 1 for x in turing):
-            d[1 : K + 1] = turing
-            return d
-    less = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-    d[1 : K + 1] = 1 - less / np.arange(1, K + 1)
-    return d
+def discounted(counts: np.ndarray, b: float) -> np.ndarray:
+    """d(c) c."""
+    return counts - given_up(counts, b)
 
 
-def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
-    return d[np.minimum(counts, K + 1)] * counts
+def bucket_of(first: np.ndarray, second: np.ndarray, buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
 
 
-def tokenised(docs: DataFrame, block_tokens: int) -> DataFrame:
-    """TOKENS rows of docs: doc_id, held, text."""
+def tokenised(docs: DataFrame, block_tokens: int, buckets: int) -> DataFrame:
+    """TOKENS rows of docs: doc_id, held, text. words lie in the order of their buckets; places: that of each by frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, made, held, tokens = TaskContext.get().partitionId() << 32, 0, [], 0
+        first, made = TaskContext.get().partitionId() << 32, 0
+        held: list[tuple[int, bool, int]] = []
+        number: dict[bytes, int] = {}
+        codes: list[np.ndarray] = []
+        tokens = 0
 
         def row() -> pa.RecordBatch:
-            words = np.concatenate([h[2] for h in held])
-            vocab, codes, counts = np.unique(words, return_inverse=True, return_counts=True)
-            order = np.argsort(-counts, kind="stable")
-            rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            parts = (squeeze(np.array([h[0] for h in held], np.int64)), squeeze(np.array([h[1] for h in held], np.uint8)), squeeze(np.array([len(h[2]) for h in held], np.uint32)), squeeze(vocab[order]), squeeze(rank[codes]))
-            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), *(pa.array([p], pa.binary()) for p in parts)], names=["block", "ids", "held", "sizes", "vocab", "codes"])
+            code = np.concatenate(codes)
+            rank = np.empty(len(number), np.uint32)
+            rank[np.argsort(-np.bincount(code, minlength=len(number)), kind="stable")] = np.arange(len(number), dtype=np.uint32)
+            words = list(number)
+            bucket = np.array([xxhash.xxh64_intdigest(w, 1) % buckets for w in words], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            trained = np.array([not h[1] for h in held])
+            sizes = np.array([h[2] for h in held], np.uint32)
+            blob = b"\n".join([words[i] for i in order.tolist()])
+            parts = (
+                squeeze(np.array([h[0] for h in held], np.int64)), squeeze(~trained), squeeze(sizes), squeeze(np.frombuffer(blob, np.uint8)),
+                squeeze(np.diff(bucket[order], prepend=0).astype(np.uint32)), squeeze(rank[order]), squeeze(rank[code]),
+            )
+            return _batch([(first + made, *parts, int(trained.sum()), int(sizes[trained].sum()))], TOKENS)
 
         for batch in batches:
             for id_, out, text in zip(batch["doc_id"].to_pylist(), batch["held"].to_pylist(), batch["text"].cast(pa.binary()), strict=True):
-                held.append((NULL_ID if id_ is None else id_, bool(out), np.array(word_hashes(text.as_py()), np.uint64)))
-                tokens += len(held[-1][2])
+                words = words_of(text.as_py())
+                codes.append(np.array([number.setdefault(w, len(number)) for w in words], np.uint32))
+                held.append((NULL_ID if id_ is None else id_, bool(out), len(words)))
+                tokens += len(words)
                 if tokens >= block_tokens:
                     yield row()
-                    held, tokens, made = [], 0, made + 1
+                    held, number, codes, tokens, made = [], {}, [], 0, made + 1
         if held:
             yield row()
 
     return docs.mapInArrow(run, TOKENS)
 
 
-class Block:
-    """One block's tokens with their contexts, distinct words and distinct pairs."""
-
-    def __init__(self, row):
-        self.ids, self.held, self.sizes = swell(row["ids"], "i8"), swell(row["held"], "u1").astype(bool), swell(row["sizes"], "u4").astype(np.int64)
-        self.vocab, self.codes = swell(row["vocab"], "u8"), swell(row["codes"], "u4")
-        self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
-        self.training = ~self.held[self.doc]
-        end = np.flatnonzero(self.vocab == np.uint64(END)).astype(np.uint32)
-        self.context = np.concatenate([end, self.codes[:-1]])  # the token before the first one of a text is the end of another
-
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The sorted hashes, their training counts, and the code of each."""
-        order = np.argsort(self.vocab)
-        return self.vocab[order], np.bincount(self.codes[self.training], minlength=len(self.vocab))[order], order
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The sorted keys, their training counts, the first event of each, and the position of each event's key."""
-        keys, first, at = np.unique(pair_keys(self.vocab[self.context], self.vocab[self.codes]), return_index=True, return_inverse=True)
-        return keys, np.bincount(at[self.training], minlength=len(keys)), first, at
-
-
-def _cut(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """The buckets that sorted keys fall in, with the keys of each."""
-    if not len(keys):
+def _cut(b: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each of ascending bucket numbers, with where it lies."""
+    if not len(b):
         return
-    b = bucket_of(keys, buckets)
     starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(b)], strict=True):
         yield int(b[s]), slice(s, e)
@@ -179,18 +181,121 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [()] * len(fields), fields, strict=True)], names=[n for n, _ in fields])
 
 
-def asked(tokens: DataFrame, pairs: bool, buckets: int) -> DataFrame:
-    """Each block's distinct keys and training counts, a row for each bucket."""
+class Facts:
+    """What the driver knows of the model."""
+
+    def __init__(self, order: int, buckets: int, docs: int, tokens: int):
+        self.order, self.buckets, self.docs, self.tokens = order, buckets, docs, tokens
+        self.types, self.slopes, self.unknown = 0, {}, 1.0
+
+
+class Block:
+    """One block's tokens, and its distinct n-grams order by order as far as the buckets have told of them."""
+
+    def __init__(self, row: dict, facts: Facts, told: dict[int, list[tuple]]):
+        self.facts = facts
+        self.ids, self.held, self.sizes = swell(row["ids"], "i8"), swell(row["held"], "u1").astype(bool), swell(row["sizes"], "u4").astype(np.int64)
+        codes, places = swell(row["codes"], "u4"), swell(row["places"], "u4")
+        self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]) if len(self.sizes) else np.zeros(0, np.int64)
+        self.training = ~self.held[self.doc]
+        self.bucket = np.cumsum(swell(row["buckets"], "u4"), dtype=np.int64)  # of the words in the order of their buckets
+        self.asked = np.bincount(codes[self.training], minlength=len(places))[places]  # the training counts in that order
+        if 1 not in told:
+            return
+        total, number, _ = self._answers(told[1], len(places), np.arange(len(places)), self.bucket)
+        order = np.argsort(number, kind="stable")
+        where = np.empty(len(places), np.int64)
+        where[places[order]] = np.arange(len(places))
+        self.level, self.word = 1, where[codes]
+        self.at, self.total, self.number, self.context_total = self.word, total[order], number[order], np.full(len(codes), facts.tokens)
+        self.word_number, self.word_total = self.number, self.total
+
+    def _answers(self, rows: list[tuple], n: int, asked: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals, numbers and marks of ownership of n keys, of which those at `asked` were asked for, in this order."""
+        answer, rank = (np.concatenate([np.zeros(0, np.uint64), *(swell(r[i], "u8") for r in rows)]) for i in (1, 2))
+        total, number, owned = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        total[asked], owned[asked] = (answer >> np.uint64(1)).astype(np.int64), (answer & np.uint64(1)) == 1
+        number[asked] = rank.astype(np.int64) * self.facts.buckets + bucket
+        return total, number, owned
+
+    def up(self) -> None:
+        """To the distinct n-grams of the next order: their contexts, last words, suffixes and training counts, and how to ask for them."""
+        m = len(self.total)
+        self.level += 1
+        self.suffix_total, before = self.total, self.at
+        self.context = np.concatenate([[m], before[:-1]])
+        self.context[self.begins] = m
+        self.contexts_total = np.append(self.total, self.facts.docs)  # the last for the start marks
+        self.contexts_number = np.append(self.number, START * self.facts.buckets + self.level % self.facts.buckets)
+        self.shorter_total = np.zeros(m + 1, np.int64)
+        self.shorter_total[self.context] = self.context_total
+        self.context_total = self.contexts_total[self.context]
+        v = len(self.word_total)
+        keys, self.at = np.unique(self.context * v + self.word, return_inverse=True)
+        self.counts = np.bincount(self.at[self.training], minlength=len(keys))
+        self.of, last = keys // v, keys % v
+        self.suffix = np.zeros(len(keys), np.int64)
+        self.suffix[self.at] = before
+        known = np.flatnonzero((self.contexts_total[self.of] > 0) & (self.suffix_total[self.suffix] > 0))
+        a, b = self.contexts_number[self.of[known]], self.word_number[last[known]]
+        bucket = bucket_of(a, b, self.facts.buckets)
+        order = np.argsort(bucket.astype(np.uint16) if self.facts.buckets <= 1 << 16 else bucket, kind="stable")
+        self.known, self.bucket, self.a, self.b = known[order], bucket[order], a[order], b[order]
+
+    def hear(self, rows: list[tuple]) -> None:
+        """Takes the buckets' answers, and puts the n-grams in the order of their numbers."""
+        total, number, owned = self._answers(rows, len(self.counts), self.known, self.bucket)
+        order = np.argsort(number, kind="stable")
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+        self.at, self.total, self.number, self.owned, self.of, self.suffix = where[self.at], total[order], number[order], owned[order], self.of[order], self.suffix[order]
+
+    def climb(self, told: dict[int, list[tuple]]) -> Iterator["Block"]:
+        """Itself at each order from 2 on that was told of."""
+        while self.level + 1 in told:
+            self.up()
+            self.hear(told[self.level])
+            yield self
+
+
+def asked_words(tokens: DataFrame, facts: Facts) -> DataFrame:
+    """Each block's words and training counts, a row for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            block = Block(row)
-            keys, counts = (block.pairs() if pairs else block.words())[:2]
-            yield _batch([(row["block"], b, squeeze_sorted(keys[s]), squeeze(counts[s].astype(np.uint32))) for b, s in _cut(keys, buckets)], ASKED)
+            block, words = Block(row, facts, {}), swell(row["words"], "u1").tobytes().split(b"\n")
+            yield _batch([(row["block"], b, squeeze(np.frombuffer(b"\n".join(words[s]), np.uint8)), None, squeeze(block.asked[s].astype(np.uint32))) for b, s in _cut(block.bucket)], ASKED)
 
     return tokens.mapInArrow(run, ASKED)
 
 
+def _told_by_level(table: pa.Table, levels: range) -> dict[int, list[tuple]]:
+    rows = sorted(zip(*(table[c].to_pylist() for c in ("level", "bucket", "totals", "ranks")), strict=True), key=lambda r: r[:2])
+    return {n: [] for n in levels} | {n: [r[1:] for r in group] for n, group in groupby(rows, lambda r: r[0])}
+
+
+def asked_grams(tokens: DataFrame, replies: DataFrame, facts: Facts, level: int) -> DataFrame:
+    """Each block's n-grams of this order as (number of the context, number of the word), and training counts, a row for each bucket."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        told, out = _told_by_level(right, range(1, level)), []
+        for row in left.to_pylist():
+            block = Block(row, facts, told)
+            for _ in block.climb({n: told[n] for n in range(2, level)}):
+                pass
+            block.up()
+            counts = block.counts[block.known].astype(np.uint32)
+            out += [(row["block"], b, squeeze_sorted(block.a[s].astype(np.uint64)), squeeze(block.b[s].astype(np.uint64)), squeeze(counts[s])) for b, s in _cut(block.bucket)]
+        return pa.Table.from_batches([_batch(out, ASKED)])
+
+    return _met(tokens, replies).applyInArrow(run, ASKED)
+
+
+def _met(tokens: DataFrame, replies: DataFrame):
+    return tokens.drop("words").groupBy("block").cogroup(replies.groupBy("block"))
+
+
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of one bucket after the other."""
     held: list[dict] = []
@@ -203,149 +308,203 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def told(requests: DataFrame) -> DataFrame:
-    """The table, partitioned by bucket: for each block 2 x total + 1 if it owns the key; counts of counts once for a bucket."""
+def told(requests: DataFrame, words: bool) -> DataFrame:
+    """For each block 2 x total + 1 if it owns the key, and the rank of each trained key; for MODEL the table itself, with its figures."""
+
+    def distinct(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray | list[bytes], np.ndarray | None]:
+        """The number of keys of each row, the code of each key, and the keys that the codes stand for."""
+        if words:
+            number: dict[bytes, int] = {}
+            codes = [[number.setdefault(w, len(number)) for w in swell(r["a"], "u1").tobytes().split(b"\n")] for r in rows]
+            return np.array([len(c) for c in codes]), np.concatenate([np.array(c, np.int64) for c in codes]), list(number), None
+        first, last = [swell_sorted(r["a"]) for r in rows], np.concatenate([swell(r["b"], "u8") for r in rows])
+        sizes, first = np.array([len(f) for f in first]), np.concatenate(first)
+        order = np.lexsort((last, first))
+        new = np.ones(len(order), bool)
+        new[1:] = (first[order[1:]] != first[order[:-1]]) | (last[order[1:]] != last[order[:-1]])
+        codes = np.empty(len(order), np.int64)
+        codes[order] = np.cumsum(new) - 1
+        return sizes, codes, first[order[new]], last[order[new]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_bucket(batches):
-            keys, counts = [swell_sorted(r["keys"]) for r in rows], np.concatenate([swell(r["counts"], "u4") for r in rows]).astype(np.int64)
-            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-            totals = np.bincount(at, counts, len(distinct)).astype(np.int64)
+            sizes, codes, first, last = distinct(rows)
+            counts = np.concatenate([swell(r["counts"], "u8" if r["block"] == MODEL else "u4").astype(np.int64) for r in rows])
+            totals = np.bincount(codes, counts, len(first)).astype(np.int64)
+            here = np.flatnonzero(totals)
+            rank = np.zeros(len(first), np.uint64)
+            rank[here] = np.arange(len(here), dtype=np.uint64)
             trained = np.flatnonzero(counts)
-            owner = np.zeros(len(at), np.int64)
-            owner[trained[np.unique(at[trained], return_index=True)[1]]] = 1
-            answer = (2 * totals[at] + owner).astype(np.uint64)
-            stats = (int(totals.sum()), int((totals > 0).sum()), *np.bincount(np.minimum(totals, K + 2), minlength=K + 3)[1 : K + 2].tolist())
-            end, out = 0, []
-            for r, k in zip(rows, keys, strict=True):
-                out.append((r["block"], r["bucket"], squeeze(answer[end : end + len(k)]), *(stats if not end else [None] * len(stats))))
-                end += len(k)
-            yield _batch(out, TOLD)
+            owner = np.zeros(len(codes), np.int64)
+            owner[trained[np.unique(codes[trained], return_index=True)[1]]] = 1
+            answer, ranks = (2 * totals[codes] + owner).astype(np.uint64), rank[codes]
+            ends = np.cumsum(sizes)
+            out = [(r["block"], r["bucket"], squeeze(answer[e - n : e]), squeeze(ranks[e - n : e]), None, None, *[None] * (FIT + 1)) for r, n, e in zip(rows, sizes.tolist(), ends.tolist(), strict=True) if r["block"] != MODEL]
+            keys = (squeeze(np.frombuffer(b"\n".join([first[i] for i in here.tolist()]), np.uint8)), None) if words else (squeeze_sorted(first[here]), squeeze(last[here]))
+            if len(here):
+                out.append((MODEL, rows[0]["bucket"], squeeze(totals[here].astype(np.uint64)), None, *keys, len(here), *np.bincount(np.minimum(totals, FIT + 1), minlength=FIT + 2)[1 : FIT + 1].tolist()))
+            for at in range(0, len(out), 256):
+                yield _batch(out[at : at + 256], TOLD)
 
     return requests.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, TOLD)
 
 
-def _stats(table: DataFrame) -> tuple[int, int, list[int]]:
-    names = ["tokens", "types", *(f"n{r}" for r in range(1, K + 2))]
-    row = table.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
-    return row["tokens"], row["types"], [row[n] for n in names[2:]]
+def _figures(table: DataFrame) -> tuple[int, list[int]]:
+    names = ["types", *(f"n{r}" for r in range(1, FIT + 1))]
+    row = table.where(F.col("block") == MODEL).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
+    return row["types"], [row[n] for n in names[1:]]
 
 
-def _answers(table: pa.Table) -> np.ndarray:
-    rows = sorted(zip(table["bucket"].to_pylist(), table["totals"].to_pylist(), strict=True))
-    return np.concatenate([np.zeros(0, np.uint64), *(swell(t, "u8") for _, t in rows)])
+def _left_for_unknown(table: DataFrame, facts: Facts) -> float:
+    """What all known words give up, as a share of the tokens."""
+    b = facts.slopes[1]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([float(given_up(swell(t.as_py(), "u8").astype(np.int64), b).sum()) for t in batch["totals"]], pa.float64())], names=["s"])
 
-class Rates:
-    """Discounts and totals: what the driver knows of the model."""
-
-    def __init__(self, tokens: int, types: int, words: list[int], pairs: list[int]):
-        self.tokens, self.types = tokens, types
-        self.word_d, self.pair_d = discounts(words), discounts(pairs)
-        # the mass left for the unknown word: what the discounts took, in total
-        taken = sum(n * r * (1 - self.word_d[r]) for r, n in enumerate(words[:K], 1))
-        self.unknown = taken / tokens if tokens else 1.0
-
-    def words(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, discounted(counts, self.word_d) / max(self.tokens, 1), self.unknown)
+    found = table.where(F.col("block") == MODEL).select("totals").mapInArrow(run, "s double").agg(F.coalesce(F.sum("s"), F.lit(0.0))).first()[0]
+    return found / facts.tokens if facts.tokens else 1.0
 
 
-def partials(tokens: DataFrame, replies: DataFrame, rates: Rates, buckets: int) -> DataFrame:
-    """For each block a row (bucket -1) with its documents' sums so far and the unseen events, and rows of
-    contexts by bucket: key, share of mass seen, unigram mass seen, whether the block needs the weight."""
+def partials(tokens: DataFrame, replies: DataFrame, facts: Facts) -> DataFrame:
+    """For each block a row of level 0 with its documents' sums so far, rows of bucket MODEL with the events that wait for the
+    weights of an order, and rows of contexts by bucket: rank, what seen words give up, what they have at the order
+    below, whether the block needs the sums."""
+    levels = range(1, facts.order + 1)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
+        told, out = _told_by_level(right, levels), []
         for row in left.to_pylist():
-            block = Block(row)
-            order = block.words()[2]
-            word_counts = np.empty(len(order), np.int64)
-            word_counts[order] = (_answers(right.filter(pa.compute.equal(right["pairs"], False))) >> np.uint64(1)).astype(np.int64)
-            _, _, first, at = block.pairs()
-            answer = _answers(right.filter(pa.compute.equal(right["pairs"], True)))
-            pair_counts, owned = (answer >> np.uint64(1)).astype(np.int64), (answer & np.uint64(1)) == 1
-            p = rates.words(word_counts)
+            block = Block(row, facts, told)
             n = len(block.ids)
-            per_doc = lambda values: np.bincount(block.doc, values, n)
-            base = np.log10((word_counts + 0.1) / (rates.tokens + 0.1 * (rates.types + 1)))
-            counts, before = pair_counts[at], word_counts[block.context]
-            seen = counts > 0
-            logs = np.log10(np.where(seen, discounted(counts, rates.pair_d) / np.maximum(before, 1), p[block.codes]))
-            open_ = ~seen & (before > 0)
-            context, word = block.context[first[owned]], block.codes[first[owned]]
-            mass = np.bincount(context, discounted(pair_counts[owned], rates.pair_d), len(p)) / np.maximum(word_counts, 1)
-            unigram = np.bincount(context, p[word], len(p))
-            need = np.zeros(len(p), np.uint8)
-            need[block.context[open_]] = 1
-            codes = np.flatnonzero((mass > 0) | (need > 0))
-            codes = codes[np.argsort(block.vocab[codes])]
-            keys = block.vocab[codes]
-            wanted = codes[need[codes] > 0]
-            place = np.zeros(len(p), np.uint32)
-            place[wanted] = np.arange(len(wanted), dtype=np.uint32)
-            sums = np.stack([block.sizes.astype(np.float64), per_doc(word_counts[block.codes] > 0), per_doc(base[block.codes]), per_doc(logs)])
-            out.append((row["block"], -1, squeeze(block.ids), squeeze(block.held.astype(np.uint8)), squeeze(sums.ravel()), squeeze(block.doc[open_].astype(np.uint32)), squeeze(place[block.context[open_]])))
-            out += [(row["block"], b, squeeze_sorted(keys[s]), squeeze(mass[codes[s]]), squeeze(unigram[codes[s]]), squeeze(need[codes[s]]), None) for b, s in _cut(keys, buckets)]
+            per_doc = lambda values, block=block, n=n: np.bincount(block.doc, values, n)
+            count = block.word_total[block.word]
+            base = np.log10((count + 0.1) / (facts.tokens + 0.1 * (facts.types + 1)))
+            own = np.where(count > 0, discounted(count, facts.slopes[1]) / max(facts.tokens, 1), facts.unknown)
+            # from the lowest order up: the logarithm so far, and for each order the events that back off there
+            logs, backed, asks = np.log10(own), {}, []
+            for up in block.climb(told):
+                total, before = up.total[up.at], up.context_total
+                seen = total > 0
+                with np.errstate(divide="ignore"):
+                    logs = np.where(seen, np.log10(discounted(total, facts.slopes[up.level]) / np.maximum(before, 1)), logs)
+                for open_ in backed.values():
+                    open_[0] &= ~seen
+                backed[up.level] = [~seen & (before > 0), up.context, up.contexts_total, up.shorter_total]
+                mine = np.flatnonzero(up.owned)
+                m = len(up.contexts_total)
+                gives = np.bincount(up.of[mine], given_up(up.total[mine], facts.slopes[up.level]), m)
+                below = np.bincount(up.of[mine], discounted(up.suffix_total[up.suffix[mine]], facts.slopes[up.level - 1]), m)
+                asks.append((up.level, up.contexts_number, gives, below))
+            for level, number, gives, below in asks:
+                open_, context, total, shorter = backed[level]
+                need = np.zeros(len(number), np.uint8)
+                need[context[open_]] = 1
+                codes = np.flatnonzero((gives > 0) | (need > 0))
+                bucket, rank = number[codes] % facts.buckets, number[codes] // facts.buckets
+                order = np.lexsort((rank, bucket))
+                codes, bucket, rank = codes[order], bucket[order], rank[order].astype(np.uint64)
+                wanted = codes[need[codes] > 0]
+                place = np.zeros(len(number), np.uint32)
+                place[wanted] = np.arange(len(wanted), dtype=np.uint32)
+                events = np.flatnonzero(open_)
+                out.append((row["block"], level, MODEL, squeeze(block.doc[events].astype(np.uint32)), squeeze(place[context[events]]), squeeze(total[wanted]), squeeze(shorter[wanted])))
+                out += [(row["block"], level, b, squeeze_sorted(rank[s]), squeeze(gives[codes[s]]), squeeze(below[codes[s]]), squeeze(need[codes[s]])) for b, s in _cut(bucket)]
+            sums = np.stack([block.sizes.astype(np.float64), per_doc(count > 0), per_doc(base), per_doc(logs)])
+            out.append((row["block"], 0, MODEL, squeeze(block.ids), squeeze(block.held.astype(np.uint8)), squeeze(sums.ravel()), None))
         return pa.Table.from_batches([_batch(out, PARTIAL)])
 
-    return tokens.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, PARTIAL)
+    return _met(tokens, replies).applyInArrow(run, PARTIAL)
 
 
-def weights(sums: DataFrame) -> DataFrame:
-    """The logarithms of the back-off weights that each block needs, in the order of its keys."""
+def sums(contexts: DataFrame) -> DataFrame:
+    """For each block the sums that it needs, in the order of its contexts; for MODEL all contexts with theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in by_bucket(batches):
-            keys = [swell_sorted(r["a"]) for r in rows]
-            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-            mass, unigram = (np.bincount(at, np.concatenate([swell(r[c], "f8") for r in rows]), len(distinct)) for c in ("b", "c"))
-            logs = np.log10(back_off(mass, unigram))[at]
+        for (level, bucket), group in groupby(_each(batches), lambda r: (r["level"], r["bucket"])):
+            rows = list(group)
+            ranks = [swell_sorted(r["a"]) for r in rows]
+            distinct, at = np.unique(np.concatenate(ranks), return_inverse=True)
+            gives, below = (np.bincount(at, np.concatenate([swell(r[c], "f8") for r in rows]), len(distinct)) for c in ("b", "c"))
             end, out = 0, []
-            for r, k in zip(rows, keys, strict=True):
-                need = swell(r["d"], "u1") > 0
-                out.append((r["block"], r["bucket"], squeeze(logs[end : end + len(k)][need])))
+            for r, k in zip(rows, ranks, strict=True):
+                if r["block"] != MODEL:
+                    wanted = at[end : end + len(k)][swell(r["d"], "u1") > 0]
+                    out.append((r["block"], level, bucket, None, squeeze(gives[wanted]), squeeze(below[wanted])))
                 end += len(k)
-            yield _batch(out, "block long, bucket long, logs binary")
+            out.append((MODEL, level, bucket, squeeze_sorted(distinct), squeeze(gives), squeeze(below)))
+            for at_ in range(0, len(out), 256):
+                yield _batch(out[at_ : at_ + 256], SUMS)
 
-    return sums.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket long, logs binary")
+    return contexts.repartition("level", "bucket").sortWithinPartitions("level", "bucket", "block").mapInArrow(run, SUMS)
 
 
-def back_off(mass: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-    """What the seen words leave, over the unigram mass of the others. The unknown word is never seen, so both are positive."""
-    return np.maximum(1 - mass, 1e-300) / np.maximum(1 - unigram, 1e-300)
-
-
-def finished(blocks: DataFrame, logs: DataFrame, rates: Rates) -> DataFrame:
+def finished(blocks: DataFrame, found: DataFrame, facts: Facts) -> DataFrame:
     """SCORES of every document."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        rows = sorted(zip(right["bucket"].to_pylist(), right["logs"].to_pylist(), strict=True))
-        weight = np.concatenate([np.zeros(0), *(swell(x, "f8") for _, x in rows)])
-        for row in left.to_pylist():
-            ids, held, sums = swell(row["a"], "i8").tolist(), swell(row["b"], "u1").tolist(), swell(row["c"], "f8").reshape(4, -1)
-            sums[3] += np.bincount(swell(row["d"], "u4"), weight[swell(row["e"], "u4")], len(ids))
-            out += [(None if i == NULL_ID else i, bool(h), int(n), int(k), rates.tokens, b, s) for i, h, n, k, b, s in zip(ids, held, *sums.tolist(), strict=True)]
+        rows = sorted(zip(*(right[c].to_pylist() for c in ("level", "bucket", "b", "c")), strict=True), key=lambda r: r[:2])
+        told = {n: [np.concatenate([swell(r[i], "f8") for r in held]) for i in (2, 3)] for n, group in groupby(rows, lambda r: r[0]) for held in [list(group)]}
+        mine = {r["level"]: r for r in left.to_pylist()}
+        ids, held, parts = swell(mine[0]["a"], "i8").tolist(), swell(mine[0]["b"], "u1").tolist(), swell(mine[0]["c"], "f8").reshape(4, -1)
+        for n in range(2, facts.order + 1):
+            gives, below = told.get(n, (np.zeros(0), np.zeros(0)))
+            total, shorter = swell(mine[n]["c"], "i8"), swell(mine[n]["d"], "i8")
+            weight = np.log10(gives / total) - np.log10((shorter - below) / shorter)
+            parts[3] += np.bincount(swell(mine[n]["a"], "u4"), weight[swell(mine[n]["b"], "u4")], len(ids))
+        out = [(None if i == NULL_ID else i, bool(h), int(n), int(k), facts.tokens, b, s) for i, h, n, k, b, s in zip(ids, held, *parts.tolist(), strict=True)]
         return pa.Table.from_batches([_batch(out, SCORES)])
 
-    return blocks.groupBy("block").cogroup(logs.groupBy("block")).applyInArrow(run, SCORES)
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, SCORES)
+
+
+def _stored(spark: SparkSession, model: str) -> tuple[DataFrame, DataFrame, dict]:
+    meta = json.loads(spark.read.text(f"{model}/meta").first()[0])
+    return spark.read.parquet(f"{model}/grams"), spark.read.parquet(f"{model}/contexts"), meta
 
 
-def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", block_tokens: int = BLOCK_TOKENS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """SCORES of every row under the model of those that are not held out."""
+def score(docs: DataFrame, held_out: Column | None = None, text: str = "text", key: str = "doc_id", order: int = ORDER, block_tokens: int = BLOCK_TOKENS, buckets: int = BUCKETS, keep: str | None = None, model: str | None = None) -> DataFrame:
+    """SCORES of every row under the model of those that are not held out, or under a model that `keep` stored."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text).alias("text"))
-    tokens = materialise(tokenised(rows, block_tokens), "tokens")
-    blocks = tokens.count()
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(blocks * block_tokens / bucket_keys))
-    words = materialise(told(asked(tokens, False, buckets)), "words")
-    pairs = materialise(told(asked(tokens, True, buckets)), "pairs")
-    n, types, word_counts = _stats(words)
-    rates = Rates(n, types, word_counts, _stats(pairs)[2])
-    replies = pairs.select("block", "bucket", "totals", F.lit(True).alias("pairs")).unionByName(words.select("block", "bucket", "totals", F.lit(False).alias("pairs")))
-    partial = materialise(partials(tokens, replies, rates, buckets), "partial")
-    for done in (tokens, words, pairs):
+    grams, contexts, meta = _stored(spark, model) if model else (None, None, {})
+    order, buckets = meta.get("order", order), meta.get("buckets", buckets * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    held = F.lit(True) if model else held_out if held_out is not None else F.lit(False)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), held.alias("held"), F.col(text).alias("text"))
+    tokens = materialise(tokenised(rows, block_tokens, buckets), "tokens")
+    trained = tokens.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    facts = Facts(order, buckets, meta.get("docs", trained[0]), meta.get("tokens", trained[1]))
+    tables: list[DataFrame] = []
+    for level in range(1, order + 1):
+        replies = None
+        for n, t in enumerate(tables, 1):
+            part = t.where(F.col("block") != MODEL).select("block", F.lit(n).cast("long").alias("level"), "bucket", "totals", "ranks")
+            replies = part if replies is None else replies.unionByName(part)
+        asked = asked_words(tokens, facts) if level == 1 else asked_grams(tokens, replies, facts, level)
+        if grams is not None:
+            asked = asked.unionByName(grams.where(F.col("level") == level).select(F.lit(MODEL).cast("long").alias("block"), "bucket", "a", "b", F.col("totals").alias("counts")))
+        tables.append(materialise(told(asked, level == 1), f"grams-{level}"))
+        types, counted = _figures(tables[-1])
+        facts.slopes[level] = slope(counted)
+        if level == 1:
+            facts.types = types
+            facts.unknown = _left_for_unknown(tables[0], facts)
+    replies = None
+    for n, t in enumerate(tables, 1):
+        part = t.where(F.col("block") != MODEL).select("block", F.lit(n).cast("long").alias("level"), "bucket", "totals", "ranks")
+        replies = part if replies is None else replies.unionByName(part)
+    partial = materialise(partials(tokens, replies, facts), "partial")
+    asked = partial.where(F.col("bucket") != MODEL)
+    if contexts is not None:
+        asked = asked.unionByName(contexts.select(F.lit(MODEL).cast("long").alias("block"), "level", "bucket", "a", "b", "c", F.lit(None).cast("binary").alias("d")))
+    found = materialise(sums(asked), "sums")
+    if keep:
+        own = [t.where(F.col("block") == MODEL).select(F.lit(n).cast("long").alias("level"), "bucket", "a", "b", "totals") for n, t in enumerate(tables, 1)]
+        for n, t in enumerate(own):
+            t.write.mode("append" if n else "errorifexists").partitionBy("level").parquet(f"{keep}/grams")
+        found.where(F.col("block") == MODEL).select("level", "bucket", "a", "b", "c").write.parquet(f"{keep}/contexts")
+        spark.createDataFrame([(json.dumps({"order": order, "buckets": buckets, "docs": facts.docs, "tokens": facts.tokens}),)], "value string").coalesce(1).write.text(f"{keep}/meta")
+    for done in (tokens, *tables):
         forget(done)
-    logs = materialise(weights(partial.where("bucket >= 0").select("block", "bucket", "a", "b", "c", "d")), "weights")
-    return finished(partial.where("bucket < 0").drop("bucket"), logs, rates)
+    return finished(partial.where(F.col("bucket") == MODEL), found.where(F.col("block") != MODEL), facts)
