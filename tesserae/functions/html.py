@@ -1,6 +1,7 @@
 """Text of HTML pages, as pandas functions over the standard library's parser."""
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -38,7 +39,26 @@ class _Reader(HTMLParser):
     def __init__(self, widgets_only: bool):
         super().__init__(convert_charrefs=True)
         self.widgets_only, self.found = widgets_only, []
-        self.hidden, self.open = 0, [("", False, False)]
+        self.hidden, self.open, self.unclosed = 0, [("", False, False)], False
+
+    # The whole page is fed at once, so one search that finds no end holds for every later opening: without this, the
+    # parser searches the rest of the page again for each comment that is never closed. The results are its own.
+
+    def parse_comment(self, i, report=1):
+        end = -1 if self.unclosed else super().parse_comment(i, report)
+        if end >= 0:
+            return end
+        self.unclosed = True
+        if self.rawdata.find(">", i) >= 0:
+            return -1
+        self.handle_data(unescape(self.rawdata[i:]))  # no tag ends from here on: all that is left is text
+        return len(self.rawdata)
+
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # of a kind that the parser does not know
+            return self.parse_bogus_comment(i, report)
 
     def boundary(self, *_):
         self.found.append(" ")
@@ -70,14 +90,9 @@ class _Reader(HTMLParser):
 
 
 def page_text(html: str | None, widgets_only: bool = False) -> str:
-    """White-space-collapsed text. A comment that is never closed is cut off with all that follows it:
-    some versions of the parser take quadratic time over such openings."""
+    """White-space-collapsed text of the whole page, or of its review widgets."""
     if not html:
         return ""
-    last = html.rfind("<!--")
-    if last >= 0 and html.find("-->", last) < 0:
-        closed = html.rfind("-->")
-        html = html[: html.find("<!--", closed + 3 if closed >= 0 else 0)]
     reader = _Reader(widgets_only)
     reader.feed(html)
     reader.close()
@@ -104,6 +119,16 @@ def review_text(html: Column) -> Column:
     return run(html)
 
 
+def page_texts(html: Column) -> Column:
+    """struct<page, reviews>: both texts in one pass to Python and back."""
+
+    @F.pandas_udf("page string, reviews string")
+    def run(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"page": pages.map(page_text), "reviews": pages.map(lambda p: page_text(p, True))}, dtype=object)
+
+    return run(html)
+
+
 def decoded(data: Column, charset: Column) -> Column:
     """Bytes as text in the declared charset, else UTF-8; malformed bytes become U+FFFD."""
 

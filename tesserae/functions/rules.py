@@ -18,10 +18,20 @@ THIN_EVIDENCE = 8
 REJECTION_MARKERS = ("verbatim", "not an enabled connector", "span", "not a registered finding kind", "required")
 
 
+_ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
+_LAST_SECOND = 253_402_300_799  # of the year 9999
+
+
 def moment(value: Column) -> Column:
-    """A timestamp (UTC) from text that holds epoch seconds or an ISO date; null where it is neither."""
+    """A timestamp (UTC): of a number, those epoch seconds; of text, epoch seconds where it is digits only, else a whole
+    ISO date, UTC where it names no zone. Null where it is neither."""
+    numeric = F.rlike(F.typeof(value), F.lit("^(tinyint|smallint|int|bigint|float|double|decimal.*)$"))
     text = F.trim(value.cast("string"))
-    return F.when(F.rlike(text, F.lit(r"^[0-9]+(\.[0-9]+)?$")), F.timestamp_seconds(text.try_cast("double"))).otherwise(text.try_cast("timestamp"))
+    seconds = F.when(numeric, value.try_cast("double")).when(F.rlike(text, F.lit("^[0-9]+$")), text.try_cast("double"))
+    part = lambda i, default: F.coalesce(F.nullif(F.regexp_extract(text, _ISO, i), F.lit("")), F.lit(default))
+    zone = F.regexp_replace(F.regexp_replace(part(6, "Z"), r"^([+-]\d{2})$", "$1:00"), r"^([+-]\d{2})(\d{2})$", "$1:$2")
+    iso = F.when(F.rlike(text, F.lit(_ISO)), F.concat(part(1, ""), F.lit("T"), part(2, "00"), F.lit(":"), part(3, "00"), F.lit(":"), part(4, "00"), F.lit("."), part(5, "0"), zone).try_cast("timestamp"))
+    return F.when(numeric | F.rlike(text, F.lit("^[0-9]+$")), F.when(F.abs(seconds) <= _LAST_SECOND, F.timestamp_seconds(F.when(F.abs(seconds) <= _LAST_SECOND, seconds)))).otherwise(iso)
 
 
 def first_given(*fields: Column) -> Column:
@@ -89,14 +99,23 @@ def is_object_missing(code: Column, status: Column) -> Column:
     return F.coalesce((code == "not_found") & (status.cast("string") == "404"), F.lit(False))
 
 
-def credit_status(status: Column) -> Column:
-    return F.when(status == 402, "exhausted").when(status == 429, "rate_limited").otherwise("ok")
+# What the body of a refusal says where it is about credits.
+CREDIT_MARKERS = ("credit", "quota")
+# The headers that may hold the credits left and the cost of a call, the later ones preferred.
+CREDITS_LEFT_HEADERS = ("x-credits-remaining", "x-credit-remaining", "credits-remaining")
+CREDIT_COST_HEADERS = ("x-credit-cost", "credit-cost", "x-credits-used")
+
+
+def credit_status(status: Column, body: Column | None = None) -> Column:
+    """402 is exhausted, and so is a 403 whose body speaks of credits; 429 is rate_limited, all else ok."""
+    about = F.coalesce(F.rlike(F.lower(body), F.lit("|".join(CREDIT_MARKERS))), F.lit(False)) if body is not None else F.lit(False)
+    return F.when((status == 402) | ((status == 403) & about), "exhausted").when(status == 429, "rate_limited").otherwise("ok")
 
 
 def credit_figures(headers: Column) -> Column:
     """struct<credits_remaining, credit_cost>: the first header of each list that holds an integer, later names winning."""
     pick = lambda names: F.coalesce(*[headers[n].try_cast("long") for n in reversed(names)])
-    return F.struct(pick(("x-credits-remaining", "x-credit-remaining", "credits-remaining")).alias("credits_remaining"), pick(("x-credit-cost", "credit-cost", "x-credits-used")).alias("credit_cost"))
+    return F.struct(pick(CREDITS_LEFT_HEADERS).alias("credits_remaining"), pick(CREDIT_COST_HEADERS).alias("credit_cost"))
 
 
 def robots_state(status: Column) -> Column:

@@ -17,12 +17,13 @@ def struct(**fields: T.DataType) -> T.StructType:
 
 
 _S = T.StringType()
+# The fields of model responses.
 QUOTE = struct(quote=_S, type=_S, theme=_S, product_area=_S, confidence=_S)
 FINDING = struct(fact_type=_S, statement=_S, detail=_S, evidence=_S, confidence=_S)
 EXTRACTION = struct(quotes=T.ArrayType(QUOTE), findings=T.ArrayType(FINDING))
 LABEL = struct(verdict=_S, rationale=_S)
 SYNTHESIS = struct(title=_S, pains=T.ArrayType(struct(theme=_S, summary=_S, evidence_refs=T.ArrayType(struct(kind=_S, id=_S)))))
-WHITESPACE = struct(title=_S, candidates=T.ArrayType(struct(angle_key=_S, summary=_S)))
+WHITESPACE = struct(candidates=T.ArrayType(struct(angle_key=_S, summary=_S)))
 
 
 def has_exactly(json: Column, keys: tuple[str, ...]) -> Column:
@@ -30,6 +31,38 @@ def has_exactly(json: Column, keys: tuple[str, ...]) -> Column:
     return F.coalesce(F.array_sort(F.json_object_keys(json)) == F.array(*[F.lit(k) for k in sorted(keys)]), F.lit(False))
 
 
+def raw_items(json: Column, field: str) -> Column:
+    """The items of a list field, each as its JSON text; null where there is no such list."""
+    return F.from_json(json, struct(**{field: T.ArrayType(_S)}))[field]
+
+
+def exact_keys(json: Column, shape: T.StructType) -> Column:
+    """Whether a JSON object, and every object in its lists, has the keys of the shape and no others."""
+    ok = has_exactly(json, tuple(shape.names))
+    for f in shape.fields:
+        if isinstance(f.dataType, T.ArrayType):
+            items = raw_items(json, f.name)
+            ok = ok & F.coalesce(_each_exact(items, f.dataType.elementType) if isinstance(f.dataType.elementType, T.StructType) else items.isNotNull(), F.lit(False))
+    return ok
+
+
+def _each_exact(items: Column, shape: T.StructType) -> Column:
+    return F.forall(items, lambda x: exact_keys(x, shape))
+
+
+def json_schema(shape: T.StructType, domains: dict[str, tuple[str, ...]] | None = None) -> dict:
+    """The JSON schema of a response: all keys required, no others, closed lists where a domain is given by field name."""
+    def one(name: str, t: T.DataType) -> dict:
+        if isinstance(t, T.StructType):
+            return json_schema(t, domains)
+        if isinstance(t, T.ArrayType):
+            return {"type": "array", "items": one(name, t.elementType)}
+        own = {"type": "string"}
+        return own | {"enum": list(domains[name])} if domains and name in domains else own
+
+    return {"type": "object", "properties": {f.name: one(f.name, f.dataType) for f in shape.fields}, "required": shape.names, "additionalProperties": False}
+
+
 def is_filled(s: Column) -> Column:
     return F.coalesce(F.trim(s) != "", F.lit(False))
 
@@ -46,3 +79,17 @@ def is_quote(q: Column) -> Column:
 
 def is_finding(f: Column) -> Column:
     return is_filled(f["statement"]) & is_filled(f["evidence"]) & F.coalesce(f["fact_type"].isin(*FACT_TYPES) & f["confidence"].isin(*CONFIDENCES), F.lit(False))
+
+
+def is_synthesis(json: Column) -> Column:
+    """A well-formed synthesis: exact keys throughout, a title, pains with theme and summary, references of a known kind with an id."""
+    r = F.from_json(json, SYNTHESIS)
+    ref = lambda x: F.coalesce(x["kind"].isin(*EVIDENCE_KINDS), F.lit(False)) & is_filled(x["id"])
+    pains = F.forall(r["pains"], lambda p: is_filled(p["theme"]) & is_filled(p["summary"]) & F.coalesce(F.forall(p["evidence_refs"], ref), F.lit(False)))
+    return exact_keys(json, SYNTHESIS) & is_filled(r["title"]) & F.coalesce(pains, F.lit(False))
+
+
+def is_whitespace(json: Column) -> Column:
+    """A well-formed whitespace answer: exact keys, candidates with an angle key and a summary."""
+    r = F.from_json(json, WHITESPACE)
+    return exact_keys(json, WHITESPACE) & F.coalesce(F.forall(r["candidates"], lambda c: is_filled(c["angle_key"]) & is_filled(c["summary"])), F.lit(False))

@@ -1,9 +1,15 @@
 """Containment joins: quotes in the texts that they claim to come from."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tesserae.functions.text import is_verbatim, normalize, span
+from tesserae.session import ship
 
 
 def admit(candidates: DataFrame, texts: DataFrame, on: str, quote: str, text: str) -> DataFrame:
@@ -14,19 +20,63 @@ def admit(candidates: DataFrame, texts: DataFrame, on: str, quote: str, text: st
     return joined.withColumn("admitted", F.coalesce(is_verbatim(F.col("_text"), F.col(quote)), F.lit(False))).withColumn("source_start", found["start"]).withColumn("source_end", found["end"]).drop("_text")
 
 
-def containing(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, text_id: str, text: str) -> DataFrame:
+AUTOMATON_CHARS = 1 << 20  # characters of quotes that one automaton holds, some 100 MB in a worker
+
+
+def containing(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, text_id: str, text: str, most_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """(quote_id, text_id) for every normalised, non-empty quote that a normalised text contains.
 
-    A quote's second to fourth words are whole words wherever it occurs, so that triple is looked up among
-    the texts' triples by an equi-join, and only the hits are compared in full. Quotes of fewer than five
-    words take the plain join, which is small as long as they are few.
+    Quotes whose size is checked to be at most `most_chars` become an automaton that every task runs over its texts: one
+    scan, no join, no shuffle. Of more quotes, those of five words or more are looked up by an equi-join: a quote's second
+    to fourth words are whole words wherever it occurs, so that triple is met among the texts' triples, and only the hits
+    are compared in full. The shorter ones go through automata of bounded size, one scan for each.
     """
-    q = quotes.select(F.col(quote_id), normalize(F.col(quote)).alias("_quote")).where("_quote <> ''").withColumn("_words", F.split("_quote", " "))
+    q = quotes.select(F.col(quote_id), normalize(F.col(quote)).alias("_quote")).where("_quote <> ''")
     t = texts.select(F.col(text_id), normalize(F.col(text)).alias("_text"))
+    size = lambda rows: rows.agg(F.coalesce(F.sum(F.length("_quote")), F.lit(0))).first()[0]
+    if size(q) <= most_chars:
+        return _scanned(q, t, quote_id, text_id)
+    words = F.size(F.split("_quote", " "))
+    hits = _looked_up(q.where(words >= 5), t, quote_id, text_id)
+    short = q.where(words < 5)
+    parts = -(-size(short) * 2 // most_chars) or 1  # dealt by hash, so that each stays within the bound
+    for i in range(parts):
+        hits = hits.unionByName(_scanned(short.where(F.pmod(F.xxhash64(quote_id), F.lit(parts)) == i), t, quote_id, text_id))
+    return hits
+
+
+def _scanned(q: DataFrame, t: DataFrame, quote_id: str, text_id: str) -> DataFrame:
+    held: dict[str, list] = {}
+    for row in q.collect():
+        held.setdefault(row["_quote"], []).append(row[quote_id])
+    ship(t.sparkSession)
+    types = T.StructType([T.StructField(quote_id, q.schema[quote_id].dataType), T.StructField(text_id, t.schema[text_id].dataType)])
+    if not held:
+        return t.sparkSession.createDataFrame([], types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for words, ids in held.items():
+            automaton.add_word(words, ids)
+        automaton.make_automaton()
+        for batch in batches:
+            found, where = [], []
+            for i, body in enumerate(batch["_text"]):
+                if body.is_valid:
+                    ids = [x for hit in {id(v): v for _, v in automaton.iter(body.as_py())}.values() for x in hit]
+                    found += ids
+                    where += [i] * len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(found, to_arrow_type(types[0].dataType)), batch[text_id].take(pa.array(where, pa.int64()))], names=[quote_id, text_id])
+
+    return t.select(text_id, "_text").mapInArrow(run, types)
+
+
+def _looked_up(q: DataFrame, t: DataFrame, quote_id: str, text_id: str) -> DataFrame:
     triple = lambda a, at: F.xxhash64(F.array_join(F.slice(a, at, 3), " "))
     words = F.split("_text", " ")
     triples = t.withColumn("_words", words).where(F.size("_words") >= 3).select(text_id, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_words") - 2), lambda i: triple(F.col("_words"), i)))).alias("_h"))
-    keyed = q.where(F.size("_words") >= 5).select(quote_id, "_quote", triple(F.col("_words"), 2).alias("_h"))
+    keyed = q.select(quote_id, "_quote", triple(F.split("_quote", " "), 2).alias("_h"))
     hits = triples.join(keyed, "_h").select(text_id, quote_id, "_quote").join(t, text_id).where(F.contains("_text", F.col("_quote")))
-    short = q.where(F.size("_words") < 5).join(t, F.contains("_text", F.col("_quote")))
-    return hits.select(quote_id, text_id).unionByName(short.select(quote_id, text_id))
+    return hits.select(quote_id, text_id)

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.folds import kind, streamed
 from tesserae.operators.pick import top_by
 
 # Seconds after which a claimed job counts as stale, by kind.
@@ -40,17 +41,23 @@ NEXT = {"queued": ("claimed",), "claimed": ("running", "failed"), "running": ("d
 
 def folded_states(events: DataFrame, job: str, order: list[str], wanted: str, claimant: str) -> DataFrame:
     """(job, status, holder, accepted, rejected): events in order move a job only along NEXT, and only its
-    holder may move it after the claim; all else is rejected and changes nothing. A job's events are one fold."""
-    rows = F.sort_array(F.collect_list(F.struct(*[F.col(o) for o in order], F.col(wanted).alias("w"), F.col(claimant).cast("string").alias("c"))))
-    start = F.struct(F.lit("queued").alias("status"), F.lit(None).cast("string").alias("holder"), F.lit(0).cast("long").alias("accepted"), F.lit(0).cast("long").alias("rejected"))
-    allowed = F.create_map(*[x for k, v in NEXT.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
-
-    def step(acc, e):
-        ok = F.array_contains(allowed[acc["status"]], e["w"]) & ((acc["status"] == "queued") | acc["holder"].eqNullSafe(e["c"]))
-        return F.struct(
-            F.when(ok, e["w"]).otherwise(acc["status"]).alias("status"), F.when(ok, e["c"]).otherwise(acc["holder"]).alias("holder"),
-            (acc["accepted"] + F.when(ok, 1).otherwise(0)).alias("accepted"), (acc["rejected"] + F.when(ok, 0).otherwise(1)).alias("rejected"),
-        )
-
-    folded = events.groupBy(job).agg(F.aggregate(rows, start, step).alias("s"))
-    return folded.select(job, "s.*")
+    holder may move it after the claim; all else is rejected and changes nothing. Events of a job are streamed."""
+
+    def fold(k, rows):
+        status, holder, accepted, rejected = "queued", None, 0, 0
+        for row in rows:
+            w, c = row[-2:]
+            if w in NEXT[status] and (status == "queued" or holder == c):
+                status, holder, accepted = w, c, accepted + 1
+            else:
+                rejected += 1
+        yield k, status, holder, accepted, rejected
+
+    rows = events.select(job, *[o for o in order if o != job], F.col(wanted).alias("_w"), F.col(claimant).cast("string").alias("_c"))
+    return streamed(rows, job, order, ["_w", "_c"], f"{job} {kind(events, job)}, status string, holder string, accepted long, rejected long", fold)
+
+
+def reaped_counts(jobs: DataFrame) -> DataFrame:
+    """(job_kind, reaped) over what `reaped` returned, and a row for all kinds together."""
+    n = F.count(F.when(F.col("stale"), 1)).alias("reaped")
+    return jobs.groupBy("job_kind").agg(n).unionByName(jobs.agg(n).withColumn("job_kind", F.lit("all")))

@@ -1,9 +1,10 @@
 """Prices, reservations and what is left of a budget."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.rules import PRICE_CARDS
+from tesserae.functions.rules import MODEL_RATES, PRICE_CARDS, cents
+from tesserae.operators.folds import kind, streamed
 
 
 def price_cards(spark, overrides: DataFrame | None = None) -> DataFrame:
@@ -36,21 +37,57 @@ def settled(reserves: DataFrame, settlements: DataFrame, ref: str) -> DataFrame:
     return reserves.join(once, ref, "left").withColumn("overspent", F.coalesce(F.col("actual_cents") > F.col("est_cents"), F.lit(False)))
 
 
-def reserve_fold(calls: DataFrame, project: str, ref: str, at: str, est: str, ceiling: Column) -> DataFrame:
-    """(project, ref, outcome): calls in order reserve while the sum stays within the ceiling; a refused call
-    reserves nothing and a repeated ref is skipped. A project's calls are one ordered fold."""
-    order = F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(ref).alias("ref"), F.col(est).cast("long").alias("est"))))
-    folded = calls.groupBy(project).agg(order.alias("_calls"), F.first(ceiling).alias("_cap"))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<string>").alias("refs"), F.array().cast("array<struct<ref:string,outcome:string>>").alias("out"))
-
-    def step(acc, c):
-        seen = F.array_contains(acc["refs"], c["ref"].cast("string"))
-        ok = ~seen & (acc["spent"] + c["est"] <= F.col("_cap"))
-        outcome = F.when(seen, "skip").when(ok, "ok").otherwise("refused")
-        return F.struct(
-            F.when(ok, acc["spent"] + c["est"]).otherwise(acc["spent"]).alias("spent"),
-            F.when(ok, F.array_append(acc["refs"], c["ref"].cast("string"))).otherwise(acc["refs"]).alias("refs"),
-            F.array_append(acc["out"], F.struct(c["ref"].cast("string").alias("ref"), outcome.alias("outcome"))).alias("out"),
-        )
-
-    return folded.select(project, F.explode(F.aggregate("_calls", start, step, lambda a: a["out"])).alias("o")).select(project, F.col("o.ref").alias(ref), F.col("o.outcome").alias("outcome"))
+def reserve_fold(calls: DataFrame, project: str, ref: str, at: str, est: str, ceiling: int) -> DataFrame:
+    """(project, ref, outcome): calls in order reserve while the sum stays within the ceiling. A ref that is
+    reserved already is skipped, a call without a price has none, one that a guard blocked is blocked, one over the
+    ceiling is refused; none of these reserves anything. `blocked`, where calls have it, is the guard's decision.
+
+    Calls are streamed; what a project's stream holds is the refs that it has reserved, each of which costs a part of the ceiling.
+    """
+    guarded = F.col("blocked") if "blocked" in calls.columns else F.lit(False)
+    rows = calls.select(project, F.col(at).alias("_at"), F.col(ref).cast("string").alias(ref), F.col(est).cast("long").alias("_est"), F.coalesce(guarded, F.lit(False)).alias("_blocked"))
+
+    def fold(k, given):
+        total, reserved = 0, set()
+        for _, _, r, cost, blocked in given:
+            if r in reserved:
+                outcome = "skip"
+            elif blocked:
+                outcome = "blocked"
+            elif cost is None:
+                outcome = "unpriced"
+            elif total + cost > ceiling:
+                outcome = "refused"
+            else:
+                outcome, total = "ok", total + cost
+                reserved.add(r)
+            yield k, r, outcome
+
+    return streamed(rows, project, ["_at", ref, "_est"], ["_blocked"], f"{project} {kind(calls, project)}, {ref} string, outcome string", fold)
+
+
+def running_costs(calls: DataFrame, key: str, order: list[str], cost: str, checkpoint: Column) -> DataFrame:
+    """calls with `running` (the sum so far) and, at checkpoints, `drained`: what came since the checkpoint before."""
+    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = calls.withColumn("running", F.sum(F.coalesce(F.col(cost), F.lit(0))).over(upto)).withColumn("_mark", F.when(checkpoint, F.col("running")))
+    before = F.last("_mark", ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return out.withColumn("drained", F.when(checkpoint, F.col("running") - F.coalesce(before, F.lit(0)))).drop("_mark")
+
+
+def rate_table(spark) -> DataFrame:
+    """(model, rate_in, rate_out): dollars for a million tokens."""
+    return spark.createDataFrame([(m, i, o) for m, (i, o) in MODEL_RATES.items()], "model string, rate_in double, rate_out double")
+
+
+def rated(calls: DataFrame, rates: DataFrame, model: str, tokens_in: str, tokens_out: str) -> DataFrame:
+    """calls with actual_cents by the rates of their model; a model without a rate is an error when the rows are read."""
+    met = calls.join(F.broadcast(rates.withColumnRenamed("model", "_model")), F.col(model) == F.col("_model"), "left")
+    missing = F.raise_error(F.concat(F.lit("no rate for model "), F.coalesce(F.col(model), F.lit("null")))).cast("long")
+    return met.withColumn("actual_cents", F.when(F.col("_model").isNull(), missing).otherwise(cents(F.col(tokens_in), F.col(tokens_out), F.col("rate_in"), F.col("rate_out")))).drop("_model", "rate_in", "rate_out")
+
+
+def settled_with_retries(attempts: DataFrame, ref: str, attempt: str, ok: str, most: int = 3) -> DataFrame:
+    """(ref, attempts, settled): attempts in order up to the first that succeeds, `most` at the most."""
+    used = attempts.where(F.col(attempt) < most)
+    first = used.groupBy(ref).agg(F.min(F.when(F.col(ok), F.col(attempt))).alias("_ok"), F.count("*").alias("_n"))
+    return first.select(ref, F.coalesce(F.col("_ok") + 1, F.col("_n")).alias("attempts"), F.col("_ok").isNotNull().alias("settled"))

@@ -1,10 +1,13 @@
 """Rolling windows and rate limits. A decision that depends on earlier decisions is an ordered fold over
 its key's rows; plain counts are range windows."""
 
-import pandas as pd
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.folds import streamed
+
 HOUR, DAY = 3600, 86_400
 
 
@@ -21,20 +24,18 @@ def admissions(calls: DataFrame, key: str, seconds: str, call: str, per_hour: in
     soft = max(1, int(0.8 * per_hour))
     columns = f"{key} long, {call} long, {seconds} long, admitted boolean, reason string, warned boolean"
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([seconds, call], kind="stable")
-        held: list[int] = []
-        out = []
-        for k, c, now in zip(rows[key], rows[call], rows[seconds], strict=True):
-            held = [t for t in held if now - t <= DAY]
+    def fold(k, rows):
+        held: deque[int] = deque()  # the times admitted in the last day, `per_day` at most
+        for _, now, c in rows:
+            while held and now - held[0] > DAY:
+                held.popleft()
             hour = sum(now - t <= HOUR for t in held)
             reason = "hour" if hour >= per_hour else "day" if len(held) >= per_day else None
             if reason is None:
                 held.append(now)
-            out.append((k, c, now, reason is None, reason, reason is None and hour + 1 >= soft))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in columns.split(", ")])
+            yield k, c, now, reason is None, reason, reason is None and hour + 1 >= soft
 
-    return calls.select(F.col(key).cast("long"), F.col(call).cast("long"), F.col(seconds).cast("long")).groupBy(key).applyInPandas(fold, columns)
+    return streamed(calls.select(F.col(key).cast("long"), F.col(call).cast("long"), F.col(seconds).cast("long")), key, [seconds, call], [], columns, fold)
 
 
 def capped_pages(pages: DataFrame, host: str, order: list[Column], cap: int, allowed: Column | None = None) -> DataFrame:
@@ -55,17 +56,14 @@ def schedule(requests: DataFrame, host: str, seconds: str, tie: str, interval: i
     pages over the cap are refused and take no time. Requests that are no pages use time only."""
     columns = f"{host} string, {tie} long, starts long, refused boolean"
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([seconds, tie], kind="stable")
-        last, pages, out = None, 0, []
-        for h, t, now, is_page in zip(rows[host], rows[tie], rows[seconds], rows[page], strict=True):
+    def fold(h, rows):
+        last, pages = None, 0
+        for _, now, t, is_page in rows:
             if is_page and pages >= cap:
-                out.append((h, t, None, True))
+                yield h, t, None, True
                 continue
             pages += bool(is_page)
             last = now if last is None else max(now, last + interval)
-            out.append((h, t, last, False))
-        return pd.DataFrame(out, columns=["h", "t", "s", "r"]).set_axis([x.split()[0] for x in columns.split(", ")], axis=1)
-
-    return requests.groupBy(host).applyInPandas(fold, columns)
+            yield h, t, last, False
 
+    return streamed(requests, host, [seconds, tie], [page], columns, fold)

@@ -90,3 +90,48 @@ def bounded_buffer(df: DataFrame, at: str, tie: str, most: int, chunk: int) -> D
     kept = df.orderBy(F.col(at).desc(), F.col(tie).desc()).limit(most)
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(at, tie)) - 1  # at most `most` rows
     return kept.withColumn("place", place).withColumn("chunk", F.floor(F.col("place") / chunk).cast("long"))
+
+
+def snapshot_headers(ads: DataFrame, entity: str, ad: str) -> DataFrame:
+    """(entity, ad_count, first_ad, snapshot_id): one row for each entity, aggregated before the shuffle; the id follows from
+    the number, the least, the greatest and the sum of the ads' numbers. The ads themselves are rows, not a list."""
+    figures = ads.groupBy(entity).agg(F.count("*").alias("ad_count"), F.min(ad).alias("first_ad"), F.max(ad).alias("_last"), F.sum(ad).alias("_sum"))
+    digest = F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in (entity, "ad_count", "first_ad", "_last", "_sum")]), 256)
+    return figures.select(entity, "ad_count", "first_ad", digest.alias("snapshot_id"))
+
+
+def buffer_flushes(events: DataFrame, at: str, tie: str, flush: int = 25) -> DataFrame:
+    """(flush_no, n, first, last) of a buffer that is sent whenever it holds `flush` events; the last may hold fewer.
+
+    Places are counted within hash partitions of time first, then offset by those before: no task sees all events.
+    """
+    day = F.date_trunc("day", at)
+    per_day = events.groupBy(day.alias("_day")).agg(F.count("*").alias("_n"))
+    before = per_day.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each day
+    place = F.row_number().over(Window.partitionBy("_day").orderBy(at, tie)) - 1
+    placed = events.withColumn("_day", day).withColumn("_place", place).join(F.broadcast(before), "_day")
+    return placed.groupBy(F.floor((F.col("_before") + F.col("_place")) / flush).cast("long").alias("flush_no")).agg(F.count("*").alias("n"), F.min(tie).alias("first"), F.max(tie).alias("last"))
+
+
+def dropped_from_buffer(events: DataFrame, most: int) -> DataFrame:
+    """One row: how many events came and how many a buffer of `most` has dropped."""
+    return events.agg(F.count("*").alias("seen")).withColumn("dropped", F.greatest(F.lit(0), F.col("seen") - most))
+
+
+def minted(existing: DataFrame, new: DataFrame, keys: list[str], order: list[Column], id_: str) -> DataFrame:
+    """The new rows, the first of each key, with the id that stands for them: that of the row already there, else their own; `inserted` says which."""
+    first = first_by(new, keys, order)
+    there = first_by(existing.select(*keys, F.col(id_).alias("_there")), keys, [F.col("_there")])
+    out = first.join(there, keys, "left").withColumn("inserted", F.col("_there").isNull())
+    return out.withColumn(id_, F.coalesce("_there", id_)).drop("_there")
+
+
+def run_states(started: DataFrame, finished: DataFrame, run: str, order: str) -> DataFrame:
+    """Started runs with the status and the end of their last finish; `running` where none came. Finishes of unknown runs are left out."""
+    last = first_by(finished, [run], [F.col(order).desc()]).select(run, "status", F.col(order).alias("finished_at"))
+    return started.join(last, run, "left").withColumn("status", F.coalesce("status", F.lit("running")))
+
+
+def replaced(existing: DataFrame, new: DataFrame, group: list[str]) -> DataFrame:
+    """Delete, then insert: the groups of the new rows are theirs alone."""
+    return existing.join(new.select(*group).distinct(), group, "left_anti").unionByName(new)

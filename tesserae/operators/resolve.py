@@ -1,27 +1,42 @@
 """Entity resolution by a cascade of ever looser matches."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import alnum_key
 
 
+def _best(options: DataFrame, on: Column, *order: Column) -> DataFrame:
+    """One row for each value of `on` that is not empty: the first name's key in this order, and how many names there are."""
+    first = F.min_by("_key", F.struct(*order, "_name", "_key"))
+    return options.select(on.alias("_on"), "_name", "_key").where("_on <> ''").groupBy("_on").agg(first.alias("_found"), F.count("*").alias("_n"))
+
+
 def resolve(probes: DataFrame, options: DataFrame, probe: str, name: str, key: str) -> DataFrame:
     """(probe, key, how): exact, case-insensitive, normalised (the shortest name), or the only normalised
-    prefix; key null and how `ambiguous` or `none` otherwise. An empty normal form matches nothing.
+    prefix; key null and how `ambiguous` or `none` otherwise. An empty normal form matches nothing, but a name that
+    has one still matches as it is written.
 
-    Each step is an equi-join: prefixes meet on the first characters of the normal form, as many as the
-    shortest probe has (a figure of the probe table, one number).
+    Every step reduces the options to one row for each value before an equi-join, so a probe never meets more than one
+    row, however many names begin with it. Prefixes are cut to the lengths that probes have.
     """
     p = probes.select(probe).distinct().withColumn("_pn", alnum_key(F.col(probe))).withColumn("_pl", F.lower(probe))
-    o = options.select(F.col(name).alias("_name"), F.col(key).alias("_key")).withColumn("_on", alnum_key(F.col("_name")))
-    width = p.where("_pn <> ''").agg(F.min(F.length("_pn"))).first()[0] or 1
-    left = p.where("_pn <> ''").withColumn("_w", F.substring("_pn", 1, width))
-    met = left.join(o.withColumn("_w", F.substring("_on", 1, width)), "_w").where(F.startswith("_on", F.col("_pn")))
-    step = F.when(F.col("_name") == F.col(probe), 1).when(F.lower("_name") == F.col("_pl"), 2).when(F.col("_on") == F.col("_pn"), 3).otherwise(4)
-    met = met.withColumn("_step", step)
-    n = met.withColumn("_prefixes", F.count("*").over(Window.partitionBy(probe)))
-    best = n.withColumn("_rank", F.row_number().over(Window.partitionBy(probe).orderBy("_step", F.length("_name"), "_name", "_key"))).where("_rank = 1")
-    how = F.when(F.col("_step").isNull(), "none").when(F.col("_step") == 1, "exact").when(F.col("_step") == 2, "case").when(F.col("_step") == 3, "normalized").when(F.col("_prefixes") == 1, "prefix").otherwise("ambiguous")
-    out = p.select(probe).join(best.select(probe, "_key", "_step", "_prefixes"), probe, "left").withColumn("how", how)
-    return out.select(probe, F.when(~F.col("how").isin("ambiguous", "none"), F.col("_key")).alias(key), "how")
+    o = options.select(F.col(name).alias("_name"), F.col(key).alias("_key"))
+    normal = alnum_key(F.col("_name"))
+    lengths = [n for n in p.agg(F.sort_array(F.collect_set(F.length("_pn")))).first()[0] or [] if n]  # no more than the longest name has letters
+    cut = F.array(*map(F.lit, lengths)).cast("array<int>")
+    starts = o.withColumn("_normal", normal).select("_name", "_key", F.explode(F.transform(F.filter(cut, lambda n: n <= F.length("_normal")), lambda n: F.substring("_normal", F.lit(1), n))).alias("_start"))
+    steps = [
+        ("exact", probe, _best(o, F.col("_name"))),
+        ("case", "_pl", _best(o, F.lower("_name"))),
+        ("normalized", "_pn", _best(o, normal, F.length("_name"))),
+        ("prefix", "_pn", _best(starts, F.col("_start"))),
+    ]
+    out = p
+    for how, on, found in steps:
+        out = out.join(found.select(F.col("_on").alias(f"_{how}_on"), F.col("_found").alias(f"_{how}"), F.col("_n").alias(f"_{how}_n")), F.col(on) == F.col(f"_{how}_on"), "left")
+    by = [(F.col(f"_{how}_n").isNotNull() & ((F.col(f"_{how}_n") == 1) if how == "prefix" else F.lit(True)), how) for how, _, _ in steps]
+    how, found = F.when(*[by[0][0], F.lit("exact")]), F.when(by[0][0], F.col("_exact"))
+    for there, step in by[1:]:
+        how, found = how.when(there, F.lit(step)), found.when(there, F.col(f"_{step}"))
+    return out.select(probe, found.alias(key), how.when(F.col("_prefix_n") > 1, F.lit("ambiguous")).otherwise("none").alias("how"))

@@ -49,3 +49,18 @@ def all_public(addresses: DataFrame, host: str, address: str) -> DataFrame:
     from tesserae.functions.urls import is_public
 
     return addresses.withColumn("_p", is_public(F.col(address))).groupBy(host).agg(F.bool_and("_p").alias("public"))
+
+
+def after_redirect(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """(key, outcome, body) of fetches that may follow one redirect, to the same host and public addresses only.
+
+    first: key, url, outcome, location, body; second, fetched from the resolved location: key, outcome, body, public.
+    """
+    from tesserae.functions.urls import resolved, same_host
+
+    target = resolved(F.col("url"), F.col("location"))
+    asked = first.withColumn("_follow", (F.col("outcome") == "redirect") & F.coalesce(same_host(F.col("url"), target), F.lit(False)))
+    met = asked.join(second.select(key, F.col("outcome").alias("_then"), F.col("body").alias("_body"), "public"), key, "left")
+    follows = F.col("_follow") & F.coalesce("public", F.lit(False))
+    outcome = F.when(follows, F.coalesce("_then", F.lit("error"))).when(F.col("_follow") & F.col("public").isNotNull(), "address").otherwise(F.col("outcome"))
+    return met.select(key, outcome.alias("outcome"), F.when(follows, F.col("_body")).when(F.col("outcome") == "ok", F.col("body")).alias("body"))

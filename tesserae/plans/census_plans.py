@@ -121,8 +121,7 @@ def theme_rollup(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id")
     rollup = census.theme_rollup(rows, "source", "lang", "doc_id")
     basis = F.broadcast(census.theme_basis(rollup).select("total_publishable", "thin_data"))
-    flat = rollup.select("theme", "quote_type", "n", F.element_at("member_ids", 1).alias("first_id"), F.element_at("member_ids", -1).alias("last_id"), "data_density", F.array_join("example_ids", ",").alias("example_ids"))
-    return flat.join(basis, F.lit(True))
+    return rollup.withColumn("example_ids", F.array_join("example_ids", ",")).join(basis, F.lit(True))
 
 
 @query("""WITH e AS (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0), c AS (SELECT DISTINCT source, doc_id FROM documents SEMI JOIN e USING (doc_id)),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import html, text, urls
 from tesserae.operators import grounding, limits, pick, verify
+from tesserae.plans import flows
 from tesserae.plans.registry import query
 from tesserae.sources import table
 
@@ -58,15 +59,34 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sha.alias("sha256"), F.md5("text").alias("md5"), F.substring(sha, 1, 16).alias("short_sha"), urls.content_path(sha).alias("path"))
 
 
-@query()
+#: DuckDB's form of the text of regular pages: hidden elements, comments and declarations, tags, the entities that occur.
+_DROPPED = lambda c, tag: f"regexp_replace({c}, '<{tag}[^>]*>.*?</{tag}>', ' ', 'gs')"
+_READ = lambda c: (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace("
+    + _DROPPED(_DROPPED(_DROPPED(_DROPPED(c, "script"), "style"), "noscript"), "template")
+    + r", '<!--.*?-->', ' ', 'gs'), '<![^>]*>', '', 'g'), '</?[a-zA-Z][^>]*>', ' ', 'g'), '&middot;', chr(183)), '&copy;', chr(169)), "
+    + r"""'&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&#39;', chr(39), 'g'), '&amp;?', '&', 'g')"""
+)
+_PAGE = lambda c: f"trim(regexp_replace({_READ(c)}, '{_SPACE}+', ' ', 'g'))"
+_HOST, _ORIGIN = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))", "regexp_extract(url, '^([a-z]+)://', 1) || '://' || lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, html, {_HOST} AS host, {_ORIGIN} AS origin, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^#]*)?', 1) AS path FROM pages),
+a AS (SELECT *, CASE length(origin) % 4 WHEN 0 THEN true WHEN 1 THEN NOT starts_with(path, '/en/1') WHEN 2 THEN true ELSE false END AS allowed FROM p),
+t AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS ordinal FROM a WHERE allowed QUALIFY ordinal <= 40),
+r AS (SELECT *, {_PAGE("html")} AS text FROM t), s AS (SELECT sha256({_PAGE("html")}) AS sha, url FROM pages WHERE page_id % 7 = 0),
+n AS (SELECT page_id, url, host, ordinal, sha256(html) AS raw_html_sha256, sha256(text) AS content_sha256, length(text) AS text_chars FROM r)
+SELECT *, 0 AS review_chars, 'captures/' || content_sha256 || '.html' AS captured_html_path, 'captures/' || content_sha256 || '.txt' AS text_path, 'text@v2' AS extractor_version
+FROM n WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.sha = content_sha256 AND s.url = n.url) QUALIFY row_number() OVER (PARTITION BY content_sha256, url ORDER BY page_id) = 1""")
 def capture_pipeline(spark, sf_dir):
-    """Pages to captures: capped by host, read as text, hashed twice, stored once, with their paths."""
-    pages = table(spark, sf_dir, "pages").withColumn("host", urls.canonical_host(F.col("url"))).where(urls.is_fetchable(F.col("url")))
-    taken = limits.capped_pages(pages, "host", [F.col("page_id")], 40)
-    read = taken.withColumn("text", html.canonical_text(F.col("html"))).withColumn("reviews", html.review_text(F.col("html")))
-    hashed = read.select("page_id", "url", "host", "ordinal", F.sha2("html", 256).alias("raw_html_sha256"), F.sha2("text", 256).alias("content_sha256"), F.length("text").alias("text_chars"), F.length("reviews").alias("review_chars"))
-    once = pick.first_by(hashed, ["content_sha256", "url"], [F.col("page_id")])
-    return once.withColumn("captured_html_path", urls.content_path(F.col("content_sha256"))).withColumn("extractor_version", F.lit(html.EXTRACTOR_VERSION))
+    """Planned pages to captures: robots, a cap for each host, both texts in one pass, two hashes, and nothing stored twice."""
+    pages = table(spark, sf_dir, "pages")
+    origins = pages.select(urls.canonical_origin(F.col("url")).alias("origin")).distinct()
+    kind = F.length("origin") % 4
+    robots_rules = origins.withColumn("status", F.when(kind == 0, 404).when(kind == 3, 500).otherwise(200)).withColumn("body", F.when(kind == 1, "User-agent: *\nDisallow: /en/1").when(kind == 2, ""))
+    stored = pages.where("page_id % 7 = 0").select(F.sha2(html.canonical_text(F.col("html")), 256).alias("content_sha256"), F.col("url").alias("source_url"))
+    found = flows.web_flow(pages, robots_rules, stored).withColumn("extractor_version", F.lit(html.EXTRACTOR_VERSION))
+    return found.select("page_id", "url", "host", F.col("ordinal").cast("long"), "raw_html_sha256", "content_sha256", F.length("text").cast("long").alias("text_chars"), F.length("reviews").alias("review_chars"), "captured_html_path", "text_path", "extractor_version")
 
 
 @query("""WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages)
@@ -98,11 +118,11 @@ def prompt_render(spark, sf_dir):
 _WORDS = "|".join(text.NUMBER_WORDS)
 
 
-@query(f"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN left(text, 200) || ' three pairs' WHEN 1 THEN left(text, 100) || ' pair, then' WHEN 2 THEN left(text, 80) || ' 42' ELSE left(text, 200) END AS summary FROM documents)
+@query(f"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text || ' three pairs' WHEN 1 THEN text || ' pair, then' WHEN 2 THEN text || ' 42' ELSE text END AS summary FROM documents)
 SELECT doc_id, regexp_matches(summary, '[0-9]') OR regexp_matches(' ' || regexp_replace(lower(summary), '[^\\p{{L}}]+', ' ', 'g') || ' ', ' ({_WORDS}) ') AS has_number FROM t""")
 def number_word_filter(spark, sf_dir):
     """Summaries that state a number."""
-    summary = "CASE doc_id % 5 WHEN 0 THEN left(text, 200) || ' three pairs' WHEN 1 THEN left(text, 100) || ' pair, then' WHEN 2 THEN left(text, 80) || ' 42' ELSE left(text, 200) END"
+    summary = "CASE doc_id % 5 WHEN 0 THEN text || ' three pairs' WHEN 1 THEN text || ' pair, then' WHEN 2 THEN text || ' 42' ELSE text END"
     return table(spark, sf_dir, "documents").select("doc_id", text.has_number(F.expr(summary)).alias("has_number"))
 
 

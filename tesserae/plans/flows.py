@@ -4,15 +4,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import html, rules, shapes, text, urls
-from tesserae.operators import cache, census, grounding, limits, pick, robots, verify
+from tesserae.operators import cache, census, grounding, ledger, limits, pick, robots, verify
 
 
-def ads_flow(ads: DataFrame, now: Column, cap: int = 30, max_images: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pulled ads to (snapshot rows, sample, images): keep-first by ad, a bounded sample, then the first media that are no videos."""
+MOST_REFS = 200  # Fixed value: the references that a synthesis may have.
+
+
+def ads_flow(ads: DataFrame, now: Column, cap: int = 30, max_images: int = 8, fetches: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pulled ads to (snapshot rows, sample, images): keep-first by ad, a bounded sample, then the first media that are no
+    videos; with `fetches` (media_url, outcome), the first that were fetched."""
     unique = pick.first_by(ads, ["ad_id"], [F.col("pos")])
     dated = unique.withColumn("days", rules.whole_days(F.col("start_date"), F.coalesce("end_date", now))).withColumn("active", rules.is_active(F.col("end_date"), now))
     sample = pick.stratified_sample(dated, "ad_id", "pos", "days", "active", cap)
-    images = sample.where("media_url IS NOT NULL AND media_type <> 'VIDEO'").orderBy("pos").limit(max_images)
+    images = sample.where("media_url IS NOT NULL AND media_type <> 'VIDEO'")
+    if fetches is not None:
+        images = images.join(fetches.where("outcome = 'ok'").select("media_url").distinct(), "media_url", "left_semi")
+    images = images.orderBy("pos").limit(max_images)
     return unique, sample, images
 
 
@@ -20,7 +27,7 @@ def web_flow(pages: DataFrame, rules_by_origin: DataFrame, stored: DataFrame, ca
     """Planned pages to new captures: robots, a cap for each host, text, two hashes, nothing stored twice."""
     allowed = robots.with_permission(pages.where(urls.is_fetchable(F.col("url"))), rules_by_origin, "url").withColumn("host", urls.canonical_host(F.col("url")))
     taken = limits.capped_pages(allowed, "host", [F.col("page_id")], cap, F.col("allowed"))
-    read = taken.withColumn("text", html.canonical_text(F.col("html")))
+    read = taken.withColumn("_t", html.page_texts(F.col("html"))).withColumn("text", F.col("_t.page")).withColumn("reviews", F.col("_t.reviews")).drop("_t")
     hashed = read.withColumn("raw_html_sha256", F.sha2("html", 256)).withColumn("content_sha256", F.sha2("text", 256)).withColumn("source_url", F.col("url"))
     new = pick.insert_absent(stored, hashed, ["content_sha256", "source_url"], [F.col("page_id")])
     return new.withColumn("captured_html_path", urls.content_path(F.col("content_sha256"))).withColumn("text_path", urls.content_path(F.col("content_sha256"), ".txt"))
@@ -29,10 +36,11 @@ def web_flow(pages: DataFrame, rules_by_origin: DataFrame, stored: DataFrame, ca
 def collect_flow(captures: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Captures and extraction answers to (quotes, findings, counts): well-formed rows that occur in the
     reviews (quotes) or in the page (evidence of findings). captures: capture_id, html; answers: capture_id, response."""
-    read = captures.select("capture_id", html.canonical_text(F.col("html")).alias("page"), html.review_text(F.col("html")).alias("reviews"))
-    parsed = answers.select("capture_id", F.from_json("response", shapes.EXTRACTION).alias("r"))
-    quotes = parsed.select("capture_id", F.posexplode("r.quotes").alias("pos", "q")).withColumn("well_formed", shapes.is_quote(F.col("q"))).select("capture_id", "pos", "well_formed", "q.*")
-    findings = parsed.select("capture_id", F.posexplode("r.findings").alias("pos", "f")).withColumn("well_formed", shapes.is_finding(F.col("f"))).select("capture_id", "pos", "well_formed", "f.*")
+    read = captures.select("capture_id", html.page_texts(F.col("html")).alias("_t")).select("capture_id", "_t.page", "_t.reviews")
+    items = lambda field: answers.select("capture_id", F.posexplode(shapes.raw_items(F.col("response"), field)).alias("pos", "raw"))
+    exact = lambda shape: shapes.has_exactly(F.col("raw"), tuple(shape.names))
+    quotes = items("quotes").withColumn("q", F.from_json("raw", shapes.QUOTE)).withColumn("well_formed", exact(shapes.QUOTE) & shapes.is_quote(F.col("q"))).select("capture_id", "pos", "well_formed", "q.*")
+    findings = items("findings").withColumn("f", F.from_json("raw", shapes.FINDING)).withColumn("well_formed", exact(shapes.FINDING) & shapes.is_finding(F.col("f"))).select("capture_id", "pos", "well_formed", "f.*")
     quotes = grounding.admit(quotes, read, "capture_id", "quote", "reviews").withColumn("admitted", F.col("admitted") & F.col("well_formed"))
     findings = grounding.admit(findings, read, "capture_id", "evidence", "page").withColumn("admitted", F.col("admitted") & F.col("well_formed"))
     kinds = quotes.select("capture_id", F.lit("quotes").alias("kind"), "admitted").unionByName(findings.select("capture_id", F.lit("findings").alias("kind"), "admitted"))
@@ -52,11 +60,13 @@ def verify_flow(evidence: DataFrame, captures: DataFrame, objects: DataFrame, la
 
 def voc_flow(quotes: DataFrame, evidence: DataFrame, answers: DataFrame) -> DataFrame:
     """Publishable quotes and synthesis answers to drafts: store_id, title, theme, summary, refs, confidence, thin_data.
-    Citations of what is not publishable go, and so do pains without any left. quotes: store_id, evidence_id, theme, type."""
-    parsed = answers.select("store_id", F.from_json("response", shapes.SYNTHESIS).alias("r")).where(shapes.is_filled(F.col("r.title")))
+    Answers that are not well-formed go, then citations of what is not publishable, and pains without any left. quotes: store_id, evidence_id, theme, type."""
+    parsed = answers.where(shapes.is_synthesis(F.col("response"))).select("store_id", F.from_json("response", shapes.SYNTHESIS).alias("r"))
     pains = parsed.select("store_id", "r.title", F.posexplode("r.pains").alias("pos", "p")).select("store_id", "title", "pos", "p.theme", "p.summary", F.posexplode("p.evidence_refs").alias("ref_pos", "ref"))
     refs = pains.select("store_id", "title", "pos", "theme", "summary", "ref_pos", F.col("ref.kind").alias("evidence_kind"), F.col("ref.id").alias("evidence_id"))
     valid = pick.first_by(census.cited(refs, evidence, ["store_id", "evidence_kind", "evidence_id"]), ["store_id", "pos", "evidence_kind", "evidence_id"], [F.col("ref_pos")])
+    cited_once = valid.groupBy("store_id").agg(F.count_distinct("evidence_kind", "evidence_id").alias("_refs")).where(F.col("_refs") <= MOST_REFS)
+    valid = valid.join(cited_once.select("store_id"), "store_id", "left_semi")  # a synthesis with more references is not created
     drafts = valid.groupBy("store_id", "title", "pos", "theme", "summary").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ref_pos", "evidence_kind", "evidence_id"))), lambda r: F.concat_ws(":", r["evidence_kind"], r["evidence_id"])), ",").alias("refs"))
     cited = valid.select("store_id", "evidence_kind", "evidence_id").distinct().groupBy("store_id").agg(F.count("*").alias("cited"))
     pool = evidence.groupBy("store_id").agg(F.count("*").alias("evidence"))
@@ -66,16 +76,31 @@ def voc_flow(quotes: DataFrame, evidence: DataFrame, answers: DataFrame) -> Data
     return out.select("store_id", "title", "pos", "theme", "summary", "refs", rules.confidence(F.col("evidence"), F.col("cited")).alias("confidence"), thin.alias("thin_data"), F.lit("draft").alias("status"))
 
 
-def whitespace_flow(registry: DataFrame, fallback: DataFrame, rollup: DataFrame, basis: DataFrame, answers: DataFrame) -> DataFrame:
-    """Whitespace answers to drafts: candidates of the registry, the first of each, without numbers of the model's own;
-    counts come from the rollup. rollup: id, angle_key, competitor_count, total_count; basis: coverage_gap, with_observations."""
+def whitespace_flow(registry: DataFrame, fallback: DataFrame, header: DataFrame, rollup: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Whitespace answers to (drafts, refs): candidates of the registry, the first of each, without numbers of the
+    model's own; counts come from the rollup. The references are the engine's own: the batch and all of its rows.
+
+    header: batch_id, coverage_gap, with_observations (its absence is an error); rollup: batch_id, id, angle_key,
+    competitor_count, total_count; answers: batch_id, response.
+    """
     live = census.active_registry(registry, fallback).where("angle_key <> 'unmapped'")
-    parsed = answers.select(F.from_json("response", shapes.WHITESPACE).alias("r")).select(F.posexplode("r.candidates").alias("pos", "c")).select("pos", "c.angle_key", "c.summary")
-    clean = parsed.where(shapes.is_filled(F.col("summary")) & ~text.has_number(F.col("summary")))
-    first = pick.first_by(pick.present(clean, live, ["angle_key"]), ["angle_key"], [F.col("pos")])
-    counted = census.with_absence(first.join(live, "angle_key"), rollup.select("angle_key", "competitor_count", "total_count"), ["angle_key"])
+    well_formed = answers.where(shapes.is_whitespace(F.col("response")))
+    parsed = well_formed.select("batch_id", F.posexplode(F.from_json("response", shapes.WHITESPACE)["candidates"]).alias("pos", "c")).select("batch_id", "pos", "c.angle_key", "c.summary")
+    clean = parsed.where(~text.has_number(F.col("summary")))
+    first = pick.first_by(pick.present(clean, live, ["angle_key"]), ["batch_id", "angle_key"], [F.col("pos")]).join(live, "angle_key")
+    counted = census.with_absence(first, rollup.select("batch_id", "angle_key", "competitor_count", "total_count"), ["batch_id", "angle_key"])
     gap, seen = F.col("coverage_gap"), F.col("with_observations")
-    return counted.join(F.broadcast(basis.limit(1)), F.lit(True)).withColumn("confidence", rules.coverage_confidence(gap, seen)).withColumn("thin_data", rules.coverage_is_thin(gap, seen))
+    drafts = census.batch(header.select("batch_id", "coverage_gap", "with_observations"), counted, "batch_id").where("angle_key IS NOT NULL")
+    drafts = drafts.withColumn("confidence", rules.coverage_confidence(gap, seen)).withColumn("thin_data", rules.coverage_is_thin(gap, seen))
+    return drafts, census.evidence_refs(header, rollup, "batch_id", "id").join(drafts.select("batch_id").distinct(), "batch_id", "left_semi")
+
+
+def reserve_flow(calls: DataFrame, cards: DataFrame, ceiling: int, per_hour: int, per_day: int) -> DataFrame:
+    """(project, ref, outcome) of calls that pass three layers in turn: the rolling guard, the price card, the ledger.
+    calls: project, ref, call, seconds, job_kind, connector."""
+    guard = limits.admissions(calls, "project", "seconds", "call", per_hour, per_day).select("call", (~F.col("admitted")).alias("blocked"))
+    priced = ledger.priced(calls.join(guard, "call"), cards)
+    return ledger.reserve_fold(priced, "project", "ref", "seconds", "est_cents", ceiling)
 
 
 def video_flow(asked: DataFrame, media: DataFrame, answers: DataFrame) -> DataFrame:

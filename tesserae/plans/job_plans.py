@@ -88,7 +88,7 @@ SELECT user_id, x.ref AS ref, x.o AS outcome FROM u""")
 def reserve_outcomes(spark, sf_dir):
     """Reservations in order against a ceiling."""
     calls = table(spark, sf_dir, "events").select("user_id", "ts", (F.col("event_id") % 97).cast("string").alias("ref"), (10 + F.col("event_id") % 31).alias("est"))
-    return ledger.reserve_fold(calls, "user_id", "ref", "ts", "est", F.lit(400))
+    return ledger.reserve_fold(calls, "user_id", "ref", "ts", "est", 400)
 
 
 @query(f"""SELECT event_id, job_kind, claim_rank FROM (SELECT event_id, {_KINDS} AS job_kind, row_number() OVER (PARTITION BY {_KINDS} ORDER BY ts, event_id) AS claim_rank FROM events WHERE event_type = 'signup') WHERE claim_rank <= 3""")

@@ -25,4 +25,4 @@ def query(oracle: str | None = None):
     return add
 
 
-from tesserae.plans import cache_plans, census_plans, evidence_plans, flow_plans, job_plans, source_plans  # noqa: E402, F401
+from tesserae.plans import cache_plans, census_plans, evidence_plans, flow_plans, job_plans, rule_plans, source_plans  # noqa: E402, F401

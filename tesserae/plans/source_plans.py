@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tesserae.functions.rules import first_given, moment
+from tesserae.operators import pick
 from tesserae.plans.registry import query
 from tesserae.sources import ads, table
 
@@ -15,10 +16,10 @@ def json_params_filter(spark, sf_dir):
     return table(spark, sf_dir, "events").where(keys & k.between(10, 20)).select("event_id", k.alias("k"))
 
 
-@query("""SELECT vec_id, i - 1 AS pos, a::DOUBLE AS a, b::DOUBLE AS b FROM (SELECT vec_id, unnest(range(1, 6)) AS i, unnest(embedding[1:5]) AS a, unnest(list_resize(embedding[6:8], 5)) AS b FROM embeddings) WHERE b IS NOT NULL""")
+@query("""SELECT vec_id, i - 1 AS pos, a::DOUBLE AS a, b::DOUBLE AS b FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS a, unnest(list_resize(embedding[2:], len(embedding))) AS b FROM embeddings) WHERE b IS NOT NULL""")
 def array_explode_zip(spark, sf_dir):
-    """Two lists matched by position, up to the shorter one."""
-    zipped = F.posexplode(F.arrays_zip(F.slice("embedding", 1, 5).alias("a"), F.slice("embedding", 6, 3).alias("b"))).alias("pos", "z")
+    """Two lists matched by position, up to the shorter one: each component and the one after it."""
+    zipped = F.posexplode(F.arrays_zip(F.col("embedding").alias("a"), F.slice("embedding", F.lit(2), F.size("embedding")).alias("b"))).alias("pos", "z")
     rows = table(spark, sf_dir, "embeddings").select("vec_id", zipped).where("z.b IS NOT NULL")
     return rows.select("vec_id", F.col("pos").cast("long"), F.col("z.a").cast("double").alias("a"), F.col("z.b").cast("double").alias("b"))
 
@@ -27,10 +28,10 @@ def array_explode_zip(spark, sf_dir):
 f AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 'IMAGE' WHEN 'N' THEN 'DCO' WHEN 'R' THEN 'VIDEO' END AS media_type FROM l),
 c AS (SELECT *, 0 AS card, 'm' || l_partkey AS media_url, 'body ' || l_suppkey AS body FROM f WHERE l_linestatus = 'F' OR media_type = 'DCO'
   UNION ALL SELECT *, 1, 'm' || (l_partkey + 1), 'card ' || l_suppkey FROM f WHERE media_type = 'DCO' AND l_linestatus = 'F')
-SELECT l_orderkey || '-' || l_linenumber AS ad_id, l_partkey, media_type, card::BIGINT AS card, media_url, body FROM c WHERE l_orderkey % 7 = 0""")
+SELECT l_orderkey || '-' || l_linenumber AS ad_id, l_partkey, media_type, card::BIGINT AS card, media_url, body FROM c""")
 def nested_ads(spark, sf_dir):
     """Nested ads flattened to pairs of medium and body."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0")
+    lines = table(spark, sf_dir, "lineitem")
     form = "CASE l_returnflag WHEN 'A' THEN 'IMAGE' WHEN 'N' THEN 'DCO' WHEN 'R' THEN 'VIDEO' END"
     body = "CASE WHEN l_linestatus = 'F' THEN concat('body ', l_suppkey) ELSE '' END"
     m, m2 = "concat('m', l_partkey)", "concat('m', l_partkey + 1)"
@@ -65,19 +66,21 @@ def brand_batch(spark, sf_dir):
     return out.select("n_nationkey", n.alias("pages"), (n > 0).alias("success"), F.array_max(F.map_keys("pages")).alias("last_page"))
 
 
-@query("""WITH v AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN (epoch(o_orderdate)::BIGINT)::VARCHAR WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 3 THEN 'soon' ELSE '' END AS v FROM orders)
-SELECT o.o_orderkey, CASE WHEN o.o_orderkey % 5 < 3 THEN epoch(o_orderdate)::BIGINT WHEN o.o_orderkey % 5 = 4 THEN 86400 END AS seconds FROM orders o JOIN v ON o.o_orderkey = v.o_orderkey""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (0, 1, 2, 5) THEN epoch(o_orderdate)::BIGINT WHEN o_orderkey % 8 = 4 THEN 86400 WHEN o_orderkey % 8 = 6 THEN epoch(o_orderdate)::BIGINT - 19800 END AS seconds,
+epoch(o_orderdate)::BIGINT AS from_number FROM orders""")
 def polymorphic_dates(spark, sf_dir):
-    """Dates as epoch seconds, ISO text or nonsense, the first field that is given."""
-    v = "CASE o_orderkey % 5 WHEN 0 THEN string(unix_seconds(timestamp(o_orderdate))) WHEN 1 THEN date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") WHEN 2 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 3 THEN 'soon' ELSE '' END"
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.unix_seconds(moment(first_given(F.expr(v), F.lit("86400")))).alias("seconds"))
+    """Dates as epoch seconds, ISO text with and without a zone, or nonsense, the first field that is given; and as a number."""
+    day = "date_format(o_orderdate, 'yyyy-MM-dd')"
+    v = f"""CASE o_orderkey % 8 WHEN 0 THEN string(unix_seconds(timestamp(o_orderdate))) WHEN 1 THEN date_format(o_orderdate, "yyyy-MM-dd'T'HH:mm:ss'Z'") WHEN 2 THEN {day} WHEN 3 THEN 'soon'
+        WHEN 5 THEN date_format(o_orderdate, 'yyyy-MM-dd HH:mm') WHEN 6 THEN date_format(o_orderdate, "yyyy-MM-dd'T'HH:mm:ss'+0530'") WHEN 7 THEN IF(o_orderkey % 16 = 7, substring({day}, 1, 7), '12.5') ELSE '' END"""
+    number = moment(F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.unix_seconds(moment(first_given(F.expr(v), F.lit("86400")))).alias("seconds"), F.unix_seconds(number).alias("from_number"))
 
 
-@query("SELECT o_custkey, count(*) AS ad_count, min(o_orderkey) AS first_ad, sha256(string_agg(o_orderkey::VARCHAR, ':' ORDER BY o_orderkey)) AS snapshot_id FROM orders GROUP BY 1")
+@query("""SELECT o_custkey, count(*) AS ad_count, min(o_orderkey) AS first_ad, sha256(concat_ws(':', o_custkey, count(*), min(o_orderkey), max(o_orderkey), sum(o_orderkey)::BIGINT)) AS snapshot_id FROM orders GROUP BY 1""")
 def snapshot_append(spark, sf_dir):
-    """A snapshot row of each entity: its ads in order, their number, a key that follows from them."""
-    snap = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("ads"))
-    return snap.select("o_custkey", F.size("ads").cast("long").alias("ad_count"), F.col("ads")[0].alias("first_ad"), F.sha2(F.array_join(F.transform("ads", lambda a: a.cast("string")), ":"), 256).alias("snapshot_id"))
+    """The header of each entity's snapshot, whose ads stay a table of rows: their number, and a key that follows from them."""
+    return pick.snapshot_headers(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
 
 
 @query("""WITH a AS (SELECT o_custkey, o_orderpriority AS angle_key, min(o_orderkey) AS example, list(o_orderkey ORDER BY o_orderkey) AS refs, count(*) AS n FROM orders GROUP BY 1, 2)

@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions.rules import credit_status
 from tesserae.operators import cache
 from tesserae.plans.flows import video_flow
 from tesserae.sources import ads
@@ -33,8 +34,13 @@ def _names(value: str | list[str], what: str) -> list[str]:
 
 @_tool
 def get_meta_platform_id(responses: DataFrame, brand_names: str | list[str]) -> dict:
-    """Pages of brands. responses: brand, body (JSON of a search)."""
+    """Pages of brands. responses: brand, body (JSON of a search), and status where it is known: a refusal for credits or
+    rate aborts the whole batch, any other failure gives its brand an empty map."""
     names = _names(brand_names, "brand_names")
+    if "status" in responses.columns:
+        refused = responses.where(F.col("brand").isin(*names)).select(credit_status(F.col("status"), F.col("body")).alias("s")).where("s <> 'ok'").first()
+        if refused:
+            raise ValueError(f"the search was refused: {refused['s']}")
     asked = responses.sparkSession.createDataFrame([(n,) for n in names], "brand string")
     found = ads.brand_batch(asked, ads.brand_pages(responses, "brand", "body"), "brand")
     n = found.agg(F.count("*").alias("total"), F.count(F.when(F.size("pages") > 0, 1)).alias("found"), F.coalesce(F.sum(F.size("pages")), F.lit(0)).alias("pages")).first()

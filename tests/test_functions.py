@@ -1,7 +1,12 @@
 import hashlib
+import json
+import re
 import time
+from html.parser import HTMLParser
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tesserae.functions import html, rules, shapes, text, urls
@@ -16,8 +21,9 @@ def one(spark, expression, **columns):
 @pytest.mark.parametrize(("given", "wanted"), [
     ("<p>a</p><p>b</p>", "a b"), ("<td>a</td><td>b</td>", "a b"), ("x<script>var a = '<b>';</script>y", "x y"), ("a<!-- nonce 1 -->b", "a b"),
     ("&amp; &lt;b&gt; &#39;", "& <b> '"), ("<style>p{}</style><noscript>n</noscript><template>t</template>z", "z"), ("", ""), (None, ""),
-    ("one<br/>two", "one two"), ("keep<!-- open and never closed <p>gone</p>", "keep"), ("<script>never closed <p>text</p>", ""),
-    ("a&nbsp;b\n\t c", "a b c"), ("</script>after a stray end", "after a stray end"), ("closed<!-- c -->in<!-- open", "closed in"),
+    ("one<br/>two", "one two"), ("keep<!-- open and never closed <p>stays</p>", "keep<!-- open and never closed <p>stays"), ("<script>never closed <p>text</p>", ""),
+    ("a&nbsp;b\n\t c", "a b c"), ("</script>after a stray end", "after a stray end"),
+    ('<p>Before</p><script>var a="<!--";</script><p>Hello after</p>', "Before Hello after"), ('<p title="<!-- x">A</p><p>B</p>', "A B"), ("a<![of no kind x>b", "a b"), ("closed<!-- c -->in<!-- open", "closed in<!-- open"),
 ])
 def test_page_text(given, wanted):
     assert html.page_text(given) == wanted
@@ -33,11 +39,31 @@ def test_review_text(given, wanted):
     assert html.page_text(given, True) == wanted
 
 
-def test_hostile_pages_stay_fast():
-    began = time.time()
-    for page in ("<script>" * 100_000, "<!--" * 100_000, "<script><!--" * 50_000, "<p>ok</p>" + "<!--" * 100_000):
-        html.page_text(page)
-    assert time.time() - began < 8
+HOSTILE = ("<script>" * 100_000, "<!--" * 100_000, "<p>hello world</p>" + "<script>" * 50_000 + "<!--" * 50_000, "<p>ok</p>" + "<!--" * 100_000, "<!--" * 100_000 + "<p>x</p>", "<!-- >" * 60_000)
+
+
+@pytest.mark.parametrize("page", HOSTILE, ids=range(len(HOSTILE)))
+def test_hostile_pages_stay_fast(page):
+    for widgets in (False, True):
+        began = time.time()
+        found = html.page_text(page, widgets)
+        assert time.time() - began < 2
+    assert "hello world" not in page or "hello world" in html.page_text(page) and found == ""
+
+
+class Plain(html._Reader):
+    """The reader without its short cut over comments that are never closed."""
+
+    parse_comment = HTMLParser.parse_comment
+
+
+@given(st.lists(st.sampled_from(["<!--", "-->", "--", ">", "<p>", "</p>", "a", " ", "&amp", ";", "<script>", "</script>", '<div class="yotpo-x">', "</div>", "<!", "<?", '"', "<b title='<!--'>", "<template>", "</template>"]), max_size=25))
+def test_pages_read_as_the_parser_reads_them(parts):
+    for widgets in (False, True):
+        plain = Plain(widgets)
+        plain.feed("".join(parts))
+        plain.close()
+        assert html.page_text("".join(parts), widgets) == re.sub(r"\s+", " ", "".join(plain.found)).strip()
 
 
 def test_udfs_in_a_frame(spark):
@@ -89,7 +115,7 @@ def test_addresses_and_paths(spark):
     assert one(spark, F.sha2(F.col("s"), 256), s="é") == hashlib.sha256("é".encode()).hexdigest()
 
 
-@pytest.mark.parametrize(("given", "wanted"), [("86400", 86400), ("86400.5", 86400), ("1970-01-02T00:00:00Z", 86400), ("1970-01-02", 86400), ("1970-01-02T01:00:00+01:00", 86400), ("soon", None), ("", None), (None, None)])
+@pytest.mark.parametrize(("given", "wanted"), [("86400", 86400), ("86400.5", None), ("12.5", None), ("2024-05", None), ("2024-1-2", None), ("1970-01-02T00:00", 86400), ("1970-01-02 00", 86400), ("1970-01-02T00:00:00.250+00", 86400), ("1970-01-02T05:30:00+0530", 86400), ("99999999999999999999", None), ("2024-02-30", None), (1700000000.0, 1700000000), (86400, 86400), (-1.0, -1), (1e30, None), ("1970-01-02T00:00:00Z", 86400), ("1970-01-02", 86400), ("1970-01-02T01:00:00+01:00", 86400), ("soon", None), ("", None), (None, None)])
 def test_moment(spark, given, wanted):
     assert one(spark, F.unix_seconds(rules.moment(F.col("s"))), s=given) == wanted
 
@@ -108,6 +134,7 @@ def test_rules(spark):
     assert c(rules.is_duplicate_object(F.lit(None).cast("string"), F.lit(409), F.lit("it exists"))) and not c(rules.is_duplicate_object(F.lit("x"), F.lit(500), F.lit("exists")))
     assert c(rules.is_object_missing(F.lit("not_found"), F.lit(404))) and not c(rules.is_object_missing(F.lit("not_found"), F.lit(500)))
     assert [c(rules.credit_status(F.lit(s))) for s in (402, 429, 200)] == ["exhausted", "rate_limited", "ok"]
+    assert [c(rules.credit_status(F.lit(403), F.lit(b))) for b in ("Out of CREDITS", "quota reached", "forbidden", None)] == ["exhausted", "exhausted", "ok", "ok"]
     assert c(rules.credit_figures(F.create_map(F.lit("x-credits-remaining"), F.lit("5"), F.lit("credit-cost"), F.lit("x"))))["credits_remaining"] == 5
     assert c(rules.or_default(F.lit(0), F.lit(30))) == 30 and c(rules.or_default(F.lit(4), F.lit(30))) == 4
 
@@ -115,3 +142,24 @@ def test_rules(spark):
 def test_shapes(spark):
     df = spark.createDataFrame([('{"verdict":"supported","rationale":"r"}',), ('{"verdict":"maybe","rationale":"r"}',), ('{"verdict":"supported","rationale":" "}',), ('{"verdict":"supported","rationale":"r","x":1}',), ("broken",), (None,)], "j string")
     assert [r.x for r in df.select(shapes.is_label(F.col("j")).alias("x")).collect()] == [True, False, False, False, False, False]
+
+
+def test_exact_keys(spark):
+    ok = {"title": "T", "pains": [{"theme": "t", "summary": "s", "evidence_refs": [{"kind": "voc", "id": "1"}]}, {"theme": "t", "summary": "s", "evidence_refs": []}]}
+    bad = [
+        ok | {"x": 1}, {"title": "T"}, ok | {"title": " "}, ok | {"pains": "none"}, {"title": "T", "pains": [{"theme": "t", "summary": "s"}]}, {"title": "T", "pains": [{"theme": "t", "summary": "s", "evidence_refs": [], "more": 1}]},
+        {"title": "T", "pains": [{"theme": "t", "summary": "s", "evidence_refs": [{"kind": "voc", "id": "1", "n": 2}]}]}, {"title": "T", "pains": [{"theme": "t", "summary": "s", "evidence_refs": [{"kind": "page", "id": "1"}]}]},
+        {"title": "T", "pains": [{"theme": "t", "summary": "s", "evidence_refs": [{"kind": "voc", "id": " "}]}]}, [], "x",
+    ]
+    df = spark.createDataFrame([(json.dumps(x),) for x in [ok, ok | {"pains": []}, *bad]] + [(None,), ("broken",)], "j string")
+    assert [r.x for r in df.select(shapes.is_synthesis(F.col("j")).alias("x")).collect()] == [True, True] + [False] * (len(bad) + 2)
+    white = [{"candidates": []}, {"candidates": [{"angle_key": "a", "summary": "s"}]}, {"candidates": [{"angle_key": "a", "summary": " "}]}, {"candidates": [], "title": "t"}, {"candidates": [{"angle_key": "a", "summary": "s", "n": 1}]}]
+    df = spark.createDataFrame([(json.dumps(x),) for x in white], "j string")
+    assert [r.x for r in df.select(shapes.is_whitespace(F.col("j")).alias("x")).collect()] == [True, True, False, False, False]
+
+
+def test_json_schema():
+    built = shapes.json_schema(shapes.EXTRACTION, {"type": shapes.QUOTE_TYPES, "confidence": shapes.CONFIDENCES})
+    quote = built["properties"]["quotes"]["items"]
+    assert quote["required"] == ["quote", "type", "theme", "product_area", "confidence"] and not quote["additionalProperties"]
+    assert quote["properties"]["type"]["enum"][0] == "desire" and "enum" not in quote["properties"]["theme"]

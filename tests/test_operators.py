@@ -38,24 +38,29 @@ def test_inserts_and_upserts(spark):
 
 
 def test_resolution_cascade(spark):
-    options = spark.createDataFrame([("Sophie & Olivia", "1"), ("Sophie Olivia Intimates", "2"), ("SecretCoco.com", "3"), ("NIKE", "4"), ("Nike", "5"), ("Acme One", "6"), ("Acme Two", "7")], "name string, page string")
-    probes = spark.createDataFrame([("Nike",), ("nIKE",), ("Sophie Olivia",), ("Secret Coco",), ("Acme",), ("Zzz",), ("&&",)], "brand string")
+    options = spark.createDataFrame([("Sophie & Olivia", "1"), ("Sophie Olivia Intimates", "2"), ("SecretCoco.com", "3"), ("NIKE", "4"), ("Nike", "5"), ("Acme One", "6"), ("Acme Two", "7"), ("日本", "8"), ("Ünïversal", "9"), ("Ab", "10")], "name string, page string")
+    probes = spark.createDataFrame([("日本",), ("ÜNÏVERSAL",), ("東京",), (None,), ("a",), ("Nike",), ("nIKE",), ("Sophie Olivia",), ("Secret Coco",), ("Acme",), ("Zzz",), ("&&",)], "brand string")
     got = {r.brand: (r.page, r.how) for r in resolve.resolve(probes, options, "brand", "name", "page").collect()}
-    assert got == {"Nike": ("5", "exact"), "nIKE": ("4", "case"), "Sophie Olivia": ("1", "normalized"), "Secret Coco": ("3", "prefix"), "Acme": (None, "ambiguous"), "Zzz": (None, "none"), "&&": (None, "none")}
+    assert got == {"Nike": ("5", "exact"), "nIKE": ("4", "case"), "Sophie Olivia": ("1", "normalized"), "Secret Coco": ("3", "prefix"), "Acme": (None, "ambiguous"), "Zzz": (None, "none"), "&&": (None, "none"), "日本": ("8", "exact"), "ÜNÏVERSAL": ("9", "case"), "東京": (None, "none"), None: (None, "none"), "a": (None, "ambiguous")}
+    assert resolve.resolve(probes.limit(0), options, "brand", "name", "page").count() == 0
+    assert {r.how for r in resolve.resolve(probes, options.limit(0), "brand", "name", "page").collect()} == {"none"}
 
 
-def test_containing_equals_the_plain_join(spark):
-    quotes = spark.createDataFrame([(1, "one two three four five"), (2, "ree four five six seve"), (3, "short"), (4, ""), (5, None), (6, "not in any text at all")], "q long, quote string")
-    texts = spark.createDataFrame([(10, "zero  one two\nthree four five six seven"), (11, "a short text"), (12, None), (13, "tone two three four fives")], "t long, body string")
-    got = {(r.q, r.t) for r in grounding.containing(quotes, texts, "q", "quote", "t", "body").collect()}
+@pytest.mark.parametrize("most_chars", [grounding.AUTOMATON_CHARS, 12, 1])
+def test_containing_equals_the_plain_join(spark, most_chars):
+    quotes = spark.createDataFrame([(1, "one two three four five"), (2, "ree four five six seve"), (3, "short"), (4, ""), (5, None), (6, "not in any text at all"), (7, "short"), (8, "o t"), (9, "two three")], "q long, quote string")
+    texts = spark.createDataFrame([(10, "zero  one two\nthree four five six seven"), (11, "a short text"), (12, None), (13, "tone two three four fives"), (13, "short again")], "t long, body string")
+    got = sorted((r.q, r.t) for r in grounding.containing(quotes, texts, "q", "quote", "t", "body", most_chars).collect())
     plain = quotes.join(texts, (normalize(F.col("quote")) != "") & F.contains(normalize(F.col("body")), normalize(F.col("quote"))))
-    assert got == {(r.q, r.t) for r in plain.collect()} and len(got) == 4
+    assert got == sorted((r.q, r.t) for r in plain.collect()) and len(got) == 11
+    assert grounding.containing(quotes.limit(0), texts, "q", "quote", "t", "body", most_chars).count() == 0
 
 
 def test_theme_rollup_and_registry(spark):
     quotes = spark.createDataFrame([(i, "fit" if i < 4 else None, "desire" if i < 4 else "") for i in range(6)], "id long, theme string, kind string")
     rows = {r.theme: r for r in census.theme_rollup(quotes, "theme", "kind", "id").collect()}
     assert (rows["fit"].n, rows["fit"].data_density, rows["fit"].example_ids) == (4, "normal", [0, 1, 2]) and (rows[""].n, rows[""].data_density) == (2, "thin")
+    assert (rows["fit"].first_id, rows["fit"].last_id) == (0, 3) and census.theme_members(quotes, "theme", "kind", "id").count() == 6
     fallback = spark.createDataFrame([("fit", "Fit", "d"), ("unmapped", "Unmapped", "u")], "angle_key string, label string, definition string")
     live = spark.createDataFrame([("b", "", None, "active"), ("", "x", "", "active"), ("z", "Z", "", "retired")], "angle_key string, label string, definition string, status string")
     assert [(r.angle_key, r.label) for r in census.active_registry(live, fallback).collect()] == [("b", "b"), ("unmapped", "Unmapped")]
@@ -111,7 +116,7 @@ def test_jobs(spark):
 
 def test_ledger(spark):
     calls = spark.createDataFrame([("p", "r1", 1, 60), ("p", "r2", 2, 50), ("p", "r1", 3, 60), ("p", "r3", 4, 40)], "project string, ref string, at long, est long")
-    assert sorted((r.ref, r.outcome) for r in ledger.reserve_fold(calls, "project", "ref", "at", "est", F.lit(100)).collect()) == [("r1", "ok"), ("r1", "skip"), ("r2", "refused"), ("r3", "ok")]
+    assert sorted((r.ref, r.outcome) for r in ledger.reserve_fold(calls, "project", "ref", "at", "est", 100).collect()) == [("r1", "ok"), ("r1", "skip"), ("r2", "refused"), ("r3", "ok")]
     reserves = spark.createDataFrame([("r1", 60), ("r2", 50)], "ref string, est_cents long")
     done = spark.createDataFrame([("r1", 70, 0), ("r1", 10, 1), ("r9", 1, 2)], "ref string, actual_cents long, pos long")
     assert {r.ref: (r.actual_cents, r.overspent) for r in ledger.settled(reserves, done, "ref").collect()} == {"r1": (70, True), "r2": (None, False)}
@@ -172,10 +177,18 @@ def test_flows(spark):
     registry = spark.createDataFrame([("fit", "Fit", "", "active"), ("night", "Night", "", "active")], "angle_key string, label string, definition string, status string")
     fallback = spark.createDataFrame([("unmapped", "Unmapped", "")], "angle_key string, label string, definition string")
     rollup = spark.createDataFrame([("r1", "fit", 4, 9)], "id string, angle_key string, competitor_count long, total_count long")
-    basis = spark.createDataFrame([(0, 6)], "coverage_gap long, with_observations long")
-    white = {"title": "W", "candidates": [{"angle_key": k, "summary": s} for k, s in (("night", "few do this"), ("night", "again"), ("fit", "two brands"), ("unmapped", "x"), ("zzz", "x"))]}
-    out = flows.whitespace_flow(registry, fallback, rollup, basis, spark.createDataFrame([(json.dumps(white),)], "response string")).collect()
-    assert [(r.angle_key, r.summary, r.competitor_count, r.has_rollup_row, r.confidence, r.thin_data) for r in out] == [("night", "few do this", 0, False, "high", False)]
+    rollup = rollup.withColumn("batch_id", F.lit(1))
+    header = spark.createDataFrame([(1, 0, 6)], "batch_id long, coverage_gap long, with_observations long")
+    white = {"candidates": [{"angle_key": k, "summary": s} for k, s in (("night", "few do this"), ("night", "again"), ("fit", "two brands"), ("unmapped", "x"), ("zzz", "x"))]}
+    answers = spark.createDataFrame([(1, json.dumps(white))], "batch_id long, response string")
+    out, refs = flows.whitespace_flow(registry, fallback, header, rollup, answers)
+    assert [(r.angle_key, r.summary, r.competitor_count, r.has_rollup_row, r.confidence, r.thin_data) for r in out.collect()] == [("night", "few do this", 0, False, "high", False)]
+    assert sorted((r.kind, r.id) for r in refs.collect()) == [("batch", "1"), ("row", "r1")]
+    with pytest.raises(Exception, match="no header for batch 2"):
+        flows.whitespace_flow(registry, fallback, header, rollup, answers.withColumn("batch_id", F.lit(2).cast("long")))[0].collect()
+    many = {"title": "T", "pains": [{"theme": "fit", "summary": "x", "evidence_refs": [{"kind": "voc", "id": str(i)} for i in range(201)]}]}
+    pool = spark.range(300).select(F.lit("s").alias("store_id"), F.lit("voc").alias("evidence_kind"), F.col("id").cast("string").alias("evidence_id"))
+    assert flows.voc_flow(voc, pool, spark.createDataFrame([("s", json.dumps(many))], "store_id string, response string")).count() == 0
     pages = spark.createDataFrame([(1, "https://a.com/1", "<p>x</p>"), (2, "https://a.com/2", "<p>y</p>"), (3, "https://a.com/3", "<p>z</p>")], "page_id long, url string, html string")
     allow = spark.createDataFrame([("https://a.com", 404, None)], "origin string, status int, body string")
     stored = pages.where("page_id = 1").select(F.sha2(F.lit("x"), 256).alias("content_sha256"), F.col("url").alias("source_url"))
@@ -184,6 +197,31 @@ def test_flows(spark):
     pulled = pulled.withColumn("start_date", F.col("start_date").cast("timestamp")).withColumn("end_date", F.col("end_date").cast("timestamp"))
     unique, sample, images = flows.ads_flow(pulled, F.lit("2024-02-01").cast("timestamp"))
     assert (unique.count(), sample.count(), images.count()) == (40, 30, 8)
+    fetches = spark.createDataFrame([("u", "status")], "media_url string, outcome string")
+    assert flows.ads_flow(pulled, F.lit("2024-02-01").cast("timestamp"), fetches=fetches)[2].count() == 0
+
+
+def test_reserve_layers(spark):
+    calls = spark.createDataFrame([(1, "r1", 1, 0, "collect", "x"), (1, "r2", 2, 1, "verify", "x"), (1, "r3", 3, 2, "collect", "x"), (1, "r1", 4, 4000, "collect", "x"), (1, "r4", 5, 8000, "scrape", "other"), (1, "r5", 6, 12_000, "synthesize", "x")], "project long, ref string, call long, seconds long, job_kind string, connector string")
+    got = sorted((r.ref, r.outcome) for r in flows.reserve_flow(calls, ledger.price_cards(spark), 100, 2, 10).collect())
+    assert got == [("r1", "ok"), ("r1", "skip"), ("r2", "ok"), ("r3", "blocked"), ("r4", "unpriced"), ("r5", "refused")]
+
+
+def test_rates_and_retries(spark):
+    rates = ledger.rate_table(spark)
+    model = next(iter(ledger.MODEL_RATES))
+    calls = spark.createDataFrame([(model, 1_000_000, 0)], "model string, i long, o long")
+    assert ledger.rated(calls, rates, "model", "i", "o").first().actual_cents == 300
+    with pytest.raises(Exception, match="no rate for model nobody"):
+        ledger.rated(calls.withColumn("model", F.lit("nobody")), rates, "model", "i", "o").collect()
+    tries = spark.createDataFrame([("a", 0, False), ("a", 1, True), ("b", 0, False), ("b", 1, False), ("b", 2, False), ("b", 3, True), ("c", 0, True)], "ref string, attempt long, ok boolean")
+    assert {r.ref: (r.attempts, r.settled) for r in ledger.settled_with_retries(tries, "ref", "attempt", "ok").collect()} == {"a": (2, True), "b": (3, False), "c": (1, True)}
+
+
+def test_outcomes_are_recorded_once(spark):
+    members = spark.createDataFrame([(1, "pending", "ok"), (2, "supported", "ok"), (3, "pending", "integrity_failed"), (4, "pending", "ok")], "m long, result string, integrity string")
+    outcomes = spark.createDataFrame([(1, "unsupported", 2), (1, "supported", 1), (2, "unsupported", 1), (3, "supported", 1), (4, "no such result", 1)], "m long, outcome string, pos long")
+    assert {r.m: r.result for r in verify.recorded(members, outcomes, "m", "pos").collect()} == {1: "supported", 2: "supported", 3: "pending", 4: "pending"}
 
 
 def test_cache_and_tools(spark):
@@ -216,3 +254,27 @@ def test_state_round_trip(spark, tmp_path):
     state.save_calls(spark.createDataFrame([(1, 0.0), (1, 90_000.0)], "key long, seconds double"), path)
     row = state.recent(state.load_calls(spark, path), 90_010.0).first()
     assert (row.in_hour, row.in_day) == (1, 1)
+    again = state.load_calls(spark, path)
+    state.save_calls(again.unionByName(spark.createDataFrame([(2, 5.0)], "key long, seconds double")), path)  # reads and replaces the same state
+    assert state.load_calls(spark, path).count() == 3
+
+
+def test_a_save_that_is_cut_off_leaves_the_old_state(spark, tmp_path):
+    path = f"file://{tmp_path}/calls"
+    state.save_calls(spark.createDataFrame([(1, 1.0)], "key long, seconds double"), path)
+    with pytest.raises(Exception, match="broken"):
+        state.save_calls(spark.range(1).select(F.col("id").alias("key"), F.raise_error(F.lit("broken")).cast("double").alias("seconds")), path)
+    assert state.load_calls(spark, path).count() == 1 and [p.name for p in tmp_path.iterdir()] == ["calls"]
+    (tmp_path / "calls").rename(tmp_path / "calls.old")  # as a crash between the two renames would leave it
+    assert state.load_calls(spark, path).count() == 1
+    state.save_calls(spark.createDataFrame([(3, 3.0), (4, 4.0)], "key long, seconds double"), path)
+    assert state.load_calls(spark, path).count() == 2
+    (tmp_path / "calls" / "x.json").write_text("{broken")
+    with pytest.raises(Exception):  # noqa: B017
+        state.load_calls(spark, path).collect()
+
+
+def test_a_refusal_aborts_the_batch(spark):
+    ok = json.dumps({"searchResults": [{"name": "A", "page_id": "1"}]})
+    rows = spark.createDataFrame([("A", ok, 200), ("B", "out of credits", 403), ("C", "x", 500)], "brand string, body string, status int")
+    assert not tools.get_meta_platform_id(rows, ["A", "B"])["success"] and tools.get_meta_platform_id(rows, ["A", "C"])["success"]
