@@ -86,3 +86,9 @@ def forget(df: DataFrame) -> None:
         jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the shuffle files of finished jobs go now: Spark deletes them once the driver's references are collected, which
+    otherwise waits until the driver needs memory. For operators whose exchanges come one after the other."""
+    spark._jvm.java.lang.System.gc()
