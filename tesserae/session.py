@@ -1,7 +1,9 @@
 """Sessions, the code that executors need, and intermediate tables in the shared folder."""
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -91,4 +93,9 @@ def forget(df: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Lets the shuffle files of finished jobs go now: Spark deletes them once the driver's references are collected, which
     otherwise waits until the driver needs memory. For operators whose exchanges come one after the other."""
+    gc.collect()  # frames with Python functions are part of cycles
+    gone = getattr(spark._jvm._gateway_client, "finalizer_deque", ())  # what Python has dropped and the JVM has not been told of yet
+    until = time.monotonic() + 3
+    while len(gone) and time.monotonic() < until:
+        time.sleep(0.02)
     spark._jvm.java.lang.System.gc()
