@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from tesserae.llm import queries, syncmers
 from tests.llm.util import SF, documents
@@ -33,6 +34,64 @@ def test_anchors_are_context_free_and_closed():
     assert inside == {(p, h) for p, h in zip(places.tolist(), hashes.tolist(), strict=True) if 100 <= p <= 900 - syncmers.K}
 
 
+def plain_inner(points):
+    """The hash of an inner string, in plain integers."""
+    m = 0xFFFFFFFF
+    h = points[0] * 0x9E3779B1 & m
+    for p in points[1:]:
+        h = ((h ^ h >> 15) * 0x2C1B3C6D + p * 0x297A2D39) & m
+    return plain_mix(h)
+
+
+def plain_mix(h):
+    m = 0xFFFFFFFF
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    return h ^ h >> 16
+
+
+def plain_anchors(text, k, s):
+    """Closed syncmers by looking at every k-mer on its own."""
+    out = []
+    for at in range(len(text) - k + 1):
+        inner = [plain_inner([ord(c) for c in text[at + i : at + i + s]]) for i in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            whole = 0
+            for i in [*range(0, k - s + 1, s), k - s]:
+                whole = plain_mix((whole * 31 + inner[i]) & 0xFFFFFFFF)
+            out.append((at, whole))
+    return out or [(0, xxhash.xxh32_intdigest(text.encode()))] * bool(text)
+
+
+def plain_likeness(a, b, k, s):
+    """Common occurrences in the longest common order, of all occurrences, by a quadratic search."""
+    def occurrences(t):
+        seen, out = {}, {}
+        for at, h in plain_anchors(t, k, s):
+            seen[h] = seen.get(h, 0) + 1
+            out[h, seen[h]] = at
+        return out
+
+    x, y = occurrences(a), occurrences(b)
+    if not x or not y:
+        return float(len(x) == len(y))
+    ends = [y[e] for e in sorted(x.keys() & y.keys(), key=lambda e: (x[e], y[e]))]
+    best = []
+    for i, v in enumerate(ends):
+        best.append(1 + max([best[j] for j in range(i) if ends[j] < v], default=0))
+    return max(best, default=0) / (len(x) + len(y) - len(x.keys() & y.keys()))
+
+
+@pytest.mark.parametrize(("k", "s"), [(syncmers.K, syncmers.S), (5, 2), (6, 6), (9, 1)])
+def test_anchors_and_likeness_against_plain_enumeration(k, s):
+    texts = ["", "ab", "abcdefgh", "a" * 40, "the cat sat on the mat " * 8, "the mat sat on the cat " * 7 + "é😀 end", *[t[:260] for t in documents().text.tolist()[:6]]]
+    for t in texts:
+        places, hashes = syncmers.anchors(t, k, s)
+        assert list(zip(places.tolist(), hashes.tolist(), strict=True)) == plain_anchors(t, k, s)
+        for u in texts:
+            assert syncmers.likeness(syncmers.fingerprint(t, k, s), syncmers.fingerprint(u, k, s)) == pytest.approx(plain_likeness(t, u, k, s), abs=1e-12)
+
+
 def test_chunks_do_not_show(monkeypatch):
     text = documents().text.iloc[0] * 3
     whole = syncmers.anchors(text)
