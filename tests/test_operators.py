@@ -264,7 +264,7 @@ def test_a_save_that_is_cut_off_leaves_the_old_state(spark, tmp_path):
     state.save_calls(spark.createDataFrame([(1, 1.0)], "key long, seconds double"), path)
     with pytest.raises(Exception, match="broken"):
         state.save_calls(spark.range(1).select(F.col("id").alias("key"), F.raise_error(F.lit("broken")).cast("double").alias("seconds")), path)
-    assert state.load_calls(spark, path).count() == 1 and [p.name for p in tmp_path.iterdir()] == ["calls"]
+    assert state.load_calls(spark, path).count() == 1 and {"calls"} <= {p.name for p in tmp_path.iterdir()} and not (tmp_path / "calls.old").exists()  # a task that is still running may leave files beside it
     (tmp_path / "calls").rename(tmp_path / "calls.old")  # as a crash between the two renames would leave it
     assert state.load_calls(spark, path).count() == 1
     state.save_calls(spark.createDataFrame([(3, 3.0), (4, 4.0)], "key long, seconds double"), path)
