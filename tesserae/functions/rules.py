@@ -34,6 +34,18 @@ def moment(value: Column) -> Column:
     return F.when(numeric | F.rlike(text, F.lit("^[0-9]+$")), F.when(F.abs(seconds) <= _LAST_SECOND, F.timestamp_seconds(F.when(F.abs(seconds) <= _LAST_SECOND, seconds)))).otherwise(iso)
 
 
+def local_iso(at: Column) -> Column:
+    """A timestamp as ISO text in the session's time zone, without the zone; fractions only where there are any."""
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.pmod(F.unix_micros(at), F.lit(1_000_000))
+    return F.when(micros == 0, whole).otherwise(F.concat(whole, F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
+
+
+def merged(left: Column, right: Column) -> Column:
+    """Two maps as one; where both have a key, the right one's value stays."""
+    return F.map_concat(F.map_filter(left, lambda k, v: ~F.array_contains(F.map_keys(right), k)), right)
+
+
 def first_given(*fields: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.when(f.cast("string") != "", f) for f in fields])

@@ -1,5 +1,7 @@
 """The media cache as a table: figures, faceted search, lookups, upserts, retention."""
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +19,12 @@ def stats(media: DataFrame, kind: str, size: str, analysed: Column, brand: str,
 
 def search(media: DataFrame, brand: Column | None = None, people: Column | None = None, colour: tuple[str, str] | None = None, kind: Column | None = None, order: list[Column] | None = None, limit: int | None = 20) -> DataFrame:
     """Rows that meet every condition given, nulls dropped; colour is (column, text), matched anywhere without
-    regard to case, with % and _ as wildcards. A limit of None or 0 keeps all."""
+    regard to the case of A-Z, with % and _ as wildcards. A limit of None or 0 keeps all."""
     for condition in (brand, people, kind):
         media = media.where(condition) if condition is not None else media
     if colour:
-        media = media.where(F.col(colour[0]).ilike(f"%{colour[1]}%"))
+        low = lambda c: F.translate(c, ascii_uppercase, ascii_lowercase)
+        media = media.where(F.like(low(F.col(colour[0])), low(F.lit(f"%{colour[1]}%")), F.lit("\x01")))  # no character is an escape
     media = media.orderBy(*order) if order else media
     return media.limit(limit) if limit else media
 

@@ -13,14 +13,14 @@ def _media(spark, sf_dir):
     return table(spark, sf_dir, "documents").withColumn("media_type", F.expr(_MEDIA)).withColumn("duration", F.when(F.col("media_type") == "video", F.col("n_chars") / 100))
 
 
-_FIGURES = """count(*) AS total, coalesce(sum(n_chars), 0)::BIGINT AS total_bytes, count(CASE WHEN lang = 'en' THEN 1 END) AS analysed, count(DISTINCT source) AS brands"""
+_FIGURES = """count(*) AS total, coalesce(sum(n_chars), 0)::BIGINT AS total_bytes, count(CASE WHEN lang = 'en' THEN 1 END) AS analysed, count(DISTINCT source) AS brands, round(avg(CASE WHEN media_type = 'video' THEN n_chars / 100.0 END), 6) AS avg_duration"""
 
 
 @query(f"""WITH m AS (SELECT *, {_MEDIA} AS media_type FROM documents), s AS (SELECT media_type AS scope, {_FIGURES} FROM m GROUP BY 1 UNION ALL SELECT 'all', {_FIGURES} FROM m)
-SELECT scope, total, total_bytes, analysed, brands, round(total_bytes / 1024 / 1024, 2) AS total_mb, round(round(total_bytes / 1024 / 1024, 2) / 1024, 2) AS total_gb FROM s""")
+SELECT scope, total, total_bytes, analysed, brands, avg_duration, round(total_bytes / 1024 / 1024, 2) AS total_mb, round(round(total_bytes / 1024 / 1024, 2) / 1024, 2) AS total_gb FROM s""")
 def cache_stats(spark, sf_dir):
     """Figures of the whole cache and of each kind."""
-    return cache.stats(_media(spark, sf_dir), "media_type", "n_chars", F.col("lang") == "en", "source")
+    return cache.stats(_media(spark, sf_dir), "media_type", "n_chars", F.col("lang") == "en", "source", "duration").withColumn("avg_duration", F.round("avg_duration", 6))
 
 
 @query(f"SELECT doc_id, source, n_chars FROM (SELECT *, {_MEDIA} AS media_type FROM documents) WHERE source = 'src8' AND text ILIKE '%the%' AND media_type = 'image' ORDER BY n_chars DESC, doc_id LIMIT 20")

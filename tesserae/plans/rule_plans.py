@@ -305,3 +305,12 @@ def cache_reads(spark, sf_dir):
     media = table(spark, sf_dir, "documents").where("n_chars > 500").select("doc_id", F.lit("2024-01-10 00:00:00").cast("timestamp_ntz").alias("last_accessed"))
     reads = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "ts")
     return cache.touched(pick.present(media, reads, ["doc_id"]), reads, "doc_id", "ts")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'own' END AS kind, user_id::VARCHAR AS who, CASE WHEN event_id % 2 = 1 THEN 3 ELSE 2 END AS n FROM events""")
+def merged_settings(spark, sf_dir):
+    """Defaults under settings of one's own."""
+    base = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("who"), F.col("user_id").cast("string"))
+    own = F.when(F.col("event_id") % 2 == 1, F.create_map(F.lit("kind"), F.lit("own"), F.lit("more"), F.lit("x"))).otherwise(F.create_map().cast("map<string,string>"))
+    m = rules.merged(base, own)
+    return table(spark, sf_dir, "events").select("event_id", m["kind"].alias("kind"), m["who"].alias("who"), F.size(m).alias("n"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tesserae.functions.rules import first_given, moment
+from tesserae.functions.rules import first_given, local_iso, moment
 from tesserae.operators import pick
 from tesserae.plans.registry import query
 from tesserae.sources import ads, table
@@ -28,19 +28,19 @@ def array_explode_zip(spark, sf_dir):
 f AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 'IMAGE' WHEN 'N' THEN 'DCO' WHEN 'R' THEN 'VIDEO' END AS media_type FROM l),
 c AS (SELECT *, 0 AS card, 'm' || l_partkey AS media_url, 'body ' || l_suppkey AS body FROM f WHERE l_linestatus = 'F' OR media_type = 'DCO'
   UNION ALL SELECT *, 1, 'm' || (l_partkey + 1), 'card ' || l_suppkey FROM f WHERE media_type = 'DCO' AND l_linestatus = 'F')
-SELECT l_orderkey || '-' || l_linenumber AS ad_id, l_partkey, media_type, card::BIGINT AS card, media_url, body FROM c""")
+SELECT l_orderkey || '-' || l_linenumber AS ad_id, l_partkey, media_type, card::BIGINT AS card, media_url, body, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS started FROM c""")
 def nested_ads(spark, sf_dir):
     """Nested ads flattened to pairs of medium and body."""
     lines = table(spark, sf_dir, "lineitem")
     form = "CASE l_returnflag WHEN 'A' THEN 'IMAGE' WHEN 'N' THEN 'DCO' WHEN 'R' THEN 'VIDEO' END"
     body = "CASE WHEN l_linestatus = 'F' THEN concat('body ', l_suppkey) ELSE '' END"
     m, m2 = "concat('m', l_partkey)", "concat('m', l_partkey + 1)"
-    raw = f"""to_json(named_struct('ad_archive_id', concat(l_orderkey, '-', l_linenumber), 'snapshot', named_struct('display_format', {form}, 'body', named_struct('text', {body}),
+    raw = f"""to_json(named_struct('ad_archive_id', concat(l_orderkey, '-', l_linenumber), 'start_date', double(unix_seconds(timestamp(l_shipdate))), 'snapshot', named_struct('display_format', {form}, 'body', named_struct('text', {body}),
         'images', array(named_struct('resized_image_url', {m})), 'videos', array(named_struct('video_sd_url', {m})),
         'cards', array(named_struct('resized_image_url', {m}, 'body', concat('body ', l_suppkey)), named_struct('resized_image_url', {m2}, 'body', CASE WHEN l_linestatus = 'F' THEN concat('card ', l_suppkey) END)))))"""
     parsed = lines.select("l_partkey", F.from_json(F.expr(raw), ads.AD).alias("ad"))
     flat = ads.flat_ads(parsed, "ad", ["l_partkey"])
-    return flat.select("ad_id", "l_partkey", "media_type", F.col("card").cast("long"), "media_url", "body")
+    return flat.select("ad_id", "l_partkey", "media_type", F.col("card").cast("long"), "media_url", "body", local_iso(F.col("start_date")).alias("started"))
 
 
 @query("""WITH p AS (SELECT o_custkey, o_orderkey, count(*) OVER w - 1 AS page_no, count(*) FILTER (WHERE o_orderstatus = 'P') OVER w AS failures,

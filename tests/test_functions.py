@@ -124,6 +124,7 @@ def test_rules(spark):
     c = lambda e: spark.range(1).select(e.alias("x")).first()["x"]
     t = lambda s: F.lit(s).cast("timestamp")
     assert c(rules.whole_days(t("2024-01-01 12:00:00"), t("2024-01-03 11:59:59"))) == 1 and c(rules.whole_days(t("2024-01-03"), t("2024-01-01"))) == 0
+    assert c(rules.local_iso(t("2024-01-02 03:04:05"))) == "2024-01-02T03:04:05" and c(rules.local_iso(t("2024-01-02 03:04:05.25"))) == "2024-01-02T03:04:05.250000"
     assert [c(rules.confidence(F.lit(a), F.lit(b))) for a, b in ((8, 5), (8, 4), (3, 2), (2, 2), (20, 1))] == ["high", "medium", "medium", "low", "low"]
     assert [c(rules.is_thin(F.lit(a), F.lit(b), F.lit(d))) for a, b, d in ((7, 0, 0), (8, 0, 0), (9, 2, 2), (9, 2, 1))] == [True, False, True, False]
     null = F.lit(None).cast("long")

@@ -231,6 +231,9 @@ def test_cache_and_tools(spark):
     assert cache.stats(media.limit(0), "media_type", "file_size", F.col("analysis").isNotNull(), "brand_name").first().total_bytes == 0
     assert [r.url for r in tools.search_cached_media(media, color_contains="RED")["results"].collect()] == ["u1"]
     assert [r.url for r in tools.search_cached_media(media, limit=2)["results"].collect()] == ["u3", "u2"]
+    odd = spark.createDataFrame([("a", "ÉCLAIR 5%"), ("b", "éclair"), ("c", None), ("d", "x\\y")], "k string, c string")
+    found = lambda t: sorted(r.k for r in cache.search(odd, colour=("c", t)).collect())
+    assert (found("CLAIR"), found("é"), found("é_LAIR"), found("x\\Y"), found("%")) == (["a", "b"], ["b"], ["b"], ["d"], ["a", "b", "d"])
     assert tools.search_cached_media(media, has_people=False)["results"].count() == 1 and tools.search_cached_images(media)["results"].count() == 1
     assert tools.search_cached_media(media, media_type="audio")["success"] is False
     assert tools.cleanup_media_cache(media, "2024-03-02 00:00:00")["results"].count() == 2 and not tools.cleanup_media_cache(media, "2024-03-02", 0)["success"]
