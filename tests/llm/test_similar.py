@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from tesserae.llm import shinglejoin
+from tesserae.llm import simhash
 from tests.llm.test_pipeline import print5
 from tests.llm.util import DOC, closure
 
@@ -46,6 +46,21 @@ def test_stage_finds_all_of_similarity_four_fifths(spark):
 def test_defined_cases(spark):
     rows = [(5, None), (2, ""), (9, "same words here again"), (7, "SAME words\there again"), (7, "SAME words\there again"), (None, "same words here again"), (1, "w " * 40000)]
     df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, code string")
-    got = sorted([tuple(r) for r in shinglejoin.near_duplicates(df).collect()], key=str)
+    got = sorted([tuple(r) for r in simhash.similar_documents(df).select('doc_id', 'component_id').collect()], key=str)
     assert got == sorted([(5, 2), (2, 2), (9, 7), (7, 7), (7, 7), (None, None), (1, 1)], key=str)
-    assert shinglejoin.near_duplicates(df.limit(0)).count() == 0
+    assert simhash.similar_documents(df.limit(0)).count() == 0
+
+
+def test_the_bit_limit_loses_no_pair_of_two(spark):
+    """Groups of two only, with fingerprints of both signs."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in range(300):
+        words = [f"v{int(x)}" for x in rng.integers(0, 9000, 120)]
+        new = list(words)
+        new[int(rng.integers(0, 120))] = f"n{g}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(new))]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: d // 2 * 2 for d, _ in rows}
+    prints = {r.doc_id: r.fp for r in got}
+    assert any(prints[2 * g] ^ prints[2 * g + 1] < 0 for g in range(300))  # of different signs
