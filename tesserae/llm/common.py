@@ -1,5 +1,6 @@
 """What several operators share: token patterns, the hold-out rule, text as code points."""
 
+import ctypes
 import re
 
 import numpy as np
@@ -39,3 +40,20 @@ def alpha_table() -> np.ndarray:
     if not _ALPHA:
         _ALPHA.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
     return _ALPHA[0]
+
+
+_TASK: list[int] = []
+
+
+def lean() -> None:
+    """Once for each task, has this worker process give what it has freed back to the system: the C library keeps it
+    otherwise, so that a worker holds on to its largest moment. Does nothing where the library has no such call."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    task = context.taskAttemptId() if context is not None else -1
+    if _TASK != [task]:
+        _TASK[:] = [task]
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)

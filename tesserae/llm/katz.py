@@ -20,8 +20,9 @@ occurrences in the block pre-aggregated; the bucket adds up, stores its part of
 totals in the order in which it asked, the numbers of the n-grams, and which block owns each. Numbers
 stand for words and contexts from then on: an n-gram is the number of its first n - 1 words and that of its last word,
 so nothing is told apart by hashes. What holds an n-gram or a context not seen in training is not asked for at the
-next order. Back-off weights follow in the same way: owners send each context's partial sums, and blocks with unseen
-events get them added up. No table, and no context with many followers, is ever in one task or on the driver, which
+next order, and neither is what a block knows by itself: that an n-gram is the only one of its kind, because its
+context or its last words are, and no held-out text has that context. Back-off weights follow in the same way: owners send the partial sums of each context that some held-out text
+has (a mark that goes round with the counts; training texts never back off), and blocks with unseen events get them added up. No table, and no context with many followers, is ever in one task or on the driver, which
 sees only counts of counts. Rows exchanged are blocks times buckets.
 
 `keep` names a folder for the model: `grams` (order, bucket, keys, totals) and `contexts` (order, bucket, sums), as
@@ -43,7 +44,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.session import forget, materialise, ship
+from tesserae.llm.common import lean
+from tesserae.session import forget, materialise, release, ship
 
 ORDER = 3
 FIT = 6  # the counts of counts that the fit reads
@@ -57,7 +59,7 @@ START = 1 << 40  # the rank of a context that is start marks only
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 TOKENS = "block long, ids binary, held binary, sizes binary, words binary, buckets binary, places binary, codes binary, docs long, tokens long"
-ASKED = "block long, bucket long, a binary, b binary, counts binary"
+ASKED = "block long, bucket long, a binary, b binary, counts binary, held binary, singles long"
 TOLD = "block long, bucket long, totals binary, ranks binary, a binary, b binary, types long, " + ", ".join(f"n{r} long" for r in range(1, FIT + 1))
 PARTIAL = "block long, level long, bucket long, a binary, b binary, c binary, d binary"
 SUMS = "block long, level long, bucket long, a binary, b binary, c binary"
@@ -92,6 +94,14 @@ def words_of(data: bytes | None) -> list[bytes]:
     return [*(data or b"").translate(_ASCII_LOWER).split(), END]
 
 
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def slope(counts_of_counts: list[int]) -> float:
     """The b of n(r) = e^a r^b, by least squares over the counts that occur; -2 where fewer than two do."""
     seen = [(r, n) for r, n in enumerate(counts_of_counts, 1) if n > 0]
@@ -101,10 +111,23 @@ def slope(counts_of_counts: list[int]) -> float:
     return float(min(np.polyfit(r, n, 1)[0], LEAST_SLOPE))
 
 
+_UP: dict[float, np.ndarray] = {}  # what the counts below 4096 give up, by slope
+
+
 def given_up(counts: np.ndarray, b: float) -> np.ndarray:
     """(1 - d(c)) c with the discount d(c) = (1 + 1 / c)^(b + 1)."""
-    c = np.maximum(counts, 1).astype(np.float64)
-    return np.where(counts > 0, -c * np.expm1((b + 1) * np.log1p(1 / c)), 0.0)
+    if b not in _UP:
+        if len(_UP) > 8:
+            _UP.clear()
+        _UP[b] = np.concatenate([[0.0], _formula(np.arange(1.0, 4096), b)])
+    out = _UP[b][np.minimum(counts, 4095)]
+    large = np.flatnonzero(counts > 4095)
+    out[large] = _formula(counts[large].astype(np.float64), b)
+    return out
+
+
+def _formula(c: np.ndarray, b: float) -> np.ndarray:
+    return -c * np.expm1((b + 1) * np.log1p(1 / c))
 
 
 def discounted(counts: np.ndarray, b: float) -> np.ndarray:
@@ -112,6 +135,26 @@ def discounted(counts: np.ndarray, b: float) -> np.ndarray:
     return counts - given_up(counts, b)
 
 
+def sorted_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative keys in order, and the place that each had; key and place are sorted as one number where both fit in it."""
+    bits = max(len(keys) - 1, 1).bit_length()
+    if len(keys) and int(keys.max()).bit_length() + bits <= 63:
+        both = np.sort((keys << np.int64(bits)) | np.arange(len(keys)))
+        return both >> np.int64(bits), both & np.int64((1 << bits) - 1)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], order
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the number of each key among them."""
+    ordered, places = sorted_places(keys)
+    new = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    number = np.empty(len(keys), np.int32)
+    number[places] = np.cumsum(new) - 1
+    return ordered[new], number
+
+
 def bucket_of(first: np.ndarray, second: np.ndarray, buckets: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
@@ -123,9 +166,10 @@ def tokenised(docs: DataFrame, block_tokens: int, buckets: int) -> DataFrame:
     """TOKENS rows of docs: doc_id, held, text. words lie in the order of their buckets; places: that of each by frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         first, made = TaskContext.get().partitionId() << 32, 0
         held: list[tuple[int, bool, int]] = []
-        number: dict[bytes, int] = {}
+        number = _Numbers()
         codes: list[np.ndarray] = []
         tokens = 0
 
@@ -148,12 +192,12 @@ def tokenised(docs: DataFrame, block_tokens: int, buckets: int) -> DataFrame:
         for batch in batches:
             for id_, out, text in zip(batch["doc_id"].to_pylist(), batch["held"].to_pylist(), batch["text"].cast(pa.binary()), strict=True):
                 words = words_of(text.as_py())
-                codes.append(np.array([number.setdefault(w, len(number)) for w in words], np.uint32))
+                codes.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
                 held.append((NULL_ID if id_ is None else id_, bool(out), len(words)))
                 tokens += len(words)
                 if tokens >= block_tokens:
                     yield row()
-                    held, number, codes, tokens, made = [], {}, [], 0, made + 1
+                    held, number, codes, tokens, made = [], _Numbers(), [], 0, made + 1
         if held:
             yield row()
 
@@ -184,8 +228,8 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 class Facts:
     """What the driver knows of the model."""
 
-    def __init__(self, order: int, buckets: int, docs: int, tokens: int):
-        self.order, self.buckets, self.docs, self.tokens = order, buckets, docs, tokens
+    def __init__(self, order: int, buckets: int, docs: int, tokens: int, keep: bool = False):
+        self.order, self.buckets, self.docs, self.tokens, self.keep = order, buckets, docs, tokens, keep
         self.types, self.slopes, self.unknown = 0, {}, 1.0
 
 
@@ -196,60 +240,74 @@ class Block:
         self.facts = facts
         self.ids, self.held, self.sizes = swell(row["ids"], "i8"), swell(row["held"], "u1").astype(bool), swell(row["sizes"], "u4").astype(np.int64)
         codes, places = swell(row["codes"], "u4"), swell(row["places"], "u4")
-        self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]) if len(self.sizes) else np.zeros(0, np.int64)
-        self.training = ~self.held[self.doc]
+        self.out = np.flatnonzero(self.held[self.doc])  # the events of held-out texts
         self.bucket = np.cumsum(swell(row["buckets"], "u4"), dtype=np.int64)  # of the words in the order of their buckets
-        self.asked = np.bincount(codes[self.training], minlength=len(places))[places]  # the training counts in that order
+        self.asked, self.held_keys = (c[places] for c in self._counts(codes, len(places)))  # how often in training and held out, in that order
         if 1 not in told:
             return
-        total, number, _ = self._answers(told[1], len(places), np.arange(len(places)), self.bucket)
-        order = np.argsort(number, kind="stable")
-        where = np.empty(len(places), np.int64)
+        total, number, wanted, _ = self._answers(told[1], len(places), np.arange(len(places)), self.bucket)
+        order = sorted_places(number)[1]
+        where = np.empty(len(places), np.int32)
         where[places[order]] = np.arange(len(places))
         self.level, self.word = 1, where[codes]
-        self.at, self.total, self.number, self.context_total = self.word, total[order], number[order], np.full(len(codes), facts.tokens)
+        self.at, self.total, self.number, self.wanted, self.context_total = self.word, total[order], number[order], wanted[order], np.full(len(codes), facts.tokens)
         self.word_number, self.word_total = self.number, self.total
 
-    def _answers(self, rows: list[tuple], n: int, asked: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Totals, numbers and marks of ownership of n keys, of which those at `asked` were asked for, in this order."""
-        answer, rank = (np.concatenate([np.zeros(0, np.uint64), *(swell(r[i], "u8") for r in rows)]) for i in (1, 2))
-        total, number, owned = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-        total[asked], owned[asked] = (answer >> np.uint64(1)).astype(np.int64), (answer & np.uint64(1)) == 1
-        number[asked] = rank.astype(np.int64) * self.facts.buckets + bucket
-        return total, number, owned
+    def _counts(self, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """How often each code occurs in training and held-out events."""
+        out = np.bincount(codes[self.out], minlength=n)
+        return np.bincount(codes, minlength=n) - out, out
+
+    def _answers(self, rows: list[tuple], n: int, asked: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Totals, numbers, and the marks of what is wanted as a context and of ownership, of n keys, of which those at `asked` were asked for, in this order."""
+        answer = np.concatenate([np.zeros(0, np.uint64), *(swell(r[1], "u8") for r in rows)])
+        total, number, wanted, owned = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+        total[asked], wanted[asked], owned[asked] = (answer >> np.uint64(2)).astype(np.int64), (answer & np.uint64(2)) > 0, (answer & np.uint64(1)) > 0
+        if rows and rows[0][2] is not None:
+            number[asked] = np.concatenate([swell(r[2], "u8") for r in rows]).astype(np.int64) * self.facts.buckets + bucket
+        return total, number, wanted, owned
 
     def up(self) -> None:
         """To the distinct n-grams of the next order: their contexts, last words, suffixes and training counts, and how to ask for them."""
         m = len(self.total)
         self.level += 1
         self.suffix_total, before = self.total, self.at
-        self.context = np.concatenate([[m], before[:-1]])
+        self.context = np.concatenate([np.array([m], np.int32), before[:-1]])
         self.context[self.begins] = m
         self.contexts_total = np.append(self.total, self.facts.docs)  # the last for the start marks
         self.contexts_number = np.append(self.number, START * self.facts.buckets + self.level % self.facts.buckets)
+        self.contexts_wanted = np.append(self.wanted, True)
         self.shorter_total = np.zeros(m + 1, np.int64)
         self.shorter_total[self.context] = self.context_total
         self.context_total = self.contexts_total[self.context]
-        v = len(self.word_total)
-        keys, self.at = np.unique(self.context * v + self.word, return_inverse=True)
-        self.counts = np.bincount(self.at[self.training], minlength=len(keys))
-        self.of, last = keys // v, keys % v
-        self.suffix = np.zeros(len(keys), np.int64)
+        bits = np.int64(len(self.word_total).bit_length())
+        keys, self.at = numbered((self.context.astype(np.int64) << bits) | self.word)
+        self.counts, self.held_keys = self._counts(self.at, len(keys))
+        self.of, last = (keys >> bits).astype(np.int32), (keys & ((np.int64(1) << bits) - 1)).astype(np.int32)
+        del keys
+        self.suffix = np.zeros(len(self.of), np.int32)
         self.suffix[self.at] = before
-        known = np.flatnonzero((self.contexts_total[self.of] > 0) & (self.suffix_total[self.suffix] > 0))
+        most = np.minimum(self.contexts_total[self.of], self.suffix_total[self.suffix])  # no n-gram has more than what it is made of
+        self.settled = np.flatnonzero((most == 1) & (self.counts > 0) & ~self.contexts_wanted[self.of])
+        most[self.settled] = 0
+        known = np.flatnonzero(most)
         a, b = self.contexts_number[self.of[known]], self.word_number[last[known]]
         bucket = bucket_of(a, b, self.facts.buckets)
         order = np.argsort(bucket.astype(np.uint16) if self.facts.buckets <= 1 << 16 else bucket, kind="stable")
         self.known, self.bucket, self.a, self.b = known[order], bucket[order], a[order], b[order]
 
     def hear(self, rows: list[tuple]) -> None:
-        """Takes the buckets' answers, and puts the n-grams in the order of their numbers."""
-        total, number, owned = self._answers(rows, len(self.counts), self.known, self.bucket)
-        order = np.argsort(number, kind="stable")
-        where = np.empty(len(order), np.int64)
-        where[order] = np.arange(len(order))
-        self.at, self.total, self.number, self.owned, self.of, self.suffix = where[self.at], total[order], number[order], owned[order], self.of[order], self.suffix[order]
+        """Takes the buckets' answers, and puts n-grams that are contexts of the next order in the order of their numbers."""
+        self.total, self.number, self.wanted, self.owned = self._answers(rows, len(self.counts), self.known, self.bucket)
+        self.total[self.settled], self.owned[self.settled] = 1, True
+        if self.level < self.facts.order:
+            order = sorted_places(self.number)[1]
+            where = np.empty(len(order), np.int32)
+            where[order] = np.arange(len(order))
+            self.at = where[self.at]
+            self.total, self.number, self.wanted, self.owned, self.of, self.suffix = (x[order] for x in (self.total, self.number, self.wanted, self.owned, self.of, self.suffix))
 
     def climb(self, told: dict[int, list[tuple]]) -> Iterator["Block"]:
         """Itself at each order from 2 on that was told of."""
@@ -265,7 +323,7 @@ def asked_words(tokens: DataFrame, facts: Facts) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             block, words = Block(row, facts, {}), swell(row["words"], "u1").tobytes().split(b"\n")
-            yield _batch([(row["block"], b, squeeze(np.frombuffer(b"\n".join(words[s]), np.uint8)), None, squeeze(block.asked[s].astype(np.uint32))) for b, s in _cut(block.bucket)], ASKED)
+            yield _batch([(row["block"], b, squeeze(np.frombuffer(b"\n".join(words[s]), np.uint8)), None, squeeze(block.asked[s].astype(np.uint32)), squeeze(block.held_keys[s] > 0), 0) for b, s in _cut(block.bucket)], ASKED)
 
     return tokens.mapInArrow(run, ASKED)
 
@@ -279,14 +337,16 @@ def asked_grams(tokens: DataFrame, replies: DataFrame, facts: Facts, level: int)
     """Each block's n-grams of this order as (number of the context, number of the word), and training counts, a row for each bucket."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         told, out = _told_by_level(right, range(1, level)), []
         for row in left.to_pylist():
             block = Block(row, facts, told)
             for _ in block.climb({n: told[n] for n in range(2, level)}):
                 pass
             block.up()
-            counts = block.counts[block.known].astype(np.uint32)
-            out += [(row["block"], b, squeeze_sorted(block.a[s].astype(np.uint64)), squeeze(block.b[s].astype(np.uint64)), squeeze(counts[s])) for b, s in _cut(block.bucket)]
+            counts, held = block.counts[block.known].astype(np.uint32), block.held_keys[block.known] > 0
+            cuts = list(_cut(block.bucket)) or [(0, slice(0, 0))]
+            out += [(row["block"], b, squeeze_sorted(block.a[s].astype(np.uint64)), squeeze(block.b[s].astype(np.uint64)), squeeze(counts[s]), squeeze(held[s]) if level < facts.order else None, 0 if i else len(block.settled)) for i, (b, s) in enumerate(cuts)]
         return pa.Table.from_batches([_batch(out, ASKED)])
 
     return _met(tokens, replies).applyInArrow(run, ASKED)
@@ -308,25 +368,25 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def told(requests: DataFrame, words: bool) -> DataFrame:
-    """For each block 2 x total + 1 if it owns the key, and the rank of each trained key; for MODEL the table itself, with its figures."""
+def told(requests: DataFrame, facts: Facts, level: int) -> DataFrame:
+    """For each block 4 x total, + 2 if a held-out text anywhere may need the key as a context, + 1 if the block owns the key;
+    and the rank of each trained key, below the highest order. For MODEL the figures, and with `keep` the table itself."""
+    words = level == 1
 
     def distinct(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray | list[bytes], np.ndarray | None]:
         """The number of keys of each row, the code of each key, and the keys that the codes stand for."""
         if words:
-            number: dict[bytes, int] = {}
-            codes = [[number.setdefault(w, len(number)) for w in swell(r["a"], "u1").tobytes().split(b"\n")] for r in rows]
+            number = _Numbers()
+            codes = [[*map(number.__getitem__, swell(r["a"], "u1").tobytes().split(b"\n"))] for r in rows]
             return np.array([len(c) for c in codes]), np.concatenate([np.array(c, np.int64) for c in codes]), list(number), None
         first, last = [swell_sorted(r["a"]) for r in rows], np.concatenate([swell(r["b"], "u8") for r in rows])
-        sizes, first = np.array([len(f) for f in first]), np.concatenate(first)
-        order = np.lexsort((last, first))
-        new = np.ones(len(order), bool)
-        new[1:] = (first[order[1:]] != first[order[:-1]]) | (last[order[1:]] != last[order[:-1]])
-        codes = np.empty(len(order), np.int64)
-        codes[order] = np.cumsum(new) - 1
-        return sizes, codes, first[order[new]], last[order[new]]
+        sizes = np.array([len(f) for f in first])
+        (first, a), (last, b) = numbered(np.concatenate(first).astype(np.int64)), numbered(last.astype(np.int64))
+        keys, codes = numbered(a.astype(np.int64) * len(last) + b)
+        return sizes, codes, first[keys // len(last)].astype(np.uint64), last[keys % len(last)].astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for rows in by_bucket(batches):
             sizes, codes, first, last = distinct(rows)
             counts = np.concatenate([swell(r["counts"], "u8" if r["block"] == MODEL else "u4").astype(np.int64) for r in rows])
@@ -337,12 +397,19 @@ def told(requests: DataFrame, words: bool) -> DataFrame:
             trained = np.flatnonzero(counts)
             owner = np.zeros(len(codes), np.int64)
             owner[trained[np.unique(codes[trained], return_index=True)[1]]] = 1
-            answer, ranks = (2 * totals[codes] + owner).astype(np.uint64), rank[codes]
+            held = [np.zeros(n, bool) if r["held"] is None else swell(r["held"], "u1") > 0 for r, n in zip(rows, sizes.tolist(), strict=True)]
+            wanted = (np.bincount(codes, np.concatenate(held), len(first)) > 0) | facts.keep
+            answer, ranks = (4 * totals[codes] + 2 * wanted[codes] + owner).astype(np.uint64), rank[codes]
             ends = np.cumsum(sizes)
-            out = [(r["block"], r["bucket"], squeeze(answer[e - n : e]), squeeze(ranks[e - n : e]), None, None, *[None] * (FIT + 1)) for r, n, e in zip(rows, sizes.tolist(), ends.tolist(), strict=True) if r["block"] != MODEL]
-            keys = (squeeze(np.frombuffer(b"\n".join([first[i] for i in here.tolist()]), np.uint8)), None) if words else (squeeze_sorted(first[here]), squeeze(last[here]))
-            if len(here):
-                out.append((MODEL, rows[0]["bucket"], squeeze(totals[here].astype(np.uint64)), None, *keys, len(here), *np.bincount(np.minimum(totals, FIT + 1), minlength=FIT + 2)[1 : FIT + 1].tolist()))
+            out = [(r["block"], r["bucket"], squeeze(answer[e - n : e]), squeeze(ranks[e - n : e]) if level < facts.order else None, None, None, *[None] * (FIT + 1)) for r, n, e in zip(rows, sizes.tolist(), ends.tolist(), strict=True) if r["block"] != MODEL]
+            keys = (None, None)
+            if facts.keep:
+                keys = (squeeze(np.frombuffer(b"\n".join([first[i] for i in here.tolist()]), np.uint8)), None) if words else (squeeze_sorted(first[here]), squeeze(last[here]))
+            singles = sum(r["singles"] or 0 for r in rows)
+            if len(here) or singles:
+                figures = np.bincount(np.minimum(totals, FIT + 1), minlength=FIT + 2)[1 : FIT + 1]
+                figures[0] += singles
+                out.append((MODEL, rows[0]["bucket"], squeeze(totals[here].astype(np.uint64)) if words or facts.keep else None, None, *keys, len(here) + singles, *figures.tolist()))
             for at in range(0, len(out), 256):
                 yield _batch(out[at : at + 256], TOLD)
 
@@ -374,6 +441,7 @@ def partials(tokens: DataFrame, replies: DataFrame, facts: Facts) -> DataFrame:
     levels = range(1, facts.order + 1)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         told, out = _told_by_level(right, levels), []
         for row in left.to_pylist():
             block = Block(row, facts, told)
@@ -392,7 +460,7 @@ def partials(tokens: DataFrame, replies: DataFrame, facts: Facts) -> DataFrame:
                 for open_ in backed.values():
                     open_[0] &= ~seen
                 backed[up.level] = [~seen & (before > 0), up.context, up.contexts_total, up.shorter_total]
-                mine = np.flatnonzero(up.owned)
+                mine = np.flatnonzero(up.owned & up.contexts_wanted[up.of])
                 m = len(up.contexts_total)
                 gives = np.bincount(up.of[mine], given_up(up.total[mine], facts.slopes[up.level]), m)
                 below = np.bincount(up.of[mine], discounted(up.suffix_total[up.suffix[mine]], facts.slopes[up.level - 1]), m)
@@ -425,7 +493,7 @@ def sums(contexts: DataFrame) -> DataFrame:
         for (level, bucket), group in groupby(_each(batches), lambda r: (r["level"], r["bucket"])):
             rows = list(group)
             ranks = [swell_sorted(r["a"]) for r in rows]
-            distinct, at = np.unique(np.concatenate(ranks), return_inverse=True)
+            distinct, at = numbered(np.concatenate(ranks).astype(np.int64))
             gives, below = (np.bincount(at, np.concatenate([swell(r[c], "f8") for r in rows]), len(distinct)) for c in ("b", "c"))
             end, out = 0, []
             for r, k in zip(rows, ranks, strict=True):
@@ -433,7 +501,7 @@ def sums(contexts: DataFrame) -> DataFrame:
                     wanted = at[end : end + len(k)][swell(r["d"], "u1") > 0]
                     out.append((r["block"], level, bucket, None, squeeze(gives[wanted]), squeeze(below[wanted])))
                 end += len(k)
-            out.append((MODEL, level, bucket, squeeze_sorted(distinct), squeeze(gives), squeeze(below)))
+            out.append((MODEL, level, bucket, squeeze_sorted(distinct.astype(np.uint64)), squeeze(gives), squeeze(below)))
             for at_ in range(0, len(out), 256):
                 yield _batch(out[at_ : at_ + 256], SUMS)
 
@@ -474,7 +542,7 @@ def score(docs: DataFrame, held_out: Column | None = None, text: str = "text", k
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), held.alias("held"), F.col(text).alias("text"))
     tokens = materialise(tokenised(rows, block_tokens, buckets), "tokens")
     trained = tokens.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    facts = Facts(order, buckets, meta.get("docs", trained[0]), meta.get("tokens", trained[1]))
+    facts = Facts(order, buckets, meta.get("docs", trained[0]), meta.get("tokens", trained[1]), keep is not None)
     tables: list[DataFrame] = []
     for level in range(1, order + 1):
         replies = None
@@ -483,28 +551,33 @@ def score(docs: DataFrame, held_out: Column | None = None, text: str = "text", k
             replies = part if replies is None else replies.unionByName(part)
         asked = asked_words(tokens, facts) if level == 1 else asked_grams(tokens, replies, facts, level)
         if grams is not None:
-            asked = asked.unionByName(grams.where(F.col("level") == level).select(F.lit(MODEL).cast("long").alias("block"), "bucket", "a", "b", F.col("totals").alias("counts")))
-        tables.append(materialise(told(asked, level == 1), f"grams-{level}"))
+            asked = asked.unionByName(grams.where(F.col("level") == level).select(F.lit(MODEL).cast("long").alias("block"), "bucket", "a", "b", F.col("totals").alias("counts"), F.lit(None).cast("binary").alias("held"), F.lit(0).cast("long").alias("singles")))
+        tables.append(materialise(told(asked, facts, level), f"grams-{level}"))
+        del asked
         types, counted = _figures(tables[-1])
         facts.slopes[level] = slope(counted)
         if level == 1:
             facts.types = types
             facts.unknown = _left_for_unknown(tables[0], facts)
+        release(spark)
     replies = None
     for n, t in enumerate(tables, 1):
         part = t.where(F.col("block") != MODEL).select("block", F.lit(n).cast("long").alias("level"), "bucket", "totals", "ranks")
         replies = part if replies is None else replies.unionByName(part)
     partial = materialise(partials(tokens, replies, facts), "partial")
+    del replies
+    if keep:
+        for n, t in enumerate(tables, 1):
+            own = t.where(F.col("block") == MODEL).select(F.lit(n).cast("long").alias("level"), "bucket", "a", "b", "totals")
+            own.write.mode("append" if n > 1 else "errorifexists").partitionBy("level").parquet(f"{keep}/grams")
+    for done in (tokens, *tables):
+        forget(done)
+    release(spark)
     asked = partial.where(F.col("bucket") != MODEL)
     if contexts is not None:
         asked = asked.unionByName(contexts.select(F.lit(MODEL).cast("long").alias("block"), "level", "bucket", "a", "b", "c", F.lit(None).cast("binary").alias("d")))
     found = materialise(sums(asked), "sums")
     if keep:
-        own = [t.where(F.col("block") == MODEL).select(F.lit(n).cast("long").alias("level"), "bucket", "a", "b", "totals") for n, t in enumerate(tables, 1)]
-        for n, t in enumerate(own):
-            t.write.mode("append" if n else "errorifexists").partitionBy("level").parquet(f"{keep}/grams")
         found.where(F.col("block") == MODEL).select("level", "bucket", "a", "b", "c").write.parquet(f"{keep}/contexts")
         spark.createDataFrame([(json.dumps({"order": order, "buckets": buckets, "docs": facts.docs, "tokens": facts.tokens}),)], "value string").coalesce(1).write.text(f"{keep}/meta")
-    for done in (tokens, *tables):
-        forget(done)
     return finished(partial.where(F.col("bucket") == MODEL), found.where(F.col("block") != MODEL), facts)

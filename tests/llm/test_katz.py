@@ -91,6 +91,15 @@ def test_the_fit_is_good_turing_on_a_straight_line():
         assert abs(katz.discounted(np.array([r]), b)[0] - (r + 1) * n[r] / n[r - 1]) < 1e-9
 
 
+@pytest.mark.parametrize("top", [3, 1 << 20, 1 << 62])
+def test_numbers_of_keys(top):
+    keys = np.random.default_rng(2).integers(0, top, 3000)
+    distinct, number = katz.numbered(keys)
+    want = np.unique(keys, return_inverse=True)
+    assert (distinct == want[0]).all() and (number == want[1]).all()
+    assert [len(x) for x in katz.numbered(keys[:0])] == [0, 0]
+
+
 def test_squeezed_arrays_come_back():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
