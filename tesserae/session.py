@@ -67,6 +67,22 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def materialise_parts(df: DataFrame, label: str, by: str, values: tuple) -> list[DataFrame]:
+    """Writes df as a table for each value of a column, in one pass, and reads them again, each to be forgotten on its own."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tesserae-{label}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    parts = []
+    for value in values:
+        own = f"{path}/{by}={value}"
+        p = spark._jvm.org.apache.hadoop.fs.Path(own)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)  # a value may have no rows
+        out = spark.read.schema(df.drop(by).schema).parquet(own)
+        out._tesserae_path = own
+        parts.append(out)
+    return parts
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df to a table in the shared folder and reads it again.
 
