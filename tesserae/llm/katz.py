@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import lean
-from tesserae.session import forget, materialise, release, ship
+from tesserae.session import forget, materialise, materialise_parts, release, ship
 
 ORDER = 3
 FIT = 6  # the counts of counts that the fit reads
@@ -58,8 +58,9 @@ END = b" "  # no word holds a space
 START = 1 << 40  # the rank of a context that is start marks only
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
-TOKENS = "block long, ids binary, held binary, sizes binary, words binary, buckets binary, places binary, codes binary, docs long, tokens long"
+TOKENS = "block long, ids binary, held_docs binary, sizes binary, buckets binary, places binary, codes binary, docs long, tokens long"
 ASKED = "block long, bucket long, a binary, b binary, counts binary, held binary, singles long"
+READ = f"words boolean, {TOKENS}, {ASKED.removeprefix('block long, ')}"  # rows of both
 TOLD = "block long, bucket long, totals binary, ranks binary, a binary, b binary, types long, " + ", ".join(f"n{r} long" for r in range(1, FIT + 1))
 PARTIAL = "block long, level long, bucket long, a binary, b binary, c binary, d binary"
 SUMS = "block long, level long, bucket long, a binary, b binary, c binary"
@@ -163,7 +164,9 @@ def bucket_of(first: np.ndarray, second: np.ndarray, buckets: int) -> np.ndarray
 
 
 def tokenised(docs: DataFrame, block_tokens: int, buckets: int) -> DataFrame:
-    """TOKENS rows of docs: doc_id, held, text. words lie in the order of their buckets; places: that of each by frequency."""
+    """READ rows of docs: doc_id, held, text: a row of TOKENS for each block, and one of ASKED for each bucket that its words fall in.
+
+    Words lie in the order of their buckets; places: that of each by frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -173,7 +176,7 @@ def tokenised(docs: DataFrame, block_tokens: int, buckets: int) -> DataFrame:
         codes: list[np.ndarray] = []
         tokens = 0
 
-        def row() -> pa.RecordBatch:
+        def rows() -> pa.RecordBatch:
             code = np.concatenate(codes)
             rank = np.empty(len(number), np.uint32)
             rank[np.argsort(-np.bincount(code, minlength=len(number)), kind="stable")] = np.arange(len(number), dtype=np.uint32)
@@ -182,12 +185,16 @@ def tokenised(docs: DataFrame, block_tokens: int, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             trained = np.array([not h[1] for h in held])
             sizes = np.array([h[2] for h in held], np.uint32)
-            blob = b"\n".join([words[i] for i in order.tolist()])
+            bucket, words = bucket[order], [words[i] for i in order.tolist()]
+            out_ = np.bincount(code[np.repeat(~trained, sizes)], minlength=len(words))[order]
+            counts = np.bincount(code, minlength=len(words))[order] - out_
             parts = (
-                squeeze(np.array([h[0] for h in held], np.int64)), squeeze(~trained), squeeze(sizes), squeeze(np.frombuffer(blob, np.uint8)),
-                squeeze(np.diff(bucket[order], prepend=0).astype(np.uint32)), squeeze(rank[order]), squeeze(rank[code]),
+                squeeze(np.array([h[0] for h in held], np.int64)), squeeze(~trained), squeeze(sizes),
+                squeeze(np.diff(bucket, prepend=0).astype(np.uint32)), squeeze(rank[order]), squeeze(rank[code]),
             )
-            return _batch([(first + made, *parts, int(trained.sum()), int(sizes[trained].sum()))], TOKENS)
+            block, none = first + made, [None] * 6
+            asked = [(True, block, *[None] * 8, b, squeeze(np.frombuffer(b"\n".join(words[s]), np.uint8)), None, squeeze(counts[s].astype(np.uint32)), squeeze(out_[s] > 0), 0) for b, s in _cut(bucket)]
+            return _batch([(False, block, *parts, int(trained.sum()), int(sizes[trained].sum()), *none), *asked], READ)
 
         for batch in batches:
             for id_, out, text in zip(batch["doc_id"].to_pylist(), batch["held"].to_pylist(), batch["text"].cast(pa.binary()), strict=True):
@@ -196,12 +203,12 @@ def tokenised(docs: DataFrame, block_tokens: int, buckets: int) -> DataFrame:
                 held.append((NULL_ID if id_ is None else id_, bool(out), len(words)))
                 tokens += len(words)
                 if tokens >= block_tokens:
-                    yield row()
+                    yield rows()
                     held, number, codes, tokens, made = [], _Numbers(), [], 0, made + 1
         if held:
-            yield row()
+            yield rows()
 
-    return docs.mapInArrow(run, TOKENS)
+    return docs.mapInArrow(run, READ)
 
 
 def _cut(b: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -238,15 +245,12 @@ class Block:
 
     def __init__(self, row: dict, facts: Facts, told: dict[int, list[tuple]]):
         self.facts = facts
-        self.ids, self.held, self.sizes = swell(row["ids"], "i8"), swell(row["held"], "u1").astype(bool), swell(row["sizes"], "u4").astype(np.int64)
+        self.ids, self.held, self.sizes = swell(row["ids"], "i8"), swell(row["held_docs"], "u1").astype(bool), swell(row["sizes"], "u4").astype(np.int64)
         codes, places = swell(row["codes"], "u4"), swell(row["places"], "u4")
         self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]) if len(self.sizes) else np.zeros(0, np.int64)
         self.out = np.flatnonzero(self.held[self.doc])  # the events of held-out texts
         self.bucket = np.cumsum(swell(row["buckets"], "u4"), dtype=np.int64)  # of the words in the order of their buckets
-        self.asked, self.held_keys = (c[places] for c in self._counts(codes, len(places)))  # how often in training and held out, in that order
-        if 1 not in told:
-            return
         total, number, wanted, _ = self._answers(told[1], len(places), np.arange(len(places)), self.bucket)
         order = sorted_places(number)[1]
         where = np.empty(len(places), np.int32)
@@ -317,17 +321,6 @@ class Block:
             yield self
 
 
-def asked_words(tokens: DataFrame, facts: Facts) -> DataFrame:
-    """Each block's words and training counts, a row for each bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            block, words = Block(row, facts, {}), swell(row["words"], "u1").tobytes().split(b"\n")
-            yield _batch([(row["block"], b, squeeze(np.frombuffer(b"\n".join(words[s]), np.uint8)), None, squeeze(block.asked[s].astype(np.uint32)), squeeze(block.held_keys[s] > 0), 0) for b, s in _cut(block.bucket)], ASKED)
-
-    return tokens.mapInArrow(run, ASKED)
-
-
 def _told_by_level(table: pa.Table, levels: range) -> dict[int, list[tuple]]:
     rows = sorted(zip(*(table[c].to_pylist() for c in ("level", "bucket", "totals", "ranks")), strict=True), key=lambda r: r[:2])
     return {n: [] for n in levels} | {n: [r[1:] for r in group] for n, group in groupby(rows, lambda r: r[0])}
@@ -353,7 +346,7 @@ def asked_grams(tokens: DataFrame, replies: DataFrame, facts: Facts, level: int)
 
 
 def _met(tokens: DataFrame, replies: DataFrame):
-    return tokens.drop("words").groupBy("block").cogroup(replies.groupBy("block"))
+    return tokens.groupBy("block").cogroup(replies.groupBy("block"))
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -532,6 +525,12 @@ def _stored(spark: SparkSession, model: str) -> tuple[DataFrame, DataFrame, dict
     return spark.read.parquet(f"{model}/grams"), spark.read.parquet(f"{model}/contexts"), meta
 
 
+def _columns(table: DataFrame, schema: str) -> DataFrame:
+    out = table.select(*[f.split()[0] for f in schema.split(", ")])
+    out._tesserae_path = table._tesserae_path
+    return out
+
+
 def score(docs: DataFrame, held_out: Column | None = None, text: str = "text", key: str = "doc_id", order: int = ORDER, block_tokens: int = BLOCK_TOKENS, buckets: int = BUCKETS, keep: str | None = None, model: str | None = None) -> DataFrame:
     """SCORES of every row under the model of those that are not held out, or under a model that `keep` stored."""
     spark = docs.sparkSession
@@ -540,7 +539,8 @@ def score(docs: DataFrame, held_out: Column | None = None, text: str = "text", k
     order, buckets = meta.get("order", order), meta.get("buckets", buckets * int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = F.lit(True) if model else held_out if held_out is not None else F.lit(False)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), held.alias("held"), F.col(text).alias("text"))
-    tokens = materialise(tokenised(rows, block_tokens, buckets), "tokens")
+    tokens, words = materialise_parts(tokenised(rows, block_tokens, buckets), "tokens", "words", ("false", "true"))
+    tokens, asked_words = _columns(tokens, TOKENS), _columns(words, ASKED)
     trained = tokens.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     facts = Facts(order, buckets, meta.get("docs", trained[0]), meta.get("tokens", trained[1]), keep is not None)
     tables: list[DataFrame] = []
@@ -549,7 +549,7 @@ def score(docs: DataFrame, held_out: Column | None = None, text: str = "text", k
         for n, t in enumerate(tables, 1):
             part = t.where(F.col("block") != MODEL).select("block", F.lit(n).cast("long").alias("level"), "bucket", "totals", "ranks")
             replies = part if replies is None else replies.unionByName(part)
-        asked = asked_words(tokens, facts) if level == 1 else asked_grams(tokens, replies, facts, level)
+        asked = asked_words if level == 1 else asked_grams(tokens, replies, facts, level)
         if grams is not None:
             asked = asked.unionByName(grams.where(F.col("level") == level).select(F.lit(MODEL).cast("long").alias("block"), "bucket", "a", "b", F.col("totals").alias("counts"), F.lit(None).cast("binary").alias("held"), F.lit(0).cast("long").alias("singles")))
         tables.append(materialise(told(asked, facts, level), f"grams-{level}"))
@@ -557,6 +557,7 @@ def score(docs: DataFrame, held_out: Column | None = None, text: str = "text", k
         types, counted = _figures(tables[-1])
         facts.slopes[level] = slope(counted)
         if level == 1:
+            forget(words)
             facts.types = types
             facts.unknown = _left_for_unknown(tables[0], facts)
         release(spark)
