@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import katz, langid, linededup, mergedropout, packing, quality, sharding, simhash, syncmers, tokencounts, vectorjoin
+from tesserae.llm import alignment, katz, langid, linededup, mergedropout, packing, quality, sharding, simhash, syncmers, tokencounts, vectorjoin
 from tesserae.llm.common import crc_mod
 from tesserae.sources import table
 
@@ -84,6 +84,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document by two vocabularies, aligned, and how common their links are in all documents."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of every document, and whether they are more than 1024."""
     import public_tokenizers
@@ -92,7 +100,7 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_perplexity, op3_vectors, op4_quality, op5_line_dedup, op6_packing, op7_simhash, op8_merge_dropout, op9_fingerprint, op10_sharding, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_perplexity, op3_vectors, op4_quality, op5_line_dedup, op6_packing, op7_simhash, op8_merge_dropout, op9_fingerprint, op10_sharding, op12_alignment, op13_token_counts)}
 #: The others learn, hash or tokenise in ways that SQL has no form for; tests hold them against plain Python.
 ORACLE_SQL: dict[str, str] = {
     "op3_vectors": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
