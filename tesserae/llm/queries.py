@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import alignment, katz, langid, linededup, mergedropout, packing, quality, sharding, simhash, syncmers, tokencounts, vectorjoin
+from tesserae.llm import alignment, katz, langid, lexsearch, linededup, mergedropout, packing, quality, sharding, simhash, syncmers, tokencounts, vectorjoin
 from tesserae.llm.common import crc_mod
 from tesserae.sources import table
 
@@ -84,6 +84,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of every document by two vocabularies, aligned, and how common their links are in all documents."""
     import public_tokenizers
@@ -100,7 +105,7 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_perplexity, op3_vectors, op4_quality, op5_line_dedup, op6_packing, op7_simhash, op8_merge_dropout, op9_fingerprint, op10_sharding, op12_alignment, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_perplexity, op3_vectors, op4_quality, op5_line_dedup, op6_packing, op7_simhash, op8_merge_dropout, op9_fingerprint, op10_sharding, op11_search, op12_alignment, op13_token_counts)}
 #: The others learn, hash or tokenise in ways that SQL has no form for; tests hold them against plain Python.
 ORACLE_SQL: dict[str, str] = {
     "op3_vectors": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -108,6 +113,13 @@ p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec
 r (node, reach) AS (SELECT vec_id, vec_id FROM v UNION SELECT node, p.b FROM r JOIN p ON p.a = reach),
 c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n_links FROM p GROUP BY 1)
 SELECT node AS vec_id, coalesce(n_links, 0) AS n_links, component_id, node = component_id AS kept FROM c LEFT JOIN n ON node = a""",
+    "op11_search": r"""WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+d AS (SELECT doc_id, len(terms) AS n FROM t WHERE len(terms) > 0), g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM t) GROUP BY 1, 2),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score FROM i JOIN p USING (term) JOIN w USING (term) JOIN d USING (doc_id), g GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
     "op5_line_dedup": """WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM s),
 k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
