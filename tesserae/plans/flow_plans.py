@@ -14,9 +14,9 @@ d AS (SELECT source AS store_id, lang AS theme, string_agg('voc:' || doc_id, ','
 c AS (SELECT source AS store_id, count(*) AS cited FROM v GROUP BY 1), p AS (SELECT source AS store_id, count(*) AS pool FROM e GROUP BY 1),
 t AS (SELECT source AS store_id, sum(n) AS publishable, bool_and(n < 3) AS all_thin FROM (SELECT source, lang, count(*) AS n FROM e GROUP BY 1, 2) GROUP BY 1)
 SELECT store_id, theme, refs, CASE WHEN pool >= 8 AND cited >= 5 THEN 'high' WHEN pool >= 3 AND cited >= 2 THEN 'medium' ELSE 'low' END AS confidence, publishable < 8 OR all_thin AS thin_data, 'draft' AS status
-FROM d JOIN c USING (store_id) JOIN p USING (store_id) JOIN t USING (store_id) WHERE cited <= 200""")
+FROM d JOIN c USING (store_id) JOIN p USING (store_id) JOIN t USING (store_id) WHERE cited <= 200 AND store_id NOT LIKE '%3'""")
 def voc_drafts(spark, sf_dir):
-    """Synthesis drafts of each store: citations of what is not publishable are gone. An answer cites 40 documents of a theme at most."""
+    """Synthesis drafts of each store: citations of what is not publishable are gone. An answer cites 40 documents of a theme at most; where the title is a number, it has no drafts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     good = docs.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
     evidence = good.select(F.col("source").alias("store_id"), F.lit("voc").alias("evidence_kind"), F.col("doc_id").cast("string").alias("evidence_id"))
@@ -24,7 +24,9 @@ def voc_drafts(spark, sf_dir):
     cited = pick.top_by(docs, ["source", "lang"], [F.col("doc_id")], 40)
     refs = F.sort_array(F.collect_list("doc_id"))
     pains = cited.groupBy("source", "lang").agg(F.struct(F.col("lang").alias("theme"), F.lit("s").alias("summary"), F.transform(refs, lambda i: F.struct(F.lit("voc").alias("kind"), i.cast("string").alias("id"))).alias("evidence_refs")).alias("pain"))
-    answers = pains.groupBy(F.col("source").alias("store_id")).agg(F.to_json(F.struct(F.lit("Title").alias("title"), F.sort_array(F.collect_list("pain")).alias("pains"))).alias("response"))
+    answers = pains.groupBy(F.col("source").alias("store_id")).agg(F.sort_array(F.collect_list("pain")).alias("pains"))
+    title = lambda t: F.to_json(F.struct(F.lit(t).alias("title"), "pains"))
+    answers = answers.select("store_id", F.when(F.endswith("store_id", F.lit("3")), title(5)).otherwise(title("Title")).alias("response"))
     return flows.voc_flow(quotes, evidence, answers).select("store_id", "theme", "refs", "confidence", "thin_data", "status")
 
 

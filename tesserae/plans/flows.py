@@ -37,10 +37,9 @@ def collect_flow(captures: DataFrame, answers: DataFrame) -> tuple[DataFrame, Da
     """Captures and extraction answers to (quotes, findings, counts): well-formed rows that occur in the
     reviews (quotes) or in the page (evidence of findings). captures: capture_id, html; answers: capture_id, response."""
     read = captures.select("capture_id", html.page_texts(F.col("html")).alias("_t")).select("capture_id", "_t.page", "_t.reviews")
-    items = lambda field: answers.select("capture_id", F.posexplode(shapes.raw_items(F.col("response"), field)).alias("pos", "raw"))
-    exact = lambda shape: shapes.has_exactly(F.col("raw"), tuple(shape.names))
-    quotes = items("quotes").withColumn("q", F.from_json("raw", shapes.QUOTE)).withColumn("well_formed", exact(shapes.QUOTE) & shapes.is_quote(F.col("q"))).select("capture_id", "pos", "well_formed", "q.*")
-    findings = items("findings").withColumn("f", F.from_json("raw", shapes.FINDING)).withColumn("well_formed", exact(shapes.FINDING) & shapes.is_finding(F.col("f"))).select("capture_id", "pos", "well_formed", "f.*")
+    items = lambda field: answers.select("capture_id", F.posexplode(shapes.items(shapes.parsed(F.col("response")), field)).alias("pos", "raw"))
+    quotes = items("quotes").select("capture_id", "pos", shapes.is_quote(F.col("raw")).alias("well_formed"), shapes.read(F.col("raw"), shapes.QUOTE).alias("q")).select("capture_id", "pos", "well_formed", "q.*")
+    findings = items("findings").select("capture_id", "pos", shapes.is_finding(F.col("raw")).alias("well_formed"), shapes.read(F.col("raw"), shapes.FINDING).alias("f")).select("capture_id", "pos", "well_formed", "f.*")
     quotes = grounding.admit(quotes, read, "capture_id", "quote", "reviews").withColumn("admitted", F.col("admitted") & F.col("well_formed"))
     findings = grounding.admit(findings, read, "capture_id", "evidence", "page").withColumn("admitted", F.col("admitted") & F.col("well_formed"))
     kinds = quotes.select("capture_id", F.lit("quotes").alias("kind"), "admitted").unionByName(findings.select("capture_id", F.lit("findings").alias("kind"), "admitted"))

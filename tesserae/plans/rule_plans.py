@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tesserae.functions import html, rules, text, urls
+from tesserae.functions import html, rules, shapes, text, urls
 from tesserae.operators import cache, census, jobs, ledger, limits, pick, robots, verify
 from tesserae.plans import flows
 from tesserae.plans.evidence_plans import _NORMAL
@@ -192,15 +192,15 @@ _ASKED = f"CASE doc_id % 4 WHEN 0 THEN substring({_REVIEWED}, 11, 40) WHEN 1 THE
 
 
 @query(f"""WITH c AS (SELECT doc_id, doc_id % 5 = 0 AS extra, {_NORMAL("'Free returns for ' || source || ' ' || " + _REVIEWED)} AS page, {_NORMAL(_REVIEWED)} AS reviews, {_NORMAL(_ASKED)} AS asked, {_ASKED} AS raw FROM documents),
-q AS (SELECT doc_id, NOT extra AND trim(raw) <> '' AND asked <> '' AND contains(reviews, asked) AS ok FROM c UNION ALL SELECT doc_id, false FROM c), f AS (SELECT doc_id, contains(page, 'Free returns for') AS ok FROM c)
+q AS (SELECT doc_id, NOT extra AND trim(raw) <> '' AND asked <> '' AND contains(reviews, asked) AS ok FROM c UNION ALL SELECT doc_id, false FROM c, range(3)), f AS (SELECT doc_id, contains(page, 'Free returns for') AS ok FROM c)
 SELECT doc_id AS capture_id, 'quotes' AS kind, count(*) FILTER (WHERE ok) AS minted, count(*) FILTER (WHERE NOT ok) AS rejected FROM q GROUP BY 1
 UNION ALL SELECT doc_id, 'findings', count(*) FILTER (WHERE ok), count(*) FILTER (WHERE NOT ok) FROM f GROUP BY 1""")
 def collect_counts(spark, sf_dir):
-    """Captures and extraction answers: what was minted and what was rejected of each."""
+    """Captures and extraction answers: what was minted and what was rejected of each. One quote is a number, one has a number for a theme."""
     docs = table(spark, sf_dir, "documents")
     captures = docs.select(F.col("doc_id").alias("capture_id"), F.concat(F.lit("<p>Free returns for "), "source", F.lit("</p><div class='jdgm-rev'>"), F.expr(_REVIEWED), F.lit("</div>")).alias("html"))
     answer = f"""concat('{{"quotes":[', to_json(named_struct('quote', {_ASKED}, 'type', 'desire', 'theme', 'fit', 'product_area', '', 'confidence', 'high', 'x', CASE WHEN doc_id % 5 = 0 THEN 1 END)),
-        ',', to_json(named_struct('quote', 'Free', 'type', 'no such', 'theme', '', 'product_area', '', 'confidence', 'high')), '],"findings":[',
+        ',', to_json(named_struct('quote', 'Free', 'type', 'no such', 'theme', '', 'product_area', '', 'confidence', 'high')), ',7,', to_json(named_struct('quote', {_ASKED}, 'type', 'desire', 'theme', doc_id, 'product_area', '', 'confidence', 'high')), '],"findings":[',
         to_json(named_struct('fact_type', 'policy', 'statement', 's', 'detail', '', 'evidence', 'Free returns for', 'confidence', 'low')), ']}}')"""
     return flows.collect_flow(captures, docs.select(F.col("doc_id").alias("capture_id"), F.expr(answer).alias("response")))[2]
 
@@ -233,12 +233,37 @@ def verify_members(spark, sf_dir):
     return verify.outcomes_by_kind(checked, pages, quotes, findings, labels).select("lang", "evidence_kind", "evidence_id", F.col("sample_rank").cast("long"), "result")
 
 
+def _odd(n: int) -> str:
+    """A JSON value that depends on the document: seldom what it should be, mostly its source as text."""
+    return f"""CASE doc_id % {n} WHEN 0 THEN '5' WHEN 1 THEN '["x"]' WHEN 2 THEN '{{"x":1}}' WHEN 3 THEN 'true' WHEN 4 THEN 'null' WHEN 5 THEN '"  "' ELSE '"' || source || '"' END"""
+
+
+_ANSWERS = {
+    "label": f"""'{{"verdict":' || CASE doc_id % 8 WHEN 0 THEN '"maybe"' WHEN 1 THEN '7' ELSE '"supported"' END || ',"rationale":' || {_odd(13)} || CASE doc_id % 10 WHEN 0 THEN ',"x":1' ELSE '' END || '}}'""",
+    "synthesis": f"""'{{"title":' || {_odd(29)} || ',"pains":' || CASE doc_id % 9 WHEN 0 THEN '[]' WHEN 1 THEN '"none"' WHEN 2 THEN '{{}}' ELSE '[{{"theme":' || {_odd(31)} || ',"summary":' || {_odd(37)} || ',"evidence_refs":[{{"kind":"voc","id":"1"}},{{"kind":"voc","id":' || {_odd(41)} || '}}]}}]' END || '}}'""",
+    "whitespace": f"""'{{"candidates":[{{"angle_key":"k","summary":"s"}},{{"angle_key":' || {_odd(17)} || ',"summary":' || {_odd(19)} || '}}]}}'""",
+    "usage": """'{"input_tokens":' || CASE doc_id % 7 WHEN 0 THEN '-1' WHEN 1 THEN 'true' WHEN 2 THEN '12.5' WHEN 3 THEN '"12"' ELSE n_chars::VARCHAR END || ',"output_tokens":' || CASE doc_id % 5 WHEN 0 THEN '2000' WHEN 1 THEN '3.0' ELSE '12' END || '}'""",
+}
+_FILLED = lambda j, path: f"(json_type({j}, '{path}') = 'VARCHAR' AND trim({j} ->> '{path}') <> '')"
+
+
+@query(f"""WITH a AS (SELECT doc_id, {", ".join(f"({sql})::JSON AS {name}" for name, sql in _ANSWERS.items())} FROM documents)
+SELECT doc_id, coalesce(len(json_keys(label)) = 2 AND json_type(label, '$.verdict') = 'VARCHAR' AND label ->> '$.verdict' IN ('supported', 'unsupported', 'ambiguous') AND {_FILLED("label", "$.rationale")}, false) AS label,
+coalesce({_FILLED("synthesis", "$.title")} AND json_type(synthesis, '$.pains') = 'ARRAY' AND (json_array_length(synthesis, '$.pains') = 0 OR ({_FILLED("synthesis", "$.pains[0].theme")} AND {_FILLED("synthesis", "$.pains[0].summary")} AND {_FILLED("synthesis", "$.pains[0].evidence_refs[1].id")})), false) AS synthesis,
+coalesce({_FILLED("whitespace", "$.candidates[1].angle_key")} AND {_FILLED("whitespace", "$.candidates[1].summary")}, false) AS whitespace,
+coalesce(json_type(usage, '$.input_tokens') IN ('UBIGINT', 'BIGINT') AND json_type(usage, '$.output_tokens') IN ('UBIGINT', 'BIGINT') AND try_cast(usage ->> '$.input_tokens' AS DOUBLE) BETWEEN 0 AND 20000 AND try_cast(usage ->> '$.output_tokens' AS DOUBLE) BETWEEN 0 AND 1024, false) AS usage FROM a""")
+def answer_shapes(spark, sf_dir):
+    """Which answers of each document are well-formed: numbers, lists, objects, booleans, nulls and blanks take the place of text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", *[F.expr(sql.replace("n_chars::VARCHAR", "string(n_chars)")).alias(name) for name, sql in _ANSWERS.items()])
+    return docs.select("doc_id", shapes.is_label(F.col("label")).alias("label"), shapes.is_synthesis(F.col("synthesis")).alias("synthesis"), shapes.is_whitespace(F.col("whitespace")).alias("whitespace"), shapes.is_usage(F.col("usage"), 20_000, 1024).alias("usage"))
+
+
 _BRANDS = "(SELECT DISTINCT p_brand AS angle_key FROM part)"
 
 
 @query(f"""WITH h AS (SELECT n_nationkey AS batch_id, n_nationkey % 3 AS coverage_gap, n_nationkey % 9 AS with_observations FROM nation),
 g AS (SELECT s_nationkey AS batch_id, p_brand AS angle_key, count(*) AS total_count, count(DISTINCT p_type) AS competitor_count FROM part JOIN supplier ON p_partkey % 100 = s_suppkey % 100 WHERE p_size > 10 GROUP BY 1, 2),
-c AS (SELECT batch_id, angle_key FROM h, {_BRANDS} WHERE batch_id % 4 <> 3 AND NOT (batch_id % 4 = 1 AND angle_key LIKE '%1'))
+c AS (SELECT batch_id, angle_key FROM h, {_BRANDS} WHERE batch_id % 4 <> 3 AND batch_id % 8 <> 6 AND NOT (batch_id % 4 = 1 AND angle_key LIKE '%1'))
 SELECT batch_id, angle_key, coalesce(competitor_count, 0) AS competitor_count, coalesce(total_count, 0) AS total_count, total_count IS NOT NULL AS has_rollup_row,
 CASE WHEN coverage_gap = 0 AND with_observations >= 6 THEN 'high' WHEN with_observations >= 3 THEN 'medium' ELSE 'low' END AS confidence, coverage_gap > 0 OR with_observations < 3 AS thin_data
 FROM c JOIN h USING (batch_id) LEFT JOIN g USING (batch_id, angle_key)""")
@@ -248,7 +273,7 @@ def whitespace_drafts(spark, sf_dir):
 
 
 @query(f"""WITH g AS (SELECT DISTINCT s_nationkey AS batch_id, p_brand AS angle_key FROM part JOIN supplier ON p_partkey % 100 = s_suppkey % 100 WHERE p_size > 10),
-d AS (SELECT n_nationkey AS batch_id FROM nation WHERE n_nationkey % 4 <> 3 AND EXISTS (SELECT 1 FROM {_BRANDS} WHERE NOT (n_nationkey % 4 = 1 AND angle_key LIKE '%1')))
+d AS (SELECT n_nationkey AS batch_id FROM nation WHERE n_nationkey % 4 <> 3 AND n_nationkey % 8 <> 6 AND EXISTS (SELECT 1 FROM {_BRANDS} WHERE NOT (n_nationkey % 4 = 1 AND angle_key LIKE '%1')))
 SELECT batch_id, 'batch' AS kind, batch_id::VARCHAR AS id FROM d UNION ALL SELECT batch_id, 'row', batch_id || '/' || angle_key FROM g SEMI JOIN d USING (batch_id)""")
 def whitespace_refs(spark, sf_dir):
     """The references of each whitespace draft's batch: its header and all of its rows."""
@@ -264,12 +289,12 @@ def _whitespace(spark, sf_dir):
     brands = part.select(F.col("p_brand").alias("angle_key")).distinct()
     registry = brands.select("angle_key", F.lit("L").alias("label"), F.lit("").alias("definition"), F.lit("active").alias("status"))
     fallback = spark.createDataFrame([("unmapped", "Unmapped", "")], "angle_key string, label string, definition string")
-    # every brand is a candidate of every batch; some say a number, some are said twice, some answers have a key too many
+    # every brand is a candidate of every batch; some say a number, some are said twice, some answers have a key too many or numbers where text is due
     listed = brands.agg(F.sort_array(F.collect_list("angle_key")).alias("keys"))  # the registry's keys
     summary = lambda k: F.when((F.col("n_nationkey") % 4 == 1) & F.endswith(k, F.lit("1")), F.lit("three do this")).otherwise(F.lit("few do this"))
     candidates = F.transform("keys", lambda k: F.struct(k.alias("angle_key"), summary(k).alias("summary")))
     again = F.concat(candidates, F.transform(F.slice("keys", 1, 2), lambda k: F.struct(k.alias("angle_key"), summary(k).alias("summary"))), F.array(F.struct(F.lit("unmapped").alias("angle_key"), F.lit("x").alias("summary"))))
-    answer = F.when(F.col("n_nationkey") % 4 == 3, F.to_json(F.struct(again.alias("candidates"), F.lit("t").alias("title")))).otherwise(F.to_json(F.struct(again.alias("candidates"))))
+    answer = F.when(F.col("n_nationkey") % 4 == 3, F.to_json(F.struct(again.alias("candidates"), F.lit("t").alias("title")))).when(F.col("n_nationkey") % 8 == 6, F.to_json(F.struct(F.transform(again, lambda c: F.struct(c["angle_key"].alias("angle_key"), F.lit(5).alias("summary"))).alias("candidates")))).otherwise(F.to_json(F.struct(again.alias("candidates"))))
     answers = table(spark, sf_dir, "nation").join(F.broadcast(listed), F.lit(True)).select(F.col("n_nationkey").alias("batch_id"), answer.alias("response"))
     return flows.whitespace_flow(registry, fallback, header, rollup, answers)
 

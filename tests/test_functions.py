@@ -140,9 +140,34 @@ def test_rules(spark):
     assert c(rules.or_default(F.lit(0), F.lit(30))) == 30 and c(rules.or_default(F.lit(4), F.lit(30))) == 4
 
 
+ODD = (5, -1, 1.5, True, None, ["x"], {"x": 1}, [], {}, " ", "\n\t\u2003", "")
+
+
 def test_shapes(spark):
-    df = spark.createDataFrame([('{"verdict":"supported","rationale":"r"}',), ('{"verdict":"maybe","rationale":"r"}',), ('{"verdict":"supported","rationale":" "}',), ('{"verdict":"supported","rationale":"r","x":1}',), ("broken",), (None,)], "j string")
-    assert [r.x for r in df.select(shapes.is_label(F.col("j")).alias("x")).collect()] == [True, False, False, False, False, False]
+    label = {"verdict": "supported", "rationale": "r"}
+    bad = ['{"verdict":"maybe","rationale":"r"}', '{"verdict":"supported","rationale":"r","x":1}', "broken", None, "null", "[]", '"x"', '{"verdict":"supported"}', '{"verdict":"supported","verdict":"supported","rationale":"r"}']
+    bad += [json.dumps(label | {k: v}) for k in label for v in ODD]
+    df = spark.createDataFrame([(json.dumps(label),), (' {"rationale":"\\u00e9","verdict":"ambiguous"} ',), *((x,) for x in bad)], "j string")
+    assert [r.x for r in df.select(shapes.is_label(F.col("j")).alias("x")).collect()] == [True, True] + [False] * len(bad)
+
+
+def test_usage(spark):
+    good = [(0, 0), (12, 1024), (900, 3)]
+    bad = [(-1, 3), (True, 3), (1.5, 3), ("12", 3), (3, 1025), (901, 3), (None, 3), ([1], 3), (10**20, 3)]
+    df = spark.createDataFrame([(json.dumps({"input_tokens": a, "output_tokens": b}),) for a, b in good + bad] + [('{"input_tokens":3.0,"output_tokens":1}',), ('{"input_tokens":3}',)], "j string")
+    assert [r.x for r in df.select(shapes.is_usage(F.col("j"), 900, 1024).alias("x")).collect()] == [True] * 3 + [False] * (len(bad) + 2)
+
+
+@pytest.mark.parametrize(("shape", "check", "base"), [
+    (shapes.QUOTE, shapes.is_quote, {"quote": "q", "type": "desire", "theme": "", "product_area": "", "confidence": "high"}),
+    (shapes.FINDING, shapes.is_finding, {"fact_type": "policy", "statement": "s", "detail": "", "evidence": "e", "confidence": "low"}),
+])
+def test_items_of_extractions(spark, shape, check, base):
+    loose = {"theme", "product_area", "detail"}  # these may be blank
+    odd = [base | {k: v} for k in base for v in ODD if not (k in loose and isinstance(v, str))] + [base | {"x": 1}, 5, "text", json.dumps(base), [base], None]
+    df = spark.createDataFrame([(json.dumps({"quotes": [base, *odd]}),), (json.dumps({"quotes": "none"}),), ("broken",)], "j string")
+    rows = df.select(F.posexplode(shapes.items(shapes.parsed(F.col("j")), "quotes")).alias("pos", "v")).select("pos", check(F.col("v")).alias("x"), shapes.read(F.col("v"), shape).alias("r")).orderBy("pos").collect()
+    assert [r.x for r in rows] == [True] + [False] * len(odd) and rows[0].r.asDict() == base
 
 
 def test_exact_keys(spark):
@@ -151,12 +176,15 @@ def test_exact_keys(spark):
         ok | {"x": 1}, {"title": "T"}, ok | {"title": " "}, ok | {"pains": "none"}, {"title": "T", "pains": [{"theme": "t", "summary": "s"}]}, {"title": "T", "pains": [{"theme": "t", "summary": "s", "evidence_refs": [], "more": 1}]},
         {"title": "T", "pains": [{"theme": "t", "summary": "s", "evidence_refs": [{"kind": "voc", "id": "1", "n": 2}]}]}, {"title": "T", "pains": [{"theme": "t", "summary": "s", "evidence_refs": [{"kind": "page", "id": "1"}]}]},
         {"title": "T", "pains": [{"theme": "t", "summary": "s", "evidence_refs": [{"kind": "voc", "id": " "}]}]}, [], "x",
+        *({"title": v, "pains": []} for v in ODD), *(ok | {"pains": v} for v in ODD if v != []), *({"title": "T", "pains": [{"theme": "t", "summary": "s", "evidence_refs": []} | {k: v}]} for k in ("theme", "summary") for v in ODD),
+        *({"title": "T", "pains": [{"theme": "t", "summary": "s", "evidence_refs": [{"kind": "voc", "id": "1"}, {"kind": "voc", "id": "1"} | {k: v}]}]} for k in ("kind", "id") for v in ODD),
     ]
     df = spark.createDataFrame([(json.dumps(x),) for x in [ok, ok | {"pains": []}, *bad]] + [(None,), ("broken",)], "j string")
     assert [r.x for r in df.select(shapes.is_synthesis(F.col("j")).alias("x")).collect()] == [True, True] + [False] * (len(bad) + 2)
     white = [{"candidates": []}, {"candidates": [{"angle_key": "a", "summary": "s"}]}, {"candidates": [{"angle_key": "a", "summary": " "}]}, {"candidates": [], "title": "t"}, {"candidates": [{"angle_key": "a", "summary": "s", "n": 1}]}]
+    white += [{"candidates": [{"angle_key": "a", "summary": "s"}, {"angle_key": "a", "summary": "s"} | {k: v}]} for k in ("angle_key", "summary") for v in ODD]
     df = spark.createDataFrame([(json.dumps(x),) for x in white], "j string")
-    assert [r.x for r in df.select(shapes.is_whitespace(F.col("j")).alias("x")).collect()] == [True, True, False, False, False]
+    assert [r.x for r in df.select(shapes.is_whitespace(F.col("j")).alias("x")).collect()] == [True, True] + [False] * (3 + 2 * len(ODD))
 
 
 def test_json_schema():
