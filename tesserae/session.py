@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN_DIRS: dict[str, str] = {}  # by application, of local sessions without a shared folder
 
 #: Bytes of a batch that goes to Python and back, where the session has no setting of its own: rows of long texts are cut by size, not by number.
 BATCH_BYTES = 8 << 20
@@ -62,9 +63,10 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir is not set")
-    own = f"file://{tempfile.mkdtemp(prefix='tesserae-shared-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_DIRS:
+        _OWN_DIRS[app] = f"file://{tempfile.mkdtemp(prefix='tesserae-shared-')}"
+    return _OWN_DIRS[app]
 
 
 def materialise_parts(df: DataFrame, label: str, by: str, values: tuple) -> list[DataFrame]:
