@@ -1,8 +1,8 @@
-"""Text of HTML pages, as pandas functions over the standard library's parser."""
+"""Text of HTML pages, as pandas functions: one pass over a page yields its text and that of its review widgets."""
 
 import re
+from collections import defaultdict
 from html import unescape
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,74 +29,210 @@ def is_widget(attributes: list[tuple[str, str | None]]) -> bool:
     return given.get("id", "").lower().startswith(WIDGET_ID_PREFIXES) or any(c.startswith(WIDGET_CLASS_PREFIXES) or c in WIDGET_CLASSES for c in classes)
 
 
-class _Reader(HTMLParser):
-    """Collects visible text; every tag and comment is a word boundary.
+# Names, gaps and attributes of tags as the standard library's parser reads them.
+_TAG = re.compile(r"<[a-zA-Z]")
+_NAME_ENDS = re.compile(r"[\t\n\r\f />\x00]")
+_GAP = re.compile(r"(?:\s|/(?!>))*")
+_ATTRIBUTE = re.compile(r"""(?<=['"\s/])([^\s/>][^\s/=>]*)(\s*=+\s*('[^']*'|"[^"]*"|(?!['"])[^>\s]*))?(?:\s|/(?!>))*""")
+_END_TAG = re.compile(r"</\s*([a-zA-Z][-.a-zA-Z0-9:_]*)\s*>")
+_END_NAME = re.compile(r"[a-zA-Z][^\t\n\r\f />\x00]*")
+_SECTION = re.compile(r"[a-zA-Z][-_.a-zA-Z0-9]*\s*")
+_CLOSES = {"comment": re.compile(r"--\s*>"), "section": re.compile(r"]\s*]\s*>"), "office": re.compile(r"]\s*>")}
+_SECTIONS = dict.fromkeys(("temp", "cdata", "ignore", "include", "rcdata"), "section") | dict.fromkeys(("if", "else", "endif"), "office")
+_RAW_ENDS = {name: re.compile(rf"</\s*{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
+_UNFINISHED = frozenset("=/abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
-    For whole pages a counter of open hidden elements is enough. For widgets, open elements are kept as
-    (name, in a widget, hidden) with both facts inherited, so the innermost one decides.
-    """
-
-    def __init__(self, widgets_only: bool):
-        super().__init__(convert_charrefs=True)
-        self.widgets_only, self.found = widgets_only, []
-        self.hidden, self.open, self.unclosed = 0, [("", False, False)], False
 
-    # The whole page is fed at once, so one search that finds no end holds for every later opening: without this, the
-    # parser searches the rest of the page again for each comment that is never closed. The results are its own.
+class _Collected:
+    """The two texts of a page so far. Every tag and comment is a word boundary.
 
-    def parse_comment(self, i, report=1):
-        end = -1 if self.unclosed else super().parse_comment(i, report)
-        if end >= 0:
-            return end
-        self.unclosed = True
-        if self.rawdata.find(">", i) >= 0:
-            return -1
-        self.handle_data(unescape(self.rawdata[i:]))  # no tag ends from here on: all that is left is text
-        return len(self.rawdata)
+    For the whole page a counter of open hidden elements is enough. For widgets, open elements are kept as (name, in a
+    widget, hidden) with both facts inherited, so the innermost one decides; `places` has the depths of each name, so that
+    an end tag finds its element, or that there is none, at once.
+    """
 
-    def parse_marked_section(self, i, report=1):
-        try:
-            return super().parse_marked_section(i, report)
-        except AssertionError:  # of a kind that the parser does not know
-            return self.parse_bogus_comment(i, report)
+    def __init__(self):
+        self.page, self.reviews = [], []
+        self.hidden, self.open, self.places = 0, [("", False, False)], defaultdict(list)
 
-    def boundary(self, *_):
-        self.found.append(" ")
+    def boundary(self):
+        self.page.append(" ")
+        self.reviews.append(" ")
 
-    handle_comment = handle_startendtag = boundary
+    def data(self, text: str):
+        if not self.hidden:
+            self.page.append(text)
+        _, inside, dark = self.open[-1]
+        if inside and not dark:
+            self.reviews.append(text)
 
-    def handle_starttag(self, tag, attrs):
+    def starts(self, tag: str, attributes: list[tuple[str, str | None]]):
         self.boundary()
         hides = tag in HIDDEN
-        if self.widgets_only:
-            _, inside, dark = self.open[-1]
-            self.open.append((tag, inside or is_widget(attrs), dark or hides))
-        else:
-            self.hidden += hides
+        self.hidden += hides
+        _, inside, dark = self.open[-1]
+        self.places[tag].append(len(self.open))
+        self.open.append((tag, inside or is_widget(attributes), dark or hides))
 
-    def handle_endtag(self, tag):
+    def ends(self, tag: str):
         self.boundary()
-        if self.widgets_only:
-            depth = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i][0] == tag), None)
-            if depth is not None:
-                del self.open[depth:]
-        elif tag in HIDDEN:
+        if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
+        if self.places.get(tag):
+            depth = self.places[tag][-1]
+            for name, _, _ in self.open[depth:]:
+                self.places[name].pop()
+            del self.open[depth:]
 
-    def handle_data(self, data):
-        shown = (self.open[-1][1] and not self.open[-1][2]) if self.widgets_only else not self.hidden
-        if shown:
-            self.found.append(data)
 
+class _Pass:
+    """One pass over a page, in time linear in its length whatever is in it.
 
-def page_text(html: str | None, widgets_only: bool = False) -> str:
-    """White-space-collapsed text of the whole page, or of its review widgets."""
+    It reads what the standard library's parser reads. Where that one looks for an end that is not there, and looks again at
+    every later opening, this one remembers: of a comment or section without an end, that there is none from there on; of a
+    tag without an end, at which places its attributes began, as a later tag that comes to one of these fails as it did.
+    """
+
+    def __init__(self, page: str):
+        self.raw, self.found = page, _Collected()
+        self.last = page.rfind(">")  # nothing that begins behind it ends
+        self.open_ended: set[str] = set()
+        self.dead: set[int] = set()
+        self.name_end = -1
+
+    def run(self) -> _Collected:
+        raw, found, i, n = self.raw, self.found, 0, len(self.raw)
+        last = max(self.last, raw.rfind("\x00"))
+        while i < n:
+            j = raw.find("<", i)
+            if j < 0:
+                found.data(unescape(raw[i:]))
+                break
+            if i < j:
+                found.data(unescape(raw[i:j]))
+            i = j
+            if i > last:  # without a > only a name that a NUL cuts off is an end
+                found.data(unescape(raw[i:]))
+                break
+            if _TAG.match(raw, i):
+                k = self.start_tag(i)
+            elif raw.startswith("</", i):
+                k = self.end_tag(i)
+            elif raw.startswith("<!--", i):
+                k = self.closed("comment", i + 4)
+            elif raw.startswith("<?", i):
+                k = self.to_gt(i + 2)
+            elif raw.startswith("<!", i):
+                k = self.declaration(i)
+            else:
+                found.data("<")
+                k = i + 1
+            if k is None:  # text inside an element of raw text that never ends is dropped
+                break
+            if k < 0:  # no end: text up to the next bracket
+                k = raw.find(">", i + 1) + 1 if self.last > i else raw.find("<", i + 1)
+                k = i + 1 if k < 0 else k
+                found.data(unescape(raw[i:k]))
+            i = k
+        return found
+
+    def to_gt(self, i: int) -> int:
+        return self.raw.find(">", i) + 1 if self.last >= i else -1
+
+    def closed(self, kind: str, i: int) -> int:
+        """Where a comment or section ends, which is a boundary if it is a comment."""
+        end = None if kind in self.open_ended else _CLOSES[kind].search(self.raw, i)
+        if end is None:
+            self.open_ended.add(kind)
+            return -1
+        if kind == "comment":
+            self.found.boundary()
+        return end.end()
+
+    def bogus(self, i: int) -> int:
+        end = self.to_gt(i + 2)
+        if end >= 0:
+            self.found.boundary()
+        return end
+
+    def declaration(self, i: int) -> int:
+        raw = self.raw
+        if raw.startswith("<![", i):
+            name = _SECTION.match(raw, i + 3)
+            if i + 3 == len(raw) or name and name.end() == len(raw):
+                return -1
+            kind = _SECTIONS.get(name.group().strip().lower()) if name else None
+            return self.closed(kind, i + 3) if kind else self.bogus(i)
+        return self.to_gt(i + 9) if raw[i : i + 9].lower() == "<!doctype" else self.bogus(i)
+
+    def end_tag(self, i: int) -> int:
+        raw = self.raw
+        if self.last <= i:
+            return -1
+        whole = _END_TAG.match(raw, i)
+        if whole:
+            self.found.ends(whole.group(1).lower())
+            return whole.end()
+        name = _END_NAME.match(raw, i + 2)
+        if name:
+            self.found.ends(name.group().lower())
+            return self.to_gt(name.end())
+        return i + 3 if raw.startswith("</>", i) else self.bogus(i)
+
+    def start_tag(self, i: int) -> int | None:
+        raw = self.raw
+        if self.name_end < i + 2:
+            end = _NAME_ENDS.search(raw, i + 2)
+            self.name_end = end.start() if end else len(raw)
+        k, attributes, begun = _GAP.match(raw, self.name_end).end(), [], []
+        while True:
+            if k in self.dead:
+                self.dead.update(begun)
+                return -1
+            a = _ATTRIBUTE.match(raw, k)
+            if a is None:
+                break
+            begun.append(k)
+            attributes.append(a.group(1, 2, 3))
+            k = a.end()
+        empty = raw.startswith("/>", k)
+        if not empty and not raw.startswith(">", k):
+            if k == len(raw) or raw[k] in _UNFINISHED:
+                self.dead.update(begun)
+                return -1
+            self.found.data(raw[i:k])
+            return k
+        if empty:
+            self.found.boundary()
+            return k + 2
+        tag = raw[i + 1 : self.name_end].lower()
+        self.found.starts(tag, [(name, value_of(rest, value)) for name, rest, value in attributes])
+        if tag not in _RAW_ENDS:
+            return k + 1
+        end = _RAW_ENDS[tag].search(raw, k + 1)
+        return end.start() if end else None
+
+
+def value_of(given: str | None, value: str | None) -> str | None:
+    """An attribute's value without its quotes and character references."""
+    if not given:
+        return None
+    if len(value) > 0 and value[0] == value[-1] and value[0] in "'\"":
+        value = value[1:-1]
+    return unescape(value)
+
+
+def read_page(html: str | None) -> tuple[str, str]:
+    """White-space-collapsed text of the whole page, and of its review widgets."""
     if not html:
-        return ""
-    reader = _Reader(widgets_only)
-    reader.feed(html)
-    reader.close()
-    return re.sub(r"\s+", " ", "".join(reader.found)).strip()
+        return "", ""
+    found = _Pass(html).run()
+    return tuple(re.sub(r"\s+", " ", "".join(parts)).strip() for parts in (found.page, found.reviews))
+
+
+def page_text(html: str | None, widgets_only: bool = False) -> str:
+    """One of the two texts."""
+    return read_page(html)[widgets_only]
 
 
 def canonical_text(html: Column) -> Column:
@@ -124,7 +260,7 @@ def page_texts(html: Column) -> Column:
 
     @F.pandas_udf("page string, reviews string")
     def run(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"page": pages.map(page_text), "reviews": pages.map(lambda p: page_text(p, True))}, dtype=object)
+        return pd.DataFrame([read_page(p) for p in pages], columns=["page", "reviews"], dtype=object)
 
     return run(html)
 
