@@ -24,8 +24,6 @@ default, one token each; rows without an id, repeated rows and texts of any leng
 table gives an empty one; other columns are passed through, except those that have the names of the new ones.
 """
 
-import json
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.llm.bytebpe import vocabulary_of
 from tesserae.session import ship
 
 CHUNK = 1 << 15  # characters between the beginnings of two pieces
 OVERLAP = 256  # characters that two neighbours both see, at first
-BATCH = 1 << 20  # characters of short texts that are encoded in one call
 LOOK_AHEAD = 8  # characters, more than the pattern of words looks at behind the end of a word
 
 
@@ -46,52 +44,20 @@ class ByteCounter:
     """Counts tokens by one vocabulary file."""
 
     def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
-        with open(path, encoding="utf-8") as f:
-            given = json.load(f)
-        before, model, added = given.get("pre_tokenizer") or {}, given["model"], given.get("added_tokens") or []
-        plain = model["type"] == "BPE" and not model.get("dropout") and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
-        by_bytes = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
-        as_they_are = given.get("normalizer") is None and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
-        if not (plain and by_bytes and as_they_are):
-            raise ValueError(f"splices are proven for byte-level BPE without normalisation only, not for {path}")
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.chunk, self.overlap = Tokenizer.from_file(path), chunk, overlap
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.guard = LOOK_AHEAD + max((len(t["content"]) for t in added), default=0)
+        vocabulary = vocabulary_of(path)
+        self.encode, self.sizes, self.chunk, self.overlap = vocabulary.encoder(special=True), vocabulary.sizes, chunk, overlap
+        self.guard = LOOK_AHEAD + max(map(len, vocabulary.special), default=0)
         if overlap <= 2 * self.guard or chunk < overlap:
             raise ValueError(f"pieces of {chunk} characters with overlaps of {overlap} leave nothing to splice at")
-        self.sizes = np.zeros(1 + max([*model["vocab"].values(), *(t["id"] for t in added)]), np.int64)
-        for token, i in model["vocab"].items():
-            self.sizes[i] = len(token)  # a character of the vocabulary is a byte
-        for t in added:
-            self.sizes[t["id"]] = len(t["content"].encode())
 
     def ends(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a text and the byte offsets at which they end."""
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+        ids = np.array(self.encode(text), np.int64)
         return ids, np.cumsum(self.sizes[ids])
 
     def counts(self, texts: list[str]) -> list[int]:
         """The numbers of tokens."""
-        out, short = [0] * len(texts), []
-        for i, t in enumerate(texts):
-            if len(t) > self.chunk + self.overlap:
-                out[i] = self.count_long(t)
-            elif t:
-                short.append(i)
-        at = 0
-        while at < len(short):
-            upto, chars = at, 0
-            while upto < len(short) and (upto == at or chars + len(texts[short[upto]]) <= BATCH):
-                chars += len(texts[short[upto]])
-                upto += 1
-            for i, e in zip(short[at:upto], self.tokenizer.encode_batch_fast([texts[i] for i in short[at:upto]], add_special_tokens=False), strict=True):
-                out[i] = len(e)
-            at = upto
-        return out
+        return [self.count_long(t) if len(t) > self.chunk + self.overlap else len(self.encode(t)) for t in texts]
 
     def count_long(self, text: str) -> int:
         """The number of tokens of a long text, from its pieces."""
