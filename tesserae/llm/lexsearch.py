@@ -10,8 +10,9 @@ serves all queries. For a query of m terms:
    is a better bound; a document is a candidate if its sum, and the threshold for each term that was not fetched, reach it.
 3. The candidates' scores for all terms are looked up, summed and ranked.
 
-The fetched postings go by document, each once for all queries; a task sums them for every query in arrays of bounded size and
-hands on candidates under the best bound that it knows. Queries are taken in blocks of some BLOCK_TERMS terms, so that what a
+The fetched postings go by document, each once for all queries, and are written in blocks of whole documents. A task sums a
+block for every query in arrays of bounded size: once for the better bounds, of which each block gives its k best sums, and
+once more for the candidates under them. Queries are taken in blocks of some BLOCK_TERMS terms, so that what a
 task holds of them is bounded. No number of candidates or postings is capped.
 
 Terms are runs of ASCII letters, digits and all characters beyond ASCII; only A-Z are lowered. A document without terms is not
@@ -105,61 +106,86 @@ def posting_lists(docs: DataFrame, terms: DataFrame, key: str, text: str) -> tup
     return postings, materialise(scored.repartitionByRange(*order).sortWithinPartitions(*order), "lists")
 
 
-def fetched_sums(fetched: DataFrame, asked: list, k: int) -> DataFrame:
-    """(query, row, sum, met) of the candidates that a task finds under the best bound it knows. fetched: row, term_no, score,
-    those that reach the least threshold of their term; asked: (term_no, query, m, bound) of a block of queries."""
-    ship(fetched.sparkSession)
-    terms, queries = np.array([a[0] for a in asked], np.int64), np.array([a[1] for a in asked], np.int64)
-    names, of = np.unique(queries, return_inverse=True)
-    size, bound = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-    size[of], bound[of] = [a[2] for a in asked], [a[3] for a in asked]
-    order = np.argsort(terms, kind="stable")
-    of = of[order]
-    listed, first, wide = np.unique(terms[order], return_index=True, return_counts=True)
-    docs_at_once = max(k, CELLS // len(names))
-
-    def candidates(rows: np.ndarray, term: np.ndarray, score: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
-        docs, doc = np.unique(rows, return_inverse=True)
-        cells = len(names) * len(docs)
+class Asked:
+    """The terms of a block of queries. rows: (term_no, query, m, bound)."""
+
+    def __init__(self, rows: list):
+        terms, queries = np.array([a[0] for a in rows], np.int64), np.array([a[1] for a in rows], np.int64)
+        self.queries, of = np.unique(queries, return_inverse=True)
+        self.size, self.bound = np.zeros(len(self.queries), np.int64), np.zeros(len(self.queries), np.int64)
+        self.size[of], self.bound[of] = [a[2] for a in rows], [a[3] for a in rows]
+        order = np.argsort(terms, kind="stable")
+        self.of = of[order]
+        self.terms, self.first, self.wide = np.unique(terms[order], return_index=True, return_counts=True)
+
+    def sums(self, doc: np.ndarray, docs: int, at: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By query and document: the sum of the scores that reach the query's threshold, and how many do. at: places in terms."""
+        cells = len(self.queries) * docs
         total, met = np.zeros(cells), np.zeros(cells, np.int64)
-        at = np.searchsorted(listed, term)
-        ends = np.cumsum(wide[at])
+        ends = np.cumsum(self.wide[at])
         since = 0
-        while since < len(rows):
+        while since < len(at):
             upto = max(since + 1, int(np.searchsorted(ends, (ends[since - 1] if since else 0) + SUMMED, "right")))
-            w = wide[at[since:upto]]
+            w = self.wide[at[since:upto]]
             p = np.repeat(np.arange(since, upto), w)
-            q = of[np.arange(len(p)) - np.repeat(np.cumsum(w) - w, w) + first[at[p]]]
-            over = score[p] * size[q] >= bound[q]
-            cell = q[over] * len(docs) + doc[p[over]]
+            q = self.of[np.arange(len(p)) - np.repeat(np.cumsum(w) - w, w) + self.first[at[p]]]
+            over = score[p] * self.size[q] >= self.bound[q]
+            cell = q[over] * docs + doc[p[over]]
             total += np.bincount(cell, score[p[over]], cells)  # whole numbers far below 2**53
             met += np.bincount(cell, minlength=cells)
             since = upto
-        total, met = total.astype(np.int64).reshape(len(names), -1), met.reshape(len(names), -1)
-        if len(docs) >= k:
-            np.maximum(known, np.partition(total, -k, axis=1)[:, -k], out=known)
-        q, d = np.nonzero((met > 0) & (total * size[:, None] + (size[:, None] - met) * bound[:, None] >= (known * size)[:, None]))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (names[q], docs[d], total[q, d], met[q, d])], names=["query", "row", "sum", "met"])
+        return total.astype(np.int64).reshape(-1, docs), met.reshape(-1, docs)
+
+
+def fetched_blocks(fetched: DataFrame, asked: Asked) -> DataFrame:
+    """(rows, terms, scores): the fetched postings by document, whole documents of some ROWS postings in a row; terms are places in asked.terms.
+    fetched: row, term_no, score, those that reach the least threshold of their term."""
+    ship(fetched.sparkSession)
+    listed = asked.terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, n = bound.copy(), [], 0
+        held, n = [], 0
         for batch in batches:
             held.append([batch[c].to_numpy() for c in ("row", "term_no", "score")])
             n += batch.num_rows
             if n >= ROWS:
-                rows, term, score = map(np.concatenate, zip(*held, strict=True))
-                done = int(np.searchsorted(rows, rows[-1]))  # the last document may go on
-                yield from parts(rows[:done], term[:done], score[:done], known)
-                held, n = [[rows[done:], term[done:], score[done:]]], n - done
+                row, term, score = map(np.concatenate, zip(*held, strict=True))
+                done = int(np.searchsorted(row, row[-1]))  # the last document may go on
+                if done:
+                    yield packed(row[:done], term[:done], score[:done])
+                held, n = [[row[done:], term[done:], score[done:]]], n - done
         if n:
-            yield from parts(*map(np.concatenate, zip(*held, strict=True)), known)
+            yield packed(*map(np.concatenate, zip(*held, strict=True)))
 
-    def parts(rows: np.ndarray, term: np.ndarray, score: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.diff(rows, prepend=-1))[::docs_at_once].tolist()
-        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
-            yield candidates(rows[a:b], term[a:b], score[a:b], known)
+    def packed(row: np.ndarray, term: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        parts = (row.astype("<i8"), np.searchsorted(listed, term).astype("<i4"), score.astype("<i8"))
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["rows", "terms", "scores"])
 
-    return fetched.repartition("row").sortWithinPartitions("row").select("row", "term_no", "score").mapInArrow(run, "query long, row long, sum long, met long")
+    return fetched.repartition("row").sortWithinPartitions("row").select("row", "term_no", "score").mapInArrow(run, "rows binary, terms binary, scores binary")
+
+
+def block_sums(blocks: DataFrame, asked: Asked, k: int, bounds: dict[int, int] | None) -> DataFrame:
+    """(query, row, sum) of the k best documents of each block for each query; with bounds, of all that may still reach the query's."""
+    ship(blocks.sparkSession)
+    reach = None if bounds is None else np.array([bounds.get(q, 0) for q in asked.queries.tolist()], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_once = max(1, CELLS // len(asked.queries))
+        for batch in batches:
+            for a, b, c in zip(batch["rows"], batch["terms"], batch["scores"], strict=True):
+                row, term, score = np.frombuffer(a.as_buffer(), "<i8"), np.frombuffer(b.as_buffer(), "<i4"), np.frombuffer(c.as_buffer(), "<i8")
+                starts = np.flatnonzero(np.diff(row, prepend=-1))[::at_once].tolist()
+                for since, upto in zip(starts, [*starts[1:], len(row)], strict=True):
+                    docs, doc = np.unique(row[since:upto], return_inverse=True)
+                    total, met = asked.sums(doc, len(docs), term[since:upto], score[since:upto])
+                    if reach is None:
+                        least = np.partition(total, -k, axis=1)[:, -k, None] if len(docs) > k else 0
+                        q, d = np.nonzero((met > 0) & (total >= least))
+                    else:
+                        q, d = np.nonzero((met > 0) & (total * asked.size[:, None] + (asked.size[:, None] - met) * asked.bound[:, None] >= (reach * asked.size)[:, None]))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (asked.queries[q], docs[d], total[q, d])], names=["query", "row", "sum"])
+
+    return blocks.mapInArrow(run, "query long, row long, sum long")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text", block_terms: int = BLOCK_TERMS) -> DataFrame:
@@ -177,17 +203,20 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
     blocks = max(1, -(-live.count() // block_terms))
     dealt = materialise(live.join(bounds, "query").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))), "bounds")
 
-    found = spark.createDataFrame([], "query long, row long, sum long, met long")
+    candidates = spark.createDataFrame([], "query long, row long")
     for block in range(blocks):
         mine = dealt.where(F.col("block") == block)
         thresholds = mine.groupBy("term_no").agg(F.min(F.ceil(F.expr("bound / m"))).alias("least"))
         fetched = lists.join(thresholds, "term_no").where("score >= least")
         if held := mine.select("term_no", "query", "m", "bound").collect():
-            found = found.unionByName(fetched_sums(fetched, held, k))
-    found = materialise(found, "candidates")
+            asked_here = Asked(held)
+            packed = materialise(fetched_blocks(fetched, asked_here), "fetched")
+            better = {q: int(b) for q, b in zip(asked_here.queries.tolist(), asked_here.bound.tolist(), strict=True)}
+            for r in kth(block_sums(packed, asked_here, k, None), "query", "sum", "row", k).collect():  # a number for each query of the block
+                better[r["query"]] = max(better[r["query"]], r["kth"])
+            candidates = candidates.unionByName(block_sums(packed, asked_here, k, better).select("query", "row"))
+    candidates = materialise(candidates, "candidates")
 
-    better = kth(found, "query", "sum", "row", k).join(bounds, "query", "right").select("query", "m", "bound", F.greatest("bound", F.coalesce("kth", F.lit(0))).alias("_kth"))
-    candidates = found.join(better, "query").where("sum * m + (m - met) * bound >= _kth * m").select("query", "row")
     exact = candidates.join(live, "query").join(lists, ["term_no", "row"]).groupBy("query", "row").agg(F.sum("score").alias("score"))
     exact = materialise(exact, "scores")
     ids = postings.join(exact.select("row").distinct(), "row", "left_semi").select("row", "id").distinct()
