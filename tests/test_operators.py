@@ -1,11 +1,13 @@
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae import tools
 from tesserae.functions.text import normalize
-from tesserae.operators import cache, census, grounding, jobs, ledger, limits, pick, resolve, robots, verify
+from tesserae.operators import cache, census, grams, grounding, jobs, ledger, limits, pick, resolve, robots, verify
 from tesserae.plans import flows
 from tesserae.sources import ads, state
 
@@ -46,14 +48,44 @@ def test_resolution_cascade(spark):
     assert {r.how for r in resolve.resolve(probes, options.limit(0), "brand", "name", "page").collect()} == {"none"}
 
 
-@pytest.mark.parametrize("most_chars", [grounding.AUTOMATON_CHARS, 12, 1])
-def test_containing_equals_the_plain_join(spark, most_chars):
-    quotes = spark.createDataFrame([(1, "one two three four five"), (2, "ree four five six seve"), (3, "short"), (4, ""), (5, None), (6, "not in any text at all"), (7, "short"), (8, "o t"), (9, "two three")], "q long, quote string")
-    texts = spark.createDataFrame([(10, "zero  one two\nthree four five six seven"), (11, "a short text"), (12, None), (13, "tone two three four fives"), (13, "short again")], "t long, body string")
-    got = sorted((r.q, r.t) for r in grounding.containing(quotes, texts, "q", "quote", "t", "body", most_chars).collect())
-    plain = quotes.join(texts, (normalize(F.col("quote")) != "") & F.contains(normalize(F.col("body")), normalize(F.col("quote"))))
-    assert got == sorted((r.q, r.t) for r in plain.collect()) and len(got) == 11
-    assert grounding.containing(quotes.limit(0), texts, "q", "quote", "t", "body", most_chars).count() == 0
+@pytest.mark.parametrize("bits", [grounding.LEAST_BITS, 1 << 15])
+def test_containing_equals_the_plain_join(spark, monkeypatch, bits):
+    monkeypatch.setattr(grounding, "LEAST_BITS", bits)
+    monkeypatch.setattr(grounding, "MOST_BITS", bits)  # a fuller filter lets more through
+    monkeypatch.setattr(grounding, "PART", 40)
+    quotes = [(1, "one two three four five"), (2, "ree four five six seve"), (3, "short"), (4, ""), (5, None), (6, "not in any text at all"), (7, "short"), (8, "o t"), (9, "two three"), (10, "x"), (None, "e four f"), (11, "three four five six"), (11, "日本語"), (12, "a b c"), (13, "\U0001f600\U0001f600")]
+    texts = [(10, "zero  one two\nthree four five six seven"), (11, "a short text"), (12, None), (13, "tone two three four fives"), (13, "short again"), (None, "a b c d 日本語x\U0001f600\U0001f600"), (14, ""), (15, "x"), (13, "short again")]
+    rng = random.Random(6)
+    words = ["ab", "b", "abc", "é", "the", "a"]
+    texts += [(100 + i, " ".join(rng.choices(words, k=rng.randrange(12)))) for i in range(60)]
+    quotes += [(100 + i, " ".join(rng.choices(words, k=rng.randrange(1, 6)))[rng.randrange(2) :]) for i in range(60)]
+    q, t = spark.createDataFrame(quotes, "q long, quote string").repartition(3), spark.createDataFrame(texts, "t long, body string").repartition(3)
+    got = sorted(str((r.q, r.t)) for r in grounding.containing(q, t, "q", "quote", "t", "body").collect())
+    plain = q.join(t, (normalize(F.col("quote")) != "") & F.contains(normalize(F.col("body")), normalize(F.col("quote"))))
+    assert got == sorted(str((r.q, r.t)) for r in plain.collect()) and len(got) > 200
+    assert grounding.containing(q.limit(0), t, "q", "quote", "t", "body").count() == 0 == grounding.containing(q, t.limit(0), "q", "quote", "t", "body").count()
+
+
+def test_quotes_go_by_their_rarest_gram(spark):
+    texts = spark.createDataFrame([(i, f"we ship all orders free of charge to number {i} street") for i in range(200)], "t long, body string")
+    quotes = spark.createDataFrame([(1, "free of charge to number 77 street"), (2, "orders free of charge and more of it")], "q long, quote string")
+    out = grounding.containing(quotes, texts, "q", "quote", "t", "body")
+    assert [(r.q, r.t) for r in out.collect()] == [(1, 77)]
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("repartition") == 0 and not re.search("Cartesian|cross", text)
+
+
+def test_gram_hashes_depend_on_the_gram_alone():
+    hasher = grams.Hasher()
+    text = "the cat sat on the cat sat mat"
+    of, h = hasher.grams(["x", text, "é cat sat", ""], [2])
+    words = [("the", "cat"), ("cat", "sat"), ("sat", "on"), ("on", "the"), ("the", "cat"), ("cat", "sat"), ("sat", "mat"), ("é", "cat"), ("cat", "sat")]
+    assert of.tolist() == [1] * 7 + [2] * 2 and [words.index(w) for w in words] == [h.tolist().index(x) for x in h.tolist()]
+    of, h = hasher.grams(["abcab", "", "cab"], [-2])
+    pairs = ["ab", "bc", "ca", "ab", "ca", "ab"]
+    assert of.tolist() == [0] * 4 + [2] * 2 and [pairs.index(p) for p in pairs] == [h.tolist().index(x) for x in h.tolist()]
+    assert [grams.kind_of(x) for x in ("a", "abcdefgh", "a b", "a b c", "a b c d", "a b c d e f")] == [-1, -6, -3, 1, 2, 3]
+    assert len(hasher.grams(["a b c d"], [1], inside=True)[0]) == 2 and len(hasher.grams(["a b"], [1], inside=True)[0]) == 0
 
 
 def test_theme_rollup_and_registry(spark):
