@@ -46,7 +46,8 @@ def containing(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, t
     keyed = grams.join(rarity, "gram", "left").groupBy("_quote").agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("_texts"), "gram")).alias("_k"))
     keyed = keyed.where("_k._texts > 0").select("_quote", "_k.gram")
     asked = met.join(keyed, "gram").select(F.col("_tid").alias("_asked"), "_quote").distinct()
-    found = t.join(asked, t["_tid"].eqNullSafe(asked["_asked"])).where(F.contains("_text", F.col("_quote"))).select("_tid", "_quote")
+    whole = texts.select(F.col(text_id).alias("_tid"), F.col(text).alias("_body"))  # made normal only where a quote is looked up
+    found = whole.join(asked, whole["_tid"].eqNullSafe(asked["_asked"])).where(F.contains(normalize(F.col("_body")), F.col("_quote"))).select("_tid", "_quote")
     return found.join(q, "_quote").select(F.col("_qid").alias(quote_id), F.col("_tid").alias(text_id))
 
 
