@@ -38,7 +38,7 @@ from tesserae.session import materialise, ship
 BLOCK_TERMS = 1 << 16  # terms of the queries that are answered together
 CELLS = 1 << 21  # (query, document) sums that a task holds at once
 SUMMED = 1 << 20  # postings times queries that are added at once
-ROWS = 1 << 18  # rows of a batch
+ROWS = 1 << 16  # rows of a batch
 
 #: Bytes of a term as they are, A-Z lowered; all others separate.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -93,8 +93,9 @@ def posting_lists(docs: DataFrame, terms: DataFrame, key: str, text: str) -> tup
     """(postings, lists). postings: row, id, term_no of the documents' terms that `terms` (term, term_no) has; lists: term_no,
     score, row for those that add to a score, partitioned by ranges of term and falling score."""
     found = term_rows(docs, key, text)
-    asked = terms.unionByName(docs.sparkSession.createDataFrame([(None, -1)], "term binary, term_no long"))
-    postings = materialise(found.join(asked, F.coalesce(found.term, F.lit(b"")) == F.coalesce(asked.term, F.lit(b""))).select("row", "id", "n", "term_no", "tf"), "postings")
+    none = docs.sparkSession.range(1).select(F.lit(b"").alias("term"), F.lit(-1).cast("long").alias("term_no"))
+    named = terms.unionByName(none)  # of known size, so that Spark broadcasts it where it is small
+    postings = materialise(found.withColumn("term", F.coalesce("term", F.lit(b""))).join(named, "term").select("row", "id", "n", "term_no", "tf"), "postings")
     whole = postings.where("term_no = -1").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     n_docs, n_terms = whole["docs"], max(whole["terms"], 1)
     postings = postings.where("term_no >= 0")
