@@ -1,10 +1,11 @@
 """Prices, reservations and what is left of a budget."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.rules import MODEL_RATES, PRICE_CARDS, cents
 from tesserae.operators.folds import kind, streamed
+from tesserae.operators.prefix import last_before, prefix_sums, sliced
 
 
 def price_cards(spark, overrides: DataFrame | None = None) -> DataFrame:
@@ -30,11 +31,16 @@ def exposure(reservations: DataFrame, project: str, est: str, actual: str) -> Da
 
 
 def settled(reserves: DataFrame, settlements: DataFrame, ref: str) -> DataFrame:
-    """reserves with actual_cents of the first settlement of each ref and `overspent`; settlements without a reserve are left out."""
+    """reserves with actual_cents of the first settlement of each ref that is within its reserve, and `overspent`: whether one
+    was refused for being over it. A refused one settles nothing, so the reserve stands; those without a reserve are left out."""
     from tesserae.operators.pick import first_by
 
-    once = first_by(settlements, [ref], [F.col("pos")]).select(ref, "actual_cents")
-    return reserves.join(once, ref, "left").withColumn("overspent", F.coalesce(F.col("actual_cents") > F.col("est_cents"), F.lit(False)))
+    met = settlements.select(F.col(ref).alias("_ref"), "pos", "actual_cents").join(reserves.select(ref, "est_cents"), F.col("_ref") == F.col(ref)).drop(ref)
+    met = met.withColumn("_over", F.coalesce(F.col("actual_cents") > F.col("est_cents"), F.lit(False)))
+    once = first_by(met.where("NOT _over"), ["_ref"], [F.col("pos")]).select("_ref", "actual_cents")
+    over = met.where("_over").select(F.col("_ref").alias("_over_ref")).distinct()
+    out = reserves.join(once, F.col(ref) == F.col("_ref"), "left").join(over, F.col(ref) == F.col("_over_ref"), "left")
+    return out.withColumn("overspent", F.col("_over_ref").isNotNull()).drop("_ref", "_over_ref")
 
 
 def reserve_fold(calls: DataFrame, project: str, ref: str, at: str, est: str, ceiling: int) -> DataFrame:
@@ -42,15 +48,19 @@ def reserve_fold(calls: DataFrame, project: str, ref: str, at: str, est: str, ce
     reserved already is skipped, a call without a price has none, one that a guard blocked is blocked, one over the
     ceiling is refused; none of these reserves anything. `blocked`, where calls have it, is the guard's decision.
 
-    Calls are streamed; what a project's stream holds is the refs that it has reserved, each of which costs a part of the ceiling.
+    Calls are streamed; what a project's stream holds is the refs that it has reserved at a cost, each of which is a part of the
+    ceiling. Calls that cost nothing are reserved without being held: whether one comes first of its ref is told beforehand.
     """
     guarded = F.col("blocked") if "blocked" in calls.columns else F.lit(False)
     rows = calls.select(project, F.col(at).alias("_at"), F.col(ref).cast("string").alias(ref), F.col(est).cast("long").alias("_est"), F.coalesce(guarded, F.lit(False)).alias("_blocked"))
+    free = rows.where("_est = 0 AND NOT _blocked").groupBy(F.col(project).alias("_project"), F.col(ref).alias("_ref")).agg(F.min("_at").alias("_free"))
+    rows = rows.join(free, F.col(project).eqNullSafe(F.col("_project")) & F.col(ref).eqNullSafe(F.col("_ref")), "left")
+    rows = rows.withColumn("_freed", F.coalesce(F.col("_free") < F.col("_at"), F.lit(False))).drop("_project", "_ref", "_free")
 
     def fold(k, given):
-        total, reserved = 0, set()
-        for _, _, r, cost, blocked in given:
-            if r in reserved:
+        total, reserved, last = 0, set(), None  # last: the latest ref that cost nothing, and its time
+        for _, now, r, cost, blocked, freed in given:
+            if freed or r in reserved or last == (now, r):
                 outcome = "skip"
             elif blocked:
                 outcome = "blocked"
@@ -60,18 +70,21 @@ def reserve_fold(calls: DataFrame, project: str, ref: str, at: str, est: str, ce
                 outcome = "refused"
             else:
                 outcome, total = "ok", total + cost
-                reserved.add(r)
+                if cost:
+                    reserved.add(r)
+                else:
+                    last = now, r
             yield k, r, outcome
 
-    return streamed(rows, project, ["_at", ref, "_est"], ["_blocked"], f"{project} {kind(calls, project)}, {ref} string, outcome string", fold)
+    return streamed(rows, project, ["_at", ref, "_est"], ["_blocked", "_freed"], f"{project} {kind(calls, project)}, {ref} string, outcome string", fold)
 
 
 def running_costs(calls: DataFrame, key: str, order: list[str], cost: str, checkpoint: Column) -> DataFrame:
-    """calls with `running` (the sum so far) and, at checkpoints, `drained`: what came since the checkpoint before."""
-    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = calls.withColumn("running", F.sum(F.coalesce(F.col(cost), F.lit(0))).over(upto)).withColumn("_mark", F.when(checkpoint, F.col("running")))
-    before = F.last("_mark", ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return out.withColumn("drained", F.when(checkpoint, F.col("running") - F.coalesce(before, F.lit(0)))).drop("_mark")
+    """calls with `running` (the sum so far) and, at checkpoints, `drained`: what came since the checkpoint before. A key's calls
+    may be most of all: they are summed in slices."""
+    rows = prefix_sums(sliced(calls.withColumn("_mark", checkpoint), [key], order), [key], order, {"running": F.col(cost)})
+    out = last_before(rows, [key], order, "_before", F.when(F.col("_mark"), F.col("running")))
+    return out.withColumn("drained", F.when(F.col("_mark"), F.col("running") - F.coalesce("_before", F.lit(0)))).select(*calls.columns, "running", "drained")
 
 
 def rate_table(spark) -> DataFrame:

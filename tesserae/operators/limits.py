@@ -11,10 +11,20 @@ from tesserae.operators.folds import streamed
 HOUR, DAY = 3600, 86_400
 
 
-def rolling_counts(events: DataFrame, key: str, seconds: str) -> DataFrame:
-    """events with in_hour and in_day: rows of the key in the last hour and day, both ends included."""
-    window = lambda span: Window.partitionBy(key).orderBy(seconds).rangeBetween(-span, 0)
-    return events.withColumn("in_hour", F.count("*").over(window(HOUR))).withColumn("in_day", F.count("*").over(window(DAY)))
+def rolling_counts(events: DataFrame, key: str, seconds: str, slice_seconds: int = DAY) -> DataFrame:
+    """events with in_hour and in_day: rows of the key in the last hour and day, both ends included.
+
+    A key's rows are dealt by time: each slice of `slice_seconds` is counted on its own and is also given the day before it, of
+    which only key and time go along. A row is in 1 + DAY / slice_seconds slices; shorter ones spread a hot key further.
+    """
+    own = F.floor(F.col(seconds) / slice_seconds)
+    halo = F.explode_outer(F.sequence(own, F.floor((F.col(seconds) + DAY) / slice_seconds)))
+    dealt = events.withColumns({"_key": F.col(key), "_s": F.col(seconds), "_own": own, "_slice": halo})
+    mine = F.col("_own").eqNullSafe(F.col("_slice"))
+    dealt = dealt.select(*[F.when(mine, F.col(f"`{c}`")).alias(c) for c in events.columns], "_key", "_s", "_slice", mine.alias("_mine"))
+    window = lambda span: Window.partitionBy("_key", "_slice").orderBy("_s").rangeBetween(-span, 0)
+    counted = dealt.withColumn("in_hour", F.count("*").over(window(HOUR))).withColumn("in_day", F.count("*").over(window(DAY)))
+    return counted.where("_mine").select(*events.columns, "in_hour", "in_day")
 
 
 def admissions(calls: DataFrame, key: str, seconds: str, call: str, per_hour: int = 20, per_day: int = 80) -> DataFrame:
@@ -25,15 +35,17 @@ def admissions(calls: DataFrame, key: str, seconds: str, call: str, per_hour: in
     columns = f"{key} long, {call} long, {seconds} long, admitted boolean, reason string, warned boolean"
 
     def fold(k, rows):
-        held: deque[int] = deque()  # the times admitted in the last day, `per_day` at most
+        day, hour = deque(), deque()  # the times admitted in the last day and hour, `per_day` and `per_hour` at most
         for _, now, c in rows:
-            while held and now - held[0] > DAY:
-                held.popleft()
-            hour = sum(now - t <= HOUR for t in held)
-            reason = "hour" if hour >= per_hour else "day" if len(held) >= per_day else None
+            while day and now - day[0] > DAY:
+                day.popleft()
+            while hour and now - hour[0] > HOUR:
+                hour.popleft()
+            reason = "hour" if len(hour) >= per_hour else "day" if len(day) >= per_day else None
             if reason is None:
-                held.append(now)
-            yield k, c, now, reason is None, reason, reason is None and hour + 1 >= soft
+                day.append(now)
+                hour.append(now)
+            yield k, c, now, reason is None, reason, reason is None and len(hour) >= soft
 
     return streamed(calls.select(F.col(key).cast("long"), F.col(call).cast("long"), F.col(seconds).cast("long")), key, [seconds, call], [], columns, fold)
 

@@ -92,25 +92,15 @@ def bounded_buffer(df: DataFrame, at: str, tie: str, most: int, chunk: int) -> D
     return kept.withColumn("place", place).withColumn("chunk", F.floor(F.col("place") / chunk).cast("long"))
 
 
-def snapshot_headers(ads: DataFrame, entity: str, ad: str) -> DataFrame:
-    """(entity, ad_count, first_ad, snapshot_id): one row for each entity, aggregated before the shuffle; the id follows from
-    the number, the least, the greatest and the sum of the ads' numbers. The ads themselves are rows, not a list."""
-    figures = ads.groupBy(entity).agg(F.count("*").alias("ad_count"), F.min(ad).alias("first_ad"), F.max(ad).alias("_last"), F.sum(ad).alias("_sum"))
-    digest = F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in (entity, "ad_count", "first_ad", "_last", "_sum")]), 256)
-    return figures.select(entity, "ad_count", "first_ad", digest.alias("snapshot_id"))
-
-
 def buffer_flushes(events: DataFrame, at: str, tie: str, flush: int = 25) -> DataFrame:
     """(flush_no, n, first, last) of a buffer that is sent whenever it holds `flush` events; the last may hold fewer.
 
-    Places are counted within hash partitions of time first, then offset by those before: no task sees all events.
+    Places are counted within contiguous slices of time and offset by the slices before, so no task sees all events of a day.
     """
-    day = F.date_trunc("day", at)
-    per_day = events.groupBy(day.alias("_day")).agg(F.count("*").alias("_n"))
-    before = per_day.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each day
-    place = F.row_number().over(Window.partitionBy("_day").orderBy(at, tie)) - 1
-    placed = events.withColumn("_day", day).withColumn("_place", place).join(F.broadcast(before), "_day")
-    return placed.groupBy(F.floor((F.col("_before") + F.col("_place")) / flush).cast("long").alias("flush_no")).agg(F.count("*").alias("n"), F.min(tie).alias("first"), F.max(tie).alias("last"))
+    from tesserae.operators.prefix import prefix_sums, sliced
+
+    placed = prefix_sums(sliced(events.select(at, tie), [], [at, tie]), [], [at, tie], {"_place": F.lit(1)})
+    return placed.groupBy(F.floor((F.col("_place") - 1) / flush).cast("long").alias("flush_no")).agg(F.count("*").alias("n"), F.min(tie).alias("first"), F.max(tie).alias("last"))
 
 
 def dropped_from_buffer(events: DataFrame, most: int) -> DataFrame:

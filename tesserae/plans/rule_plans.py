@@ -111,10 +111,11 @@ def settle_retries(spark, sf_dir):
     return ledger.settled_with_retries(attempts, "ref", "attempt", "ok").select("ref", F.col("attempts").cast("long"), "settled")
 
 
-@query("""WITH r AS (SELECT o_orderkey AS ref, (o_orderkey % 90)::BIGINT AS est_cents FROM orders), s AS (SELECT l_orderkey AS ref, (l_quantity::BIGINT * 2) AS actual_cents FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 100000000 + l_partkey * 10000 + l_suppkey, l_quantity) = 1)
-SELECT ref, est_cents, actual_cents, coalesce(actual_cents > est_cents, false) AS overspent FROM r LEFT JOIN s USING (ref)""")
+@query("""WITH r AS (SELECT o_orderkey AS ref, (o_orderkey % 90)::BIGINT AS est_cents FROM orders), m AS (SELECT l_orderkey AS ref, (l_quantity::BIGINT * 2) AS actual_cents, est_cents, l_linenumber * 100000000 + l_partkey * 10000 + l_suppkey AS p, l_quantity FROM lineitem JOIN r ON l_orderkey = ref),
+s AS (SELECT ref, actual_cents FROM m WHERE actual_cents <= est_cents QUALIFY row_number() OVER (PARTITION BY ref ORDER BY p, l_quantity) = 1)
+SELECT ref, est_cents, actual_cents, ref IN (SELECT ref FROM m WHERE actual_cents > est_cents) AS overspent FROM r LEFT JOIN s USING (ref)""")
 def settlements(spark, sf_dir):
-    """Reservations with the first settlement of each, and those that cost more than was reserved."""
+    """Reservations with the first settlement of each that is within it, and those of which one was refused for costing more."""
     reserves = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref"), (F.col("o_orderkey") % 90).alias("est_cents"))
     pos = F.struct((F.col("l_linenumber") * 100_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("p"), "l_quantity")
     done = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ref"), pos.alias("pos"), (F.col("l_quantity").cast("long") * 2).alias("actual_cents"))

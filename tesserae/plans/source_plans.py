@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tesserae.functions.rules import first_given, local_iso, moment
-from tesserae.operators import pick
+from tesserae.operators import pick, snapshots
 from tesserae.plans.registry import query
 from tesserae.sources import ads, table
 
@@ -77,10 +77,42 @@ def polymorphic_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.unix_seconds(moment(first_given(F.expr(v), F.lit("86400")))).alias("seconds"), F.unix_seconds(number).alias("from_number"))
 
 
-@query("""SELECT o_custkey, count(*) AS ad_count, min(o_orderkey) AS first_ad, sha256(concat_ws(':', o_custkey, count(*), min(o_orderkey), max(o_orderkey), sum(o_orderkey)::BIGINT)) AS snapshot_id FROM orders GROUP BY 1""")
+_AD = ("ad_id", "body", "cents", "ends", "starts")
+_AD_TEXT = " || ".join(f"'{c}=' || coalesce(length({c}::VARCHAR) || ':' || {c}, '-') || ';'" for c in _AD)
+_SNAPSHOTS = f"""ads AS (SELECT o_custkey, 'ad-' || o_orderkey AS ad_id, o_orderpriority AS body, round(o_totalprice * 100)::BIGINT AS cents, strftime(o_orderdate, '%Y-%m-%d') AS starts, CASE o_orderstatus WHEN 'F' THEN 'over' END AS ends FROM orders),
+h AS (SELECT *, sha256({_AD_TEXT}) AS h FROM ads)"""
+_HEADERS = lambda name, where: f"""{name} AS (SELECT o_custkey, count(*) AS ad_count, sha256(o_custkey || ':' || count(*) || ':' || sum(('0x' || h[1:15])::BIGINT) || ':' || sum(('0x' || h[16:30])::BIGINT)) AS snapshot_id FROM h WHERE {where} GROUP BY 1)"""
+
+
+def _ads(spark, sf_dir):
+    ended = F.when(F.col("o_orderstatus") == "F", "over")
+    return table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("ad-"), "o_orderkey").alias("ad_id"), F.col("o_orderpriority").alias("body"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("starts"), ended.alias("ends"))
+
+
+def _taken(ads, at):
+    return snapshots.taken(ads, "o_custkey", F.lit(at), list(_AD))
+
+
+@query(f"""WITH {_SNAPSHOTS}, {_HEADERS("old", "ends = 'over'")}, {_HEADERS("new", "true")}
+SELECT n.o_custkey, n.snapshot_id, n.ad_count, 2 AS taken_at, CASE WHEN n.snapshot_id IN (SELECT snapshot_id FROM old) THEN 0 ELSE n.ad_count END AS rows_added FROM new n""")
 def snapshot_append(spark, sf_dir):
-    """The header of each entity's snapshot, whose ads stay a table of rows: their number, and a key that follows from them."""
-    return pick.snapshot_headers(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
+    """What a second pull of each entity's ads appends: always a header, and rows where the ads are not those of the first pull."""
+    ads = _ads(spark, sf_dir)
+    headers, rows = snapshots.appended(*_taken(ads.where("ends = 'over'"), 1), *_taken(ads, 2))
+    added = rows.groupBy("snapshot_id").agg(F.count("*").alias("rows_added"))
+    return headers.join(added, "snapshot_id", "left").select("o_custkey", "snapshot_id", "ad_count", "taken_at", F.coalesce("rows_added", F.lit(0)).alias("rows_added"))
+
+
+@query(f"""WITH {_SNAPSHOTS}, {_HEADERS("old", "ends = 'over'")},
+c AS (SELECT o_custkey, 'ad-' || (o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS ad_id FROM orders)
+SELECT o_custkey, snapshot_id, count(*) AS cited, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM ads a WHERE a.o_custkey = c.o_custkey AND a.ad_id = c.ad_id AND a.ends = 'over')) AS known FROM c JOIN old USING (o_custkey) GROUP BY 1, 2""")
+def snapshot_provenance(spark, sf_dir):
+    """How many of the ads that each entity's analysis cites are in the snapshot that it is of."""
+    headers, rows = _taken(_ads(spark, sf_dir).where("ends = 'over'"), 1)
+    shifted = F.col("o_orderkey") + F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)
+    citations = table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("ad-"), shifted).alias("ad_id")).join(headers.select("o_custkey", "snapshot_id"), "o_custkey")
+    checked = snapshots.cited_in(citations, rows, "ad_id")
+    return checked.groupBy("o_custkey", "snapshot_id").agg(F.count("*").alias("cited"), F.count(F.when(F.col("known"), 1)).alias("known"))
 
 
 @query("""WITH a AS (SELECT o_custkey, o_orderpriority AS angle_key, min(o_orderkey) AS example, list(o_orderkey ORDER BY o_orderkey) AS refs, count(*) AS n FROM orders GROUP BY 1, 2)

@@ -1,13 +1,14 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae import tools
 from tesserae.functions.text import normalize
-from tesserae.operators import cache, census, grams, grounding, jobs, ledger, limits, pick, resolve, robots, verify
+from tesserae.operators import cache, census, grams, grounding, jobs, ledger, limits, pick, prefix, resolve, robots, snapshots, verify
 from tesserae.plans import flows
 from tesserae.sources import ads, state
 
@@ -151,7 +152,7 @@ def test_ledger(spark):
     assert sorted((r.ref, r.outcome) for r in ledger.reserve_fold(calls, "project", "ref", "at", "est", 100).collect()) == [("r1", "ok"), ("r1", "skip"), ("r2", "refused"), ("r3", "ok")]
     reserves = spark.createDataFrame([("r1", 60), ("r2", 50)], "ref string, est_cents long")
     done = spark.createDataFrame([("r1", 70, 0), ("r1", 10, 1), ("r9", 1, 2)], "ref string, actual_cents long, pos long")
-    assert {r.ref: (r.actual_cents, r.overspent) for r in ledger.settled(reserves, done, "ref").collect()} == {"r1": (70, True), "r2": (None, False)}
+    assert {r.ref: (r.actual_cents, r.overspent) for r in ledger.settled(reserves, done, "ref").collect()} == {"r1": (10, True), "r2": (None, False)}  # 70 is refused, as it is over the reserve
     own = spark.createDataFrame([("collect", "*", 99)], "job_kind string, connector string, cents long")
     asked = spark.createDataFrame([("collect", "x"), ("scrape", "web.fetch"), ("scrape", "other")], "job_kind string, connector string")
     assert {(r.job_kind, r.connector): r.est_cents for r in ledger.priced(asked, ledger.price_cards(spark, own)).collect()} == {("collect", "x"): 99, ("scrape", "web.fetch"): 0, ("scrape", "other"): None}
@@ -313,3 +314,105 @@ def test_a_refusal_aborts_the_batch(spark):
     ok = json.dumps({"searchResults": [{"name": "A", "page_id": "1"}]})
     rows = spark.createDataFrame([("A", ok, 200), ("B", "out of credits", 403), ("C", "x", 500)], "brand string, body string, status int")
     assert not tools.get_meta_platform_id(rows, ["A", "B"])["success"] and tools.get_meta_platform_id(rows, ["A", "C"])["success"]
+
+
+def test_snapshots_follow_from_their_contents(spark):
+    def ids(rows, schema="entity string, ad_id string, cents long"):
+        return {r.entity: r.snapshot_id for r in snapshots.taken(spark.createDataFrame(rows, schema).repartition(3), "entity", F.lit(1))[0].collect()}
+
+    ads = lambda entity, *numbers: [(entity, f"ad{n}", n) for n in numbers]
+    one = ids(ads("e", 1, 2, 5, 8))["e"]
+    assert one == ids(ads("e", 8, 1, 5, 2))["e"] != ids(ads("e", 1, 3, 4, 8))["e"] and ids(ads("x", 1, 2, 5, 8))["x"] != one
+    assert len({ids(ads("e", 1, 2))["e"], ids(ads("e", 1, 2, 2))["e"], ids([("e", "ad1", 1), ("e", "ad2", None)])["e"], ids([("e", "ad1", 1), ("e", None, 2)])["e"], ids([("e", "ad12", 1), ("e", "", 2)])["e"]}) == 5
+    parts = [snapshots.digests(spark.createDataFrame(ads("e", *n), "entity string, ad_id string, cents long"), "entity", ["ad_id", "cents"]) for n in ((1, 2), (5,), (8,))]
+    whole = snapshots.digests(spark.createDataFrame(ads("e", 1, 2, 5, 8), "entity string, ad_id string, cents long"), "entity", ["ad_id", "cents"])
+    assert snapshots.merged(parts, "entity").collect() == whole.collect()
+
+
+def test_snapshots_are_appended(spark):
+    df = lambda rows: spark.createDataFrame(rows, "entity string, ad_id string, cents long")
+    first = snapshots.taken(df([("a", "1", 5), ("a", "2", 6), ("b", "3", 7), (None, "4", 8)]), "entity", F.lit(10))
+    again = snapshots.taken(df([("b", "3", 7), ("a", "2", 6), ("a", "1", 9), (None, "4", 8)]), "entity", F.lit(20))
+    assert {(r.entity, r.ad_count) for r in first[0].collect()} == {("a", 2), ("b", 1), (None, 1)} and first[1].count() == 4
+    headers, rows = snapshots.appended(*first, *again)
+    assert {(r.entity, r.taken_at) for r in headers.collect()} == {("a", 20), ("b", 20), (None, 20)}
+    assert {(r.entity, r.ad_id, r.cents) for r in rows.collect()} == {("a", "1", 9), ("a", "2", 6)}
+    same = snapshots.appended(*first, *first)
+    assert same[0].count() == 0 == same[1].count()
+    cited = first[0].join(df([("a", "1", 0), ("a", "3", 0), ("b", "3", 0)]).select("entity", "ad_id"), "entity").select("entity", "snapshot_id", "ad_id")
+    assert {(r.entity, r.ad_id): r.known for r in snapshots.cited_in(cited, first[1], "ad_id").collect()} == {("a", "1"): True, ("a", "3"): False, ("b", "3"): True}
+
+
+def hot(spark, n, span, seed=1):
+    """n rows, nine tenths of one key."""
+    rng = random.Random(seed)
+    return spark.createDataFrame([(7 if rng.random() < 0.9 else rng.randrange(5), i, rng.randrange(span), rng.randrange(-3, 9)) for i in range(n)], "k long, i long, s long, v long").repartition(4)
+
+
+def test_rolling_counts_of_a_hot_key(spark):
+    rows = hot(spark, 3000, 6 * 86_400)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # tasks as they are dealt
+    try:
+        for size in (86_400, 40_000, 7200, 200_000):
+            out = limits.rolling_counts(rows, "k", "s", size)
+            got = {r.i: (r.in_hour, r.in_day) for r in out.collect()}
+            if size == 7200:
+                per_task = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    given = rows.collect()
+    times = {}
+    for r in given:
+        times.setdefault(r.k, []).append(r.s)
+    assert got == {r.i: tuple(sum(r.s - w <= t <= r.s for t in times[r.k]) for w in (3600, 86_400)) for r in given}
+    assert max(per_task) < 0.5 * len(given) and len(per_task) == 4
+    odd = spark.createDataFrame([(None, 1, 5), (None, 2, None), (1, 3, None)], "k long, i long, s long")
+    assert {r.i for r in limits.rolling_counts(odd, "k", "s").collect()} == {1, 2, 3}
+
+
+def test_prefix_sums_of_a_hot_key(spark):
+    rows = hot(spark, 3000, 900)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = prefix.sliced(rows, ["k"], ["s", "i"])
+        sums = prefix.prefix_sums(cut, ["k"], ["s", "i"], {"run": F.col("v"), "n": F.lit(1)})
+        got = {r.i: (r.run, r.n, r.mark) for r in prefix.last_before(sums, ["k"], ["s", "i"], "mark", F.when(F.col("v") == 8, F.col("i"))).collect()}
+        slices = cut.where("k = 7").groupBy("_slice").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, state = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r.k, r.s, r.i)):
+        run, n, mark = state.get(r.k, (0, 0, None))
+        want[r.i] = (run + r.v, n + 1, mark)
+        state[r.k] = (run + r.v, n + 1, r.i if r.v == 8 else mark)
+    assert got == want and len(slices) >= 3 and max(r["count"] for r in slices) < 1500
+    flushes = sorted((r.flush_no, r.n, r.first, r.last) for r in pick.buffer_flushes(rows, "s", "i", 25).collect())
+    ordered = [r.i for r in sorted(rows.collect(), key=lambda r: (r.s, r.i))]
+    assert flushes == [(j, 25, min(ordered[25 * j :][:25]), max(ordered[25 * j :][:25])) for j in range(120)]
+    empty = ledger.running_costs(rows.limit(0), "k", ["s", "i"], "v", F.lit(True))
+    assert empty.columns == ["k", "i", "s", "v", "running", "drained"] and empty.count() == 0
+
+
+def test_reservations_without_cost(spark):
+    rng = random.Random(2)
+    calls = [(rng.randrange(2), rng.randrange(300), f"r{rng.randrange(40)}", rng.choice([0, 3, 5, None]), rng.random() < 0.2) for _ in range(400)]
+    calls = list({(p, t, r, e): b for p, t, r, e, b in calls}.items())
+    calls = [(*k, b) for k, b in calls]
+    df = spark.createDataFrame(calls, "project long, at long, ref string, est long, blocked boolean")
+    got = sorted((r.project, r.ref, r.outcome) for r in ledger.reserve_fold(df, "project", "ref", "at", "est", 9).collect())
+    want, state = [], {}
+    for p, t, r, e, b in sorted(calls, key=lambda c: (c[0], c[1], c[2], -1 if c[3] is None else c[3])):
+        total, held = state.setdefault(p, [0, set()])
+        outcome = "skip" if r in held else "blocked" if b else "unpriced" if e is None else "refused" if total + e > 9 else "ok"
+        if outcome == "ok":
+            state[p][0] += e
+            held.add(r)
+        want.append((p, r, outcome))
+    assert got == sorted(want) and {"ok", "skip", "refused", "blocked", "unpriced"} == {w[2] for w in want}
+
+
+def test_admissions_are_linear(spark):
+    rows = spark.range(60_000).selectExpr("1L as k", "id", "id div 100 as s")
+    began = time.time()
+    out = limits.admissions(rows, "k", "s", "id", 1_000_000, 1_000_000)
+    assert out.where("admitted").count() == 60_000 and time.time() - began < 20
