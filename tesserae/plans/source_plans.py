@@ -1,11 +1,15 @@
 """Queries over nested and paged inputs, JSON, arrays and positions."""
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.rules import first_given, local_iso, moment
 from tesserae.operators import pick, snapshots
 from tesserae.plans.registry import query
-from tesserae.sources import ads, table
+from tesserae.session import shared_dir
+from tesserae.sources import ads, cursor, table
 
 
 @query("SELECT event_id, (props ->> '$.k')::BIGINT AS k FROM events WHERE (props ->> '$.k')::BIGINT BETWEEN 10 AND 20 AND len(json_keys(props)) = 1")
@@ -43,20 +47,37 @@ def nested_ads(spark, sf_dir):
     return flat.select("ad_id", "l_partkey", "media_type", F.col("card").cast("long"), "media_url", "body", local_iso(F.col("start_date")).alias("started"))
 
 
-@query("""WITH p AS (SELECT o_custkey, o_orderkey, count(*) OVER w - 1 AS page_no, count(*) FILTER (WHERE o_orderstatus = 'P') OVER w AS failures,
+_PAGED = """WITH p AS (SELECT o_custkey, o_orderkey, count(*) OVER w - 1 AS page_no, count(*) FILTER (WHERE o_orderstatus = 'P') OVER w AS failures,
   min(CASE WHEN o_orderstatus = 'P' THEN o_orderkey END) OVER (PARTITION BY o_custkey) AS first_failed FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)),
 f AS (SELECT *, coalesce(bool_or(o_orderkey = first_failed AND page_no < 10) OVER (PARTITION BY o_custkey), false) AS is_partial FROM p)
-SELECT o_custkey, page_no, i AS pos, o_orderkey * 10 + i AS ad, is_partial FROM f, (VALUES (0::BIGINT), (1::BIGINT), (2::BIGINT)) AS t (i) WHERE failures = 0 AND page_no < 10 AND page_no * 3 + i < 7""")
-def paged_ad_scan(spark, sf_dir):
-    """Leading pages up to a failure, a limit for each key."""
-    from pyspark.sql import Window
+SELECT o_custkey, page_no, i AS pos, o_orderkey * 10 + i AS ad, is_partial FROM f, (VALUES (0::BIGINT), (1::BIGINT), (2::BIGINT)) AS t (i) WHERE failures = 0 AND page_no < 10 AND page_no * 3 + i < {limit}"""
 
+
+def _pages(spark, sf_dir):
     number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    pages = table(spark, sf_dir, "orders").select("o_custkey", number.cast("long").alias("page_no"), F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: F.col("o_orderkey") * 10 + i).alias("ads"), (F.col("o_orderstatus") == "P").alias("failed"))
-    out = ads.paged_scan(pages, "o_custkey", "page_no", "ads", "failed", 7)
+    return table(spark, sf_dir, "orders").select("o_custkey", number.cast("long").alias("page_no"), F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: F.col("o_orderkey") * 10 + i).alias("ads"), (F.col("o_orderstatus") == "P").alias("failed"))
+
+
+@query(_PAGED.format(limit=7))
+def paged_ad_scan(spark, sf_dir):
+    """Leading pages up to a failure, a limit for each key."""
+    out = ads.paged_scan(_pages(spark, sf_dir), "o_custkey", "page_no", "ads", "failed", 7)
     return out.select("o_custkey", "page_no", F.col("pos").cast("long"), "ad", "is_partial")
 
 
+@query(_PAGED.format(limit=30))
+def cursor_scan(spark, sf_dir):
+    """The same over stored responses, written by key and followed by their cursors in the source; thirty ads are all that ten responses have."""
+    pages = _pages(spark, sf_dir)
+    last = F.col("page_no") == F.max("page_no").over(Window.partitionBy("o_custkey"))
+    at = lambda n: F.when(n > 0, F.concat(F.lit("p"), n.cast("string")))
+    responses = pages.select(F.col("o_custkey").cast("string").alias("key"), F.lit("US").alias("country"), at(F.col("page_no")).alias("cursor"), F.when(~last, at(F.col("page_no") + 1)).alias("next"), F.when(F.col("failed"), 500).otherwise(200).cast("long").alias("status"), F.col("ads").cast("array<string>").alias("ads"), F.col("page_no").alias("at"))
+    path = f"{shared_dir(spark)}/tesserae-responses-{uuid.uuid4().hex}"
+    cursor.store_responses(responses, path, "at")
+    out = spark.read.format("stored_ads").option("limit", 30).load(path)
+    return out.select(F.col("key").cast("long").alias("o_custkey"), "page_no", "pos", F.col("ad").cast("long").alias("ad"), "is_partial")
+
+
 @query("""SELECT n_nationkey, count(s_suppkey) AS pages, count(s_suppkey) > 0 AS success, max(s_name) AS last_page FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON n_nationkey = s_nationkey GROUP BY 1""")
 def brand_batch(spark, sf_dir):
     """Every asked brand with a map of its pages, empty where there is none."""

@@ -9,8 +9,8 @@ from tesserae.plans.registry import REGISTRY
 SF = "/root/testdata/sf0.001"
 
 
-#: Queries that parse HTML, URLs or robots files, search for many texts at once, or fold rows in order.
-PYTHON = ("capture_pipeline", "collect_counts", "decoded_pages", "one_redirect", "verbatim_grounding", "rolling_admission", "soft_warnings", "domain_schedule", "job_state_fold", "reserve_outcomes")
+#: Queries that parse HTML, URLs or robots files, search for many texts at once, fold rows in order, or read a source in Python.
+PYTHON = ("cursor_scan", "capture_pipeline", "collect_counts", "decoded_pages", "one_redirect", "verbatim_grounding", "rolling_admission", "soft_warnings", "domain_schedule", "job_state_fold", "reserve_outcomes")
 
 
 def plan(spark, name):
