@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from tesserae.functions.rules import confidence, coverage_confidence, coverage_is_thin, whole_days
-from tesserae.operators import census, pick, resolve
+from tesserae.operators import census, pick, resolve, rollups
 from tesserae.plans.registry import query
+from tesserae.session import materialise
 from tesserae.sources import table
 
 NOW = "2000-06-01 00:00:00"
@@ -180,3 +181,45 @@ def whitespace_candidates(spark, sf_dir):
     first = pick.first_by(pick.present(candidates.where("angle_key <> 'unmapped'"), live, ["angle_key"]), ["angle_key"], [F.col("pos")])
     rollup = part.where("p_type = 'ECONOMY'").groupBy(F.col("p_brand").alias("angle_key")).agg(F.count("*").alias("total_count"))
     return first.join(live, "angle_key").join(rollup, "angle_key", "left").select("angle_key", "label", "pos", F.coalesce("total_count", F.lit(0)).alias("total_count"))
+
+
+_CHANGED = "CASE WHEN doc_id % 7 = 0 THEN 'moved' ELSE coalesce(lang, '') END"
+
+
+@query(f"""SELECT coalesce(source, '') AS theme, {_CHANGED} AS quote_type, count(*) AS n, CASE WHEN count(*) < 3 THEN 'thin' ELSE 'normal' END AS data_density FROM documents WHERE doc_id % 11 <> 0 GROUP BY 1, 2""")
+def theme_changes(spark, sf_dir):
+    """A theme rollup of two thirds of the documents, then the rest as inserts, other types as updates and some retractions."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    rows = census.tagged(docs, "source", "lang").select("doc_id", "theme", "quote_type")
+    n = {"n": F.lit(1)}
+    keys = ["theme", "quote_type"]
+    first = rollups.applied(None, rollups.signed(rows.where("doc_id % 3 <> 0")), keys, n)
+    second = rollups.applied(first, rollups.signed(rows.where("doc_id % 3 = 0")), keys, n)
+    after = rows.where("doc_id % 7 = 0").withColumn("quote_type", F.lit("moved"))
+    third = rollups.applied(second, rollups.signed(after, rows.where("doc_id % 7 = 0")), keys, n)
+    gone = rows.where("doc_id % 11 = 0").withColumn("quote_type", F.when(F.col("doc_id") % 7 == 0, "moved").otherwise(F.col("quote_type")))
+    last = rollups.applied(third, rollups.signed(went=gone), keys, n)
+    return last.withColumn("data_density", F.when(F.col("n") < census.THIN_BELOW, "thin").otherwise("normal"))
+
+
+@query("""WITH l AS (SELECT * FROM orders WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
+r AS (SELECT o_orderpriority AS angle_key, o_custkey, o_orderkey FROM l UNION ALL SELECT '2nd ' || o_orderpriority, o_custkey, o_orderkey FROM l WHERE o_orderkey % 2 = 0 UNION ALL SELECT '2nd ' || o_orderpriority, o_custkey, o_orderkey FROM l WHERE o_orderkey % 4 = 0)
+SELECT angle_key, count(DISTINCT o_custkey) AS competitor_count, count(*) AS total_count, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS verbatim_count FROM r GROUP BY 1""")
+def angle_changes(spark, sf_dir):
+    """The census of each entity's latest analysis, after two later batches of analyses replaced what they supersede."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    year = F.year("o_orderdate")
+    counters = {"total_count": F.lit(1), "verbatim_count": F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)}
+
+    def rows(analyses):
+        twice = F.when(F.col("o_orderkey") % 4 == 0, 2).when(F.col("o_orderkey") % 2 == 0, 1).otherwise(0)
+        second = F.transform(F.array_repeat(F.lit("2nd "), twice), lambda p: F.concat(p, F.col("o_orderpriority")))
+        return analyses.withColumn("angle_key", F.explode(F.concat(F.array("o_orderpriority"), second)))
+
+    ok = F.col("o_orderstatus") == "F"
+    latest = pick.latest_by(orders.where(year < 1994), ["o_custkey"], "o_orderdate", "o_orderkey", ok)
+    references, rollup = rollups.entities_applied(None, None, rollups.signed(rows(latest)), ["angle_key"], "o_custkey", "competitor_count", counters)
+    for batch in (orders.where((year >= 1994) & (year < 1997)), orders.where(year >= 1997)):
+        latest, changes = rollups.replaced_latest(materialise(latest, "latest"), batch, "o_custkey", "o_orderdate", "o_orderkey", ok)
+        references, rollup = rollups.entities_applied(materialise(references, "references"), materialise(rollup, "rollup"), rows(changes), ["angle_key"], "o_custkey", "competitor_count", counters)
+    return rollup.select("angle_key", "competitor_count", "total_count", "verbatim_count")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tesserae import tools
 from tesserae.functions.text import normalize
-from tesserae.operators import cache, census, grams, grounding, jobs, ledger, limits, pick, prefix, resolve, robots, snapshots, verify
+from tesserae.operators import cache, census, grams, grounding, jobs, ledger, limits, pick, prefix, resolve, robots, rollups, snapshots, verify
 from tesserae.plans import flows
+from tesserae.session import materialise
 from tesserae.sources import ads, state
 
 
@@ -416,3 +417,33 @@ def test_admissions_are_linear(spark):
     began = time.time()
     out = limits.admissions(rows, "k", "s", "id", 1_000_000, 1_000_000)
     assert out.where("admitted").count() == 60_000 and time.time() - began < 20
+
+
+def test_rollups_by_signed_changes_equal_a_rebuild(spark):
+    rng = random.Random(4)
+    counters = {"n": F.lit(1), "good": F.col("good")}
+    schema = "k string, who long, good long"
+    rows, references, rollup = [], None, None
+    for step in range(4):
+        came = [(rng.choice(["a", "b", None]), rng.randrange(4), rng.randrange(2)) for _ in range(12)]
+        went = [rows.pop(rng.randrange(len(rows))) for _ in range(len(rows) if step == 3 else len(rows) // 2)]
+        rows += came if step < 3 else []
+        changes = rollups.signed(spark.createDataFrame(came if step < 3 else [], schema), spark.createDataFrame(went, schema))
+        references, rollup = (materialise(x, "x") for x in rollups.entities_applied(references, rollup, changes, ["k"], "who", "whos", counters))
+        want = {}
+        for k, who, good in rows:
+            w = want.setdefault(k, [set(), 0, 0])
+            w[0].add(who), w.__setitem__(1, w[1] + 1), w.__setitem__(2, w[2] + good)
+        assert {r.k: (r.whos, r.n, r.good) for r in rollup.collect()} == {k: (len(w[0]), w[1], w[2]) for k, w in want.items()}
+    assert rollup.count() == 0 == references.count()
+    with pytest.raises(Exception, match="more went than was there"):
+        rollups.applied(rollup.select("k", "n"), rollups.signed(went=spark.createDataFrame([("z",)], "k string")), ["k"], {"n": F.lit(1)}).collect()
+
+
+def test_later_analyses_replace_earlier_ones(spark):
+    df = lambda rows: spark.createDataFrame(rows, "who string, at long, id long, ok boolean")
+    current = df([("a", 5, 1, True), ("b", 5, 2, True)])
+    new = df([("a", 4, 9, True), ("b", 6, 3, False), ("b", 5, 4, True), ("c", 1, 5, True), ("c", 1, 6, True)])
+    latest, changes = rollups.replaced_latest(current, new, "who", "at", "id", F.col("ok"))
+    assert {(r.who, r.id) for r in latest.collect()} == {("a", 1), ("b", 4), ("c", 6)}
+    assert {(r.who, r.id, r["_sign"]) for r in changes.collect()} == {("b", 2, -1), ("b", 4, 1), ("c", 6, 1)}
