@@ -27,7 +27,7 @@ def rolling_counts(events: DataFrame, key: str, seconds: str, slice_seconds: int
     return counted.where("_mine").select(*events.columns, "in_hour", "in_day")
 
 
-def admissions(calls: DataFrame, key: str, seconds: str, call: str, per_hour: int = 20, per_day: int = 80) -> DataFrame:
+def admissions(calls: DataFrame, key: str, seconds: str, call: str, per_hour: int = 20, per_day: int = 80, known: str | None = None) -> DataFrame:
     """(key, call, seconds, admitted, reason, warned): a call passes if fewer than the caps were admitted in
     the hour and the day before it; the hour is asked first, and a refused call uses up nothing. warned: the
     hour's count has come to the soft limit, eight tenths of the cap."""
@@ -36,18 +36,22 @@ def admissions(calls: DataFrame, key: str, seconds: str, call: str, per_hour: in
 
     def fold(k, rows):
         day, hour = deque(), deque()  # the times admitted in the last day and hour, `per_day` and `per_hour` at most
-        for _, now, c in rows:
+        for _, now, c, before in rows:
             while day and now - day[0] > DAY:
                 day.popleft()
             while hour and now - hour[0] > HOUR:
                 hour.popleft()
-            reason = "hour" if len(hour) >= per_hour else "day" if len(day) >= per_day else None
+            reason = None if before else "hour" if len(hour) >= per_hour else "day" if len(day) >= per_day else None
             if reason is None:
                 day.append(now)
                 hour.append(now)
+            if before:
+                continue
             yield k, c, now, reason is None, reason, reason is None and len(hour) >= soft
 
-    return streamed(calls.select(F.col(key).cast("long"), F.col(call).cast("long"), F.col(seconds).cast("long")), key, [seconds, call], [], columns, fold)
+    before = F.lit(False) if known is None else F.col(known)
+    rows = calls.select(F.col(key).cast("long"), F.col(call).cast("long"), F.col(seconds).cast("long"), before.alias("_known"))
+    return streamed(rows, key, [seconds, call], ["_known"], columns, fold)
 
 
 def capped_pages(pages: DataFrame, host: str, order: list[Column], cap: int, allowed: Column | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries over rules, records and whole dataflows whose inputs are made from the tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tesserae.functions import html, rules, shapes, text, urls
@@ -8,7 +10,8 @@ from tesserae.plans import flows
 from tesserae.plans.evidence_plans import _NORMAL
 from tesserae.plans.job_plans import _KINDS, _events
 from tesserae.plans.registry import query
-from tesserae.sources import ads, state, table
+from tesserae.session import shared_dir
+from tesserae.sources import ads, state, table, versions
 
 _STATUS = "element_at(array(200, 402, 403, 404, 429, 500, 302), cast(event_id % 7 + 1 as int))"
 _BODY = "CASE WHEN event_id % 3 = 0 THEN 'Out of Credits' WHEN event_id % 3 = 1 THEN 'forbidden' END"
@@ -188,6 +191,22 @@ def soft_warnings(spark, sf_dir):
     return out.groupBy("user_id").agg(F.count("*").alias("calls"), F.count(F.when(F.col("warned"), 1)).alias("warned"))
 
 
+@query("""WITH e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS s FROM events),
+f AS (SELECT user_id, list_reduce(list([{'id': event_id, 's': s, 'r': ''}] ORDER BY s, event_id), lambda a, x: a || [{'id': x[1].id, 's': x[1].s, 'r':
+  CASE WHEN len(list_filter(a, lambda y: y.r = '' AND x[1].s - y.s <= 3600)) >= 3 THEN 'hour' WHEN len(list_filter(a, lambda y: y.r = '' AND x[1].s - y.s <= 86400)) >= 4 THEN 'day' ELSE '' END}]) AS folded FROM e GROUP BY 1),
+u AS (SELECT user_id, unnest(folded) AS x FROM f)
+SELECT user_id, x.id AS event_id, x.r = '' AS admitted, CASE WHEN x.r <> '' THEN x.r END AS reason FROM u""")
+def versioned_admission(spark, sf_dir):
+    """Calls decided in three batches by time, each on the versioned state that the one before left."""
+    calls = _events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("call"), "seconds")
+    span = calls.agg(F.min("seconds").alias("a"), F.max("seconds").alias("b")).first()
+    path = f"{shared_dir(spark)}/tesserae-guard-{uuid.uuid4().hex}"
+    third = (F.col("seconds") - span["a"]) * 3 / F.lit(max(1, span["b"] + 1 - span["a"]))
+    parts = [versions.decide(spark, path, calls.where(F.floor(third) == i), 3, 4) for i in range(3)]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select(F.col("key").alias("user_id"), F.col("call").alias("event_id"), "admitted", "reason")
+
+
 _REVIEWED = "translate(text, '<>&', '   ')"
 _ASKED = f"CASE doc_id % 4 WHEN 0 THEN substring({_REVIEWED}, 11, 40) WHEN 1 THEN 'Free returns for' WHEN 2 THEN substring({_REVIEWED}, 1, 30) ELSE '' END"
 
