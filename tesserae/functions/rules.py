@@ -94,7 +94,7 @@ def coverage_confidence(gap: Column, with_observations: Column) -> Column:
 
 def or_default(value: Column, default: Column) -> Column:
     """The default for null, zero and the empty text."""
-    return F.when(value.isNull() | value.cast("string").isin("", "0", "0.0"), default).otherwise(value)
+    return F.when(value.isNull() | value.cast("string").isin("", "0", "0.0", "-0.0"), default).otherwise(value)
 
 
 def is_content_rejection(message: Column) -> Column:

@@ -156,11 +156,11 @@ def run_states(spark, sf_dir):
     return pick.run_states(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run")), done, "run", "ts")
 
 
-@query("""SELECT l_orderkey AS analysis, l_linenumber AS angle, contains('hook ' || l_partkey || ' of ' || l_suppkey, 'hook ' || (l_partkey - l_linenumber % 2)) AS graded FROM lineitem WHERE l_orderkey % 2 = 0
-UNION ALL SELECT o_orderkey, 0, NULL FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+@query("""SELECT l_orderkey AS analysis, l_linenumber AS angle, contains('hook ' || l_partkey || ' of ' || l_suppkey, 'hook ' || (l_partkey - l_linenumber % 2)) AS graded FROM lineitem
+UNION ALL SELECT o_orderkey, 0, NULL FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def graded_observations(spark, sf_dir):
     """Observations graded by whether their hook stands in the ad's body, each analysis replacing its own."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0")
+    lines = table(spark, sf_dir, "lineitem")
     body = F.concat(F.lit("hook "), "l_partkey", F.lit(" of "), "l_suppkey")
     hook = F.concat(F.lit("hook "), (F.col("l_partkey") - F.col("l_linenumber") % 2).cast("string"))
     new = lines.select(F.col("l_orderkey").alias("analysis"), F.col("l_linenumber").cast("long").alias("angle"), text.is_verbatim(body, hook).alias("graded"))

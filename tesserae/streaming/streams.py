@@ -1,5 +1,6 @@
 """Rolling admission, idempotent enqueueing and draining as structured streams."""
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,14 +18,15 @@ def admitted_stream(calls: DataFrame, per_hour: int = 20, per_day: int = 80) ->
     """
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held = sorted(state.get[0]) if state.exists else []  # in order of time, also where a batch comes late
         rows = pd.concat(list(frames)).sort_values(["seconds", "call"], kind="stable")
         out = []
         for call, now in zip(rows["call"], rows["seconds"], strict=True):
-            held = [t for t in held if now - t <= DAY]
-            reason = "hour" if sum(now - t <= HOUR for t in held) >= per_hour else "day" if len(held) >= per_day else None
+            del held[: bisect_left(held, now - DAY)]
+            in_hour = len(held) - bisect_left(held, now - HOUR)
+            reason = "hour" if in_hour >= per_hour else "day" if len(held) >= per_day else None
             if reason is None:
-                held.append(int(now))
+                insort(held, int(now))
             out.append((key[0], call, now, reason is None, reason))
         state.update((held,))
         yield pd.DataFrame(out, columns=["key", "call", "seconds", "admitted", "reason"])

@@ -196,6 +196,7 @@ def test_rules(spark):
     assert [c(rules.credit_status(F.lit(s))) for s in (402, 429, 200)] == ["exhausted", "rate_limited", "ok"]
     assert [c(rules.credit_status(F.lit(403), F.lit(b))) for b in ("Out of CREDITS", "quota reached", "forbidden", None)] == ["exhausted", "exhausted", "ok", "ok"]
     assert c(rules.credit_figures(F.create_map(F.lit("x-credits-remaining"), F.lit("5"), F.lit("credit-cost"), F.lit("x"))))["credits_remaining"] == 5
+    assert c(rules.or_default(F.lit(-0.0), F.lit(2.5))) == 2.5
     assert c(rules.or_default(F.lit(0), F.lit(30))) == 30 and c(rules.or_default(F.lit(4), F.lit(30))) == 4
 
 
