@@ -303,8 +303,11 @@ def whitespace_refs(spark, sf_dir):
 def _whitespace(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     header = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("batch_id"), (F.col("n_nationkey") % 3).alias("coverage_gap"), (F.col("n_nationkey") % 9).alias("with_observations"))
-    joined = part.where("p_size > 10").join(table(spark, sf_dir, "supplier"), F.col("p_partkey") % 100 == F.col("s_suppkey") % 100)
-    rollup = joined.groupBy(F.col("s_nationkey").alias("batch_id"), F.col("p_brand").alias("angle_key")).agg(F.count("*").alias("total_count"), F.countDistinct("p_type").alias("competitor_count"))
+    # both sides are counted by remainder before they meet, so no pair of a part and a supplier is a row
+    parts = part.where("p_size > 10").groupBy((F.col("p_partkey") % 100).alias("_at"), F.col("p_brand").alias("angle_key"), "p_type").agg(F.count("*").alias("_parts"))
+    suppliers = table(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 100).alias("_at"), F.col("s_nationkey").alias("batch_id")).agg(F.count("*").alias("_suppliers"))
+    types = parts.join(suppliers, "_at").groupBy("batch_id", "angle_key", "p_type").agg(F.sum(F.col("_parts") * F.col("_suppliers")).alias("_n"))
+    rollup = types.groupBy("batch_id", "angle_key").agg(F.sum("_n").alias("total_count"), F.count("p_type").alias("competitor_count"))
     rollup = rollup.withColumn("id", F.concat_ws("/", F.col("batch_id").cast("string"), "angle_key"))
     brands = part.select(F.col("p_brand").alias("angle_key")).distinct()
     registry = brands.select("angle_key", F.lit("L").alias("label"), F.lit("").alias("definition"), F.lit("active").alias("status"))

@@ -71,3 +71,10 @@ BOUNDED_LISTS = ("theme_rollup", "prompt_render", "error_samples", "whitespace_d
 @pytest.mark.parametrize("name", [n for n in REGISTRY if n not in BOUNDED_LISTS])
 def test_no_group_becomes_a_list(spark, name):
     assert not re.search("collect_list|collect_set|BroadcastNestedLoopJoin Cross|CartesianProduct", plan(spark, name))
+
+
+@pytest.mark.parametrize("name", ["whitespace_drafts", "whitespace_refs"])
+def test_parts_and_suppliers_are_counted_before_they_meet(spark, name):
+    """Else the join has a row for each pair of them, which grows with the square of the tables."""
+    keys = re.findall(r"Keys[^:]*: \[(.*)\]", plan(spark, name))
+    assert any("s_nationkey" in k and "p_" not in k for k in keys) and any("p_type" in k and "s_nationkey" not in k and "batch_id" not in k for k in keys)
