@@ -1,9 +1,10 @@
 """Sharding by Hilbert-curve order, in DataFrame and SQL functions only.
 
-Several metadata columns are quantised into 2^bits cells each at approximate quantiles, the cells'
+Several metadata columns are quantised into 2^bits cells each at quantiles of all rows, the cells'
 Hilbert index orders the rows, and runs of that order are cut into shards. Strings are compared whole, so paths with a
-long common beginning fall into cells like any other; their quantiles are those of about `sample` rows, chosen by a hash. Rows of a shard are close in
-all of the columns at once, so the minima and maxima of its files prune scans on any of them.
+long common beginning fall into cells like any other; their quantiles are exact. Those of numbers come from a sketch of all
+rows, within 1/2000 of the rows of the exact ones. Rows of a shard are close in all of the columns at once, so the minima
+and maxima of its files prune scans on any of them.
 
 The order is a range partitioning with sorted partitions; its row ids are written once to the shared
 folder, and the partitions' sizes (a row for each partition) turn them into global ranks. Ties within a cell
@@ -22,11 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.session import materialise
+from tesserae.session import forget, materialise
 
 BITS = 5
 OVERHEAD = 16
-SAMPLE = 20_000
 ROW_BITS = 33  # monotonically_increasing_id: the partition above, the row within it below
 
 
@@ -59,19 +59,36 @@ def _below(column: str):
     return lambda edge: edge < F.col(column)
 
 
-def string_edges(rows: DataFrame, columns: list[str], cells: int, sample: int) -> dict[str, list[str]]:
-    """The inner quantiles of string columns, over a sample of distinct rows' hashes that is sorted in SQL."""
+def string_edges(rows: DataFrame, columns: list[str], cells: int) -> dict[str, list[str]]:
+    """The inner quantiles of string columns, exact: of all rows' values, whatever the number of distinct ones.
+
+    Distinct values with their counts are range-partitioned and sorted; running counts say which of them hold the wanted
+    ranks. The driver gets a row for each column and partition, and the quantiles.
+    """
     if not columns:
         return {}
-    share = min(1.0, sample / max(rows.count(), 1))
-    every = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    ordered = [F.sort_array(F.collect_list(c)).alias(c) for c in columns]  # nulls are not collected
-    at = lambda c: F.transform(F.sequence(F.lit(1), F.lit(cells - 1)), lambda i: F.element_at(c, F.floor(i * F.size(c) / cells).cast("int") + 1))
-    found = rows.where(every).agg(*ordered).select(*[F.when(F.size(c) > 0, at(F.col(c))).alias(c) for c in columns]).first()
-    return {c: found[c] or [] for c in columns}
-
-
-def order_by_hilbert(docs: DataFrame, dimensions: list[str], ties: list[Column], bits: int = BITS, sample: int = SAMPLE) -> DataFrame:
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("__t_dim"), F.col(c).alias("__t_value")) for i, c in enumerate(columns)]))
+    counted = rows.select(each).where("__t_value IS NOT NULL").groupBy("__t_dim", "__t_value").agg(F.count("*").alias("__t_n"))
+    keys = ("__t_dim", "__t_value")
+    ordered = materialise(counted.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__t_row", F.monotonically_increasing_id()), "values")
+    totals = {r["__t_dim"]: r["n"] for r in ordered.groupBy("__t_dim").agg(F.sum("__t_n").alias("n")).collect()}
+    wanted, before = [], 0  # ranks among the values of all columns, one column's after the other's
+    for i in sorted(totals):
+        wanted += [before + k * totals[i] // cells for k in range(1, cells)]
+        before += totals[i]
+    placed, _, _ = ranked(ordered, "__t_n")
+    within = Window.partitionBy("__t_part").orderBy("__t_row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("__t_from", F.col("__t_size_before") + F.coalesce(F.sum("__t_n").over(within), F.lit(0)))
+    ranks = F.array(*[F.lit(r).cast("long") for r in sorted(set(wanted))])
+    hit = F.exists(ranks, lambda r: (r >= F.col("__t_from")) & (r < F.col("__t_from") + F.col("__t_n")))
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for r in placed.where(hit).select(*keys).collect():
+        found[columns[r["__t_dim"]]].append(r["__t_value"])
+    forget(ordered)
+    return found
+
+
+def order_by_hilbert(docs: DataFrame, dimensions: list[str], ties: list[Column], bits: int = BITS) -> DataFrame:
     """docs with `hilbert` (long) and `__t_row`, a row id that follows the Hilbert order; written once."""
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     numbers = {f"__t_d{i}": ordinal(F.col(f"`{d}`"), kinds[d]) for i, d in enumerate(dimensions)}
@@ -80,7 +97,7 @@ def order_by_hilbert(docs: DataFrame, dimensions: list[str], ties: list[Column],
     cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
     others = [d for d in numbers if d not in strings]
     edges = rows.agg(*[F.percentile_approx(d, cuts, 2000).alias(d) for d in others]).first().asDict() if others else {}
-    edges |= string_edges(rows, strings, 1 << bits, sample)
+    edges |= string_edges(rows, strings, 1 << bits)
     cells = []
     for d in numbers:  # null is in the lowest cell
         at = F.array(*[F.lit(v) for v in sorted(set(edges[d] or []))])
@@ -107,12 +124,12 @@ def ranked(rows: DataFrame, size: str) -> tuple[DataFrame, int, int]:
     return out, start, total
 
 
-def shard(docs: DataFrame, shards: int, dimensions: list[str], ties: list[str], size: str, law: str = "rows", bits: int = BITS, sample: int = SAMPLE) -> DataFrame:
+def shard(docs: DataFrame, shards: int, dimensions: list[str], ties: list[str], size: str, law: str = "rows", bits: int = BITS) -> DataFrame:
     """docs with shard (int, from 0), slot (long, gapless from 0 in its shard) and hilbert (long)."""
     if law not in ("rows", "bytes"):
         raise ValueError(f"unknown law: {law}")
     docs = docs.drop("shard", "slot", "hilbert")
-    out, n, total = ranked(order_by_hilbert(docs, dimensions, [F.col(f"`{t}`") for t in ties], bits, sample), size)
+    out, n, total = ranked(order_by_hilbert(docs, dimensions, [F.col(f"`{t}`") for t in ties], bits), size)
     if law == "rows":
         number = F.floor(F.col("__t_rank") * shards / F.lit(max(n, 1))).cast("int") if n * shards < 1 << 52 else F.expr(f"int(__t_rank * {shards}BD div {n}BD)")
         first = F.ceil(F.col("shard") * F.lit(n) / F.lit(float(shards))) if n * shards < 1 << 52 else F.expr(f"(shard * {n}BD + {shards - 1}) div {shards}")

@@ -127,3 +127,12 @@ def test_bytes_are_near_equal(spark):
     got = sharding.shard(df, 10, ["source", "size"], ["doc_id"], "size", "bytes").groupBy("shard").sum("size").collect()
     sizes = [r[1] for r in got]
     assert len(sizes) == 10 and max(sizes) - min(sizes) <= 2 * 916
+
+
+def test_string_quantiles_are_those_of_all_rows(spark):
+    """Over more rows than a sample would hold, nearly all of them different, and beside a column of few values with nulls."""
+    n = 60_000
+    df = spark.range(n).selectExpr("lpad(cast((id * 7919) % 59999 as string), 6, '0') a", "CASE WHEN id % 3 > 0 THEN concat('v', id % 5) END b", "cast(null as string) c")
+    got = {c: sorted(set(v)) for c, v in sharding.string_edges(df, ["a", "b", "c"], 32).items()}
+    columns = {"a": sorted(f"{i * 7919 % 59999:06d}" for i in range(n)), "b": sorted(f"v{i % 5}" for i in range(n) if i % 3 > 0)}
+    assert got == {c: sorted({v[i * len(v) // 32] for i in range(1, 32)}) for c, v in columns.items()} | {"c": []}
