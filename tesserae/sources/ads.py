@@ -31,7 +31,9 @@ def flat_ads(results: DataFrame, ad: str | Column, order: list[str], trim: bool
 
     Dates become timestamps (UTC). Pairs without a medium or with an empty body are dropped.
     """
-    a = F.col(ad) if isinstance(ad, str) else ad
+    # a row for each ad comes first: where `ad` is parsed from text, every use of a field would otherwise parse it again
+    results = results.select(*order, F.explode(F.array(F.col(ad) if isinstance(ad, str) else ad)).alias("_ad"))
+    a = F.col("_ad")
     s = a["snapshot"]
     form = s["display_format"]
     body = F.when(s["body"].isNotNull(), F.array(s["body"]["text"]))

@@ -78,3 +78,8 @@ def test_parts_and_suppliers_are_counted_before_they_meet(spark, name):
     """Else the join has a row for each pair of them, which grows with the square of the tables."""
     keys = re.findall(r"Keys[^:]*: \[(.*)\]", plan(spark, name))
     assert any("s_nationkey" in k and "p_" not in k for k in keys) and any("p_type" in k and "s_nationkey" not in k and "batch_id" not in k for k in keys)
+
+
+def test_an_ad_is_parsed_once(spark):
+    """Each field that is used, and the filters, read the row that parsing made."""
+    assert len(re.findall(r"from_json\(", plan(spark, "nested_ads"))) == 1
