@@ -10,7 +10,7 @@ from tesserae.plans import flows
 from tesserae.plans.evidence_plans import _NORMAL
 from tesserae.plans.job_plans import _KINDS, _events
 from tesserae.plans.registry import query
-from tesserae.session import shared_dir
+from tesserae.session import shared_dir, ship
 from tesserae.sources import ads, state, table, versions
 
 _STATUS = "element_at(array(200, 402, 403, 404, 429, 500, 302), cast(event_id % 7 + 1 as int))"
@@ -342,6 +342,7 @@ def defaults(spark, sf_dir):
 @query("""SELECT doc_id, text AS utf8, coalesce(text, '') <> '' AS some FROM documents""")
 def decoded_pages(spark, sf_dir):
     """Bytes back to text: the declared charset where it is known, else UTF-8."""
+    ship(spark)  # which bounds the batches
     charset = F.when(F.col("doc_id") % 2 == 0, "utf-8").when(F.col("doc_id") % 3 == 0, "no-such-charset")
     read = html.decoded(F.col("text").cast("binary"), charset)
     return table(spark, sf_dir, "documents").select("doc_id", read.alias("utf8")).withColumn("some", F.coalesce("utf8", F.lit("")) != "")

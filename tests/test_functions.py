@@ -252,3 +252,15 @@ def test_json_schema():
     quote = built["properties"]["quotes"]["items"]
     assert quote["required"] == ["quote", "type", "theme", "product_area", "confidence"] and not quote["additionalProperties"]
     assert quote["properties"]["type"]["enum"][0] == "desire" and "enum" not in quote["properties"]["theme"]
+
+
+def test_decoding_goes_in_small_batches(spark):
+    """Pieces of a batch come back in order, and the query bounds the batches of a session that has no bound of its own."""
+    from tesserae.plans.registry import REGISTRY
+
+    rows = spark.range(500).selectExpr("id", "cast(repeat(cast(id as string), 3000) as binary) b", "CASE WHEN id % 2 = 0 THEN 'no-such' END c").coalesce(1)
+    assert rows.select(F.col("id"), html.decoded(F.col("b"), F.col("c")).alias("x")).where("x = repeat(cast(id as string), 3000)").count() == 500
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(setting)
+    REGISTRY["decoded_pages"].run(spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(setting).rstrip("b") == str(8 << 20)
