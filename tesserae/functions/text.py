@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 #: White space as Python's `\s` has it on str: Unicode white space and U+001C to U+001F.
 SPACE_CLASS = r"[\t\n\x0B\f\r \x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
+#: Its members but the plain space.
+ODD_SPACE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 # Curly quotes and their plain forms; characters without width, which go.
 CURLY, PLAIN = "\u2018\u2019\u201c\u201d", "''\"\""
 NO_WIDTH = "\u200b\u200c\u200d\ufeff"
@@ -21,13 +24,18 @@ NUMBER_WORDS = (
 
 def collapse(s: Column) -> Column:
     """Runs of white space become one space; none is left at the ends."""
-    one = F.regexp_replace(s, SPACE_CLASS + "+", " ")
-    return F.regexp_replace(one, "^ | $", "")
+    return _single(F.translate(s, ODD_SPACE, " " * len(ODD_SPACE)))
+
+
+def _single(s: Column) -> Column:
+    """The same where all white space is plain spaces: the search for runs of these costs a fraction of one for the class."""
+    return F.trim(F.regexp_replace(s, "  +", " "))
 
 
 def normalize(s: Column) -> Column:
     """Straight quotes, no characters without width, collapsed white space; case stays. Null becomes ''."""
-    return F.coalesce(collapse(F.translate(s, CURLY + NO_WIDTH, PLAIN)), F.lit(""))
+    plain = F.translate(s, CURLY + ODD_SPACE + NO_WIDTH, PLAIN + " " * len(ODD_SPACE))
+    return F.coalesce(_single(plain), F.lit(""))
 
 
 def alnum_key(s: Column) -> Column:
@@ -48,8 +56,13 @@ def span(text: Column, part: Column) -> Column:
 
 def is_verbatim(text: Column, part: Column) -> Column:
     """Whether the normalised part is not empty and occurs in the normalised text."""
+    return occurs(normalize(text), part)
+
+
+def occurs(normal: Column, part: Column) -> Column:
+    """The same for a text that is normal already."""
     p = normalize(part)
-    return (p != "") & F.contains(normalize(text), p)
+    return (p != "") & F.contains(normal, p)
 
 
 def clipped(s: Column, n: int) -> Column:

@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.functions.text import is_verbatim, normalize, span
+from tesserae.functions.text import normalize, occurs, span
 from tesserae.operators.grams import Hasher, kind_of, per_text
 from tesserae.session import materialise, ship
 
 
 def admit(candidates: DataFrame, texts: DataFrame, on: str, quote: str, text: str) -> DataFrame:
     """candidates with admitted, source_start and source_end: a quote is admitted if it occurs, normalised, in
-    its own text, and has a span if it occurs literally. Quotes without a text are not admitted."""
-    joined = candidates.join(texts.select(on, F.col(text).alias("_text")), on, "left")
+    its own text, and has a span if it occurs literally. Quotes without a text are not admitted.
+
+    A text is made normal once, not for each of its quotes; texts are merged in, never broadcast, at every size.
+    """
+    joined = candidates.join(texts.select(on, F.col(text).alias("_text"), normalize(F.col(text)).alias("_normal")).hint("merge"), on, "left")
     found = span(F.col("_text"), F.col(quote))
-    return joined.withColumn("admitted", F.coalesce(is_verbatim(F.col("_text"), F.col(quote)), F.lit(False))).withColumn("source_start", found["start"]).withColumn("source_end", found["end"]).drop("_text")
+    return joined.withColumn("admitted", F.coalesce(occurs(F.col("_normal"), F.col(quote)), F.lit(False))).withColumn("source_start", found["start"]).withColumn("source_end", found["end"]).drop("_text", "_normal")
 
 
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # of the filter that goes to every worker: 128 KB to 32 MB

@@ -40,9 +40,13 @@ def collect_flow(captures: DataFrame, answers: DataFrame) -> tuple[DataFrame, Da
     items = lambda field: answers.select("capture_id", F.posexplode(shapes.items(shapes.parsed(F.col("response")), field)).alias("pos", "raw"))
     quotes = items("quotes").select("capture_id", "pos", shapes.is_quote(F.col("raw")).alias("well_formed"), shapes.read(F.col("raw"), shapes.QUOTE).alias("q")).select("capture_id", "pos", "well_formed", "q.*")
     findings = items("findings").select("capture_id", "pos", shapes.is_finding(F.col("raw")).alias("well_formed"), shapes.read(F.col("raw"), shapes.FINDING).alias("f")).select("capture_id", "pos", "well_formed", "f.*")
+    # for the counts both kinds meet a capture's texts in one join, so that its page is read once
+    asked = quotes.select("capture_id", F.lit("quotes").alias("kind"), "well_formed", F.col("quote").alias("_part")).unionByName(findings.select("capture_id", F.lit("findings").alias("kind"), "well_formed", F.col("evidence").alias("_part")))
+    normal = read.select("capture_id", text.normalize(F.col("page")).alias("_page"), text.normalize(F.col("reviews")).alias("_reviews"))
+    found = text.occurs(F.when(F.col("kind") == "quotes", F.col("_reviews")).otherwise(F.col("_page")), F.col("_part"))
+    kinds = asked.join(normal.hint("merge"), "capture_id", "left").select("capture_id", "kind", (F.coalesce(found, F.lit(False)) & F.col("well_formed")).alias("admitted"))
     quotes = grounding.admit(quotes, read, "capture_id", "quote", "reviews").withColumn("admitted", F.col("admitted") & F.col("well_formed"))
     findings = grounding.admit(findings, read, "capture_id", "evidence", "page").withColumn("admitted", F.col("admitted") & F.col("well_formed"))
-    kinds = quotes.select("capture_id", F.lit("quotes").alias("kind"), "admitted").unionByName(findings.select("capture_id", F.lit("findings").alias("kind"), "admitted"))
     counts = kinds.groupBy("capture_id", "kind").agg(F.count(F.when(F.col("admitted"), 1)).alias("minted"), F.count(F.when(~F.col("admitted"), 1)).alias("rejected"))
     return quotes, findings, counts
 

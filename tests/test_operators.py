@@ -196,6 +196,16 @@ def test_nested_ads(spark):
     assert "effective_status" in ads.flat_ads(df, "ad", ["pos"], trim=False).columns
 
 
+def test_counts_read_each_page_once(spark):
+    """One pass of Python over the pages for both kinds, merged in whatever its estimated size."""
+    captures = spark.createDataFrame([("c", "<p>Free\u200b  returns</p>"), ("d", None)], "capture_id string, html string")
+    answer = {"quotes": [], "findings": [{"fact_type": "policy", "statement": "s", "detail": "", "evidence": e, "confidence": "low"} for e in ("Free returns", "Free", "no")]}
+    counts = flows.collect_flow(captures, spark.createDataFrame([(c, json.dumps(answer)) for c in "cde"], "capture_id string, response string"))[2]
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Broadcast" not in plan
+    assert {(r.capture_id, r.kind): (r.minted, r.rejected) for r in counts.collect()} == {("c", "findings"): (2, 1), ("d", "findings"): (0, 3), ("e", "findings"): (0, 3)}
+
+
 def test_flows(spark):
     page = '<div class="jdgm-rev">Fits like a dream</div><p>Free returns for all</p>'
     captures = spark.createDataFrame([("c", page)], "capture_id string, html string")

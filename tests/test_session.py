@@ -32,6 +32,18 @@ def test_a_local_session_without_a_shared_folder(tmp_path):
     assert done.returncode == 0 and "forgotten" in done.stdout, done.stderr[-2000:]
 
 
+def test_pages_are_read_where_executors_lack_the_package(tmp_path):
+    done = run_alone(f"""
+import os, sys
+os.environ.pop("PYTHONPATH")  # the workers do not see what the driver does
+os.chdir({str(tmp_path)!r})
+from tesserae.session import session
+from tesserae.plans.registry import REGISTRY
+print("rows", REGISTRY["collect_counts"].run(session("local[2]", 2), "/root/testdata/sf0.001").count())
+""", tmp_path)
+    assert done.returncode == 0 and "rows 400" in done.stdout, done.stderr[-2000:]
+
+
 @pytest.mark.parametrize("name", ["ads_sample", "verbatim_grounding"])
 def test_queries_run_without_settings(name, tmp_path):
     done = run_alone(f"""
