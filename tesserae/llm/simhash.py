@@ -10,9 +10,10 @@ mask are factored into nodes, level by level. The join descends from pairs of up
 the differences in bits that both share; a pair of nodes whose sum is over the limit is cut with all
 the groups below it. Copies count once, as one fingerprint.
 
-`similar_documents` links texts by the exact Jaccard similarity of their sets of shingles. Sets of similarity 0.8 have
-fingerprints that differ in about 10 of 64 bits, so blocks of agreeing bits would be four bits wide and hold
-most of a corpus; the groups are buckets of min-hashes instead. Minima under 96 keyed permutations, four to a band, name
+`similar_documents` links texts by the exact Jaccard similarity of their sets of shingles. The fingerprints of the sets go
+through `links`, and what it connects in a group is a bucket of candidates (`print_buckets`). Sets of similarity 0.8 have
+fingerprints that differ in about 10 of 64 bits, and blocks of agreeing bits for these would be four bits wide and hold
+most of a corpus, so buckets of min-hashes are added for them. Minima under 96 keyed permutations, four to a band, name
 24 buckets for each set: two sets of similarity 0.8 share none with a chance of 3 in a million, more alike ones with less.
 Buckets of the same members count once. In a bucket the Gray index over the fingerprints of the sets prunes what differs
 in over `far` bits (by the binomial model one pair of similarity 0.8 in 100,000), and what is left is compared set by
@@ -288,6 +289,19 @@ def linked(prints: np.ndarray, sets: list[np.ndarray], least: float, far: int) -
     return forest.flatten()
 
 
+def print_buckets(classes: DataFrame, bits: int = BITS, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """(bucket, code, id, fp): sets whose fingerprints `links` connects in a group, or that share one, by the group's root.
+
+    classes: code, id, fp. A fingerprint is a member of its own bucket too, and of one for each group at most.
+    """
+    codes = materialise(classes.groupBy("fp").agg(F.min("id").alias("root")), "prints")
+    near = links(codes.select(F.col("root").alias("id"), F.col("fp").alias("code")), bits, group_limit).distinct()
+    met = near.select(F.col("b").alias("bucket"), F.col("a").alias("root")).unionByName(near.select(F.col("b").alias("bucket"), F.col("b").alias("root")))
+    met = met.unionByName(codes.select(F.col("root").alias("bucket"), "root")).distinct()
+    named = met.join(codes.hint("merge"), "root").select("bucket", "fp")
+    return named.join(classes.select("code", "id", "fp").hint("merge"), "fp").select(F.xxhash64(F.lit("fp"), "bucket").alias("bucket"), "code", "id", "fp")
+
+
 def similar_links(docs: DataFrame, members: DataFrame, shingle: int, least: float, far: int) -> DataFrame:
     """(a, b): a spanning forest of each bucket's members that are alike. members: bucket, code, id, fp."""
 
@@ -326,7 +340,7 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     prints = materialise(_signed(rows, shingle), "prints")
     classes = materialise(prints.where("doc_id IS NOT NULL").groupBy("code").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets")), "classes")
-    dealt = classes.select("code", "id", "fp", F.explode("buckets").alias("bucket"))
+    dealt = classes.select(F.explode("buckets").alias("bucket"), "code", "id", "fp").unionByName(materialise(print_buckets(classes), "agreeing"))
     shared = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("code")).alias("x"), F.min("code").alias("c")).where("n > 1")
     chosen = materialise(shared.groupBy("n", "x", "c").agg(F.min("bucket").alias("bucket")).select("bucket"), "chosen")
     members = materialise(dealt.join(chosen.hint("merge"), "bucket").select("bucket", "code", "id", "fp"), "members")

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tesserae.llm import simhash
@@ -43,6 +44,20 @@ def test_stage_finds_all_of_similarity_four_fifths(spark):
     assert sorted(x for x in got if x is not None) == [i for i in want if want[i] == i] and got.count(None) == 1
 
 
+def test_fingerprints_bring_candidates_that_are_compared(spark, monkeypatch):
+    """Without any min-hash bucket, what agrees within three bits is linked, if it is alike."""
+    signed = simhash._signed
+    monkeypatch.setattr(simhash, "_signed", lambda docs, shingle: signed(docs, shingle).withColumn("buckets", F.array().cast("array<long>")))
+    texts = copies()
+    pairs = [(i, j) for i, j in brute(texts) if (print5(texts[i]) ^ print5(texts[j])).bit_count() <= simhash.BITS]
+    want = closure(range(len(texts)), pairs)
+    got = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r.doc_id: r.component_id for r in got}
+    assert len({a for a, _ in pairs}) > 10 and all(found[a] == found[b] for a, b in pairs)
+    whole = closure(range(len(texts)), brute(texts))
+    assert all(whole[d] == whole[c] for d, c in found.items()) and len(set(found.values())) <= len(set(want.values()))
+
+
 def test_defined_cases(spark):
     rows = [(5, None), (2, ""), (9, "same words here again"), (7, "SAME words\there again"), (7, "SAME words\there again"), (None, "same words here again"), (1, "w " * 40000)]
     df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, code string")
