@@ -10,6 +10,7 @@ Defined cases: null texts count as empty ones; an empty text has a defined score
 training pairs every score is `cut`; a document with labels of both kinds counts as the lower one; repeated rows score alike; further input columns are kept as they are.
 """
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +26,9 @@ from tesserae.session import ship
 
 BINS = 12
 CUT = 0.3
+CHUNK = 1 << 18  # code points measured at once
+WINDOW, REPEATS = 256, 40  # code points and words of the worst windows
+_WHITE, _NEWLINE = re.compile(r"[\x20\x09-\x0D]"), re.compile("\n")
 
 STATS = (
     "log_chars", "log_words", "log_lines", "upper", "lower", "digit", "space", "newline", "accented", "stops", "commas",
@@ -47,33 +51,84 @@ def _classes() -> np.ndarray:
     return _CLASS[0]
 
 
+def pieces(text: str, end: re.Pattern) -> Iterator[str]:
+    """The text in pieces of CHUNK code points or more, each up to and with the next match of `end`."""
+    at = 0
+    while at < len(text):
+        found = end.search(text, at + CHUNK - 1)
+        stop = found.end() if found else len(text)
+        yield text[at:stop]
+        at = stop
+
+
+def _by_character(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+    """Counts of the classes, of the code points below 256 (255: and all above), of (non-ASCII, pairs of marks, words after white
+    space with an upper letter, with a mark before it, with a stop), and the worst windows of marks, upper letters and pipes."""
+    classes, letters, met, most = np.zeros(12, np.int64), np.zeros(256, np.int64), np.zeros(5, np.int64), [0.0, 0.0, 0.0]
+    for at in range(0, len(text), CHUNK):
+        back = min(at, WINDOW - 1)  # so that every window lies within a piece
+        points = code_points(text[at - back : at + CHUNK])
+        kind = np.where(points < 256, _classes()[np.minimum(points, 255)], np.uint8(2))
+        most = [max(m, worst(hits, WINDOW)) for m, hits in zip(most, (kind >= 8, kind == 1, kind == 9), strict=True)]
+        classes += np.bincount(kind[back:], minlength=12)
+        letters += np.bincount(np.minimum(points[back:], 255), minlength=256)
+        kind = kind[max(back - 1, 0) :]
+        mark, blank = kind >= 8, (kind == 4) | (kind == 5)
+        ends, begins = blank[1:] & ~blank[:-1], blank[:-1] & ~blank[1:]
+        met += [x.sum() for x in (points[back:] > 127, mark[1:] & mark[:-1], begins & (kind[1:] == 1), ends & (kind[:-1] >= 8), ends & (kind[:-1] == 6))]
+    return classes, letters, met, most
+
+
+def _by_word(text: str) -> tuple[int, int, int, int, int, np.ndarray, float]:
+    """The number of words, their code points, of long and of short ones, of those like the one before; their sorted hashes; the worst window of the like ones."""
+    n = size = long = short = repeats = 0
+    hashes, last, near, most = [], np.zeros(0, np.int64), np.zeros(0, bool), 0.0
+    for piece in pieces(text, _WHITE):
+        words = WORD.findall(piece)
+        if not words:
+            continue
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        own = np.fromiter(map(hash, words), np.int64, len(words))
+        after = np.concatenate([last, own])
+        same = after[1:] == after[:-1]
+        near = np.concatenate([near[1 - REPEATS :], same])
+        most = max(most, worst(near, REPEATS))
+        n, size, long, short, repeats = n + len(words), size + int(sizes.sum()), long + int((sizes > 14).sum()), short + int((sizes < 3).sum()), repeats + int(same.sum())
+        last = own[-1:]
+        hashes.append(own)
+    ids = np.concatenate([*hashes, np.zeros(0, np.int64)])
+    ids.sort()
+    return n, size, long, short, repeats, ids, most
+
+
+def _filled_lines(text: str) -> tuple[int, int]:
+    """The number of lines that are not blank, and of distinct ones, by hash."""
+    found = [np.zeros(0, np.int64)]
+    for piece in pieces(text, _NEWLINE):
+        found.append(np.array([hash(x) for x in piece.split("\n") if x.strip()], np.int64))
+    ids = np.concatenate(found)
+    ids.sort()
+    return len(ids), int((ids[1:] != ids[:-1]).sum()) + min(len(ids), 1)
+
+
 def statistics(text: str | None) -> np.ndarray:
-    """STATS of the whole text. Words are compared by hash; only their equality within the text counts."""
+    """STATS of the whole text, a piece at a time. Words and lines are compared by hash; only their equality within the text counts."""
     text = text or ""
-    points = code_points(text)
-    n = max(len(points), 1)
-    kind = np.where(points < 256, _classes()[np.minimum(points, 255)], np.uint8(2))
-    share = np.bincount(kind, minlength=12)[:12] / n
-    words = WORD.findall(text)
-    w = max(len(words), 1)
-    lines = text.split("\n")
-    mark = kind >= 8
-    runs = float((mark[1:] & mark[:-1]).sum()) / n
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ids = np.sort(own := np.fromiter(map(hash, words), np.int64, len(words)))
-    same = own[1:] == own[:-1]
-    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-    top = float(np.diff(np.append(starts, len(ids))).max() / w) if len(ids) else 0.0
-    letters = np.bincount(np.minimum(points, 255), minlength=256) / n
+    n = max(len(text), 1)
+    deflated = len(zlib.compress(text.encode("utf-8", "surrogatepass"), 1))
+    classes, letters, (accented, runs, titles, signs, stops), most = _by_character(text)
+    lines, distinct_lines = _filled_lines(text)
+    words, size, long, short, repeats, ids, worst_repeats = _by_word(text)
+    w = max(words, 1)
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if words else np.zeros(0, np.int64)
+    top = float(np.diff(np.append(starts, words)).max() / w) if words else 0.0
+    share, letters = classes / n, letters / n
     letters = letters[letters > 0]
-    blank = (kind == 4) | (kind == 5)
-    ends, begins = blank[1:] & ~blank[:-1], blank[:-1] & ~blank[1:]
-    filled = [x for x in lines if x.strip()]
     values = [
-        np.log1p(len(points)), np.log1p(len(words)), np.log1p(len(lines)), share[1], share[2], share[3], share[4], share[5], float((points > 127).mean()) if len(points) else 0.0, share[6], share[7],
-        share[8], share[9], share[10], share[11], runs, float(sizes.mean()) if len(words) else 0.0, float((sizes > 14).mean()) if len(words) else 0.0, float((sizes < 3).mean()) if len(words) else 0.0, float((begins & (kind[1:] == 1)).sum()) / w,
-        float((ends & (kind[:-1] >= 8)).sum()) / w, float((ends & (kind[:-1] == 6)).sum()) / w, len(starts) / w, float(same.mean()) if len(same) else 0.0, top, float(-(letters * np.log(letters)).sum()), 1 - len(set(filled)) / max(len(filled), 1), len(zlib.compress(text.encode("utf-8", "surrogatepass"), 1)) / n,
-        worst(same, 40), worst(mark, 256), worst(kind == 1, 256), worst(kind == 9, 256),
+        np.log1p(len(text)), np.log1p(words), np.log1p(text.count("\n") + 1), share[1], share[2], share[3], share[4], share[5], accented / n, share[6], share[7],
+        share[8], share[9], share[10], share[11], runs / n, size / w, long / w, short / w, titles / w,
+        signs / w, stops / w, len(starts) / w, repeats / max(words - 1, 1), top, float(-(letters * np.log(letters)).sum()), 1 - distinct_lines / max(lines, 1), deflated / n,
+        worst_repeats, *most,
     ]
     return np.array(values, np.float32)
 

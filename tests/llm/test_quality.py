@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -17,6 +18,25 @@ def test_statistics_are_finite_for_odd_texts():
         assert s.shape == (len(quality.STATS),) and np.isfinite(s).all()
 
 
+def test_a_long_text_takes_little_more_memory_than_itself():
+    text = "".join(f"Word {i % 991} of the long text, and {i % 13} more.\n" for i in range(200_000))
+    tracemalloc.start()
+    try:
+        quality.statistics(text)
+        assert tracemalloc.get_traced_memory()[1] < 6 * len(text)
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 300])
+def test_pieces_change_nothing(monkeypatch, chunk):
+    rng = np.random.default_rng(chunk)
+    texts = ["".join(rng.choice(["a", "The ", "the ", "!", "#", "|", "é", "\n", " ", ".", "\U0001f600", "word\n"], n)) for n in (0, 1, 2, 5, 60, 400, 900)] + ["x" * 700, "|" * 700, "again " * 200]
+    whole = [quality.statistics(t) for t in texts]
+    monkeypatch.setattr(quality, "CHUNK", chunk)
+    assert np.array_equal(whole, [quality.statistics(t) for t in texts])
+
+
 def test_worst_window():
     hits = np.array([0, 1, 1, 0, 1, 0, 0, 0], bool)
     assert quality.worst(hits, 3) == 2 / 3 and quality.worst(hits[:0], 3) == 0 and quality.worst(hits[:2], 4) == 1 / 4
